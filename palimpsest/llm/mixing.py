@@ -85,7 +85,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     passes: int = 3,
     block_words: int = 64,
-    shard_words: int = 1 << 22,
+    shard_words: int = 1 << 20,
     seed: int = 17,
     id_col: str = "doc_id",
 ) -> DataFrame:

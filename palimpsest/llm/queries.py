@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, mixing
+from palimpsest.llm import exact_dedup, mixing, ngram_join
 from palimpsest.session import table
 
 
@@ -16,9 +16,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
