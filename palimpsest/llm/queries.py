@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, exact_dedup, mixing, ngram_join
+from palimpsest.llm import decontam, exact_dedup, line_dedup, mixing, ngram_join
 from palimpsest.session import table
 
 
@@ -20,6 +21,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cut.select(
+        "doc_id", "removed_words", F.length(text).alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256")
+    )
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -28,6 +37,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
