@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, exact_dedup, line_dedup, mixing, ngram_join
+from palimpsest.llm import decontam, exact_dedup, language_id, line_dedup, mixing, ngram_join
 from palimpsest.session import table
 
 
@@ -21,6 +21,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
