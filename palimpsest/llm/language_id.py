@@ -172,8 +172,12 @@ class LanguageModel:
         logits, labels = np.array([r.logits for r in held]), np.array([r.label for r in held])
 
         def loss(temperature: float) -> float:
-            p = model.probabilities(logits / temperature) if len(names) > 1 else np.ones_like(logits)
-            return -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)).mean()
+            if len(names) < 2:
+                return 0.0
+            p = np.maximum(model.probabilities(logits / temperature), 1e-12)
+            doubt = 1 / (len(labels) + 2)  # else a sample without errors would ask for certainty
+            true = np.log(p[np.arange(len(labels)), labels])
+            return -((1 - doubt) * true + doubt * np.log(p).mean(axis=1)).mean()
 
         return cls(names, table, float(min(np.geomspace(0.02, 20, 121), key=loss)))
 

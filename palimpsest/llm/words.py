@@ -70,14 +70,19 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of consecutive texts, and for each text where its words begin and end."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, prefixes: list[int] | None = None):
+    """Hashes of the words of consecutive texts, and for each text where its words begin and end.
+
+    ``space``: the bytes that separate words. With ``prefixes``, a list of hashes by prefix length
+    in bytes (0: the whole word), which are 0 where a word is shorter.
+    """
     low = offsets[0]
     text, starts_at = data[low : offsets[-1]], offsets - low
     n = len(text)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[text]
+        none = np.zeros(0, np.uint64)
+        return [none for _ in prefixes] if prefixes else none, np.zeros(len(offsets), np.int64)
+    inside = ~space[text]
     edge = np.zeros(n + 1, bool)
     edge[starts_at] = True
     before = np.empty(n, bool)
@@ -91,7 +96,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total[0] = 0
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[text] * forth[:n], out=total[1:])
-        hashes = mix((total[end] - total[begin]) * back[begin])
+        if prefixes:
+            hashes = []
+            for k in prefixes:
+                stop = np.minimum(begin + k, end) if k else end
+                hashes.append(np.where(end - begin >= k, (total[stop] - total[begin]) * back[begin], U64(0)))
+        else:
+            hashes = mix((total[end] - total[begin]) * back[begin])
     return hashes, np.searchsorted(begin, starts_at, "left")
 
 
