@@ -2,12 +2,14 @@
 
 1. Documents with the same set form one class, so copies are never paired with one another.
 2. Shingles are put in one global order, rare ones first, as estimated by fixed-size counters over
-   all shingles of all documents. Two sets that are similar enough share a shingle within the short
-   prefix that the threshold leaves them.
+   all shingles of all documents. Two sets that are similar enough share at least ``least_shared``
+   shingles within the short prefixes that the threshold leaves them.
 3. The prefix lists are sorted by (shingle, size) over all tasks, by range, so that no list has to
-   fit in one task. Neighbours in a list whose sizes allow a link are tied to the first of their
-   run: one row a list entry, never pairs. What hangs together so is a candidate group; every link
-   lies within one.
+   fit in one task. A list of a few sets counts one shared shingle for each pair of them, and pairs
+   with enough are candidates. In a longer list, or one on a task border, neighbours whose sizes
+   allow a link are tied to the first of their run: one row a list entry, never pairs. What hangs
+   together so is a candidate group. Every link lies within one: either all its shared prefix
+   shingles are in short lists, and it is counted, or one is not, and it is tied.
 4. Each group is joined exactly, over its members' whole sets. Index lists hold members by size, in
    blocks that are skipped when their sizes rule out a link; the overlaps of a set are derived from
    those of a similar set computed before, by way of only those lists in which the two differ. A
@@ -36,6 +38,14 @@ from palimpsest.session import stored
 GROUP_SHINGLES = 2_000_000
 BLOCK_SETS = 4096
 PIVOTS = 4
+#: Lists of at most so many sets are counted by pair, 28 at most.
+SHORT_LIST = 8
+ORDER_BITS = 23
+
+
+def least_shared(n):
+    """How many prefix shingles a link shares with a set of n shingles, which lengthens its prefix by as many."""
+    return 1 + n // 50
 
 
 def _profiles(width: int, percent: int, counts):
@@ -51,7 +61,7 @@ def _profiles(width: int, percent: int, counts):
                 one.append(words.mix(s).sum(dtype=np.uint64))
                 two.append(words.mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
                 order = np.argsort(count[s >> shift], kind="stable")
-                prefix.append(s[order[: len(s) - -(-percent * len(s) // 100) + 1]])
+                prefix.append(s[order[: len(s) - -(-percent * len(s) // 100) + least_shared(len(s))]])
             at = np.cumsum([0, *map(len, prefix)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             yield pa.record_batch(
@@ -68,58 +78,71 @@ def _profiles(width: int, percent: int, counts):
 
 
 def _ties(percent: int):
-    """mapInArrow function over rows sorted by (token, n, rep): ties each run's members to its first.
+    """mapInArrow function over rows sorted by (token, n, rep): candidate pairs and ties.
 
-    A run ends where the token changes or the next size is too large for a link. The first and the
-    last row of a task are returned as well (edge 0), to tie runs that go on in the next task.
+    Returns (kind, token, n, a, b): kind 1 is a pair a, b with one shared shingle, ``n`` of which it
+    needs; kind 2 ties a to b. The lists on the task's borders are tied, and their rows at the
+    border returned as kind 0, to tie them to what lies beyond it.
     """
 
+    def rows(kind, token, n, a, b) -> pa.RecordBatch:
+        columns = np.broadcast_arrays(np.int64(kind), token, n, a, b)
+        return pa.record_batch([pa.array(np.array(c, np.int64)) for c in columns], ["kind", "token", "n", "a", "b"])
+
+    def lists(t, n, r, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """All lists of these rows; the first and the last one may go on beyond them."""
+        begins = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        size = np.diff([*begins, len(t)])
+        short = size <= SHORT_LIST
+        short[0] &= not first
+        short[-1] &= not last
+        short = np.repeat(short, size)
+        for d in range(1, SHORT_LIST):
+            k = np.flatnonzero((t[d:] == t[:-d]) & short[d:] & (n[:-d] * 100 >= percent * n[d:]) & (r[d:] != r[:-d]))
+            if len(k):
+                low, high = np.minimum(r[k], r[k + d]), np.maximum(r[k], r[k + d])
+                yield rows(1, 0, least_shared(n[k]), low, high)
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (n[:-1] * 100 < percent * n[1:])])
+        heads = np.repeat(r[new], np.diff([*np.flatnonzero(new), len(t)]))
+        tied = ~short & (heads != r)
+        if tied.any():
+            pairs = np.unique(np.stack([r[tied], heads[tied]]), axis=1)
+            yield rows(2, 0, 0, pairs[0], pairs[1])
+        if first:
+            yield rows(0, t[:1], n[:1], r[:1], r[:1])
+        if last:
+            yield rows(0, t[-1:], n[-1:], r[-1:], r[-1:])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = size = head = None  # of the row before
-        first = last = None
+        held, first = [np.zeros(0, np.int64)] * 3, True
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, n, r = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            first = first if first is not None else (t[0], n[0], r[0])
-            new = np.empty(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (n[:-1] * 100 < percent * n[1:])
-            new[0] = token is None or token != t[0] or size * 100 < percent * n[0]
-            begins = np.flatnonzero(new)
-            heads = np.empty(len(t), np.int64)
-            if not new[0]:
-                heads[: begins[0] if len(begins) else len(t)] = head
-            if len(begins):
-                heads[begins[0] :] = np.repeat(r[begins], np.diff([*begins, len(t)]))
-            token, size, head = t[-1], n[-1], heads[-1]
-            last = (t[-1], n[-1], r[-1])
-            pairs = np.unique(np.stack([r, heads])[:, r != heads], axis=1)
-            if pairs.shape[1]:
-                zero = np.zeros(pairs.shape[1], np.int64)
-                yield pa.record_batch(
-                    {"edge": pa.array(zero + 1), "token": pa.array(zero), "n": pa.array(zero), "a": pa.array(pairs[0]), "b": pa.array(pairs[1])}
-                )
-        if first is not None:
-            ends = np.array([first, last], np.int64)
-            yield pa.record_batch(
-                {"edge": pa.array([0, 0]), "token": pa.array(ends[:, 0]), "n": pa.array(ends[:, 1]), "a": pa.array(ends[:, 2]), "b": pa.array(ends[:, 2])}
-            )
+            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole:  # all but the last list
+                yield from lists(*(h[:whole] for h in held), first, False)
+                held, first = [h[whole:] for h in held], False
+        if len(held[0]):
+            yield from lists(*held, first, True)
 
     return run
 
 
 def _candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     ties = prefixes.repartitionByRange("token", "n", "rep").sortWithinPartitions("token", "n", "rep")
-    ties = stored(ties.mapInArrow(_ties(percent), "edge long, token long, n long, a long, b long"), "ties")
-    # Two rows a task: what goes on across task borders, tied in order within each token.
-    border = ties.where("edge = 0").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("n", "a"))).alias("rows"))
+    ties = ties.mapInArrow(_ties(percent), "kind long, token long, n long, a long, b long")
+    # Each pair once, with its count; ties once; the two border rows a task stay as they are.
+    ties = ties.groupBy("kind", "token", "a", "b", "n").agg(F.count(F.lit(1)).alias("shared"))
+    ties = stored(ties, "ties")
+    edges = ties.where("kind = 2 OR kind = 1 AND shared >= n").select("a", "b")
+    # Tied in order within each token.
+    border = ties.where("kind = 0").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("n", "a"))).alias("rows"))
     border = border.where(F.size("rows") > 1).select(
         F.explode(F.arrays_zip(F.slice("rows", 1, F.size("rows") - 1).alias("x"), F.slice("rows", 2, F.size("rows") - 1).alias("y"))).alias("p")
     )
     border = border.where(F.col("p.x.n") * 100 >= percent * F.col("p.y.n")).select(
         F.col("p.x.a").alias("a"), F.col("p.y.a").alias("b")
     )
-    return ties.where("edge = 1").select("a", "b").unionByName(border)
+    return edges.unionByName(border)
 
 
 class _Group:
@@ -282,7 +305,10 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = sketch.hash_counts(
-        texts.select("text"), lambda batch: (np.concatenate(s) for s in _in_slices(batch.column(0), width))
+        texts.select("text"),
+        lambda batch: (s for _, s in words.shingle_sets(batch.column(0), width)),
+        ORDER_BITS,
+        np.uint16,
     )
     order = spark.sparkContext.broadcast(counts)
     profiles = texts.mapInArrow(
@@ -344,17 +370,6 @@ def ngram_jaccard_join(
     )
 
 
-def _in_slices(column: pa.Array, width: int, rows: int = 512) -> Iterator[list[np.ndarray]]:
-    some: list[np.ndarray] = []
-    for _, s in words.shingle_sets(column, width):
-        some.append(s)
-        if len(some) == rows:
-            yield some
-            some = []
-    if some:
-        yield some
-
-
 def first_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Of each component of near-duplicates, the document with the least id, all columns as they were."""
     joined = ngram_jaccard_join(docs, width, percent)

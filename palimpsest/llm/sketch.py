@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 15
 
 
-def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int = 21) -> np.ndarray:
-    """How many of the 64-bit hashes of all rows fall into each of 2**bits counters.
+def hash_counts(
+    df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int = 21, kind: type = np.uint32
+) -> np.ndarray:
+    """How many of the 64-bit hashes of all rows fall into each of 2**bits counters, cut at the
+    greatest value of ``kind``.
 
     Each task counts its own rows; the counters are summed over the tasks in chunks, each chunk in
-    one stream with one chunk in memory. What reaches the driver is 4 * 2**bits bytes at any input.
+    one stream with one chunk in memory. What reaches the driver has a fixed size at any input.
     """
-    shift = np.uint64(64 - bits)
+    shift, most = np.uint64(64 - bits), np.iinfo(kind).max
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for values in hashes(batch):
-                total += np.bincount((values >> shift).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(total, (values >> shift).astype(np.int64), np.uint32(1))
         if total.any():
+            total = np.minimum(total, most).astype(kind)
             yield pa.record_batch(
                 {
                     "chunk": pa.array(range(len(total) // CHUNK), pa.int32()),
@@ -37,14 +41,14 @@ def hash_counts(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.nd
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(chunk, np.zeros(CHUNK, np.uint64))
-                own += np.frombuffer(counts, np.uint32)
+                own += np.frombuffer(counts, kind)
         for chunk, own in sums.items():
-            counts = np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()
+            counts = np.minimum(own, np.uint64(most)).astype(kind).tobytes()
             yield pa.record_batch({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([counts], pa.binary())})
 
     schema = "chunk int, counts binary"
     parts = df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    out = np.zeros(1 << bits, np.uint32)
+    out = np.zeros(1 << bits, kind)
     for row in parts.toLocalIterator():
-        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.uint32)
+        out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, kind)
     return out

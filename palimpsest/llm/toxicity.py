@@ -39,8 +39,9 @@ PREFIXES = range(3, 9)
 #: Bounds on the labelled rows that lexicons are mined from, and on the documents of the fit.
 LEXICON_ROWS = 16_000
 FIT_ROWS = 16_000
-#: A mined stem occurs in so many toxic rows, and in so large a share of its rows they are toxic.
-LEAST_ROWS, LEAST_SHARE = 4, 0.75
+#: A mined stem occurs in so many toxic rows and so large a part of them all, and of the rows that
+#: hold it so large a share is toxic.
+LEAST_ROWS, LEAST_PART, LEAST_SHARE = 4, 0.01, 0.75
 LEXICON_STEMS = 4_000
 VOTERS = 12
 
@@ -82,7 +83,12 @@ def _sample(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def mine(texts: DataFrame) -> list[tuple[int, int]]:
-    """Stems for lexicons from (text, toxic) rows, the most telling first: (stem, kind)."""
+    """Stems for lexicons from (text, toxic) rows, the most telling first: (stem, kind).
+
+    Copies of a text are one row, else a mislabelled text with copies would pass for evidence.
+    """
+    texts = texts.dropDuplicates(["text"])
+    least = max(LEAST_ROWS, LEAST_PART * texts.where("toxic = 1").count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int32)
@@ -105,7 +111,7 @@ def mine(texts: DataFrame) -> list[tuple[int, int]]:
 
     counted = texts.mapInArrow(count, "stem long, kind int, clean long, toxic long").groupBy("stem")
     counted = counted.agg(F.max("kind").alias("kind"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    telling = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
+    telling = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
     score = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")
     return [(r.stem, r.kind) for r in telling.orderBy(score.desc(), "stem").limit(LEXICON_STEMS).collect()]
 
