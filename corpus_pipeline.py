@@ -1,8 +1,66 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: five stages over ``documents``, each written and reread.
 
+A stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the
+columns of ``documents``; the last one adds what the mix takes of each document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontam, line_dedup, mixing, ngram_join, toxicity
+from palimpsest.session import stored, table
+
+#: Neither the label model nor patience alignment can be expressed in SQL; tests compare run() with
+#: a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go; a document left without a word goes whole."""
+    cut = line_dedup.line_dedup(docs, removed_col="_removed_words")
+    kept = cut.where("_removed_words = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return kept.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return ngram_join.first_of_each_group(docs, width=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the mix takes words, with size, target and taken words.
+
+    Rows that repeat an id share one decision, that with the most words taken.
+    """
+    mixed = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
+    taken = mixed.agg(F.max(F.struct("taken", "size", "source_size", "target")).alias("_mix"))
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return met.select(*docs.columns, "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_similar),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, toxicity
+from palimpsest.llm import decontam, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
 from palimpsest.session import table
 
 
@@ -41,6 +41,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit a document: up to twelve characters at a place given by its id make way for its source."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    first = F.crc32(F.col("doc_id").cast("string")) % (size + 1)
+    edits = docs.select(
+        "doc_id",
+        first.alias("first"),
+        F.least(first + F.col("doc_id") % 13, size).alias("last"),
+        F.concat(F.lit("["), F.col("source"), F.lit("]")).alias("replacement"),
+    )
+    return token_counts.edit_aware_counts(docs, edits)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -53,6 +67,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
