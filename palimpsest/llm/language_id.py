@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import sketch, words
 from palimpsest.llm.linear import Example, Ftrl, train
+from palimpsest.llm.sampling import hashed_sample
 from palimpsest.session import stored
 
 ORDERS = 3
@@ -140,11 +141,11 @@ class LanguageModel:
         self.names, self.table, self.temperature = names, table, temperature
 
     @classmethod
-    def fit(cls, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
         """Learn from all rows of ``docs``, which are training rows, that have a language and a text."""
         spark = docs.sparkSession
         known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-            F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col, lang_col).alias("ord")
+            F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
         )
         names = sorted(r.lang for r in known.select("lang").distinct().toLocalIterator())
         if not names:
@@ -153,7 +154,8 @@ class LanguageModel:
         total = known.count()
         idf = np.log((1 + total) / (1 + counts.astype(float))) + 0.1
         label = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1
-        rows = known.withColumn("label", label.cast("int")).orderBy("ord").limit(SAMPLE_ROWS + CALIBRATION_ROWS)
+        rows = hashed_sample(known.withColumn("label", label.cast("int")), SAMPLE_ROWS + CALIBRATION_ROWS, "doc_id")
+        rows = rows.drop("doc_id", "lang")
         share = CALIBRATION_ROWS / (SAMPLE_ROWS + CALIBRATION_ROWS)
         rows = stored(rows.withColumn("_fold", F.pmod(F.xxhash64("ord"), F.lit(1000)) < int(1000 * share)), "language-sample")
         model = Ftrl(1 << BITS, len(names), alpha=0.5, l1=0.05, l2=0.01)

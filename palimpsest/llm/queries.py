@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, exact_dedup, language_id, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
+from palimpsest.llm import decontam, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
 from palimpsest.session import table
 
 
@@ -13,6 +13,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_license_scan": op2_license_scan,
     "op3_personal_data": op3_personal_data,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words
 from palimpsest.llm.linear import Example, Ftrl, train
+from palimpsest.llm.sampling import hashed_sample
 from palimpsest.session import stored
 
 # Common English insults.
@@ -77,11 +78,6 @@ def _sparse(columns: list[np.ndarray], bounds: np.ndarray, keep: np.ndarray) ->
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _sample(docs: DataFrame, limit: int) -> DataFrame:
-    """Of (doc_id, ...) rows those with the least hashes, at most ``limit``."""
-    return docs.withColumn("ord", F.xxhash64("doc_id")).orderBy("ord").limit(limit)
-
-
 def mine(texts: DataFrame) -> list[tuple[int, int]]:
     """Stems for lexicons from (text, toxic) rows, the most telling first: (stem, kind).
 
@@ -174,7 +170,7 @@ class LabelModel:
         one = np.einsum("yjjaa->yja", p)
         one = one / one.sum(axis=2, keepdims=True)
         gain = p * np.log(p / (one[:, :, None, :, None] * one[:, None, :, None, :]))
-        share = total / total.sum()
+        share = total / max(total.sum(), 1.0)
         information = (share[:, None, None, None, None] * gain).sum(axis=(0, 3, 4))
         self.order, self.parent = [0], {0: None}
         while len(self.order) < VOTERS:  # a maximum spanning tree
@@ -236,8 +232,8 @@ class ToxicityModel:
         """``docs``: all (doc_id, text) rows, for the votes; ``train_docs``: those that the classifier
         may learn from; ``labels``: (doc_id, toxic) rows that may be looked at."""
         spark = docs.sparkSession
-        known = _sample(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), LEXICON_ROWS)
-        # At most LEXICON_ROWS rows of two numbers: a proven bound.
+        known = hashed_sample(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), LEXICON_ROWS, "doc_id")
+        known = known.drop("ord").limit(2 * LEXICON_ROWS)  # rows of two numbers: a proven bound for the broadcast
         seen = train_docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
         seen = stored(seen, "toxicity-labelled")
         share = seen.agg(F.avg("toxic")).first()[0]
@@ -249,8 +245,7 @@ class ToxicityModel:
         prior = min(0.5, max(0.01, 0.05 if share is None else share))
         model = LabelModel(patterns, counts.astype(float), prior)
         posterior = model.posterior(np.arange(1 << VOTERS))
-        ids = _sample(train_docs.select("doc_id").where("doc_id IS NOT NULL"), FIT_ROWS)
-        sample = train_docs.join(F.broadcast(ids), "doc_id").select("text", "ord")
+        sample = hashed_sample(train_docs.where("doc_id IS NOT NULL"), FIT_ROWS, "doc_id").select("text", "ord")
         learner = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=1.5, l2=1.0)
         weights = train(stored(sample, "toxicity-sample"), learner, _fit_examples(table, posterior))
         return cls(weights[:, 0].astype(np.float32), model, table)
