@@ -1,0 +1,31 @@
+"""Token estimates and admission of requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+PROMPT_SLACK, PAYLOAD_SLACK = 32, 512
+
+
+def estimated_tokens(system: Column, payload: Column) -> Column:
+    return F.octet_length(system).cast("long") + F.octet_length(payload) + PROMPT_SLACK
+
+
+def input_limit(max_input: Column, window: Column, max_output: Column) -> Column:
+    """The strictest known limit on input tokens, null if none is known."""
+    return F.least(max_input, window - F.coalesce(max_output, F.lit(0)))
+
+
+def admission(tokens: Column, output: Column, max_input: Column, max_output: Column, window: Column) -> Column:
+    """admitted, or the first limit that a request breaks: output, then input, then the window."""
+    return (
+        F.when(output > max_output, "output_limit")
+        .when(tokens > max_input, "input_limit")
+        .when(tokens + output > window, "context_window")
+        .otherwise("admitted")
+    )
+
+
+def payload_byte_budget(limit: Column, prompt: Column) -> Column:
+    return limit - F.octet_length(prompt) - PAYLOAD_SLACK

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from palimpsest.plans import record_queries, text_queries  # noqa: F401  (they register themselves)
+from palimpsest.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
