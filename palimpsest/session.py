@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +26,26 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of every executor, once per application."""
+    context = spark.sparkContext
+    home = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not home.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="palimpsest-package-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(home.rglob("*.py")):
+            out.write(path, path.relative_to(home.parent))
+    context.addPyFile(str(archive))  # served by the driver to the executors
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Only Spark opens the path, so any store that Spark reads will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
