@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words
-from palimpsest.session import stored
+from palimpsest.session import ship, stored
 
 #: Item shingles searched in one pass over the documents, and so the bound on what is broadcast.
 BLOCK_SHINGLES = 2_000_000
@@ -133,6 +133,7 @@ def contained_items(
 ) -> DataFrame:
     """Return doc_id, item_id, n_item, n_shared, containment for every item that a document contains
     to ``percent`` or more of its shingles."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     sets = stored(item_sets(items, width, item_id_col, item_text_col), "items")
     total = sets.agg(F.sum("n")).first()[0] or 0

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import sketch, words
 from palimpsest.llm.linear import Example, Ftrl, train
 from palimpsest.llm.sampling import hashed_sample
-from palimpsest.session import stored
+from palimpsest.session import ship, stored
 
 ORDERS = 3
 BITS = 16
@@ -208,6 +208,7 @@ class LanguageModel:
 def identify(docs: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
     """Fit on the documents outside one fold of crc32(doc_id) and predict all: doc_id, held_out,
     lang_pred, score."""
+    ship(docs.sparkSession)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
     model = LanguageModel.fit(docs.where(fold != held_out_fold))
     return model.predict(docs).select(

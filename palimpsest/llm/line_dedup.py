@@ -1,16 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-1. Every line of at least ``least_line_words`` words is hashed; shorter ones are too common to tell
-   documents apart. Grouped by hash (map-side combined), each line that several documents hold is
-   owned by the first of them. A document overlaps with the owners of its lines: one pair for each
-   (document, owner), so a line in a third of all documents makes a row a document, not all pairs,
-   and no partner is left out.
-2. Owners send along the hashes of the lines around each owned line, so that a pair can be aligned
-   without fetching the owner's text.
-3. Each pair is aligned by patience diff: lines that are unique in both documents anchor the
-   alignment, the longest increasing run of them is kept, and it is extended over equal lines before
-   and after, short or repeated ones too. Where a pair has no line unique in both, the first
-   occurrences stand in.
+1. Texts are cut at line ends and, as lines may be whole pages, at sentence ends; long sentences are
+   cut at words that their hashes pick, the same ones wherever the sentence occurs. Pieces of fewer
+   than ``least_line_words`` words are too common to tell documents apart and go with the next piece.
+   A line is such a unit of words; its hash ignores white space and the case of A-Z.
+2. Line hashes are sorted by (hash, document, position) over all tasks, by range, so that no line has
+   to fit in one task. Each line that several documents hold is owned by the first of them. A
+   document overlaps with the owners of its lines: one row for each line of a document, so a line in
+   a third of all documents makes a row a document, not all pairs, and no partner is left out.
+3. Each (document, owner) pair is aligned by patience diff: lines that are unique in both anchor the
+   alignment, and the longest increasing run of them is kept. Where a pair has no line unique in
+   both, the first occurrences stand in. Repeated lines that the owner holds too extend a block.
 4. Aligned blocks of at least ``least_block_words`` words go from the later document, that with the
    greater id.
 
@@ -27,53 +27,120 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AROUND = 4
+from palimpsest.llm import words
+from palimpsest.session import ship, stored
+
 _LAST = 2**63 - 1
+#: Sentences above so many words are cut after every 16th word or so, as the words' hashes have it.
+LONG_WORDS = 32
+
 
+class Units:
+    """The lines of some texts: hashes, words, where they start (bytes, from the first text on), and
+    each text's bounds in them. A line reaches to the next one."""
 
-def line_hash(line: str) -> int:
-    """Signed 64-bit hash of a line without white space at its ends."""
-    h = xxhash.xxh3_64_intdigest(line.strip(" \t\r\x0b\x0c").encode())
-    return h - (1 << 64) if h >> 63 else h
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, least_words: int):
+        own, bounds, begin, end = words.word_hashes(data, offsets, places=True)
+        n = len(own)
+        text, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if not n:
+            self.hashes, self.n_words, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.bounds, self.text_starts = np.zeros(len(offsets), np.int64), at
+            return
+        last = np.zeros(n, bool)
+        last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
+        final = last.copy()
+        last |= np.isin(text[end - 1], np.frombuffer(b".!?", np.uint8))
+        lines = np.concatenate([[0], np.cumsum(text == 10)])
+        last[:-1] |= lines[begin[1:]] > lines[end[:-1]]
+        size = np.diff(np.flatnonzero(last), prepend=-1)
+        last |= np.repeat(size > LONG_WORDS, size) & (own & np.uint64(15) == 0)
+        pieces = np.flatnonzero(last)
+        size = np.diff(pieces, prepend=-1)
+        ends = pieces[(size >= least_words) | final[pieces]]
+        firsts = np.concatenate([[0], ends[:-1] + 1])
+        forth, back = words.powers(n + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * forth[:n])])
+            hashes = words.mix((total[ends + 1] - total[firsts]) * back[firsts])
+        self.hashes, self.n_words, self.starts = hashes.view(np.int64), ends + 1 - firsts, begin[firsts]
+        self.bounds, self.text_starts = np.searchsorted(firsts, bounds), at
 
 
 def _lines(least_words: int):
+    """mapInArrow function over (id, row, text): hash, id, row and position of every line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, row_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for row in range(batch.num_rows):
-                text = batch.column(2)[row].as_py()
-                if not text:
-                    continue
-                lines = text.split("\n")
-                hashes = [line_hash(x) for x in lines]
-                count: dict[int, int] = {}
-                for h in hashes:
-                    count[h] = count.get(h, 0) + 1
-                for pos, line in enumerate(lines):
-                    if len(line.split(None, least_words)) >= least_words:
-                        once = count[hashes[pos]] == 1
-                        before, after = hashes[max(0, pos - AROUND) : pos][::-1], hashes[pos + 1 : pos + 1 + AROUND]
-                        out.append((hashes[pos], ids[row], row_hashes[row], pos, once, before, after))
-                if len(out) > 50_000:
-                    yield _line_batch(out)
-                    out = []
-            if out:
-                yield _line_batch(out)
+            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = words.string_column(batch.column(2))
+            for first, last in words.slices(offsets):
+                u = Units(data, offsets[first : last + 1], least_words)
+                owner = np.repeat(np.arange(first, last), np.diff(u.bounds))
+                pos = np.arange(len(u.hashes)) - u.bounds[owner - first]
+                k = np.flatnonzero(u.n_words >= least_words)
+                yield pa.record_batch(
+                    {"h": pa.array(u.hashes[k]), "id": pa.array(ids[owner[k]]), "row": pa.array(rows[owner[k]]), "pos": pa.array(pos[k].astype(np.int32))}
+                )
 
     return run
 
 
-def _line_batch(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    names = ("h", "id", "row", "pos", "once", "before", "after")
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+_SHARED = "kind int, h long, id long, row long, pos int, o_id long, o_row long, o_pos int, o_once boolean"
+
+
+def _owners() -> object:
+    """mapInArrow function over lines sorted by (h, id, row, pos): every line but its owner's own,
+    with the owner (kind 1).
+
+    The first list of a task may have begun before it: its lines are returned without an owner (kind
+    2), and the first line of the first and of the last list as a possible owner (kind 0).
+    """
+
+    def rows(kind, k, h, i, r, p, o) -> pa.RecordBatch:
+        columns = [np.full(len(k), kind, np.int32), h[k], i[k], r[k], p[k], *(x[k] for x in o)]
+        return pa.record_batch([pa.array(c) for c in columns], [c.split()[0] for c in _SHARED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_first, last_head = None, True, None  # the current list's hash and owner; still in the first list
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, i, r, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            new = np.concatenate([[held is None or held[0] != h[0]], h[1:] != h[:-1]])
+            heads = np.flatnonzero(new)
+            again = np.concatenate([(h[1:] == h[:-1]) & (i[1:] == i[:-1]) & (r[1:] == r[:-1]), [False]])
+            owner = []
+            for k, (column, kind) in enumerate(((i, np.int64), (r, np.int64), (p, np.int32), (~again, bool))):
+                own = np.zeros(len(h), kind)
+                if not new[0]:
+                    own[: heads[0] if len(heads) else len(h)] = held[1][k]
+                if len(heads):
+                    own[heads[0] :] = np.repeat(column[heads], np.diff([*heads, len(h)]))
+                owner.append(own)
+            unsure = np.zeros(len(h), bool)
+            if at_first:
+                start = held is None
+                stop = heads[1 if start else 0] if len(heads) > (1 if start else 0) else len(h)
+                unsure[:stop] = True
+                yield rows(2, np.arange(stop), h, i, r, p, owner)
+                if start:
+                    yield rows(0, np.array([0]), h, i, r, p, owner)
+                at_first = stop == len(h)
+            later = ~unsure & ((i != owner[0]) | (r != owner[1]))
+            if later.any():
+                yield rows(1, np.flatnonzero(later), h, i, r, p, owner)
+            if not at_first and len(heads):
+                last_head = rows(0, heads[-1:], h, i, r, p, owner)
+            held = (h[-1], [x[-1] for x in owner])
+        if last_head is not None:
+            yield last_head
+
+    return run
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -96,78 +163,80 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(hashes: list[int], entries: list) -> list[tuple[int, int]]:
+def common_blocks(once: list[bool], entries: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
     """Blocks [start, end) of a document's lines that are aligned with one owner.
 
-    ``entries``: (pos, owner's pos, unique in the owner, owner's hashes before, after), by pos.
+    ``once``: which lines are unique in the document; ``entries``: (pos, owner's pos, unique in the
+    owner), by pos.
     """
-    count: dict[int, int] = {}
-    for h in hashes:
-        count[h] = count.get(h, 0) + 1
-    anchors = [e for e in entries if e[2] and count[hashes[e[0]]] == 1]
+    anchors = [e for e in entries if e[2] and once[e[0]]]
     if not anchors:
         seen: set[int] = set()
-        anchors = [e for e in entries if not (hashes[e[0]] in seen or seen.add(hashes[e[0]]))]
-    aligned: dict[int, int] = {}
-    kept = [anchors[k] for k in increasing([e[1] for e in anchors])]
-    for pos, other, *_ in kept:
-        aligned[pos] = other
-    for pos, other, _, before, after in kept:
-        for step, around in ((1, after), (-1, before)):
-            for k, h in enumerate(around, 1):
-                p = pos + step * k
-                if not 0 <= p < len(hashes) or hashes[p] != h or aligned.get(p, other + step * k) != other + step * k:
-                    break
-                aligned[p] = other + step * k
+        anchors = [e for e in entries if not (e[1] in seen or seen.add(e[1]))]
     blocks: list[tuple[int, int]] = []
-    for p in sorted(aligned):
-        if blocks and blocks[-1][1] == p and aligned[p - 1] + 1 == aligned[p]:
-            blocks[-1] = (blocks[-1][0], p + 1)
+    other = -2
+    for k in increasing([e[1] for e in anchors]):
+        pos, o_pos, _ = anchors[k]
+        if blocks and blocks[-1][1] == pos and other + 1 == o_pos:
+            blocks[-1] = (blocks[-1][0], pos + 1)
         else:
-            blocks.append((p, p + 1))
-    return blocks
-
-
-def _cut(text: str, entries: list, least_block_words: int) -> tuple[str, int]:
-    lines = text.split("\n")
-    hashes = [line_hash(x) for x in lines]
-    by_owner: dict[tuple[int, int], list] = {}
-    for e in sorted(entries, key=lambda e: e["pos"]):
-        by_owner.setdefault((e["o_id"], e["o_row"]), []).append((e["pos"], e["o_pos"], e["o_once"], e["before"], e["after"]))
-    gone = np.zeros(len(lines), bool)
-    counts: dict[int, int] = {}
+            blocks.append((pos, pos + 1))
+        other = o_pos
+    # Repeated lines cannot anchor, but next to a block they are the owner's too.
+    free = {e[0] for e in entries if not (e[2] and once[e[0]])} - {p for a, b in blocks for p in range(a, b)}
+    out: list[tuple[int, int]] = []
+    for start, end in blocks:
+        while start - 1 in free and not (out and out[-1][1] == start):
+            start -= 1
+        while end in free:
+            end += 1
+        if out and out[-1][1] == start:
+            start = out.pop()[0]
+        out.append((start, end))
+    return out
+
+
+def _cut(text: bytes, entries: list, least_line_words: int, least_block_words: int) -> tuple[bytes, int]:
+    u = Units(np.frombuffer(text, np.uint8), np.array([0, len(text)]), least_line_words)
+    _, back, counts = np.unique(u.hashes, return_inverse=True, return_counts=True)
+    once = (counts[back] == 1).tolist()
+    by_owner: dict[tuple[int, int], dict] = {}
+    for e in entries:
+        by_owner.setdefault((e["o_id"], e["o_row"]), {})[e["pos"]] = (e["pos"], e["o_pos"], e["o_once"])
+    total = np.concatenate([[0], np.cumsum(u.n_words)])
+    gone = np.zeros(len(u.hashes), bool)
     for owner in sorted(by_owner):
-        for start, end in common_blocks(hashes, by_owner[owner]):
-            for p in range(start, end):
-                if p not in counts:
-                    counts[p] = len(lines[p].split())
-            if sum(counts[p] for p in range(start, end)) >= least_block_words:
+        for start, end in common_blocks(once, [e for _, e in sorted(by_owner[owner].items())]):
+            if total[end] - total[start] >= least_block_words:
                 gone[start:end] = True
     if not gone.any():
         return text, 0
-    kept = [x for x, g in zip(lines, gone, strict=True) if not g]
-    return "\n".join(kept), sum(counts[int(p)] for p in np.flatnonzero(gone))
+    edges = [0, *u.starts[1:].tolist(), len(text)]  # what precedes the first word goes with it
+    left = b"".join(text[edges[k] : edges[k + 1]] for k in np.flatnonzero(~gone))
+    return left, int(u.n_words[gone].sum())
 
 
-def _apply(text_at: int, n_columns: int, least_block_words: int):
+def _apply(text_at: int, n_columns: int, least_line_words: int, least_block_words: int):
     """mapInArrow function over (the document's columns, entries)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, entries = batch.column(text_at), batch.column(n_columns)
-            changed: dict[int, tuple[str, int]] = {}
+            removed = np.zeros(batch.num_rows, np.int64)
+            changed: dict[int, str] = {}
             for row in np.flatnonzero(entries.is_valid().to_numpy(zero_copy_only=False)):
                 text = texts[int(row)].as_py()
                 if text:
-                    changed[int(row)] = _cut(text, entries[int(row)].as_py(), least_block_words)
-            if any(n for _, n in changed.values()):
+                    left, n = _cut(text.encode(), entries[int(row)].as_py(), least_line_words, least_block_words)
+                    if n:
+                        changed[int(row)], removed[row] = left.decode(), n
+            if changed:
                 values = texts.to_pylist()
-                for row, (text, _) in changed.items():
+                for row, text in changed.items():
                     values[row] = text
                 texts = pa.array(values, texts.type)
-            removed = pa.array([changed.get(k, ("", 0))[1] for k in range(batch.num_rows)], pa.int64())
             columns = [texts if k == text_at else batch.column(k) for k in range(n_columns)]
-            yield pa.record_batch([*columns, removed], [*batch.schema.names[:n_columns], "_removed"])
+            yield pa.record_batch([*columns, pa.array(removed)], [*batch.schema.names[:n_columns], "_removed"])
 
     return run
 
@@ -175,12 +244,13 @@ def _apply(text_at: int, n_columns: int, least_block_words: int):
 def line_dedup(
     docs: DataFrame,
     least_block_words: int = 20,
-    least_line_words: int = 4,
+    least_line_words: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
     removed_col: str = "removed_words",
 ) -> DataFrame:
     """``docs`` without the blocks of lines that earlier documents hold, and the words removed."""
+    ship(docs.sparkSession)
     docs = docs.drop(removed_col)
     names = docs.columns
     plain = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
@@ -189,30 +259,24 @@ def line_dedup(
     row = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row")
     keyed = docs.select(*plain, key, row)
 
-    lines = docs.select(key, row, F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
-        _lines(least_line_words),
-        "h long, id long, row long, pos int, once boolean, before array<long>, after array<long>",
-    )
-    first = F.min(F.struct("id", "row", "pos", "once", "before", "after")).alias("o")
-    last = F.max(F.struct("id", "row")).alias("l")
-    owned = lines.groupBy("h").agg(first, last).where("l <> struct(o.id, o.row)").select("h", "o")
-    shared = lines.select("h", "id", "row", "pos").join(owned, "h").where("struct(id, row) <> struct(o.id, o.row)")
-    entry = F.struct(
-        "pos",
-        F.col("o.id").alias("o_id"),
-        F.col("o.row").alias("o_row"),
-        F.col("o.pos").alias("o_pos"),
-        F.col("o.once").alias("o_once"),
-        F.col("o.before").alias("before"),
-        F.col("o.after").alias("after"),
+    lines = docs.select(key, row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    lines = stored(lines.mapInArrow(_lines(least_line_words), "h long, id long, row long, pos int"), "line-hashes")
+    order = ("h", "id", "row", "pos")
+    shared = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_owners(), _SHARED), "shared-lines")
+    # At most two possible owners a task: a bound for the broadcast.
+    border = shared.where("kind = 0").groupBy("h").agg(F.min(F.struct("id", "row", "pos", "o_once")).alias("o"))
+    unsure = shared.where("kind = 2").select("h", "id", "row", "pos").join(F.broadcast(border), "h")
+    unsure = unsure.where("struct(id, row) <> struct(o.id, o.row)").select(
+        "id", "row", "pos", F.col("o.id").alias("o_id"), F.col("o.row").alias("o_row"), F.col("o.pos").alias("o_pos"), F.col("o.o_once").alias("o_once")
     )
-    # Rows that repeat an id and a text give the same entries again; the set holds each once.
-    entries = shared.groupBy("id", "row").agg(F.collect_set(entry).alias("entries"))
+    sure = shared.where("kind = 1").select("id", "row", "pos", "o_id", "o_row", "o_pos", "o_once")
+    entry = F.struct("pos", "o_id", "o_row", "o_pos", "o_once")
+    entries = sure.unionByName(unsure).groupBy("id", "row").agg(F.collect_list(entry).alias("entries"))
     met = keyed.join(entries, (F.col("_id") == F.col("id")) & (F.col("_row") == F.col("row")), "left")
     met = met.select(*[f"c{k}" for k in range(len(names))], "entries")
     schema = T.StructType(
         [T.StructField(f"c{k}", f.dataType, True) for k, f in enumerate(docs.schema.fields)]
         + [T.StructField("_removed", T.LongType())]
     )
-    cut = met.mapInArrow(_apply(text_at, len(names), least_block_words), schema)
+    cut = met.mapInArrow(_apply(text_at, len(names), least_line_words, least_block_words), schema)
     return cut.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.col("_removed").alias(removed_col))

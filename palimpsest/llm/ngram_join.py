@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import sketch, words
 from palimpsest.llm.graph import components
-from palimpsest.session import stored
+from palimpsest.session import ship, stored
 
 #: Shingles that one task joins in memory; larger groups are cut.
 GROUP_SHINGLES = 2_000_000
@@ -302,6 +302,7 @@ def ngram_jaccard_join(
     Two documents link when 100 * |intersection| >= percent * |union|. class_id is the least id
     with the same set; n_links counts the other documents that a document links to.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = sketch.hash_counts(

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import words
 from palimpsest.llm.linear import Example, Ftrl, train
 from palimpsest.llm.sampling import hashed_sample
-from palimpsest.session import stored
+from palimpsest.session import ship, stored
 
 # Common English insults.
 SEED_LEXICON = (
@@ -270,6 +270,7 @@ class ToxicityModel:
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of the held-out fold of crc32(doc_id) are not read."""
+    ship(docs.sparkSession)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = ToxicityModel.fit(some, some.where(fold != held_out_fold), labels.where(fold != held_out_fold))

@@ -36,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base, and of its inverse, as 64-bit integers."""
     if len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         with np.errstate(over="ignore"):
@@ -70,18 +71,23 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, prefixes: list[int] | None = None):
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, prefixes: list[int] | None = None, places: bool = False
+):
     """Hashes of the words of consecutive texts, and for each text where its words begin and end.
 
     ``space``: the bytes that separate words. With ``prefixes``, a list of hashes by prefix length
-    in bytes (0: the whole word), which are 0 where a word is shorter.
+    in bytes (0: the whole word), which are 0 where a word is shorter. With ``places``, also where
+    each word begins and ends, in bytes from the first text on.
     """
     low = offsets[0]
     text, starts_at = data[low : offsets[-1]], offsets - low
     n = len(text)
     if not n:
         none = np.zeros(0, np.uint64)
-        return [none for _ in prefixes] if prefixes else none, np.zeros(len(offsets), np.int64)
+        bounds, nowhere = np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+        hashes = [none for _ in prefixes] if prefixes else none
+        return (hashes, bounds, nowhere, nowhere) if places else (hashes, bounds)
     inside = ~space[text]
     edge = np.zeros(n + 1, bool)
     edge[starts_at] = True
@@ -91,7 +97,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    forth, back = _power_tables(n + 1)
+    forth, back = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     with np.errstate(over="ignore"):
@@ -103,7 +109,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
                 hashes.append(np.where(end - begin >= k, (total[stop] - total[begin]) * back[begin], U64(0)))
         else:
             hashes = mix((total[end] - total[begin]) * back[begin])
-    return hashes, np.searchsorted(begin, starts_at, "left")
+    bounds = np.searchsorted(begin, starts_at, "left")
+    return (hashes, bounds, begin, end) if places else (hashes, bounds)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
