@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import stored
+from palimpsest.session import ship, stored
 
 SEGMENT = 256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -143,6 +143,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def build_trees(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the text), chars, tokens: the trees, to be kept as a table."""
+    ship(docs.sparkSession)
     return _keyed(docs, id_col, text_col).mapInArrow(_trees(path), "doc_id long, key long, chars array<long>, tokens array<long>")
 
 
@@ -175,10 +176,10 @@ def recount(
     per = edits.where("first IS NOT NULL AND last IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_edited")).agg(
         F.collect_list(edit).alias("edits")
     )
-    # Rows that repeat an id and a text have one tree.
+    # Rows that repeat an id and a text have one tree. Trees meet edits first, so that texts are shuffled once.
     trees = trees.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "chars", "tokens").dropDuplicates(["_id", "_key"])
+    trees = trees.join(per, F.col("_id") == F.col("_edited"), "left")
     met = _keyed(docs, id_col, text_col).join(trees, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    met = met.join(per, F.col("doc_id") == F.col("_edited"), "left")
     return met.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(
         _recount(path), "doc_id long, tokens_before long, tokens_after long, chars_after long, chars_encoded long"
     )
