@@ -72,6 +72,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], passes: int) -> D
     return rows.withColumn("target", F.least(level * F.col("weight"), F.col("limit"))).drop("_level", "_at")
 
 
+def _seeded(seed: int, *parts: str) -> Column:
+    """60 bits that depend on the seed and the parts alone, in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
 def _taken_before(x: Column, block: Column, blocks: Column, chosen: Column, phase: Column) -> Column:
     """Words of the systematic choice before position x of a shard."""
     whole = F.least((x / block).cast("long"), blocks)
@@ -102,7 +107,7 @@ def mix(
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(least, F.lit(0.0)) / 64))).cast("long")
     sources = sources.withColumn("block", block).withColumn(
-        "blocks", F.floor(F.sum("target").over(every) / F.col("block")).cast("long")
+        "blocks", F.floor(F.sum("source_size").over(every) / F.col("block")).cast("long")  # the targets' sum, too
     )
     sources = sainte_lague(sources, [], "source_key", "target", "blocks").select(
         "source_key",
@@ -114,7 +119,7 @@ def mix(
     )
     sources = stored(sources, "mix-sources")
     dealt = sizes.join(sources, "source_key").withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))
+        "shard", F.pmod(_seeded(seed, "doc_id"), F.col("shards"))
     )
     shards = dealt.groupBy("source_key", "shard", "source_quota", "block").agg(F.sum("size").alias("shard_size"))
     shards = sainte_lague(shards, ["source_key"], "shard", "shard_size", "source_quota").select(
@@ -123,7 +128,7 @@ def mix(
         "shard_size",
         F.least("quota", F.floor(passes * F.col("shard_size") / F.col("block")).cast("long")).alias("shard_quota"),
     )
-    along = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    along = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id"), "doc_id", "size")
     laid = dealt.join(shards, ["source_key", "shard"]).withColumn(
         "end", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -136,7 +141,7 @@ def mix(
         F.least(F.round((words - F.col("full") * F.col("shard_size")) / F.col("block")).cast("long"), F.col("n_blocks")),
     )
     laid = laid.withColumn(
-        "phase", F.pmod(F.xxhash64(F.lit(seed + 2), "source_key", "shard"), F.greatest(F.col("n_blocks"), F.lit(1)))
+        "phase", F.pmod(_seeded(seed + 2, "source_key", "shard"), F.greatest(F.col("n_blocks"), F.lit(1)))
     )
     at = lambda x: _taken_before(x, F.col("block"), F.col("n_blocks"), F.col("chosen"), F.col("phase"))
     part = at(F.col("end")) - at(F.col("end") - F.col("size"))
@@ -151,3 +156,66 @@ def mix(
         "shard",
         "shard_quota",
     )
+
+
+def _sainte_lague_sql(name: str, parties: str, group: str, key: str, votes: str, seats: str) -> str:
+    """CTEs that end in one called ``name``: the parties with their quota."""
+    whole = f"PARTITION BY {group}"
+    return f"""
+{name}_a AS (SELECT *, {seats} AS seats_, sum({votes}) OVER ({whole}) AS all_, count(*) OVER ({whole}) AS n_ FROM {parties}),
+{name}_b AS (SELECT *, CASE WHEN all_ > 0 THEN {votes} / all_ * seats_ ELSE 0 END AS ideal_, n_ / (2 * greatest(seats_, 1)) AS slack_ FROM {name}_a),
+{name}_c AS (SELECT *, greatest(floor(ideal_ * (1 - slack_) - 0.5) - 1, 0)::BIGINT AS low_, (ceil(ideal_ * (1 + slack_) + 0.5) + 1)::BIGINT AS high_ FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN all_ > 0 THEN seats_ - sum(low_) OVER ({whole}) ELSE 0 END AS left_ FROM {name}_c),
+{name}_e AS (SELECT *, unnest(range(low_, high_ + 1)) AS k_ FROM {name}_d),
+{name}_f AS (SELECT *, row_number() OVER ({whole} ORDER BY {votes} / (2 * k_ + 1) DESC, {key}, k_) AS rank_ FROM {name}_e),
+{name} AS (SELECT {group}, {key}, low_ + count(*) FILTER (rank_ <= left_) AS quota FROM {name}_f GROUP BY {group}, {key}, low_)"""
+
+
+def _seeded_sql(seed: int, *parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def _taken_sql(x: str) -> str:
+    whole = f"least(({x}) // block, n_blocks)"
+    picked = lambda b: f"((({b}) * chosen + phase) // greatest(n_blocks, 1))"
+    part = f"CASE WHEN {whole} < n_blocks THEN ({picked(whole + ' + 1')} - {picked(whole)}) * (({x}) - {whole} * block) ELSE 0 END"
+    return f"({picked(whole)} * block + {part})"
+
+
+#: The query in DuckDB's SQL, with the default parameters.
+ORACLE = rf"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce('s' || source, '') AS source_key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+src AS (SELECT source, source_key, sum(size)::BIGINT AS source_size FROM sizes GROUP BY ALL),
+weighed AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS lim FROM src),
+levels AS (
+  SELECT *, row_number() OVER w AS nth,
+    (sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY lim / weight, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW w AS (ORDER BY lim / weight, source_key)),
+targets AS (
+  SELECT source_key, source_size, lim, least((SELECT arg_min(level, nth) FROM levels WHERE level * weight <= lim) * weight, lim) AS target FROM levels),
+blocked AS (
+  SELECT *, greatest(1, least(64, floor(coalesce((SELECT min(target) FROM targets WHERE target > 0), 0) / 64)))::BIGINT AS block, 0 AS one FROM targets),
+counted AS (SELECT *, ((SELECT sum(source_size) FROM src) // block)::BIGINT AS blocks FROM blocked),
+{_sainte_lague_sql("won", "counted", "one", "source_key", "target", "blocks").strip()},
+sources AS (
+  SELECT source_key, source_size, target, block, least(quota, floor(lim / block)::BIGINT) AS source_quota,
+         greatest(1, ceil(source_size / {1 << 20}))::BIGINT AS shards
+  FROM counted JOIN won USING (source_key)),
+dealt AS (SELECT *, {_seeded_sql(17, "doc_id")} % shards AS shard FROM sizes JOIN sources USING (source_key)),
+shards AS (SELECT source_key, shard, source_quota, block, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL),
+{_sainte_lague_sql("dwon", "shards", "source_key", "shard", "shard_size", "source_quota").strip()},
+quotas AS (SELECT source_key, shard, shard_size, least(quota, (3 * shard_size) // block) AS shard_quota FROM shards JOIN dwon USING (source_key, shard)),
+laid AS (
+  SELECT *, (sum(size) OVER (PARTITION BY source_key, shard ORDER BY {_seeded_sql(18, "doc_id")}, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS e,
+         CASE WHEN shard_size > 0 THEN (shard_quota * block) // shard_size ELSE 0 END AS passes, shard_size // block AS n_blocks
+  FROM dealt JOIN quotas USING (source_key, shard)),
+chose AS (SELECT *, least(round((shard_quota * block - passes * shard_size) / block)::BIGINT, n_blocks) AS chosen,
+                 {_seeded_sql(19, "source_key", "shard")} % greatest(n_blocks, 1) AS phase FROM laid)
+SELECT doc_id, size, source_size, target, source, shard, shard_quota,
+       passes * size + CASE WHEN passes < 3 THEN {_taken_sql("e")} - {_taken_sql("e - size")} ELSE 0 END AS taken
+FROM chose
+"""

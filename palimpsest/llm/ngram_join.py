@@ -376,3 +376,28 @@ def first_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     joined = ngram_jaccard_join(docs, width, percent)
     keep = joined.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+#: The query with four words and 85 percent; equal sets are told by their listed shingles.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(v) = 0 THEN [] WHEN len(v) < 4 THEN [array_to_string(v, ' ')]
+    ELSE list_transform(range(1, len(v) - 2), lambda k: array_to_string(v[k:k + 3], ' ')) END) AS g
+  FROM t),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS same FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 85 * (nx.n + ny.n - o)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY 1),
+degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY 1),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY same) AS class_id, count(*) OVER (PARTITION BY same) AS class_size FROM n)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id,
+       coalesce(c.class_id, d.doc_id) AS class_id, coalesce(c.class_size, 1) AS class_size, coalesce(e.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of m ON m.x = d.doc_id LEFT JOIN degree e ON e.x = d.doc_id
+     LEFT JOIN classes c ON c.doc_id = d.doc_id
+"""

@@ -77,6 +77,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": mixing.ORACLE,
+    "op3_personal_data": pii.ORACLE,
     "op4_decontamination": decontam.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_ngram_jaccard": ngram_join.ORACLE,
 }
