@@ -28,10 +28,11 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 1.0
     l2: float = 1.0
+    intercept: int | None = None  # a feature without the l1 penalty
 
-    def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        shrunk = np.sign(z) * self.l1 - z
-        return np.where(np.abs(z) <= self.l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+    def weights(self, z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
+        shrunk = np.sign(z) * l1 - z
+        return np.where(np.abs(z) <= l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         if self.classes == 1:
@@ -42,18 +43,21 @@ class Ftrl:
     def fit(self, examples: list[Example], epochs: int, start: np.ndarray | None = None) -> np.ndarray:
         n = np.zeros((self.dim, self.classes))
         z = np.zeros((self.dim, self.classes))
+        l1 = np.full((self.dim, 1), self.l1)
+        if self.intercept is not None:
+            l1[self.intercept] = 0.0
         if start is not None:
-            z -= start * (self.beta / self.alpha + self.l2) + np.sign(start) * self.l1
+            z -= start * (self.beta / self.alpha + self.l2) + np.sign(start) * l1
         for _ in range(epochs):
             for features, values, target in examples:
                 zs, ns = z[features], n[features]
-                w = self.weights(zs, ns)
+                w = self.weights(zs, ns, l1[features])
                 error = self.probabilities(values @ w) - target
                 g = values[:, None] * error[None, :]
                 more = ns + g * g
                 z[features] = zs + g - (np.sqrt(more) - np.sqrt(ns)) / self.alpha * w
                 n[features] = more
-        return self.weights(z, n)
+        return self.weights(z, n, l1)
 
 
 def train(

@@ -45,6 +45,8 @@ FIT_ROWS = 16_000
 LEAST_ROWS, LEAST_PART, LEAST_SHARE = 4, 0.01, 0.75
 LEXICON_STEMS = 4_000
 VOTERS = 12
+#: Lasso penalty of the regression, times the root of its rows.
+L1 = 0.11
 
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,15 +69,15 @@ def _stem(word: str) -> int:
     return int(stems(data, offsets)[0][0][0])
 
 
-def _sparse(columns: list[np.ndarray], bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and distinct stems per row of those stems that ``keep`` (a table by stem) wants."""
+def _sparse(columns: list[np.ndarray], bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, distinct stems per row, and log2(1 + occurrences), of stems that ``keep`` (a table by stem) wants."""
     rows, found = [], []
     for at in columns:
         k = np.flatnonzero((at >= 0) & keep[at])
         rows.append(np.searchsorted(bounds, k, "right") - 1)
         found.append(at[k])
-    pairs = np.unique((np.concatenate(rows) << BITS) | np.concatenate(found))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs, n = np.unique((np.concatenate(rows) << BITS) | np.concatenate(found), return_counts=True)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1), np.log2(1 + n)
 
 
 def mine(texts: DataFrame) -> list[tuple[int, int]]:
@@ -97,7 +99,7 @@ def mine(texts: DataFrame) -> list[tuple[int, int]]:
                 columns, bounds = stems(data, offsets[first : last + 1])
                 for k, at in enumerate(columns):
                     kind[at[at >= 0]] = k
-                rows, at = _sparse(columns, bounds, everything)
+                rows, at, _ = _sparse(columns, bounds, everything)
                 for label in (0, 1):
                     n[label] += np.bincount(at[toxic[first + rows] == label], minlength=1 << BITS).astype(np.int32)
         at = np.flatnonzero(n.any(axis=0))
@@ -126,13 +128,19 @@ def votes(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     """For each text the voters that call it toxic, as bits."""
     columns, bounds = stems(data, offsets)
     n, out = len(offsets) - 1, np.zeros(len(offsets) - 1, np.int64)
-    rows, at = _sparse(columns, bounds, table > 0)
+    rows, at, _ = _sparse(columns, bounds, table > 0)
     for bit in range(6):
         out[rows[table[at] >> bit & 1 == 1]] |= 1 << bit
-    hits = np.bincount(rows, minlength=n)
+    # A word may hit by several of its stems; what counts is how many different words hit.
+    hit = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        hit |= (c >= 0) & (table[c] > 0)
+    k = np.flatnonzero(hit)
+    different = np.unique(((np.searchsorted(bounds, k, "right") - 1) << BITS) | columns[0][k]) >> BITS
+    hits = np.bincount(different, minlength=n)
     size = np.maximum(np.diff(bounds), 1)
-    out |= (hits >= 3).astype(np.int64) << 6
-    out |= (hits >= 8).astype(np.int64) << 7
+    out |= (hits >= 2).astype(np.int64) << 6
+    out |= (hits >= 4).astype(np.int64) << 7
     out |= (hits >= np.maximum(1, 0.01 * size)).astype(np.int64) << 8
     text = data[offsets[0] : offsets[-1]]
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets - offsets[0]])
@@ -214,11 +222,11 @@ def _fit_examples(table: np.ndarray, posterior: np.ndarray):
         for first, last in words.slices(offsets):
             q = posterior[votes(table, data, offsets[first : last + 1])]
             columns, bounds = stems(data, offsets[first : last + 1])
-            rows, at = _sparse(columns, bounds, everything)
+            rows, at, values = _sparse(columns, bounds, everything)
             ends = np.searchsorted(rows, np.arange(last - first + 1))
             for row in range(last - first):
                 features = np.append(at[ends[row] : ends[row + 1]], 1 << BITS)  # the last one is the intercept
-                yield features, np.ones(len(features)), q[row : row + 1]
+                yield features, np.append(values[ends[row] : ends[row + 1]], 1.0), q[row : row + 1]
 
     return run
 
@@ -246,8 +254,11 @@ class ToxicityModel:
         model = LabelModel(patterns, counts.astype(float), prior)
         posterior = model.posterior(np.arange(1 << VOTERS))
         sample = hashed_sample(train_docs.where("doc_id IS NOT NULL"), FIT_ROWS, "doc_id").select("text", "ord")
-        learner = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=1.5, l2=1.0)
-        weights = train(stored(sample, "toxicity-sample"), learner, _fit_examples(table, posterior))
+        sample = stored(sample, "toxicity-sample")
+        # What chance adds up to grows as the root of the rows.
+        penalty = L1 * sample.count() ** 0.5
+        learner = Ftrl((1 << BITS) + 1, 1, alpha=0.3, l1=penalty, l2=1.0, intercept=1 << BITS)
+        weights = train(sample, learner, _fit_examples(table, posterior))
         return cls(weights[:, 0].astype(np.float32), model, table)
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -261,8 +272,8 @@ class ToxicityModel:
                 out = np.full(batch.num_rows, float(w[-1]))
                 for first, last in words.slices(offsets):
                     columns, bounds = stems(data, offsets[first : last + 1])
-                    rows, at = _sparse(columns, bounds, w[:-1] != 0)
-                    out[first:last] += np.bincount(rows, w[at].astype(float), last - first)
+                    rows, at, values = _sparse(columns, bounds, w[:-1] != 0)
+                    out[first:last] += np.bincount(rows, w[at] * values, last - first)
                 yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))})
 
         return docs.mapInArrow(run, "doc_id long, score double")
