@@ -70,3 +70,18 @@ def filter_graph(sweep: DataFrame, session: str) -> DataFrame:
         F.concat(F.lit("volume=0:enable='"), joined(F.col("rows")), F.lit("'")).alias("silence"),
         F.when(F.size(tones) > 0, F.concat(F.lit("volume=1:enable='"), joined(tones), F.lit("'"))).alias("tone"),
     )
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
+    """Pairs of one key whose intervals overlap (touching is none).
+
+    ``left``: key, l_start, l_end and more; ``right``: key, r_start, r_end and more. Both are dealt
+    to time buckets of ``width`` and meet by (key, bucket), so that a long session is many small
+    joins; a pair counts in the first bucket that it shares.
+    """
+    deal = lambda df, side: df.withColumn(
+        "_bucket", F.explode(F.sequence(F.floor(F.col(f"{side}_start") / width), F.floor(F.col(f"{side}_end") / width)))
+    )
+    met = deal(left, "l").join(deal(right, "r"), [key, "_bucket"])
+    met = met.where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")))
+    return met.where(F.col("_bucket") == F.floor(F.greatest("l_start", "r_start") / width)).drop("_bucket")
