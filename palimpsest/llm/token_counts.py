@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,8 +129,8 @@ def _trees(path: str):
                 {
                     "doc_id": batch.column(0),
                     "key": batch.column(1),
-                    "chars": pa.array([t.chars for t in built], pa.list_(pa.int64())),
-                    "tokens": pa.array([t.tokens for t in built], pa.list_(pa.int64())),
+                    "chars": pa.array([t.chars for t in built], pa.list_(pa.int32())),
+                    "tokens": pa.array([t.tokens for t in built], pa.list_(pa.int32())),
                 }
             )
 
@@ -144,14 +145,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_trees(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the text), chars, tokens: the trees, to be kept as a table."""
     ship(docs.sparkSession)
-    return _keyed(docs, id_col, text_col).mapInArrow(_trees(path), "doc_id long, key long, chars array<long>, tokens array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(_trees(path), "doc_id long, key long, chars array<int>, tokens array<int>")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, which is what the shuffle then moves."""
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
+        yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "packed": packed})
 
 
 def _recount(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             before, after, again, size = [], [], [], []
-            for text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
+            for packed, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns[1:5]), strict=True):
+                text = expand(packed).decode()
                 tree, encoded, limit = Tree(chars, tokens), 0, len(text)
                 before.append(int(tree.tokens[1]))
                 for e in sorted(edits or [], key=lambda e: (e["first"], e["last"], e["replacement"] or ""), reverse=True):
@@ -179,8 +190,9 @@ def recount(
     # Rows that repeat an id and a text have one tree. Trees meet edits first, so that texts are shuffled once.
     trees = trees.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "chars", "tokens").dropDuplicates(["_id", "_key"])
     trees = trees.join(per, F.col("_id") == F.col("_edited"), "left")
-    met = _keyed(docs, id_col, text_col).join(trees, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
-    return met.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(
+    texts = _keyed(docs, id_col, text_col).mapInArrow(_pack, "doc_id long, key long, packed binary")
+    met = texts.join(trees, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return met.select("doc_id", "packed", "chars", "tokens", "edits").mapInArrow(
         _recount(path), "doc_id long, tokens_before long, tokens_after long, chars_after long, chars_encoded long"
     )
 
