@@ -14,8 +14,13 @@ DETECTORS = (
 )
 
 
-def _no_longer(matches: Column, most: int) -> Column:
-    return F.filter(matches, lambda m: F.length(m) <= most)
+#: What a match cannot do without, where looking for it is much cheaper than the pattern.
+NEEDS = {"email": "@"}
+
+
+def _matches(kind: str, pattern: str, most: int) -> Column:
+    found = F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.length(m) <= most)
+    return F.when(F.col("text").contains(NEEDS[kind]), found) if kind in NEEDS else found
 
 
 def detect(lines: DataFrame) -> DataFrame:
@@ -26,7 +31,7 @@ def detect(lines: DataFrame) -> DataFrame:
                 F.lit(rank).alias("rank"),
                 F.lit(kind).alias("entity_type"),
                 F.lit(confidence).alias("confidence"),
-                _no_longer(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), most).alias("matches"),
+                _matches(kind, pattern, most).alias("matches"),
             )
             for rank, (kind, pattern, most, confidence) in enumerate(DETECTORS)
         ]

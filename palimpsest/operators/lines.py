@@ -10,7 +10,9 @@ from palimpsest.functions import text as X
 
 def source_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, line_id, text of all lines that are not blank; blank ones keep their number."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(X.split_lines(F.col(text_col))).alias("pos", "text"))
+    # One split; the empty piece after a line end at the end of a text is blank and goes with the others.
+    pieces = F.split(F.coalesce(F.col(text_col), F.lit("")), X.LINE_END, -1)
+    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(pieces).alias("pos", "text"))
     return each.where(~X.is_blank(F.col("text"))).select(
         "doc_id", (F.col("pos") + 1).alias("line_no"), F.concat(F.lit("t"), F.col("pos") + 1).alias("line_id"), "text"
     )
@@ -51,28 +53,28 @@ def greedy_batches(costs: Column, limit: int) -> Column:
     return F.aggregate(costs, start, step, lambda a: a["out"])
 
 
-def text_batches(docs: DataFrame, limit: int) -> DataFrame:
-    """doc_id, batch, first_line, last_line, n_lines, cost; a line above the limit fails its whole
-    document, which then has one row with batch 0."""
-    lines = F.transform(X.split_lines(F.col("text")), lambda x, k: F.struct((k + 1).alias("no"), x.alias("text")))
-    kept = F.filter(lines, lambda s: ~X.is_blank(s["text"]))
-    cost = lambda s: (F.octet_length(s["text"]) + 1).cast("long")
-    sized = docs.select("doc_id", F.transform(kept, lambda s: F.struct(s["no"].alias("no"), cost(s).alias("cost"))).alias("lines"))
+def batches(lines: DataFrame, limit: int, source: str = "doc_id") -> DataFrame:
+    """source, batch, first_line, last_line, n_lines, cost over rows (source, line_no, cost).
+
+    A line above the limit fails its whole source, which then has one row with batch 0. Only numbers
+    are shuffled; a source's costs are one array.
+    """
+    row = F.struct(F.col("line_no").alias("no"), F.col("cost").cast("long").alias("cost"))
+    per = lines.groupBy(source).agg(F.array_sort(F.collect_list(row)).alias("lines"), (F.max("cost") > limit).alias("failed"))
     costs = F.transform("lines", lambda s: s["cost"])
-    sized = sized.withColumn("failed", F.coalesce(F.array_max(costs) > limit, F.lit(False)))
-    good = sized.where("NOT failed").select("doc_id", F.explode(F.arrays_zip("lines", greedy_batches(costs, limit).alias("batch"))).alias("z"))
-    good = good.groupBy("doc_id", F.col("z.batch").cast("int").alias("batch")).agg(
+    numbers = F.when(F.col("failed"), F.transform("lines", lambda s: F.lit(0))).otherwise(greedy_batches(costs, limit))
+    each = per.select(source, "failed", F.explode(F.arrays_zip("lines", numbers.alias("batch"))).alias("z"))
+    out = each.groupBy(source, "failed", F.col("z.batch").alias("batch")).agg(
         F.min("z.lines.no").cast("long").alias("first_line"),
         F.max("z.lines.no").cast("long").alias("last_line"),
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum("z.lines.cost").alias("cost"),
-    )
-    bad = sized.where("failed").select(
-        "doc_id",
-        F.lit(0).alias("batch"),
-        F.array_min(F.transform("lines", lambda s: s["no"])).cast("long").alias("first_line"),
-        F.array_max(F.transform("lines", lambda s: s["no"])).cast("long").alias("last_line"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.array_max(costs).alias("cost"),
+        F.sum("z.lines.cost").alias("_sum"),
+        F.max("z.lines.cost").alias("_most"),
     )
-    return good.unionByName(bad)
+    cost = F.when(F.col("failed"), F.col("_most")).otherwise(F.col("_sum")).alias("cost")
+    return out.select(source, "batch", "first_line", "last_line", "n_lines", cost)
+
+
+def text_batches(docs: DataFrame, limit: int) -> DataFrame:
+    """Batches of a text's lines; a line costs its bytes and one more."""
+    return batches(source_lines(docs).select("doc_id", "line_no", (F.octet_length("text") + 1).alias("cost")), limit)

@@ -28,7 +28,7 @@ _BLOCKS = (
 
 def _blocks(spark, d):
     docs = table(spark, d, "documents").withColumn("sha", F.sha2("text", 256))
-    each = docs.select("doc_id", "sha", F.posexplode(X.split_lines(F.col("text"))).alias("pos", "text")).where(~X.is_blank(F.col("text")))
+    each = docs.select("doc_id", "sha", F.posexplode(F.split("text", X.LINE_END, -1)).alias("pos", "text")).where(~X.is_blank(F.col("text")))
     path = F.concat(F.lit("document[0]/body[0]/p["), F.col("pos"), F.lit("]"))
     ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     return each.select(
@@ -44,18 +44,8 @@ def docx_blocks(spark, d):
 @query(_BATCHES.format(extra="98"))
 def docx_batches(spark, d):
     """Block batches: a block costs its text, its id and an overhead."""
-    costs = F.transform("lines", lambda s: s["cost"])
     size = F.octet_length("text") + F.octet_length("block_id") + K.BLOCK_OVERHEAD
-    row = F.struct(F.col("line_no").alias("no"), size.cast("long").alias("cost"))
-    per = _blocks(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("lines"))
-    failed = F.array_max(costs) > BATCH_LIMIT
-    good = per.where(~failed).select("doc_id", F.explode(F.arrays_zip("lines", L.greedy_batches(costs, BATCH_LIMIT).alias("batch"))).alias("z"))
-    aggs = lambda no, cost: (
-        F.min(no).cast("long").alias("first_line"), F.max(no).cast("long").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), cost.alias("cost")
-    )
-    good = good.groupBy("doc_id", F.col("z.batch").cast("int").alias("batch")).agg(*aggs("z.lines.no", F.sum("z.lines.cost")))
-    bad = per.where(failed).select("doc_id", F.lit(0).alias("batch"), F.explode("lines").alias("s"))
-    return good.unionByName(bad.groupBy("doc_id", "batch").agg(*aggs("s.no", F.max("s.cost"))))
+    return L.batches(_blocks(spark, d).select("doc_id", "line_no", size.alias("cost")), BATCH_LIMIT)
 
 
 @query(
