@@ -88,31 +88,35 @@ class _Partition:
         return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(left, right, strict=True)]))
 
 
+def _matches(partitions, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, its shingles, those shared) of every item that a text contains."""
+    by_width: dict[int, list[_Partition]] = {}
+    for (w, _), p in partitions.items():
+        by_width.setdefault(w, []).append(p)
+    data, offsets = words.string_column(texts)
+    for first, last in words.slices(offsets):
+        own, bounds = words.word_hashes(data, offsets[first : last + 1])
+        for w, group in by_width.items():
+            hashes, at = words.shingle_hashes(own, bounds, w)
+            for p in group:
+                hits = p.hits(hashes)
+                rows = np.searchsorted(at, hits, "right") - 1
+                for row in np.unique(rows):
+                    if bounds[row + 1] - bounds[row] < w:
+                        continue
+                    text = np.unique(hashes[at[row] : at[row + 1]])
+                    for k in p.candidates(np.unique(hashes[hits[rows == row]])):
+                        n = len(p.sets[k])
+                        shared = len(np.intersect1d(p.sets[k], text, assume_unique=True))
+                        if shared * 100 >= percent * n:
+                            yield int(first + row), p.ids[k], n, shared
+
+
 def _search(partitions, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_width: dict[int, list[_Partition]] = {}
-        for (w, _), p in partitions.value.items():
-            by_width.setdefault(w, []).append(p)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            data, offsets = words.string_column(batch.column(1))
-            out = []
-            for first, last in words.slices(offsets):
-                own, bounds = words.word_hashes(data, offsets[first : last + 1])
-                for w, group in by_width.items():
-                    hashes, at = words.shingle_hashes(own, bounds, w)
-                    for p in group:
-                        hits = p.hits(hashes)
-                        rows = np.searchsorted(at, hits, "right") - 1
-                        for row in np.unique(rows):
-                            if bounds[row + 1] - bounds[row] < w:
-                                continue
-                            text = np.unique(hashes[at[row] : at[row + 1]])
-                            for k in p.candidates(np.unique(hashes[hits[rows == row]])):
-                                n = len(p.sets[k])
-                                shared = len(np.intersect1d(p.sets[k], text, assume_unique=True))
-                                if shared * 100 >= percent * n:
-                                    out.append((ids[first + row], p.ids[k], n, shared))
+            out = [(ids[row], *match) for row, *match in _matches(partitions.value, batch.column(1), percent)]
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             names = ("doc_id", "item_id", "n_item", "n_shared")
             yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip(names, columns, strict=True)})
@@ -120,6 +124,29 @@ def _search(partitions, percent: int):
     return run
 
 
+def _clean(partitions, percent: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in _matches(partitions.value, batch.column(text_at), percent)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(items: DataFrame, width: int, percent: int, least_sketch: int, id_col: str, text_col: str) -> Iterator[dict]:
+    """The items' partitions, a block of at most BLOCK_SHINGLES or so at a time."""
+    sets = stored(item_sets(items, width, id_col, text_col), "items")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // BLOCK_SHINGLES)
+    for block in range(blocks):
+        by_partition: dict[tuple[int, int], list] = {}
+        for row in sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toLocalIterator():
+            by_partition.setdefault((row.width, row.n.bit_length()), []).append(row)
+        if by_partition:
+            yield {k: _Partition(rows, percent, least_sketch) for k, rows in by_partition.items()}
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -134,28 +161,33 @@ def contained_items(
     """Return doc_id, item_id, n_item, n_shared, containment for every item that a document contains
     to ``percent`` or more of its shingles."""
     ship(docs.sparkSession)
-    spark = docs.sparkSession
-    sets = stored(item_sets(items, width, item_id_col, item_text_col), "items")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // BLOCK_SHINGLES)
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_item long, n_shared long"
-    found = [spark.createDataFrame([], schema)]
-    for block in range(blocks):
-        by_partition: dict[tuple[int, int], list] = {}
-        for row in sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toLocalIterator():
-            by_partition.setdefault((row.width, row.n.bit_length()), []).append(row)
-        partitions = {k: _Partition(rows, percent, least_sketch) for k, rows in by_partition.items()}
-        if partitions:
-            found.append(texts.mapInArrow(_search(spark.sparkContext.broadcast(partitions), percent), schema))
-    matches = reduce(DataFrame.unionByName, found[1:] or found)
+    found = [
+        texts.mapInArrow(_search(context.broadcast(block), percent), schema)
+        for block in _blocks(items, width, percent, least_sketch, item_id_col, item_text_col)
+    ]
+    matches = reduce(DataFrame.unionByName, found or [docs.sparkSession.createDataFrame([], schema)])
     return matches.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no test item, all columns as they were."""
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    width: int = 5,
+    percent: int = 80,
+    least_sketch: int = 8,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The documents that contain no test item, all columns as they were; nothing is shuffled."""
+    ship(docs.sparkSession)
+    at, kept = docs.columns.index(text_col), docs
+    for block in _blocks(items, width, percent, least_sketch, item_id_col, item_text_col):
+        kept = kept.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), percent, at), docs.schema)
+    return kept
 
 
 ORACLE = r"""

@@ -45,6 +45,7 @@ FIT_ROWS = 16_000
 LEAST_ROWS, LEAST_PART, LEAST_SHARE = 4, 0.01, 0.75
 LEXICON_STEMS = 4_000
 VOTERS = 12
+THRESHOLD = 0.5
 #: Lasso penalty of the regression, times the root of its rows.
 L1 = 0.11
 
@@ -231,6 +232,16 @@ def _fit_examples(table: np.ndarray, posterior: np.ndarray):
     return run
 
 
+def _scores(w: np.ndarray, texts: pa.Array) -> np.ndarray:
+    data, offsets = words.string_column(texts)
+    out = np.full(len(texts), float(w[-1]))
+    for first, last in words.slices(offsets):
+        columns, bounds = stems(data, offsets[first : last + 1])
+        rows, at, values = _sparse(columns, bounds, w[:-1] != 0)
+        out[first:last] += np.bincount(rows, w[at] * values, last - first)
+    return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+
 class ToxicityModel:
     def __init__(self, weights: np.ndarray, label_model: LabelModel, table: np.ndarray):
         self.weights, self.label_model, self.table = weights, label_model, table
@@ -266,34 +277,44 @@ class ToxicityModel:
         shared = docs.sparkSession.sparkContext.broadcast(self.weights)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = shared.value
             for batch in batches:
-                data, offsets = words.string_column(batch.column(1))
-                out = np.full(batch.num_rows, float(w[-1]))
-                for first, last in words.slices(offsets):
-                    columns, bounds = stems(data, offsets[first : last + 1])
-                    rows, at, values = _sparse(columns, bounds, w[:-1] != 0)
-                    out[first:last] += np.bincount(rows, w[at] * values, last - first)
-                yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))})
+                yield pa.record_batch({"doc_id": batch.column(0), "score": pa.array(_scores(shared.value, batch.column(1)))})
 
         return docs.mapInArrow(run, "doc_id long, score double")
 
+    def keep(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """The rows that are not predicted toxic, all columns as they were; nothing is shuffled."""
+        shared = docs.sparkSession.sparkContext.broadcast(self.weights)
+        at = docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < THRESHOLD))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def fit_outside_fold(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> ToxicityModel:
+    """A model that has not seen the labels, nor fitted the documents, of one fold of crc32(doc_id)."""
+    ship(docs.sparkSession)
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ToxicityModel.fit(some, some.where(fold != held_out_fold), labels.where(fold != held_out_fold))
+
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of the held-out fold of crc32(doc_id) are not read."""
-    ship(docs.sparkSession)
+    model = fit_outside_fold(docs, labels, folds, held_out_fold)
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = ToxicityModel.fit(some, some.where(fold != held_out_fold), labels.where(fold != held_out_fold))
     return model.score(some).select(
         "doc_id",
         (fold == held_out_fold).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, all columns as they were."""
-    bad = score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return fit_outside_fold(docs, labels).keep(docs)
