@@ -29,9 +29,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 _shipped: set[str] = set()
 
 
+#: Spark's default and ours: a batch of texts in a Python worker holds a tenth of the usual rows.
+_BATCH_ROWS, _TEXT_BATCH_ROWS = "10000", "1000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers of every executor, once per application."""
+    """Give this package to the Python workers of every executor, once per application.
+
+    Texts may be long, so Arrow batches are made shorter, unless the session has a size of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, _TEXT_BATCH_ROWS)
     home = Path(__file__).resolve().parent
     if context.applicationId in _shipped or not home.is_dir():
         return
