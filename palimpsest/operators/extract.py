@@ -118,7 +118,7 @@ def clamp_region(x: Column, y: Column, width: Column, height: Column) -> Column:
 
 def pixel_box(region: Column, width: Column, height: Column) -> Column:
     """Pixels of a region, rounded half even and cut to the image; null if empty."""
-    edge = lambda v, size: F.least(F.greatest(F.bround(v * size, 0).cast("long"), F.lit(0)), size)
+    edge = lambda v, size: F.least(F.greatest(F.rint(v * size).cast("long"), F.lit(0)), size)
     left, top = edge(region["x"], width), edge(region["y"], height)
     right, bottom = edge(region["x"] + region["width"], width), edge(region["y"] + region["height"], height)
     box = F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))

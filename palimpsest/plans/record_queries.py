@@ -354,20 +354,23 @@ _REGION = """r AS (SELECT l_orderkey, l_linenumber, round(l_discount * 11, 4) AS
 
 
 def _regions(spark, d):
+    """x, y, width, height per row. Generating them, rather than projecting, keeps the optimizer from
+    repeating their expressions wherever a column is used."""
+    region = E.clamp_region(
+        F.round(F.col("l_discount") * 11, 4),
+        F.round(F.col("l_tax") * 12, 4),
+        F.round(F.col("l_quantity") / 40, 4),
+        F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("l_quantity") / 60, 4)),
+    )
     rows = table(spark, d, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        E.clamp_region(
-            F.round(F.col("l_discount") * 11, 4),
-            F.round(F.col("l_tax") * 12, 4),
-            F.round(F.col("l_quantity") / 40, 4),
-            F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("l_quantity") / 60, 4)),
-        ).alias("region"),
         (F.col("l_quantity") * 17 - 200).alias("turn"),
         (100 + F.col("l_partkey") % 900).alias("iw"),
         (80 + F.col("l_suppkey") * 7).alias("ih"),
+        F.inline(F.array(region)),
     )
-    return rows.where("region IS NOT NULL")
+    return rows.where("x IS NOT NULL")
 
 
 @query(
@@ -375,7 +378,7 @@ def _regions(spark, d):
       (turn + 180) - 360 * floor((turn + 180) / 360) - 180 AS rotation FROM g WHERE w > 0 AND h > 0"""
 )
 def region_clamp(spark, d):
-    side = [F.round(f"region.{c}", 6).alias(c) for c in ("x", "y", "width", "height")]
+    side = [F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")]
     return _regions(spark, d).select("l_orderkey", "l_linenumber", *side, X.normalise_rotation(F.col("turn")).alias("rotation"))
 
 
@@ -387,8 +390,9 @@ def region_clamp(spark, d):
       SELECT l_orderkey, l_linenumber, box_left, box_top, box_right, box_bottom, greatest(1, iw // 12) AS small_width FROM b WHERE box_right > box_left AND box_bottom > box_top"""
 )
 def pixel_boxes(spark, d):
-    rows = _regions(spark, d).withColumn("b", E.pixel_box(F.col("region"), F.col("iw"), F.col("ih"))).where("b IS NOT NULL")
-    edges = [F.col(f"b.{c}").alias(f"box_{c}") for c in ("left", "top", "right", "bottom")]
+    box = E.pixel_box(F.struct("x", "y", "width", "height"), F.col("iw"), F.col("ih"))
+    rows = _regions(spark, d).select("l_orderkey", "l_linenumber", "iw", F.inline(F.array(box))).where("`left` IS NOT NULL")
+    edges = [F.col(f"`{c}`").alias(f"box_{c}") for c in ("left", "top", "right", "bottom")]
     return rows.select("l_orderkey", "l_linenumber", *edges, F.greatest(F.lit(1).cast("long"), F.expr("iw div 12")).alias("small_width"))
 
 
