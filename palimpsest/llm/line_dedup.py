@@ -4,15 +4,16 @@
    cut at words that their hashes pick, the same ones wherever the sentence occurs. Pieces of fewer
    than ``least_line_words`` words are too common to tell documents apart and go with the next piece.
    A line is such a unit of words; its hash ignores white space and the case of A-Z.
-2. Line hashes are sorted by (hash, document, position) over all tasks, by range, so that no line has
-   to fit in one task. Each line that several documents hold is owned by the first of them. A
-   document overlaps with the owners of its lines: one row for each line of a document, so a line in
-   a third of all documents makes a row a document, not all pairs, and no partner is left out.
-3. Each (document, owner) pair is aligned by patience diff: lines that are unique in both anchor the
-   alignment, and the longest increasing run of them is kept. Where a pair has no line unique in
-   both, the first occurrences stand in. Repeated lines that the owner holds too extend a block.
-4. Aligned blocks of at least ``least_block_words`` words go from the later document, that with the
-   greater id.
+2. A passage begins at each line and takes as many lines as make ``least_block_words`` words. Any
+   block of so many words that two documents have in common consists of passages that both hold.
+   Passage hashes are sorted by (hash, document, position) over all tasks, by range, so that no
+   passage has to fit in one task. Each passage that several documents hold is owned by the first of
+   them: one row for each passage of a document, so a passage in a third of all documents makes a row
+   a document, not all pairs. Lines that are frequent on their own tie no documents and cut no block.
+3. Each (document, owner) pair is aligned by patience diff: passages that are unique in both anchor
+   the alignment, and the longest increasing run of them is kept. Where a pair has no passage unique
+   in both, the first occurrences stand in.
+4. The lines of aligned passages go from the later document, that with the greater id.
 
 Texts are shuffled once, by document. Defined cases: a null or empty text stays as it is; of rows
 that repeat an id, equal texts are one document and different ones are ordered by their hash; a null
@@ -71,21 +72,38 @@ class Units:
         self.bounds, self.text_starts = np.searchsorted(firsts, bounds), at
 
 
-def _lines(least_words: int):
-    """mapInArrow function over (id, row, text): hash, id, row and position of every line."""
+def passages(u: Units, least_line_words: int, least_block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of lines of at least ``least_block_words`` words, the shortest from each line on: their
+    first lines, the lines after them, and hashes."""
+    n = len(u.hashes)
+    total = np.concatenate([[0], np.cumsum(u.n_words)])
+    sizes = np.diff(u.bounds)
+    limit = u.bounds[1:].copy()
+    full = np.flatnonzero(sizes)
+    limit[full] -= u.n_words[limit[full] - 1] < least_line_words  # a text's last line may be too short
+    end = np.searchsorted(total, total[:-1] + least_block_words)
+    first = np.flatnonzero(end <= np.repeat(limit, sizes))
+    end = end[first]
+    forth, back = words.powers(n + 1)
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(u.hashes.view(np.uint64) * forth[:n])])
+        hashes = words.mix((run[end] - run[first]) * back[first])
+    return first, end, hashes.view(np.int64)
+
+
+def _passages(least_line_words: int, least_block_words: int):
+    """mapInArrow function over (id, row, text): hash, id, row and position of every passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = words.string_column(batch.column(2))
             for first, last in words.slices(offsets):
-                u = Units(data, offsets[first : last + 1], least_words)
-                owner = np.repeat(np.arange(first, last), np.diff(u.bounds))
-                pos = np.arange(len(u.hashes)) - u.bounds[owner - first]
-                k = np.flatnonzero(u.n_words >= least_words)
-                yield pa.record_batch(
-                    {"h": pa.array(u.hashes[k]), "id": pa.array(ids[owner[k]]), "row": pa.array(rows[owner[k]]), "pos": pa.array(pos[k].astype(np.int32))}
-                )
+                u = Units(data, offsets[first : last + 1], least_line_words)
+                k, _, hashes = passages(u, least_line_words, least_block_words)
+                owner = np.repeat(np.arange(first, last), np.diff(u.bounds))[k]
+                pos = (k - u.bounds[owner - first]).astype(np.int32)
+                yield pa.record_batch({"h": pa.array(hashes), "id": pa.array(ids[owner]), "row": pa.array(rows[owner]), "pos": pa.array(pos)})
 
     return run
 
@@ -94,11 +112,11 @@ _SHARED = "kind int, h long, id long, row long, pos int, o_id long, o_row long,
 
 
 def _owners() -> object:
-    """mapInArrow function over lines sorted by (h, id, row, pos): every line but its owner's own,
+    """mapInArrow function over passages sorted by (h, id, row, pos): every one but its owner's own,
     with the owner (kind 1).
 
-    The first list of a task may have begun before it: its lines are returned without an owner (kind
-    2), and the first line of the first and of the last list as a possible owner (kind 0).
+    The first list of a task may have begun before it: its passages are returned without an owner
+    (kind 2), and the first of the first and of the last list as a possible owner (kind 0).
     """
 
     def rows(kind, k, h, i, r, p, o) -> pa.RecordBatch:
@@ -163,52 +181,32 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(once: list[bool], entries: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
-    """Blocks [start, end) of a document's lines that are aligned with one owner.
+def aligned(once: dict[int, bool], entries: list[tuple[int, int, bool]]) -> list[int]:
+    """Positions of a document's passages that are aligned with one owner.
 
-    ``once``: which lines are unique in the document; ``entries``: (pos, owner's pos, unique in the
+    ``once``: which passages are unique in the document; ``entries``: (pos, owner's pos, unique in the
     owner), by pos.
     """
     anchors = [e for e in entries if e[2] and once[e[0]]]
     if not anchors:
         seen: set[int] = set()
         anchors = [e for e in entries if not (e[1] in seen or seen.add(e[1]))]
-    blocks: list[tuple[int, int]] = []
-    other = -2
-    for k in increasing([e[1] for e in anchors]):
-        pos, o_pos, _ = anchors[k]
-        if blocks and blocks[-1][1] == pos and other + 1 == o_pos:
-            blocks[-1] = (blocks[-1][0], pos + 1)
-        else:
-            blocks.append((pos, pos + 1))
-        other = o_pos
-    # Repeated lines cannot anchor, but next to a block they are the owner's too.
-    free = {e[0] for e in entries if not (e[2] and once[e[0]])} - {p for a, b in blocks for p in range(a, b)}
-    out: list[tuple[int, int]] = []
-    for start, end in blocks:
-        while start - 1 in free and not (out and out[-1][1] == start):
-            start -= 1
-        while end in free:
-            end += 1
-        if out and out[-1][1] == start:
-            start = out.pop()[0]
-        out.append((start, end))
-    return out
+    return [anchors[k][0] for k in increasing([e[1] for e in anchors])]
 
 
 def _cut(text: bytes, entries: list, least_line_words: int, least_block_words: int) -> tuple[bytes, int]:
     u = Units(np.frombuffer(text, np.uint8), np.array([0, len(text)]), least_line_words)
-    _, back, counts = np.unique(u.hashes, return_inverse=True, return_counts=True)
-    once = (counts[back] == 1).tolist()
+    first, end, hashes = passages(u, least_line_words, least_block_words)
+    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    once = dict(zip(first.tolist(), (counts[back] == 1).tolist(), strict=True))
+    ends = dict(zip(first.tolist(), end.tolist(), strict=True))
     by_owner: dict[tuple[int, int], dict] = {}
     for e in entries:
         by_owner.setdefault((e["o_id"], e["o_row"]), {})[e["pos"]] = (e["pos"], e["o_pos"], e["o_once"])
-    total = np.concatenate([[0], np.cumsum(u.n_words)])
     gone = np.zeros(len(u.hashes), bool)
     for owner in sorted(by_owner):
-        for start, end in common_blocks(once, [e for _, e in sorted(by_owner[owner].items())]):
-            if total[end] - total[start] >= least_block_words:
-                gone[start:end] = True
+        for pos in aligned(once, [e for _, e in sorted(by_owner[owner].items())]):
+            gone[pos : ends[pos]] = True
     if not gone.any():
         return text, 0
     edges = [0, *u.starts[1:].tolist(), len(text)]  # what precedes the first word goes with it
@@ -259,10 +257,11 @@ def line_dedup(
     row = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_row")
     keyed = docs.select(*plain, key, row)
 
-    lines = docs.select(key, row, F.col(f"`{text_col}`").cast("string").alias("text"))
-    lines = stored(lines.mapInArrow(_lines(least_line_words), "h long, id long, row long, pos int"), "line-hashes")
+    texts = docs.select(key, row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = texts.mapInArrow(_passages(least_line_words, least_block_words), "h long, id long, row long, pos int")
+    found = stored(found, "passage-hashes")
     order = ("h", "id", "row", "pos")
-    shared = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_owners(), _SHARED), "shared-lines")
+    shared = stored(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_owners(), _SHARED), "shared-passages")
     # At most two possible owners a task: a bound for the broadcast.
     border = shared.where("kind = 0").groupBy("h").agg(F.min(F.struct("id", "row", "pos", "o_once")).alias("o"))
     unsure = shared.where("kind = 2").select("h", "id", "row", "pos").join(F.broadcast(border), "h")

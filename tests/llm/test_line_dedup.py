@@ -133,3 +133,16 @@ def test_odd_rows_and_columns(spark):
     assert got[4].doc_id is None and len(got[4].text) < len(text)
     assert ld.line_dedup(docs.limit(0)).count() == 0
     assert ld.line_dedup(docs).columns == ["doc_id", "text", "h", "removed_words"]
+
+
+def test_lines_seen_elsewhere_do_not_cut_a_passage(spark):
+    rng = random.Random(8)
+    for size, n in ((12, 5), (10, 5), (7, 8)):  # 60, 50 and 56 words
+        passage = [sentence(rng, size) for _ in range(n)]
+        own = {d: sentence(rng, 15) for d in range(1, 40)}
+        rows = [(d, own[d] + "\n" + passage[d % n]) for d in range(1, 30)]  # each line is frequent, and owned by another
+        rows += [(d, "\n".join([own[d], *passage])) for d in range(30, 40)]
+        got = run(spark, rows)
+        assert {d: got[d].text for d in range(1, 31)} == dict(rows[:30])
+        for d in range(31, 40):
+            assert got[d].text.split() == own[d].split() and got[d].removed_words == size * n
