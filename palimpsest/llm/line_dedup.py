@@ -12,7 +12,9 @@
    a document, not all pairs. Lines that are frequent on their own tie no documents and cut no block.
 3. Each (document, owner) pair is aligned by patience diff: passages that are unique in both anchor
    the alignment, and the longest increasing run of them is kept. Where a pair has no passage unique
-   in both, the first occurrences stand in.
+   in both, the first occurrences stand in. What the run leaves out, passages in another order or
+   repeated in the document, is aligned with the owner's first occurrences, one by one, until no
+   passage that the owner holds is left.
 4. The lines of aligned passages go from the later document, that with the greater id.
 
 Texts are shuffled once, by document. Defined cases: a null or empty text stays as it is; of rows
@@ -182,7 +184,8 @@ def increasing(values: list[int]) -> list[int]:
 
 
 def aligned(once: dict[int, bool], entries: list[tuple[int, int, bool]]) -> list[int]:
-    """Positions of a document's passages that are aligned with one owner.
+    """Positions of a document's passages that are aligned with one owner: a longest increasing run,
+    and then those left over, each on its own.
 
     ``once``: which passages are unique in the document; ``entries``: (pos, owner's pos, unique in the
     owner), by pos.
@@ -191,7 +194,9 @@ def aligned(once: dict[int, bool], entries: list[tuple[int, int, bool]]) -> list
     if not anchors:
         seen: set[int] = set()
         anchors = [e for e in entries if not (e[1] in seen or seen.add(e[1]))]
-    return [anchors[k][0] for k in increasing([e[1] for e in anchors])]
+    run = [anchors[k][0] for k in increasing([e[1] for e in anchors])]
+    kept = set(run)
+    return run + [e[0] for e in entries if e[0] not in kept]
 
 
 def _cut(text: bytes, entries: list, least_line_words: int, least_block_words: int) -> tuple[bytes, int]:

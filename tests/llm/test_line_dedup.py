@@ -146,3 +146,15 @@ def test_lines_seen_elsewhere_do_not_cut_a_passage(spark):
         assert {d: got[d].text for d in range(1, 31)} == dict(rows[:30])
         for d in range(31, 40):
             assert got[d].text.split() == own[d].split() and got[d].removed_words == size * n
+
+
+def test_reordered_and_repeated_passages_go(spark):
+    rng = random.Random(9)
+    p, q = ([sentence(rng, 12) for _ in range(5)] for _ in range(2))
+    other, own = sentence(rng, 30), [sentence(rng, 15) for _ in range(7)]
+    rows = [(1, [*p, own[0], *q, other]), (2, [*q, own[1], *p]), (3, [own[2], *p, own[3], *p, own[4]]), (4, [*p, own[5], other, own[6], *p])]
+    got = run(spark, [(d, "\n".join(lines)) for d, lines in rows])
+    assert got[1].removed_words == 0
+    assert [got[d].removed_words for d in (2, 3, 4)] == [120, 120, 150]
+    for d, kept in ((2, own[1:2]), (3, own[2:5]), (4, own[5:])):
+        assert got[d].text.split() == " ".join(kept).split()
