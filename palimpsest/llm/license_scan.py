@@ -1,12 +1,17 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison.
 
-Paragraphs are lines. The classifier is a sparse multinomial logistic regression (elastic net) on
+Paragraphs reach to the next line without a word. Their lines are scored one by one, as may be whole
+pages; where a paragraph has several lines, so are overlapping windows over its joined words, of
+twice the words of the longest template, so that a notice wrapped anywhere lies whole in one of them.
+The classifier is a sparse multinomial logistic regression (elastic net) on
 word n-grams of the licence templates, one to three words long. It is trained on bounded, generated
 data: templates with words left out, between words of sampled paragraphs of the corpus, against
 sampled paragraphs themselves. A second such sample calibrates the unknown class: a paragraph that
 is no plain text, but whose best family is less probable than nearly all calibration templates were
 under their own family, is of an unknown licence. A prediction counts as confirmed if the paragraph
-holds enough of the word pairs of one of the family's templates.
+holds enough of the word pairs of one of the family's templates. Windows only count if they are
+confirmed, once a paragraph and family, and only where no line of the paragraph is confirmed by
+itself; lines of that family are then pieces of the notice and not counted as unconfirmed ones.
 
 Everything runs as DataFrame functions and JVM transformers: no Python on the executors. Paragraphs
 without any cue word (a template word that no sampled plain paragraph holds) are plain text and are
@@ -92,6 +97,8 @@ CONFIRM = 0.6
 #: Share of calibration templates that the unknown class may take.
 DOUBT = 0.02
 WORD = r"[\p{L}\p{N}]+"
+#: Between paragraphs: one or more lines without a word.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 
 
 def _words(text: Column) -> Column:
@@ -168,14 +175,16 @@ class LicenseModel:
         return cls(vectors, classifier, names, cues, least or 0.5)
 
     def findings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per licence paragraph: doc_id, key, line_no, family, score, confirmed, overlap."""
+        """One row per line or window of a licence: doc_id, key, block (number of the paragraph), window,
+        line_no (number in the paragraph), family, score, confirmed, overlap."""
         text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-        lines = docs.select(
-            F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
-        )
-        worded = lines.withColumn("words", _words(F.col("line"))).where(
-            F.arrays_overlap("words", F.array(*[F.lit(w) for w in self.cues]))
+        blocks = docs.select(
+            F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, BLANK)).alias("block", "paragraph")
         )
+        cues = F.array(*[F.lit(w) for w in self.cues])
+        blocks = blocks.withColumn("joined", _words(F.col("paragraph"))).where(F.arrays_overlap("joined", cues))
+        parts = blocks.select("doc_id", "key", "block", F.inline(_parts(F.split("paragraph", "\n"), F.col("joined"))))
+        worded = parts.where(F.arrays_overlap("words", cues))
         scored = self.classifier.transform(self.vectors.transform(worded.withColumn("grams", _grams(F.col("words")))))
         scored = scored.withColumn("p", vector_to_array("probability")).where("prediction > 0")
         names = F.array(*[F.lit(x) for x in self.names])
@@ -192,6 +201,8 @@ class LicenseModel:
         return scored.select(
             "doc_id",
             "key",
+            "block",
+            "window",
             "line_no",
             F.when(score >= self.least, best).otherwise(UNKNOWN).alias("family"),
             score.alias("score"),
@@ -200,22 +211,40 @@ class LicenseModel:
         )
 
 
-def _pairs(text: str) -> set[str]:
+def _parts(lines: Column, joined: Column) -> Column:
+    """window, line_no, words of each line, and of the windows over the words of several lines."""
+    step = max(len(_word_list(t)) for texts in TEMPLATES.values() for t in texts)
+    part = lambda window, k, words: F.struct(F.lit(window).alias("window"), k.alias("line_no"), words.alias("words"))
+    single = F.transform(lines, lambda line, k: part(False, k, _words(line)))
+    last = F.greatest(F.ceil(F.size(joined) / step).cast("int") - 2, F.lit(0))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda k: part(True, k, F.slice(joined, k * step + 1, 2 * step)))
+    return F.when(F.size(lines) > 1, F.concat(single, windows)).otherwise(single)
+
+
+def _word_list(text: str) -> list[str]:
     import re
 
-    own = re.findall(r"[^\W_]+", text.lower())
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _pairs(text: str) -> set[str]:
+    own = _word_list(text)
     return {f"{a} {b}" for a, b in zip(own, own[1:], strict=False)}
 
 
 def scan(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, families (confirmed, sorted), n_confirmed, n_unconfirmed, n_unknown."""
     found = (model or LicenseModel.fit(docs, id_col, text_col)).findings(docs, id_col, text_col)
-    per = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "line_no", "family", "confirmed").agg(F.max("score"))
+    row = (F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "block", "family", "window", "confirmed", "line_no")
+    found = found.where("NOT window OR confirmed").select(*row).distinct()
+    per = found.groupBy("_id", "_key", "block", "family").agg(
+        F.count_if(F.expr("confirmed AND NOT window")).alias("lines"), F.count_if("window").alias("windows"), F.count_if(~F.col("confirmed")).alias("rest")
+    )
     per = per.groupBy("_id", "_key").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.count_if("confirmed").alias("n_confirmed"),
-        F.count_if(~F.col("confirmed") & (F.col("family") != UNKNOWN)).alias("n_unconfirmed"),
-        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("lines") + F.col("windows") > 0, F.col("family")))), ",").alias("families"),
+        F.sum(F.greatest("lines", F.least("windows", F.lit(1)))).alias("n_confirmed"),
+        F.sum(F.when((F.col("family") != UNKNOWN) & ((F.col("lines") > 0) | (F.col("windows") == 0)), F.col("rest")).otherwise(0)).alias("n_unconfirmed"),
+        F.sum(F.when(F.col("family") == UNKNOWN, F.col("rest")).otherwise(0)).alias("n_unknown"),
     )
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     every = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"))

@@ -43,3 +43,21 @@ def test_other_licenses_are_not_confirmed(spark, model):
     docs = spark.createDataFrame([(1, "Licensed under the Fair Example License, edition 7.")], "doc_id long, text string")
     row = ls.scan(docs, model).first()
     assert row.families == ""
+
+
+def test_wrapped_notices(spark, model):
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+        "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files",
+    }
+    rows, expected = [], {}
+    for k, (family, notice) in enumerate(notices.items()):
+        narrow = " ".join(notice.split()).split(" ")
+        narrow = "\n".join("# " + " ".join(narrow[at : at + 4]) for at in range(0, len(narrow), 4))
+        before = " ".join(f"onen{x}" for x in range(37 + k))
+        for n, text in enumerate((notice, narrow, f"{before}\n{notice}\nerst thnt", f"{before}\n\n{narrow}\n\nerst thnt")):
+            rows.append((10 * k + n, text))
+            expected[10 * k + n] = (family, 1)
+    got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: (r.families, r.n_confirmed) for r in got} == expected
