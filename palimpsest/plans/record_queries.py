@@ -538,11 +538,12 @@ def unique_best_margin(spark, d):
 
 @query()
 def fuzzy_ratio(spark, d):
-    """Each first line of a conversation's turn against that of the next turn."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.substring_index("text", "\n", 1).alias("a"))
+    """Each line of a conversation's turn against that of the same number in the next turn; a line
+    that only one of them has counts 0."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), "\n").alias("a"))
     following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
-    met = rows.join(following, ["conv_id", "turn"])
-    return met.select("conv_id", "turn", F.round(M.similarity("a", "b"), 9).alias("ratio"))
+    met = rows.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.posexplode(F.arrays_zip("a", "b")).alias("line_no", "pair"))
+    return met.select("conv_id", "turn", (F.col("line_no") + 1).alias("line_no"), F.round(M.similarity("pair.a", "pair.b"), 9).alias("ratio"))
 
 
 # --- files -----------------------------------------------------------------------------------

@@ -196,6 +196,15 @@ def test_similarity_is_bounded(a, b):
     assert ratio == 1 if a == b and a else True
 
 
+def test_fuzzy_ratio_compares_all_lines(spark, tmp_path):
+    from palimpsest.plans import catalog
+
+    rows = [(1, 0, "same\nabcd\n"), (1, 1, "same\nabce\n\nmore"), (1, 2, None), (2, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn, r.line_no): r.ratio for r in catalog.QUERIES["fuzzy_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 1): 1, (1, 0, 2): 0.75, (1, 0, 3): 0, (1, 0, 4): 0, **{(1, 1, k): 0 for k in (1, 2, 3, 4)}}
+
+
 def test_projection_offsets(spark):
     rows = spark.createDataFrame([("Straße­1 \n ﬁn ",), ("  ",), (None,)], "t string")
     got = [r.p for r in rows.select(match.comparison_projection(F.col("t")).alias("p")).collect()]
