@@ -11,7 +11,7 @@ from palimpsest.operators import lines as L
 from palimpsest.operators import timeline as T
 from palimpsest.plans.base import FOUND, found, query
 from palimpsest.plans.base import source_lines as _source_lines
-from palimpsest.session import table
+from palimpsest.session import stored, table
 
 
 @query(
@@ -98,9 +98,16 @@ def fragment_occurrences(spark, d):
       SELECT user_id, created, updated, row_number() OVER (ORDER BY updated DESC, created DESC) AS position FROM s"""
 )
 def session_listing(spark, d):
-    """Sessions as a list shows them: the latest first."""
+    """Sessions as a list shows them: the latest first. They are numbered within ranges, whose numbers
+    begin after those of the ranges before them."""
     per = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("created"), F.max("event_id").alias("updated"))
-    return per.withColumn("position", F.row_number().over(Window.orderBy(F.desc("updated"), F.desc("created"))))  # one row a session
+    order = (F.desc("updated"), F.desc("created"))
+    per = stored(per.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "session-ranges")
+    sizes = sorted((r["range"], r["n"]) for r in per.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    before = [(k, sum(n for _, n in sizes[:nth])) for nth, (k, _) in enumerate(sizes)]
+    offsets = F.broadcast(spark.createDataFrame(before, "range int, before long"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return per.withColumn("nth", within).join(offsets, "range").select("user_id", "created", "updated", (F.col("before") + F.col("nth")).alias("position"))
 
 
 @query(

@@ -205,6 +205,20 @@ def test_fuzzy_ratio_compares_all_lines(spark, tmp_path):
     assert got == {(1, 0, 1): 1, (1, 0, 2): 0.75, (1, 0, 3): 0, (1, 0, 4): 0, **{(1, 1, k): 0 for k in (1, 2, 3, 4)}}
 
 
+def test_session_listing_numbers_sessions_in_several_tasks(spark, tmp_path):
+    from palimpsest.plans import catalog
+
+    spark.range(3000).selectExpr("id AS event_id", "id % 700 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = catalog.QUERIES["session_listing"](spark, str(tmp_path))
+        got = sorted((r.position, r.updated) for r in frame.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(k + 1, 2999 - k) for k in range(700)]
+    assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_projection_offsets(spark):
     rows = spark.createDataFrame([("Straße­1 \n ﬁn ",), ("  ",), (None,)], "t string")
     got = [r.p for r in rows.select(match.comparison_projection(F.col("t")).alias("p")).collect()]
