@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -62,10 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent (tests, a laptop) a temporary folder is set once per session.
+    Where that setting is absent and the master is local (tests, a laptop) a temporary folder is set
+    once per session. On a cluster its absence is an error, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("palimpsest.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a shared folder on {master}")
         root = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("palimpsest.scratch", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -80,4 +86,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Free what finished steps have left behind.
+
+    Spark removes shuffle files, broadcasts and the plans that made them only once the driver's
+    collector has found their handles, which a quiet driver does late; disks fill meanwhile, and its
+    heap grows to its limit. Steps are few, so they ask for a collection each.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
