@@ -65,9 +65,9 @@ def item_sets(items: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 class _Partition:
     """Items of one shingle width and one size class: sketch table and whole sets."""
 
-    def __init__(self, rows, percent: int, least_sketch: int):
-        self.ids = [r.item_id for r in rows]
-        self.sets = [np.sort(np.array(r.hashes, np.int64).view(np.uint64)) for r in rows]
+    def __init__(self, rows: list[tuple[int, np.ndarray]], percent: int, least_sketch: int):
+        self.ids = [item for item, _ in rows]
+        self.sets = [np.sort(hashes.view(np.uint64)) for _, hashes in rows]
         sketches = [s[: max(least_sketch, len(s) - -(-percent * len(s) // 100) + 1)] for s in self.sets]
         hashes = np.concatenate(sketches)
         owners = np.repeat(np.arange(len(rows)), [len(s) for s in sketches])
@@ -141,8 +141,10 @@ def _blocks(items: DataFrame, width: int, percent: int, least_sketch: int, id_co
     blocks = -(-total // BLOCK_SHINGLES)
     for block in range(blocks):
         by_partition: dict[tuple[int, int], list] = {}
-        for row in sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toLocalIterator():
-            by_partition.setdefault((row.width, row.n.bit_length()), []).append(row)
+        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()  # as large as a block
+        for item, width_, n, hashes in zip(*rows.columns, strict=True):
+            key = (width_.as_py(), n.as_py().bit_length())
+            by_partition.setdefault(key, []).append((item.as_py(), hashes.values.to_numpy(zero_copy_only=False)))
         if by_partition:
             yield {k: _Partition(rows, percent, least_sketch) for k, rows in by_partition.items()}
 

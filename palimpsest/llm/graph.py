@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.session import stored
@@ -22,22 +22,27 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _kept(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
+    """The edges, written, and a fingerprint that is observed while they are."""
+    seen = Observation()
+    mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    return stored(edges.observe(seen, *mark), label), seen.get
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of ``edges`` (long columns a, b, in any order) with their component's least node.
 
-    Returns node, component for every node that has an edge to another one. Each step is written to
-    the shared folder; a node with very many edges is pre-aggregated on the map side.
+    Returns node, component for every node that has an edge to another one; a node with very many
+    edges is pre-aggregated on the map side. Each step is written to the shared folder; the last one
+    changes nothing. (A task that is run twice may be observed twice; that costs one more step.)
+    Defined cases: loops and repeated edges count once, an edge with a null joins nothing, and an
+    empty table has no components.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = stored(now, "edges")
+    now, mark = _kept(now, "edges")
     last = None
-    while (mark := _fingerprint(now)) != last:
+    while mark != last:
         last = mark
-        now = stored(_stars(now), "stars")
+        now, mark = _kept(_stars(now), "stars")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

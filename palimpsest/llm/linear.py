@@ -68,10 +68,13 @@ def train(
     rounds: int = 2,
     epochs: int = 2,
 ) -> np.ndarray:
-    """Weights (dim x classes). ``sample`` has a long column ``ord`` that fixes the order of its rows."""
+    """Weights (dim x classes). ``sample`` has a long column ``ord`` that fixes the order of its rows.
+
+    Rows of which ``examples`` makes nothing count for nothing; without any row all weights are 0.
+    """
     context = sample.sparkSession.sparkContext
     dealt = sample.repartition(tasks, F.pmod(F.col("ord"), F.lit(tasks))).sortWithinPartitions("ord").cache()
-    weights = np.zeros((model.dim, model.classes))
+    weights, total = np.zeros((model.dim, model.classes)), None
     for _ in range(rounds):
         start = context.broadcast(weights.astype(np.float32))
 
@@ -85,10 +88,10 @@ def train(
                 )
 
         parts = dealt.mapInArrow(fit, "f long, k long, w double, rows long")
-        total = dealt.count()
-        mixed = parts.groupBy("f", "k").agg(F.sum(F.col("w") * F.col("rows")).alias("w"))
+        mixed = parts.groupBy("f", "k").agg(F.sum(F.col("w") * F.col("rows")).alias("w")).toArrow()  # at most dim * classes rows
+        total = dealt.count() if total is None else total
         weights = np.zeros((model.dim, model.classes))
-        for row in mixed.toLocalIterator():  # at most dim * classes rows
-            weights[row.f, row.k] = row.w / total
+        weights[mixed["f"].to_numpy(), mixed["k"].to_numpy()] = mixed["w"].to_numpy() / max(total, 1)
+        start.destroy()
     dealt.unpersist()
     return weights

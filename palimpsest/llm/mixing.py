@@ -12,8 +12,10 @@ Only (id, source, size) rows are shuffled, never texts. Windows without a partit
 per source (targets) and a few per source (quotients): a dimension table, not documents.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a
-document without words takes 0; rows that repeat an id are documents of their own; an empty table
-gives an empty result; other columns are neither read nor returned.
+document without words takes 0; rows that repeat an id are documents of their own, whatever their
+texts; a null id is an id like others; a text of any length is one number here; an empty table gives
+an empty result; ``mix`` neither reads nor returns other columns, and ``mixed_documents`` returns them
+as they were, but for those with the names of columns that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.columns import numbered
 from palimpsest.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,19 +36,21 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
     parties, so all but about five seats a party are known beforehand and only those are ranked.
     """
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    near = parties.withColumn("_all", F.sum(votes).over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    near = parties.select("*", F.sum(votes).over(whole).alias("_all"), F.count(F.lit(1)).over(whole).alias("_n"))
     ideal = F.when(F.col("_all") > 0, F.col(votes) / F.col("_all") * F.col(seats)).otherwise(0.0)
-    slack = F.col("_n") / (2 * F.greatest(F.col(seats), F.lit(1)))
-    near = near.withColumn("_low", F.greatest(F.floor(ideal * (1 - slack) - 0.5) - 1, F.lit(0)).cast("long"))
-    near = near.withColumn("_high", (F.ceil(ideal * (1 + slack) + 0.5) + 1).cast("long"))
-    left = F.col(seats) - F.sum("_low").over(whole)
-    near = near.withColumn("_left", F.when(F.col("_all") > 0, left).otherwise(0))
-    ranked = near.select("*", F.explode(F.sequence("_low", F.col("_high"))).alias("_k")).withColumn(
-        "_rank",
-        F.row_number().over(whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(key), F.col("_k"))),
+    near = near.select("*", ideal.alias("_ideal"), (F.col("_n") / (2 * F.greatest(F.col(seats), F.lit(1)))).alias("_slack"))
+    near = near.select(
+        "*",
+        F.greatest(F.floor(F.col("_ideal") * (1 - F.col("_slack")) - 0.5) - 1, F.lit(0)).cast("long").alias("_low"),
+        (F.ceil(F.col("_ideal") * (1 + F.col("_slack")) + 0.5) + 1).cast("long").alias("_high"),
     )
+    left = F.when(F.col("_all") > 0, F.col(seats) - F.sum("_low").over(whole)).otherwise(0)
+    near = near.select("*", left.alias("_left"))
+    ranked = near.select("*", F.explode(F.sequence("_low", F.col("_high"))).alias("_k"))
+    by_quotient = whole.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), F.col(key), F.col("_k"))
+    ranked = ranked.select("*", F.row_number().over(by_quotient).alias("_rank"))
+    names = parties.columns
     won = F.sum((F.col("_rank") <= F.col("_left")).cast("long"))
-    names = [c for c in parties.columns]
     return ranked.groupBy(*names, "_low").agg(won.alias("_won")).select(*names, (F.col("_low") + F.col("_won")).alias("quota"))
 
 
@@ -85,30 +90,26 @@ def _taken_before(x: Column, block: Column, blocks: Column, chosen: Column, phas
     return picked(whole) * block + part
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (5, 2, 1),
-    passes: int = 3,
-    block_words: int = 64,
-    shard_words: int = 1 << 20,
-    seed: int = 17,
-    id_col: str = "doc_id",
-) -> DataFrame:
-    """Return doc_id, size, source_size, target, taken, source, shard, shard_quota per document."""
-    sizes = docs.select(
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
+    source = F.col(source_col).cast("string")
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source_key"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("source_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *more,
     )
-    sizes = stored(sizes, "mix-sizes")
+
+
+def _sources(sizes: DataFrame, weights: tuple[int, ...], passes: int, block_words: int, shard_words: int) -> DataFrame:
+    """Per source: source_size, target, block, source_quota (in blocks) and shards."""
     every = Window.partitionBy(F.lit(0))
-    sources = source_targets(sizes, weights, passes)
+    # One row a source; written, so that its windows are planned once.
+    sources = stored(source_targets(sizes, weights, passes), "mix-targets")
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(least, F.lit(0.0)) / 64))).cast("long")
-    sources = sources.withColumn("block", block).withColumn(
-        "blocks", F.floor(F.sum("source_size").over(every) / F.col("block")).cast("long")  # the targets' sum, too
-    )
+    sources = sources.select("*", block.alias("block"), F.sum("source_size").over(every).alias("_total"))  # the targets' sum, too
+    sources = sources.select("*", F.floor(F.col("_total") / F.col("block")).cast("long").alias("blocks")).drop("_total")
     sources = sainte_lague(sources, [], "source_key", "target", "blocks").select(
         "source_key",
         "source_size",
@@ -117,45 +118,86 @@ def mix(
         F.least("quota", F.floor(F.col("limit") / F.col("block")).cast("long")).alias("source_quota"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards"),
     )
-    sources = stored(sources, "mix-sources")
-    dealt = sizes.join(sources, "source_key").withColumn(
-        "shard", F.pmod(_seeded(seed, "doc_id"), F.col("shards"))
-    )
-    shards = dealt.groupBy("source_key", "shard", "source_quota", "block").agg(F.sum("size").alias("shard_size"))
-    shards = sainte_lague(shards, ["source_key"], "shard", "shard_size", "source_quota").select(
-        "source_key",
-        "shard",
-        "shard_size",
-        F.least("quota", F.floor(passes * F.col("shard_size") / F.col("block")).cast("long")).alias("shard_quota"),
-    )
-    along = Window.partitionBy("source_key", "shard").orderBy(_seeded(seed + 1, "doc_id"), "doc_id", "size")
-    laid = dealt.join(shards, ["source_key", "shard"]).withColumn(
-        "end", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return stored(sources, "mix-sources")
+
+
+def _mixed(
+    docs: DataFrame, id_col: str, source_col: str, text_col: str, carried: bool,
+    weights: tuple[int, ...], passes: int, block_words: int, shard_words: int, seed: int,
+) -> DataFrame:
+    """Every row with its size, source, shard and taken words; ``carried``: and its own columns."""
+    sizes = stored(_sized(docs, id_col, source_col, text_col), "mix-sizes")
+    sources = _sources(sizes, weights, passes, block_words, shard_words)
+    deal = lambda rows: rows.join(sources, "source_key").select(
+        "*", F.pmod(_seeded(seed, "doc_id"), F.col("shards")).alias("shard")
     )
+    shards = deal(sizes).groupBy("source_key", "shard", "source_quota", "block").agg(F.sum("size").alias("shard_size"))
+    shards = sainte_lague(shards, ["source_key"], "shard", "shard_size", "source_quota")
+    quota = F.least("quota", F.floor(passes * F.col("shard_size") / F.col("block")).cast("long")).alias("shard_quota")
     words = F.col("shard_quota") * F.col("block")
     full = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
-    laid = laid.withColumn("full", full)
-    blocks = F.floor(F.col("shard_size") / F.col("block")).cast("long")
-    laid = laid.withColumn("n_blocks", blocks).withColumn(
-        "chosen",
-        F.least(F.round((words - F.col("full") * F.col("shard_size")) / F.col("block")).cast("long"), F.col("n_blocks")),
-    )
-    laid = laid.withColumn(
-        "phase", F.pmod(_seeded(seed + 2, "source_key", "shard"), F.greatest(F.col("n_blocks"), F.lit(1)))
-    )
+    rest = F.round((words - F.col("full") * F.col("shard_size")) / F.col("block")).cast("long")
+    shards = shards.select("*", quota).select("*", full.alias("full"), F.floor(F.col("shard_size") / F.col("block")).cast("long").alias("n_blocks"))
+    shards = shards.select(
+        "source_key", "shard", "shard_quota", "full", "n_blocks",
+        F.least(rest, F.col("n_blocks")).alias("chosen"),
+        F.pmod(_seeded(seed + 2, "source_key", "shard"), F.greatest(F.col("n_blocks"), F.lit(1))).alias("phase"),
+    )
+    shards = stored(shards, "mix-shards")
+
+    tie = F.xxhash64(text_col)  # rows that repeat an id and a size lie in the order of their texts
+    rows = _sized(docs, id_col, source_col, text_col, tie.alias("tie"), *map(F.col, docs.columns)) if carried else sizes.select("*", F.lit(0).alias("tie"))
+    along = Window.partitionBy("source_key", "shard").orderBy("turn", "doc_id", "size", "tie")
+    laid = deal(rows).select("*", _seeded(seed + 1, "doc_id").alias("turn")).join(shards, ["source_key", "shard"])
+    laid = laid.select("*", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
     at = lambda x: _taken_before(x, F.col("block"), F.col("n_blocks"), F.col("chosen"), F.col("phase"))
-    part = at(F.col("end")) - at(F.col("end") - F.col("size"))
-    part = F.when(F.col("full") < passes, part).otherwise(0)
-    return laid.select(
-        "doc_id",
-        "size",
-        F.col("source_size").cast("long").alias("source_size"),
-        F.col("target").cast("double").alias("target"),
-        (F.col("full") * F.col("size") + part).cast("long").alias("taken"),
-        "source",
-        "shard",
-        "shard_quota",
-    )
+    part = F.when(F.col("full") < passes, at(F.col("end")) - at(F.col("end") - F.col("size"))).otherwise(0)
+    return laid.select("*", (F.col("full") * F.col("size") + part).cast("long").alias("taken"))
+
+
+ADDED = ("size", "source_size", "target", "taken")
+
+
+def _added() -> list[Column]:
+    kinds = {"source_size": "long", "target": "double"}
+    return [F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in ADDED]
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    passes: int = 3,
+    block_words: int = 64,
+    shard_words: int = 1 << 20,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """Return doc_id, size, source_size, target, taken, source, shard, shard_quota per document."""
+    docs = docs.select(F.col(f"`{id_col}`").alias("c0"), F.col(f"`{source_col}`").alias("c1"), F.col(f"`{text_col}`").alias("c2"))
+    laid = _mixed(docs, "c0", "c1", "c2", False, weights, passes, block_words, shard_words, seed)
+    return laid.select("doc_id", *_added(), "source", "shard", "shard_quota")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    passes: int = 3,
+    block_words: int = 64,
+    shard_words: int = 1 << 20,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+) -> DataFrame:
+    """The documents of which the mix takes words, all columns as they were, and size, source_size,
+    target and taken. Texts are shuffled once, with what decides on them, and never joined by id."""
+    own = numbered(docs)
+    at = lambda c: own.columns[docs.columns.index(c)]
+    laid = _mixed(own, at(id_col), at(source_col), at(text_col), True, weights, passes, block_words, shard_words, seed)
+    kept = [(k, c) for k, c in zip(own.columns, docs.columns, strict=True) if c.lower() not in ADDED]
+    return laid.where("taken > 0").select(*[F.col(k).alias(c) for k, c in kept], *_added())
 
 
 def _sainte_lague_sql(name: str, parties: str, group: str, key: str, votes: str, seats: str) -> str:

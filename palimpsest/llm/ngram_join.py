@@ -2,7 +2,7 @@
 
 1. Documents with the same set form one class, so copies are never paired with one another.
 2. Shingles are put in one global order, rare ones first, as estimated by fixed-size counters over
-   all shingles of all documents. Two sets that are similar enough share at least ``least_shared``
+   all shingles of all documents (by the counters' magnitude, in a byte each). Two sets that are similar enough share at least ``least_shared``
    shingles within the short prefixes that the threshold leaves them.
 3. The prefix lists are sorted by (shingle, size) over all tasks, by range, so that no list has to
    fit in one task. A list of a few sets counts one shared shingle for each pair of them, and pairs
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import sketch, words
+from palimpsest.llm.columns import numbered
 from palimpsest.llm.graph import components
 from palimpsest.session import ship, stored
 
@@ -309,13 +310,14 @@ def ngram_jaccard_join(
         texts.select("text"),
         lambda batch: (s for _, s in words.shingle_sets(batch.column(0), width)),
         ORDER_BITS,
-        np.uint16,
+        sketch.magnitude,
     )
     order = spark.sparkContext.broadcast(counts)
     profiles = texts.mapInArrow(
         _profiles(width, percent, order), "doc_id long, n long, one long, two long, prefix array<long>"
     )
     profiles = stored(profiles, "profiles")
+    order.destroy()
     keys = ["n", "one", "two"]
     classes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")
@@ -348,6 +350,7 @@ def ngram_jaccard_join(
             groups.select("rep"),
             lambda batch: [words.mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))],
             bits,
+            sketch.cut(np.uint8),
         )
     )
     some = texts.mapInArrow(_keep_ids(bits, wanted), "doc_id long, text string")
@@ -358,6 +361,7 @@ def ngram_jaccard_join(
         .sortWithinPartitions("grp", "i", "j", "rep")
     )
     links = stored(joined.mapInArrow(_join_groups(width, percent), "a long, b long, links long"), "links")
+    wanted.destroy()
     labels = components(links.where("links = 0").select("a", "b"))
     degree = links.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     known = labels.withColumnRenamed("node", "rep").join(degree, "rep", "left")
@@ -372,10 +376,15 @@ def ngram_jaccard_join(
 
 
 def first_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component of near-duplicates, the document with the least id, all columns as they were."""
+    """Of each component of near-duplicates, the document with the least id, all columns as they were.
+
+    Rows that repeat that id stay with it, and so do rows without an id.
+    """
     joined = ngram_jaccard_join(docs, width, percent)
-    keep = joined.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = joined.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("kept")).distinct()
+    own = numbered(docs)
+    key = F.col(own.columns[docs.columns.index("doc_id")]).cast("long")
+    return own.join(keep, key.eqNullSafe(F.col("kept")), "left_semi").toDF(*docs.columns)
 
 
 #: The query with four words and 85 percent; equal sets are told by their listed shingles.

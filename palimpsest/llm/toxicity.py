@@ -12,8 +12,10 @@
 
 Labels are used for mining lexicons and for the prior share of toxic documents; label, language,
 source and id are no inputs of a score. Defined cases: a null or empty text has no stems and gets
-the regression's intercept; labels of unknown or repeated ids count as they join; without labels the
-seed lexicon and patterns vote alone; an empty table gives an empty result.
+the regression's intercept; labels of unknown ids count for nothing, of repeated ids as toxic if one
+of them is; a score of exactly one half counts as toxic; rows that repeat an id are scored each; a
+null id is scored and belongs to no fold; without labels the seed lexicon and patterns vote alone; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -81,13 +83,9 @@ def _sparse(columns: list[np.ndarray], bounds: np.ndarray, keep: np.ndarray) ->
     return pairs >> BITS, pairs & ((1 << BITS) - 1), np.log2(1 + n)
 
 
-def mine(texts: DataFrame) -> list[tuple[int, int]]:
-    """Stems for lexicons from (text, toxic) rows, the most telling first: (stem, kind).
-
-    Copies of a text are one row, else a mislabelled text with copies would pass for evidence.
-    """
-    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    least = max(LEAST_ROWS, LEAST_PART * texts.where("toxic = 1").count())
+def mine(texts: DataFrame, toxic_texts: int) -> list[tuple[int, int]]:
+    """Stems for lexicons from (text, toxic) rows, no text twice, the most telling first: (stem, kind)."""
+    least = max(LEAST_ROWS, LEAST_PART * toxic_texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BITS), np.int32)
@@ -251,15 +249,21 @@ class ToxicityModel:
         """``docs``: all (doc_id, text) rows, for the votes; ``train_docs``: those that the classifier
         may learn from; ``labels``: (doc_id, toxic) rows that may be looked at."""
         spark = docs.sparkSession
-        known = hashed_sample(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), LEXICON_ROWS, "doc_id")
-        known = known.drop("ord").limit(2 * LEXICON_ROWS)  # rows of two numbers: a proven bound for the broadcast
-        seen = train_docs.join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+        # Repeated labels count as toxic if one of them is.
+        known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+        known = hashed_sample(known, LEXICON_ROWS, "doc_id").drop("ord").limit(2 * LEXICON_ROWS)  # two numbers a row: a proven bound for the broadcast
+        # Copies of a text are one row, else a mislabelled text with copies would pass for evidence.
+        seen = train_docs.join(F.broadcast(known), "doc_id").groupBy("text").agg(
+            F.max("toxic").alias("toxic"), F.sum("toxic").alias("n_toxic"), F.count(F.lit(1)).alias("n")
+        )
         seen = stored(seen, "toxicity-labelled")
-        share = seen.agg(F.avg("toxic")).first()[0]
-        table = lexicons(mine(seen))
+        told = seen.agg((F.sum("n_toxic") / F.sum("n")).alias("share"), F.count_if(F.col("toxic") == 1).alias("texts")).first()
+        share = told.share
+        table = lexicons(mine(seen.select("text", "toxic"), told.texts))
         shared = spark.sparkContext.broadcast(table)
         ballots = docs.select("text").mapInArrow(_vote_batches(shared, 0), "pattern long").groupBy("pattern").count()
         rows = sorted((r.pattern, r["count"]) for r in ballots.collect())  # at most 2**VOTERS rows
+        shared.destroy()
         patterns, counts = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(1, np.int64),) * 2
         prior = min(0.5, max(0.01, 0.05 if share is None else share))
         model = LabelModel(patterns, counts.astype(float), prior)

@@ -78,3 +78,18 @@ def test_small_tables(spark):
     assert (row.taken, row.target, row.source_size) == (0, 0.0, 0)
     row = mixing.mix(spark.createDataFrame([(1, "a b", "a")], docs.schema)).first()
     assert (row.taken, row.target, row.source_size) == (2, 2.0, 2)
+
+
+def test_documents_keep_their_columns_whatever_their_names_and_ids(spark):
+    rng = random.Random(12)
+    rows = [(1, "w " * 50, "a", "x", 1), (1, "w " * 2, "a", "y", 2), (1, "w " * 2, "a", "y", 2), (None, "w w", None, "z", 3), (2, None, "a", "u", 4), (3, " ", "b", "v", 5)]
+    rows += [(k, "w " * rng.randrange(90), rng.choice("abc"), "t", k) for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string, _id long")
+    got = mixing.mixed_documents(docs.repartition(3)).collect()
+    assert mixing.mixed_documents(docs).columns == ["doc_id", "text", "source", "_id", "size", "source_size", "target", "taken"]
+    assert all(r.size == len(r.text.split()) and 0 < r.taken <= 3 * r.size for r in got)
+    plain = mixing.mix(docs).where("taken > 0").collect()
+    key = lambda r: (str(r.doc_id), r.size, r.source_size, r.target, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, plain))
+    assert sorted(map(key, mixing.mixed_documents(docs.repartition(2)).collect())) == sorted(map(key, got))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0

@@ -81,3 +81,12 @@ def test_empty_and_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (1, 1)]
     kept = ngram_join.first_of_each_group(spark.createDataFrame(rows, schema))
     assert kept.columns == ["text", "doc_id", "rep", "n"] and kept.count() == 4
+
+
+def test_one_row_of_each_group_stays_whatever_the_columns_are_called(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(3, text, 1, "a"), (5, text + " more", 2, "b"), (3, text, 3, "c"), (None, text, 4, "d"), (7, None, 5, "e"), (8, "x " * 9, 6, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, kept string")
+    got = ngram_join.first_of_each_group(docs)
+    assert got.columns == docs.columns
+    assert sorted(r._id for r in got.collect()) == [1, 3, 4, 5, 6]
