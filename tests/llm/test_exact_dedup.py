@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from palimpsest.llm import exact_dedup as ed
 
 
@@ -37,3 +39,31 @@ def test_batches_share_an_index(spark, tmp_path):
     assert again.rows().count() == 4
     assert "Exchange" not in again.rows().groupBy("digest").count()._jdf.queryExecution().sparkPlan().toString()
     assert again.append(first.limit(0)).count() == 0
+
+
+def test_sessions_with_other_settings_use_the_index_as_it_was_made(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(k, f"text {k}") for k in range(200)]
+    ed.DigestIndex(spark, path, 8).append(spark.createDataFrame(rows, "doc_id long, text string"))
+    copies = spark.createDataFrame([(1000 + k, t) for k, t in rows], "doc_id long, text string")
+    for buckets in (4, 16, None):
+        index = ed.DigestIndex(spark, path, buckets)
+        assert index.buckets == 8
+        assert {(r.doc_id, r.keep_id, r.kept) for r in index.append(copies).collect()} == {(1000 + k, k, False) for k in range(200)}
+        assert index.rows().count() == 200
+        index.close()
+    small = ed.DigestIndex(spark, path).compacted(str(tmp_path / "other"))
+    assert small.rows().count() == 200 and small.buckets == 8
+    assert len(list((tmp_path / "other").glob("part-*"))) <= 8
+    (tmp_path / "index-buckets").rename(tmp_path / "gone")
+    with pytest.raises(ValueError):
+        ed.DigestIndex(spark, path, 8)
+
+
+def test_repeated_rows_very_long_texts_and_empty_tables(spark):
+    long = "a b " * 500_000
+    rows = [(4, long), (4, long), (2, long.replace(" ", "")), (9, long + " "), (7, None), (7, ""), (8, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in ed.exact_dedup(docs).collect())
+    assert got == [(2, 9, 4, False), (4, 9, 4, False), (4, 9, 4, False), (7, 8, 3, False), (7, 8, 3, False), (8, 8, 3, True), (9, 9, 4, True)]
+    assert ed.exact_dedup(docs.limit(0)).count() == 0
