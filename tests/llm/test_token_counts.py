@@ -6,24 +6,46 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import token_counts as tc
 
-ALPHABET = st.text(alphabet="ab é1.,'\n\t  \xa0漢", max_size=120)
+ALPHABET = st.text(alphabet="abst é1.,'!\n\t  \xa0漢、\u0301\x1c\u3000😀٣", max_size=120)
+COUNTS = tc.counter(tc.read_vocabulary(tc.VOCABULARY))
 
 
 @settings(max_examples=300, deadline=None)
 @given(ALPHABET, st.lists(st.tuples(st.integers(0, 120), st.integers(0, 20), ALPHABET), max_size=4), st.integers(1, 20))
 def test_updated_trees_count_like_the_whole_text(text, edits, segment):
-    tree = tc.Tree.build(text, tc.VOCABULARY, segment)
+    tree = tc.Tree.build(text, COUNTS, segment)
     assert tree.tokens[1] == tc.count_tokens(text, tc.VOCABULARY)
     for first, length, replacement in edits:
         first = min(first, len(text))
         last = min(first + length, len(text))
         expected = text[:first] + replacement + text[last:]
-        text, _ = tree.edit(text, first, last, replacement, tc.VOCABULARY)
+        text, _ = tree.edit(text, first, last, replacement, COUNTS)
         assert text == expected
         assert tree.chars[1] == len(text)
         assert tree.tokens[1] == tc.count_tokens(text, tc.VOCABULARY)
 
 
+@settings(max_examples=300, deadline=None)
+@given(ALPHABET)
+def test_borders_part_pre_tokens(text):
+    assert COUNTS.count(text) == tc.count_tokens(text)
+    for k in range(len(text)):
+        if tc._BORDER.match(text, k):
+            assert tc.count_tokens(text[:k]) + tc.count_tokens(text[k:]) == tc.count_tokens(text)
+
+
+def test_texts_without_spaces_are_edited_in_part():
+    rng = random.Random(3)
+    text = "".join(rng.choice("漢字文書處理系統") + rng.choice(["", "", "", "", "、", "。"]) for _ in range(16_000))
+    tree = tc.Tree.build(text, COUNTS)
+    new, encoded = tree.edit(text, 8000, 8003, "語", COUNTS)
+    assert encoded < 2000 and tree.tokens[1] == tc.count_tokens(new)
+    word = "a" * 50_000  # one pre-token, one segment
+    tree = tc.Tree.build(word, COUNTS)
+    assert tree.tokens[1] == tc.count_tokens(word)
+    assert tree.edit(word, 5, 6, "b", COUNTS)[1] == 50_000
+
+
 def test_documents(spark):
     rng = random.Random(2)
     rows, edits, expected = [], [], {}
