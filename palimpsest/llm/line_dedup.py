@@ -10,12 +10,17 @@
    passage has to fit in one task. Each passage that several documents hold is owned by the first of
    them: one row for each passage of a document, so a passage in a third of all documents makes a row
    a document, not all pairs. Lines that are frequent on their own tie no documents and cut no block.
+   The hash of such a passage is the rare line hash: a block that two documents share makes a pair of
+   the later one and each passage's owner, and what the owner lacks of it has an owner of its own. To
+   pair it with further holders would find nothing more, since a passage goes once, whoever holds it.
 3. Each (document, owner) pair is aligned by patience diff: passages that are unique in both anchor
    the alignment, and the longest increasing run of them is kept. Where a pair has no passage unique
    in both, the first occurrences stand in. What the run leaves out, passages in another order or
    repeated in the document, is aligned with the owner's first occurrences, one by one, until no
    passage that the owner holds is left.
-4. The lines of aligned passages go from the later document, that with the greater id.
+4. The lines of aligned passages go from the later document, that with the greater id. So a document
+   loses just those runs of whole lines of ``least_block_words`` words that an earlier one holds,
+   whichever it is; a test holds this against a patience diff of all pairs.
 
 Texts are shuffled once, by document. Defined cases: a null or empty text stays as it is; of rows
 that repeat an id, equal texts are one document and different ones are ordered by their hash; a null
@@ -267,9 +272,9 @@ def line_dedup(
     found = stored(found, "passage-hashes")
     order = ("h", "id", "row", "pos")
     shared = stored(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_owners(), _SHARED), "shared-passages")
-    # At most two possible owners a task: a bound for the broadcast.
+    # At most two possible owners and one list a task; how they meet is left to the optimizer.
     border = shared.where("kind = 0").groupBy("h").agg(F.min(F.struct("id", "row", "pos", "o_once")).alias("o"))
-    unsure = shared.where("kind = 2").select("h", "id", "row", "pos").join(F.broadcast(border), "h")
+    unsure = shared.where("kind = 2").select("h", "id", "row", "pos").join(border, "h")
     unsure = unsure.where("struct(id, row) <> struct(o.id, o.row)").select(
         "id", "row", "pos", F.col("o.id").alias("o_id"), F.col("o.row").alias("o_row"), F.col("o.pos").alias("o_pos"), F.col("o.o_once").alias("o_once")
     )

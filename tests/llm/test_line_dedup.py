@@ -158,3 +158,92 @@ def test_reordered_and_repeated_passages_go(spark):
     assert [got[d].removed_words for d in (2, 3, 4)] == [120, 120, 150]
     for d, kept in ((2, own[1:2]), (3, own[2:5]), (4, own[5:])):
         assert got[d].text.split() == " ".join(kept).split()
+
+
+def patience(a, b):
+    """Pairs of equal lines by patience diff: lines unique in both anchor it, the stretches between
+    them are aligned alike, and blocks grow where no line is unique."""
+    if not a or not b:
+        return []
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    if head:
+        return [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in patience(a[head:], b[head:])]
+    once = [x for x in a if a.count(x) == 1 and b.count(x) == 1]
+    anchors = [(a.index(x), b.index(x)) for x in once]
+    best, back = [1] * len(anchors), [-1] * len(anchors)
+    for i in range(len(anchors)):
+        for j in range(i):
+            if anchors[j][1] < anchors[i][1] and best[j] + 1 > best[i]:
+                best[i], back[i] = best[j] + 1, j
+    run, k = [], max(range(len(anchors)), key=lambda k: best[k]) if anchors else -1
+    while k >= 0:
+        run.append(anchors[k])
+        k = back[k]
+    if not run:
+        tail = 0
+        while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        return [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    out, i, j = [], 0, 0
+    for x, y in run[::-1]:
+        out += [(i + p, j + q) for p, q in patience(a[i:x], b[j:y])] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out + [(i + p, j + q) for p, q in patience(a[i:], b[j:])]
+
+
+def blocks(pairs):
+    """Runs of pairs that go on in both documents."""
+    runs = []
+    for i, j in pairs:
+        if runs and runs[-1][-1] == (i - 1, j - 1):
+            runs[-1].append((i, j))
+        else:
+            runs.append([(i, j)])
+    return runs
+
+
+def test_all_pairs_by_plain_patience_diff_find_nothing_more(spark):
+    """Recall: every block of 20 words that a diff with any earlier document aligns is gone. Precision:
+    every line that is gone lies in a run of 20 words that some earlier document holds."""
+    rng = random.Random(10)
+    pool = [sentence(rng, n) for n in [12] * 30 + [7] * 30 + [25] * 10]
+    docs = {1: [pool[0], sentence(rng, 8)], 2: [pool[1], sentence(rng, 8)], 3: pool[:2], 4: pool[:2]}  # no single line ties 4 to 3
+    for d in range(5, 70):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(pool) - 8)
+            lines += [sentence(rng, 9)] * rng.randrange(2) + pool[at : at + rng.randrange(1, 7)]
+        docs[d] = lines
+    size = lambda lines: sum(len(x.split()) for x in lines)
+    got = run(spark, [(d, "\n".join(lines)) for d, lines in docs.items()])
+    aligned = gone = 0
+    for d, lines in docs.items():
+        must, may = set(), set()
+        for e in range(1, d):
+            for block in blocks(patience(lines, docs[e])):
+                if size(lines[i] for i, _ in block) >= 20:
+                    must |= {i for i, _ in block}
+            for i in range(len(lines)):
+                for j in range(len(docs[e])):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(docs[e]) and lines[i + n] == docs[e][j + n]:
+                        n += 1
+                    if size(lines[i : i + n]) >= 20:
+                        may |= set(range(i, i + n))
+        assert must <= may
+        left = [x for k, x in enumerate(lines) if k not in may]
+        assert got[d].text.split() == " ".join(left).split(), d
+        aligned, gone = aligned + len(must), gone + len(may)
+    assert aligned > 150 and gone >= aligned
+
+
+def test_very_long_and_repeated_rows(spark):
+    rng = random.Random(11)
+    passage = [sentence(rng, 30) for _ in range(4)]
+    long = [sentence(rng, 10) for _ in range(20_000)]
+    rows = [(1, "\n".join(passage)), (2, "\n".join([*long[:10_000], *passage, *long[10_000:]])), (2, "\n".join([passage[0], "x."])), (3, "\n".join(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.removed_words) for r in ld.line_dedup(docs).collect()}
+    assert got == {(1, 0), (2, 120), (2, 30), (3, 200_000)}

@@ -41,7 +41,6 @@ def test_repeated_passages_go_from_later_documents(stages):
         text = before[d].text.encode().lower().split()
         runs = {tuple(text[k : k + 10]) for k in range(len(text) - 9)}
         left = after[d].text.encode().lower().split() if d in after else []
-        kept = {tuple(left[k : k + 10]) for k in range(len(left) - 9)}
         if not runs & held:  # nothing of it was seen before: it is as it was
             assert after[d].text == before[d].text
         if d in after:
@@ -50,7 +49,6 @@ def test_repeated_passages_go_from_later_documents(stages):
         else:  # all of it was seen before
             assert len(runs & held) >= 0.9 * len(runs)
         held |= runs
-        assert len(kept & (runs & held)) <= len(kept)
     whole = {}
     for d in sorted(after):
         text = after[d].text.encode().lower().split()
