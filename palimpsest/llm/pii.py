@@ -2,14 +2,17 @@
 
 Information-theoretic sanitisation. Patterns find e-mail addresses, IP addresses, card and phone
 numbers; each distinct value is a protected entity. The corpus then says which terms reveal an
-entity: with n documents of n(e) that mention the entity, n(t) that hold the term and n(t, e) that
-hold it within ``CONTEXT`` code points of a mention, the pointwise mutual information
-log(n * n(t, e) / (n(t) * n(e))) is at most the entity's information content log(n / n(e)), and
-their ratio is the share of the entity that the term discloses. Terms above ``GENERALISE`` are
-replaced by a class, above ``REMOVE`` they go. Two documents at least have to agree on a term.
-
-All steps are DataFrame functions. Texts are never shuffled for the statistics: only matches, their
-contexts and (term hash, documents) counts, combined on the map side.
+entity: with n documents of which n(e) mention the entity, n(t) hold the term and n(t, e) do both,
+the pointwise mutual information log(n * n(t, e) / (n(t) * n(e))) is at most the entity's
+information content log(n / n(e)), and their ratio is the share of the entity that the term
+discloses. Terms are words outside of e-mail addresses, anywhere in a document. Every occurrence of a
+disclosing term in the documents that mention the entity is a span: above ``GENERALISE`` it is
+replaced by its initial and its class, above ``CLASS`` by its class, above ``REMOVE`` it goes. Two
+documents at least have to agree on a term.
+
+All steps are DataFrame functions. Only documents with a match are written once for the later steps;
+of all others nothing is kept but (term hash, documents) counts, combined on the map side. A term
+that more documents hold than could leave it the ratio is dropped before it meets the entities.
 
 Defined cases: a null text counts as empty and gives no spans; rows that repeat an id are kept
 apart by their text and equal ones count once as evidence; a null id is kept; an empty table gives
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.columns import numbered
 from palimpsest.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,9 +43,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = r"\p{L}+"
-CONTEXT = 80
 LEAST_DOCUMENTS = 2
-GENERALISE, REMOVE = 0.8, 0.95
+GENERALISE, CLASS, REMOVE = 0.8, 0.875, 0.95
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -59,17 +62,19 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value))
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Valid matches: key and id of the document, kind, entity, first, last, and the text around."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    hits = rows.select(
-        "*",
-        *[
-            F.when(F.col("text").contains(NEEDS[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).alias(k)
-            for k in KINDS
-        ],
-    ).where(reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS]))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """The documents with a match of any pattern, valid or not: doc_id, key, text, and the values by kind."""
+    found = [F.when(F.col("text").contains(NEEDS[k]), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).alias(k) for k in KINDS]
+    return rows.select("*", *found).where(reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])).dropDuplicates(["doc_id", "key"])
+
+
+def matches(hits: DataFrame) -> DataFrame:
+    """Valid matches: doc_id, key, kind, entity, first, last."""
     by_kind = F.array(
         *[
             F.struct(
@@ -82,23 +87,8 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     each = hits.select("doc_id", "key", F.explode(by_kind).alias("m")).where("size(m.values) > 0")
     # Pieces lie between the matches, so their lengths add up to positions.
-    each = each.select(
-        "doc_id",
-        "key",
-        "m.kind",
-        F.posexplode(
-            F.transform(
-                "m.values",
-                lambda v, k: F.struct(
-                    v.alias("value"),
-                    F.length(F.get("m.pieces", k)).alias("gap"),
-                    F.length(F.get("m.pieces", k + 1)).alias("next_gap"),
-                    F.right(F.get("m.pieces", k), F.lit(CONTEXT)).alias("left"),
-                    F.left(F.get("m.pieces", k + 1), F.lit(CONTEXT)).alias("right"),
-                ),
-            )
-        ).alias("nth", "v"),
-    ).dropDuplicates(["doc_id", "key", "kind", "nth"])
+    value = F.transform("m.values", lambda v, k: F.struct(v.alias("value"), F.length(F.get("m.pieces", k)).alias("gap")))
+    each = each.select("doc_id", "key", "m.kind", F.posexplode(value).alias("nth", "v"))
     order = "PARTITION BY doc_id, key, kind ORDER BY nth ROWS UNBOUNDED PRECEDING"
     placed = each.withColumn("last", F.expr(f"sum(v.gap + length(v.value)) OVER ({order})"))
     return placed.where(_valid(F.col("kind"), F.col("v.value"))).select(
@@ -108,74 +98,73 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _entity(F.col("kind"), F.col("v.value")).alias("entity"),
         (F.col("last") - F.length("v.value")).alias("first"),
         "last",
-        "v.gap",
-        "v.next_gap",
-        "v.left",
-        "v.right",
     )
 
 
-def _words(text: Column, base: Column) -> Column:
-    """Words of a context with their positions in the document."""
-    found, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
-    total = lambda values, n: F.aggregate(F.slice(values, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(
-        found,
-        lambda w, k: F.struct(
-            F.lower(w).alias("term"), (base + total(between, k + 1) + total(found, k)).cast("long").alias("first"), F.length(w).alias("n")
-        ),
-    )
+def _masked(text: Column) -> Column:
+    """The text with blanks for its e-mail addresses, which are no terms."""
+    values, pieces = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)), F.split(text, PATTERNS["email"], -1)
+    blank = lambda piece, value: F.concat(piece, F.coalesce(F.repeat(F.lit(" "), F.length(value)), F.lit("")))
+    return F.when(text.contains("@"), F.array_join(F.zip_with(pieces, values, blank), "")).otherwise(text)
 
 
-def context_terms(found: DataFrame) -> DataFrame:
-    """Whole words within CONTEXT code points of a match, up to the next match of its kind."""
-    left_at = F.col("first") - F.length("left")
-    left = F.filter(_words(F.col("left"), left_at), lambda w: (F.col("gap") <= CONTEXT) | (w["first"] > left_at))
-    right_end = F.col("last") + F.length("right")
-    right = F.filter(
-        _words(F.col("right"), F.col("last")), lambda w: (F.col("next_gap") <= CONTEXT) | (w["first"] + w["n"] < right_end)
-    )
-    both = found.select("doc_id", "key", "kind", "entity", F.explode(F.concat(left, right)).alias("w"))
-    return both.select(
-        "doc_id", "key", "kind", "entity", "w.term", "w.first", (F.col("w.first") + F.col("w.n")).alias("last")
-    )
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(_masked(text)), F.lit(WORD), F.lit(0)))
+
 
+def disclosing_terms(rows: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
+    """kind, entity, term and the share of the entity that the term discloses, from GENERALISE on.
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, entity, term and the share of the entity that the term discloses, above GENERALISE."""
-    total = docs.count()
+    ``rows``: all documents; ``hits``: those with a match; ``found``: the matches.
+    """
+    total = rows.count()
     document = ["doc_id", "key"]
-    mentions = found.select(*document, "kind", "entity").distinct().groupBy("kind", "entity").agg(
-        F.count(F.lit(1)).alias("n_e")
-    )
-    pairs = terms.select(*document, "kind", "entity", "term").distinct().groupBy("kind", "entity", "term").agg(
-        F.count(F.lit(1)).alias("n_te")
-    )
-    pairs = pairs.where(F.col("n_te") >= LEAST_DOCUMENTS).withColumn("h", F.xxhash64("term"))
-    text = F.lower(F.col(f"`{text_col}`").cast("string"))
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))).alias("term"))
-    held = held.select(F.xxhash64("term").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
-    counted = pairs.join(held, "h").join(mentions, ["kind", "entity"])
+    mentions = found.select(*document, "kind", "entity").distinct()
+    common = mentions.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= LEAST_DOCUMENTS)
+    mentions = stored(mentions.join(common, ["kind", "entity"]), "pii-mentions")
+    held = rows.select(F.explode(_terms(F.col("text"))).alias("term")).select(F.xxhash64("term").alias("h"))
+    held = held.groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
+    most = mentions.groupBy(*document).agg(F.max("n_e").alias("most"))
+    own = hits.select(*document, "text").join(most, document).select(*document, "most", F.explode(_terms(F.col("text"))).alias("term"))
+    own = own.withColumn("h", F.xxhash64("term")).join(held, "h")
+    # n(t, e) <= n(e), so a ratio r asks for n(t) <= n(e) * (n / n(e)) ** (1 - r).
+    bound = F.col("most") * F.pow(F.lit(float(total)) / F.col("most"), F.lit(1.0 - GENERALISE)) * 1.001
+    own = own.where(F.col("n_t") <= bound).select(*document, "term", "n_t")
+    met = mentions.join(own, document).groupBy("kind", "entity", "n_e", "term", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
     shared = F.log2(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ratio = F.when(content > 0, F.least(shared / content, F.lit(1.0))).otherwise(0.0)
-    return counted.select("kind", "entity", "term", ratio.alias("disclosed")).where(F.col("disclosed") >= GENERALISE)
+    met = met.where(F.col("n_te") >= LEAST_DOCUMENTS).select("kind", "entity", "term", ratio.alias("disclosed"))
+    risky = met.where(F.col("disclosed") >= GENERALISE)
+    return mentions.join(risky, ["kind", "entity"]).groupBy(*document, "term").agg(F.max("disclosed").alias("disclosed"))
+
+
+def _places(hits: DataFrame, risky: DataFrame) -> DataFrame:
+    """doc_id, key, first, last, disclosed of every occurrence of a document's disclosing terms."""
+    document = ["doc_id", "key"]
+    some = hits.select(*document, "text").join(risky.select(*document).distinct(), document, "left_semi")
+    some = some.select(*document, _masked(F.col("text")).alias("text"))
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    each = some.select(*document, F.posexplode(F.arrays_zip(words.alias("w"), F.transform(gaps, lambda g: F.length(g)).alias("gap"))).alias("nth", "z"))
+    order = "PARTITION BY doc_id, key ORDER BY nth ROWS UNBOUNDED PRECEDING"
+    each = each.where("z.w IS NOT NULL").select(
+        *document, F.lower("z.w").alias("term"), F.length("z.w").alias("n"), F.expr(f"sum(z.gap + length(z.w)) OVER ({order})").alias("last")
+    )
+    return each.join(risky, [*document, "term"]).select(*document, (F.col("last") - F.col("n")).alias("first"), "last", "disclosed")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans: doc_id, key, kind, rank of the kind, first, last, action."""
-    found = stored(matches(docs, id_col, text_col), "pii-matches")
-    terms = context_terms(found)
-    risky = disclosing_terms(docs, found, terms, text_col)
-    revealing = terms.join(risky, ["kind", "entity", "term"]).groupBy("doc_id", "key", "first", "last").agg(
-        F.max("disclosed").alias("disclosed")
-    )
+    rows = _keyed(docs, id_col, text_col)
+    hits = stored(_hits(rows), "pii-hits")
+    found = stored(matches(hits), "pii-matches")
+    risky = stored(disclosing_terms(rows, hits, found), "pii-terms")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     base = found.select("doc_id", "key", "kind", rank.alias("rank"), "first", "last", F.lit("replace").alias("action"))
-    action = F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("generalise")
-    return base.unionByName(
-        revealing.select("doc_id", "key", F.lit(TERM).alias("kind"), F.lit(len(KINDS) + 1).alias("rank"), "first", "last", action.alias("action"))
-    )
+    share = F.col("disclosed")
+    action = F.when(share >= REMOVE, "remove").when(share >= CLASS, "class").otherwise("initial")
+    terms = _places(hits, risky).select("doc_id", "key", F.lit(TERM).alias("kind"), F.lit(len(KINDS) + 1).alias("rank"), "first", "last", action.alias("action"))
+    return base.unionByName(terms)
 
 
 def _per_document(all_spans: DataFrame) -> DataFrame:
@@ -207,17 +196,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with matches replaced by their kind, disclosing terms by [TERM] or by nothing.
+    """``docs`` with matches replaced by their kind, disclosing terms by their initial and [TERM], by
+    [TERM] alone or by nothing.
 
     Where spans overlap, the first one counts.
     """
-    per = _per_document(spans(docs, id_col, text_col)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    text = F.col(f"`{text_col}`").cast("string")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    put = lambda s: F.when(s["action"] == "remove", "").when(s["action"] == "generalise", "[TERM]").otherwise(
-        F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    per = _per_document(spans(docs, id_col, text_col)).select(F.col("doc_id").alias("span_id"), F.col("key").alias("span_key"), "spans")
+    own = numbered(docs)
+    name = own.columns[docs.columns.index(text_col)]
+    text = F.col(name).cast("string")
+    same = F.col(own.columns[docs.columns.index(id_col)]).cast("long").eqNullSafe(F.col("span_id")) & (
+        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("span_key")
     )
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    kind = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    initial = lambda s: F.substring(text, (s["first"] + 1).cast("int"), F.lit(1))
+    put = lambda s: F.when(s["action"] == "remove", "").when(s["action"] == "initial", F.concat(initial(s), kind(s))).otherwise(kind(s))
     step = lambda a, s: F.when(
         s["first"] >= a["at"],
         F.struct(
@@ -225,9 +219,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["first"] - a["at"]).cast("int")), put(s)).alias("out"),
         ),
     ).otherwise(a)
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    met = docs.join(per, same, "left")
-    return met.select(*[F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    met = own.join(per, same, "left")
+    return met.select(*[F.when(F.col("spans").isNull(), text).otherwise(clean).alias(c) if c == name else F.col(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def _oracle() -> str:
@@ -242,8 +236,6 @@ def _oracle() -> str:
         f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d"
         for rank, (kind, p) in enumerate(plain.items(), 1)
     )
-    side = """SELECT doc_id, kind, entity, unnest(range(1, len(ws) + 1)) AS k, ws, bs, base, {keep} FROM (
-      SELECT *, regexp_extract_all({text}, '\\p{{L}}+') AS ws, regexp_split_to_array({text}, '\\p{{L}}+') AS bs, {base} AS base FROM found)"""
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({hits}),
@@ -259,24 +251,26 @@ valid AS (
       CASE WHEN (length(digits) - k) % 2 = 0 THEN digits[k]::INT WHEN digits[k]::INT > 4 THEN digits[k]::INT * 2 - 9 ELSE digits[k]::INT * 2 END)) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15 ELSE true END),
 found AS (
-  SELECT doc_id, kind, rank, s, s + length(v) AS e, CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity,
-         length(ps[i]) AS gap, length(ps[i + 1]) AS next_gap, right(ps[i], {CONTEXT}) AS lt, left(ps[i + 1], {CONTEXT}) AS rt FROM valid),
-sides AS ({side.format(text="lt", base="s - length(lt)", keep=f"gap <= {CONTEXT} AS whole, NULL AS stop")}
-  UNION ALL {side.format(text="rt", base="e", keep=f"next_gap <= {CONTEXT} AS whole, e + length(rt) AS stop")}),
-terms AS (
-  SELECT doc_id, kind, entity, lower(ws[k]) AS term, stop, base, whole,
-         base + list_sum(list_transform(bs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:k - 1], lambda x: length(x))), 0) AS s,
-         length(ws[k]) AS n FROM sides WHERE len(ws) > 0),
-near AS (SELECT * FROM terms WHERE whole OR CASE WHEN stop IS NULL THEN s > base ELSE s + n < stop END),
-held AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}+'))) AS term FROM d) GROUP BY 1),
-mentions AS (SELECT kind, entity, count(DISTINCT doc_id) AS n_e FROM found GROUP BY ALL),
-pairs AS (SELECT kind, entity, term, count(DISTINCT doc_id) AS n_te FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= {LEAST_DOCUMENTS}),
+  SELECT doc_id, kind, rank, s, s + length(v) AS e, CASE WHEN kind IN ('card', 'phone') THEN digits ELSE lower(v) END AS entity FROM valid),
+masked AS (
+  SELECT doc_id, array_to_string(list_transform(range(1, len(ps) + 1), lambda k: ps[k] || repeat(' ', coalesce(length(ms[k]), 0))), '') AS t
+  FROM hits WHERE kind = 'email'),
+held AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}+'))) AS term FROM masked),
+mentions AS (SELECT DISTINCT doc_id, kind, entity FROM found),
+n_t AS (SELECT term, count(*) AS n_t FROM held GROUP BY 1),
+n_e AS (SELECT kind, entity, count(*) AS n_e FROM mentions GROUP BY ALL HAVING count(*) >= {LEAST_DOCUMENTS}),
+n_te AS (SELECT kind, entity, term, count(*) AS n_te FROM mentions JOIN n_e USING (kind, entity) JOIN held USING (doc_id) GROUP BY ALL HAVING count(*) >= {LEAST_DOCUMENTS}),
 risky AS (
-  SELECT kind, entity, term FROM pairs JOIN held USING (term) JOIN mentions USING (kind, entity), (SELECT count(*)::DOUBLE AS total FROM d)
+  SELECT kind, entity, term FROM n_te JOIN n_t USING (term) JOIN n_e USING (kind, entity), (SELECT count(*)::DOUBLE AS total FROM d)
   WHERE total > n_e AND least(log2(total * n_te / (n_t * n_e)) / log2(total / n_e), 1) >= {GENERALISE}),
+told AS (SELECT DISTINCT doc_id, term FROM mentions JOIN risky USING (kind, entity)),
+texts AS (
+  SELECT doc_id, regexp_extract_all(t, '\p{{L}}+') AS ws, regexp_split_to_array(t, '\p{{L}}+') AS bs FROM masked WHERE doc_id IN (SELECT doc_id FROM told)),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(bs[1:len(ws)]) AS b, unnest(range(len(ws))) AS k FROM texts WHERE len(ws) > 0),
+at AS (SELECT doc_id, lower(w) AS term, length(w) AS n, sum(length(b) + length(w)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e FROM words),
 spans AS (
   SELECT doc_id, kind, rank, s, e FROM found UNION ALL
-  SELECT DISTINCT doc_id, '{TERM}', {len(KINDS) + 1}, s, s + n FROM near JOIN risky USING (kind, entity, term)),
+  SELECT doc_id, '{TERM}', {len(KINDS) + 1}, e - n, e FROM at JOIN told USING (doc_id, term)),
 per AS (
   SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, count(*) FILTER (kind = '{TERM}') AS n_terms,
          coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> '{TERM}'), '') AS base,

@@ -2,7 +2,7 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ def luhn(digits):
     return total % 10 == 0
 
 
+@cache
 def base(text):
     out = []
     for rank, (kind, pattern) in enumerate(PLAIN.items()):
@@ -39,38 +40,31 @@ def base(text):
     return sorted(out)
 
 
+@cache
+def masked(text):
+    return re.sub(PLAIN["email"], lambda m: " " * len(m[0]), text)
+
+
 def terms(docs):
     """All disclosing terms of (id, text) rows by plain counting."""
     total = len(docs)
-    held, mention, pair, places = Counter(), {}, {}, {}
+    held, mention = {}, {}
     for i, text in set(docs):
         text = text or ""
-        for w in {w.lower() for w in re.findall(r"[^\W\d_]+", text)}:
-            held[w] += 1
-        by_kind = {}
-        for kind, pattern in PLAIN.items():
-            by_kind[kind] = [m.span() for m in re.finditer(pattern, text)]
-        for first, _, kind, last, value in base(text):
+        for m in re.finditer(r"[^\W\d_]+", masked(text)):
+            held.setdefault(m[0].lower(), {}).setdefault((i, text), []).append(m.span())
+        for _, _, kind, _, value in base(text):
             entity = (kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower())
             mention.setdefault(entity, set()).add((i, text))
-            before = max([e for _, e in by_kind[kind] if e <= first], default=0)
-            after = min([s for s, _ in by_kind[kind] if s >= last], default=len(text))
-            lo, hi = max(before, first - 80), min(after, last + 80)
-            for m in re.finditer(r"[^\W\d_]+", text[lo:first] + "\0" * (last - first) + text[last:hi]):
-                s, e = lo + m.start(), lo + m.end()
-                if (s == lo and lo > before) or (e == hi and hi < after):
-                    continue
-                pair.setdefault((entity, m[0].lower()), set()).add((i, text))
-                places.setdefault((entity, m[0].lower()), set()).add((i, text, s, e))
     out = set()
-    for (entity, w), where in pair.items():
-        n_e = len(mention[entity])
-        content = math.log2(total / n_e)
-        if len(where) < 2 or not held[w] or content <= 0:  # a rest of a word that a match cut is no word
-            continue
-        shared = math.log2(total * len(where) / (held[w] * n_e))
-        if min(1, shared / content) >= 0.8:
-            out |= places[(entity, w)]
+    for w, where in held.items():
+        for own in mention.values():
+            both = own & set(where)
+            content = math.log2(total / len(own))
+            if len(both) >= 2 and content > 0:
+                shared = math.log2(total * len(both) / (len(where) * len(own)))
+                if min(1, shared / content) >= 0.8:
+                    out |= {(i, text, s, e) for i, text in both for s, e in where[i, text]}
     return out
 
 
@@ -108,6 +102,28 @@ def test_spans_equal_plain_patterns_and_counts(spark):
     assert sum(len(v) for v in extra.values()) > 30
 
 
+def test_terms_far_from_the_value_are_found(spark):
+    rng = random.Random(9)
+    filler = lambda n: " ".join(rng.choice(["und", "der", "die", "das", "wer"]) for _ in range(n))
+    docs = [(k, f"Zorbina {filler(200)} write to z@hidden.org or {filler(50)}\nZORBINA {filler(k)}") for k in range(6)]
+    docs += [(10, f"{filler(20)} Zorbina alone")] + [(100 + k, filler(60)) for k in range(60)]
+    check(spark, docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(frame).collect()}
+    assert all(got[k].spans.startswith("term:0:7,") and got[k].n_terms >= 2 for k in range(6))
+    assert got[10].n_terms == 0  # no mention there
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert all("zorbina" not in clean[k].lower() and "z@hidden" not in clean[k] for k in range(6))
+
+
+def test_rarer_disclosure_keeps_more_of_a_term(spark):
+    for others, left in ((1, ""), (4, "[TERM]"), (8, "Q[TERM]"), (40, "Quill")):
+        rows = [(k, f"Quill{'' if k else 'a'} wrote a@b.org") for k in range(8)] + [(20 + k, "Quill was here, others write") for k in range(others)]
+        rows += [(100 + k, "plain wrote words") for k in range(2002 - others)]
+        clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 30").collect()}
+        assert clean[3] == f"{left} wrote [EMAIL]" and clean[20] == "Quill was here, others write"
+
+
 def test_sanitised_texts_hold_no_base_match(spark):
     rows = [(k, f"é Zed{k % 2} writes x{k % 2}@y.org from 10.0.0.{k % 2} or +1 (743) 555-3824", "k") for k in range(8)]
     rows += [(100 + k, f"é plain text number {k} of others", "v") for k in range(60)] + [(None, None, None)]
