@@ -267,10 +267,10 @@ told AS (SELECT DISTINCT doc_id, term FROM mentions JOIN risky USING (kind, enti
 texts AS (
   SELECT doc_id, regexp_extract_all(t, '\p{{L}}+') AS ws, regexp_split_to_array(t, '\p{{L}}+') AS bs FROM masked WHERE doc_id IN (SELECT doc_id FROM told)),
 words AS (SELECT doc_id, unnest(ws) AS w, unnest(bs[1:len(ws)]) AS b, unnest(range(len(ws))) AS k FROM texts WHERE len(ws) > 0),
-at AS (SELECT doc_id, lower(w) AS term, length(w) AS n, sum(length(b) + length(w)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e FROM words),
+placed_words AS (SELECT doc_id, lower(w) AS term, length(w) AS n, sum(length(b) + length(w)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT AS e FROM words),
 spans AS (
   SELECT doc_id, kind, rank, s, e FROM found UNION ALL
-  SELECT doc_id, '{TERM}', {len(KINDS) + 1}, e - n, e FROM at JOIN told USING (doc_id, term)),
+  SELECT doc_id, '{TERM}', {len(KINDS) + 1}, e - n, e FROM placed_words JOIN told USING (doc_id, term)),
 per AS (
   SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, count(*) FILTER (kind = '{TERM}') AS n_terms,
          coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> '{TERM}'), '') AS base,
