@@ -3,27 +3,32 @@
 Paragraphs reach to the next line without a word. Their lines are scored one by one, as may be whole
 pages; where a paragraph has several lines, so are overlapping windows over its joined words, of
 twice the words of the longest template, so that a notice wrapped anywhere lies whole in one of them.
-The classifier is a sparse multinomial logistic regression (elastic net) on
-word n-grams of the licence templates, one to three words long. It is trained on bounded, generated
-data: templates with words left out, between words of sampled paragraphs of the corpus, against
-sampled paragraphs themselves. A second such sample calibrates the unknown class: a paragraph that
-is no plain text, but whose best family is less probable than nearly all calibration templates were
-under their own family, is of an unknown licence. A prediction counts as confirmed if the paragraph
-holds enough of the word pairs of one of the family's templates. Windows only count if they are
-confirmed, once a paragraph and family, and only where no line of the paragraph is confirmed by
-itself; lines of that family are then pieces of the notice and not counted as unconfirmed ones.
-
-Everything runs as DataFrame functions and JVM transformers: no Python on the executors. Paragraphs
-without any cue word (a template word that no sampled plain paragraph holds) are plain text and are
-not scored. Nothing is shuffled but findings.
+The classifier is a sparse multinomial logistic regression (elastic net) on word n-grams of licence
+paragraphs, one to three words long; n-grams of nothing but words that sampled plain paragraphs hold
+are no features. It is trained on bounded, generated data: paragraphs of the families with words left
+out, between words of sampled paragraphs of the corpus; paragraphs of other licences, as the class
+``unknown``; and sampled paragraphs themselves, as the class ``none``. Licences that took no part in
+the training calibrate the rest: a family has to be more probable than nearly all of those foreign
+paragraphs make it, or else the paragraph is of an unknown licence, too. A prediction counts as
+confirmed if the paragraph holds enough of the word pairs of one of the family's templates. Windows
+only count if they are confirmed, once a paragraph and family, and only where no line of the paragraph
+is confirmed by itself; lines of that family are then pieces of the notice and not counted as
+unconfirmed ones.
+
+Everything runs as DataFrame functions and JVM transformers: no Python on the executors. A paragraph
+without any word that sets a feature apart from plain text has no feature, and is of the class ``none``
+by the intercepts alone; such paragraphs are not scored. Nothing is shuffled but findings.
 
 Defined cases: a null text, or one without a licence paragraph, gives no findings, empty families
 and zeros; rows that repeat an id are kept apart by their text, and equal ones share one result; a
-null id is kept; an empty table gives an empty result; other columns are not read.
+null id is kept; of equally probable classes the first in order counts; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -33,39 +38,60 @@ from pyspark.sql import functions as F
 from palimpsest.llm.sampling import hashed_sample
 from palimpsest.session import stored
 
-# Usual notices of public licences, by family.
+# Notices and paragraphs of public licences, by family.
 TEMPLATES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU General Public License version 2",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "agpl": [
         "This work is licensed under the GNU Affero General Public License",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -82,20 +108,75 @@ TEMPLATES = {
     "public-domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "proprietary": [
         "Copyright. All rights reserved. No part may be reproduced without written permission.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
 }
+# Other public licences. Every second one takes no part in the training and calibrates it.
+FOREIGN = {
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ],
+    "postgresql": [
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+        "Released under the PostgreSQL License.",
+    ],
+    "eclipse": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution.",
+        "Licensed under the Eclipse Public License, version 2.0",
+    ],
+    "common-development": [
+        "The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License.",
+        "Licensed under the Common Development and Distribution License, version 1.0",
+    ],
+    "zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "Released under the zlib License.",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ],
+    "european-union": [
+        "Licensed under the EUPL, version 1.2 or, as soon as they will be approved by the European Commission, subsequent versions of the EUPL",
+        "SPDX-License-Identifier: EUPL-1.2",
+    ],
+    "academic": [
+        "Licensed under the Academic Free License version 3.0",
+        "SPDX-License-Identifier: AFL-3.0",
+    ],
+    "artistic": [
+        "This library is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+        "Licensed under the Artistic License 2.0.",
+    ],
+    "open-font": [
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "Released under the Open Font License.",
+    ],
+    "fair": [
+        "Usage of the works is permitted provided that this instrument is retained with the works, so that any entity that uses the works is notified of this instrument.",
+        "Licensed under the Fair License.",
+    ],
+    "microsoft-public": [
+        "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software.",
+        "Licensed under the Microsoft Public License.",
+    ],
+}
 PLAIN, UNKNOWN = "none", "unknown"
 #: Bounds: documents sampled for plain paragraphs, and variants of each template.
 SAMPLE_DOCUMENTS = 600
 VARIANTS = 60
+#: Words of the parts of long templates that are trained on.
+PART = 9
 #: A template is confirmed with so large a share of its word pairs.
-CONFIRM = 0.6
-#: Share of calibration templates that the unknown class may take.
-DOUBT = 0.02
+CONFIRM = 0.75
+#: Share of the families' own paragraphs that the threshold may cost at least and at most, and of
+#: foreign ones that it has to leave to the unknown class where the latter allows it.
+DOUBT, MOST_DOUBT, FOREIGN_SHARE = 0.02, 0.1, 0.95
 WORD = r"[\p{L}\p{N}]+"
 #: Between paragraphs: one or more lines without a word.
 BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
@@ -116,18 +197,24 @@ def _grams(words: Column) -> Column:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(family, k, text) for family, texts in TEMPLATES.items() for k, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "family string, nth int, text string").select(
-        "family", "nth", _words(F.col("text")).alias("words")
+    """family (the foreign ones: unknown), nth, words, and whether the paragraph is held back from training."""
+    rows = [(family, k, text, False) for family, texts in TEMPLATES.items() for k, text in enumerate(texts)]
+    rows += [(UNKNOWN, 100 * n + k, text, n % 2 == 1) for n, texts in enumerate(FOREIGN.values()) for k, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "family string, nth int, text string, held boolean").select(
+        "family", "nth", "held", _words(F.col("text")).alias("words")
     )
 
 
 def _training(templates: DataFrame, plain: DataFrame, n_plain: int, salt: int) -> DataFrame:
-    """label, words: variants of templates between plain words, and plain paragraphs."""
+    """family, words: variants of templates between plain words, and plain paragraphs."""
     pick = lambda *cols: F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(max(n_plain, 1)))
     variant = templates.select("*", F.explode(F.sequence(F.lit(1), F.lit(VARIANTS))).alias("v"))
     drop = lambda w, k: (F.col("v") % 3 == 0) | (F.pmod(F.xxhash64(F.lit(salt), F.col("v"), k, w), F.lit(12)) > 0)
     variant = variant.withColumn("words", F.filter("words", drop)).withColumn("at", pick("family", "nth", "v"))
+    # Some of the long paragraphs only in part, as texts quote them.
+    start = F.pmod(F.xxhash64(F.lit(salt), "v", "nth"), F.greatest(F.size("words") - PART, F.lit(1))) + 1
+    part = F.slice("words", start.cast("int"), F.lit(PART))
+    variant = variant.withColumn("words", F.when((F.size("words") > 2 * PART) & (F.col("v") % 5 == 4), part).otherwise(F.col("words")))
     met = variant.join(plain.select("at", F.col("words").alias("around")), "at", "left")
     around = F.coalesce("around", F.array().cast("array<string>"))
     half = (F.col("v") % 4 > 1).cast("int") * F.least(F.size(around), F.lit(40))
@@ -137,6 +224,8 @@ def _training(templates: DataFrame, plain: DataFrame, n_plain: int, salt: int) -
 
 
 class LicenseModel:
+    """``cues``: the words that set features apart from plain text; ``least``: what a family's probability has to reach."""
+
     def __init__(self, vectors: CountVectorizerModel, classifier: LogisticRegressionModel, names: list[str], cues: list[str], least: float):
         self.vectors, self.classifier, self.names, self.cues, self.least = vectors, classifier, names, cues, least
 
@@ -144,8 +233,9 @@ class LicenseModel:
     def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
         spark = docs.sparkSession
         templates = _templates(spark).cache()
-        vocabulary = [r.g for r in templates.select(F.explode(F.array_distinct(_grams(F.col("words")))).alias("g")).distinct().orderBy("g").collect()]
-        single = [g for g in vocabulary if " " not in g]
+        known = templates.where("NOT held")
+        grams = [r.g for r in known.select(F.explode(F.array_distinct(_grams(F.col("words")))).alias("g")).distinct().orderBy("g").collect()]
+        single = [g for g in grams if " " not in g]
         some = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
         some = hashed_sample(some, SAMPLE_DOCUMENTS, "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
         # Words that tell of a licence in any family keep a sampled paragraph out of the plain ones.
@@ -158,21 +248,31 @@ class LicenseModel:
         # Plain words tell nothing; nor do those of one or two letters.
         common = {r.w for r in plain.select(F.explode("words").alias("w")).where(F.col("w").isin(single)).distinct().collect()}
         cues = [w for w in single if w not in common and len(w) > 1]
-        names = [PLAIN, *TEMPLATES]
+        vocabulary = [g for g in grams if not set(cues).isdisjoint(g.split(" "))]
+        names = [PLAIN, *TEMPLATES, UNKNOWN]
         label = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("family")) - 1
-        rows = lambda salt: _training(templates, plain, n_plain, salt).select(
+        rows = lambda of, salt: _training(of, plain, n_plain, salt).select(
             label.cast("double").alias("label"), _grams(F.col("words")).alias("grams")
         )
         vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
         learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60)
-        train = vectors.transform(stored(rows(1), "license-training")).select("label", "features").cache()
+        train = vectors.transform(stored(rows(known, 1), "license-training")).select("label", "features").cache()
         classifier = learner.fit(train)
         train.unpersist()
-        held = classifier.transform(vectors.transform(rows(2))).where("label > 0")
-        own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-        least = held.agg(F.percentile_approx(own, DOUBT, 10_000)).first()[0]
+        intercepts = classifier.interceptVector.toArray()
+        if intercepts.argmax() != 0:  # else paragraphs without a feature would have to be scored
+            raise RuntimeError("the plain class does not lead by its intercept")
+        # Own paragraphs anew, and foreign ones that were held back, by the probability of their (best) family.
+        held = classifier.transform(vectors.transform(rows(templates.where((F.col("family") != UNKNOWN) | F.col("held")), 2))).where("label > 0")
+        p = vector_to_array("probability")
+        last = len(names) - 1
+        foreign = F.col("label") == last
+        own = F.when(~foreign, F.get(p, F.col("label").cast("int")))
+        taken = F.when(foreign, F.array_max(F.slice(p, 2, last - 1)))
+        at = lambda c, share: F.percentile_approx(c, share, 10_000)
+        few, many, other = held.agg(at(own, DOUBT), at(own, MOST_DOUBT), at(taken, FOREIGN_SHARE)).first()
         templates.unpersist()
-        return cls(vectors, classifier, names, cues, least or 0.5)
+        return cls(vectors, classifier, names, cues, min(max(few or 0.5, other or 0.0), many or 0.5))
 
     def findings(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per line or window of a licence: doc_id, key, block (number of the paragraph), window,
@@ -191,9 +291,9 @@ class LicenseModel:
         best = F.get(names, F.col("prediction").cast("int"))
         score = F.get("p", F.col("prediction").cast("int"))
         pairs = F.array_distinct(_runs(F.col("words"), 2))
-        # The templates are a fixed, small table and go along as a literal.
+        # The templates are a fixed, small table and go along as literals.
         overlaps = [
-            F.when(best == family, F.size(F.array_intersect(pairs, F.array(*[F.lit(p) for p in sorted(own)]))) / len(own))
+            F.when(best == family, F.size(F.array_intersect(pairs, F.split(F.lit("|".join(sorted(own))), r"\|"))) / len(own))
             for family, texts in TEMPLATES.items()
             for own in (_pairs(t) for t in texts)
         ]
@@ -222,8 +322,6 @@ def _parts(lines: Column, joined: Column) -> Column:
 
 
 def _word_list(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[^\W_]+", text.lower())
 
 

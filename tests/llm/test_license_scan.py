@@ -1,3 +1,6 @@
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +64,73 @@ def test_wrapped_notices(spark, model):
             expected[10 * k + n] = (family, 1)
     got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     assert {r.doc_id: (r.families, r.n_confirmed) for r in got} == expected
+
+
+#: One-line notices and paragraphs of licences that no template is made of.
+STRANGE = [
+    "Licensed under the Fair Example License, edition 7.",
+    "Licensed under the Eclipse Public License, version 1.0",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Licensed under the Common Public License version 1.0",
+    "This file is distributed under the University of Illinois Open Source License. See LICENSE.TXT for details.",
+    "Released under the Python Software Foundation License.",
+    "This software is licensed under the Sleepycat License.",
+    "Released under the Beerware License.",
+    "Licensed under the Open Software License version 3.0",
+    "Distributed under the Boost Software License, Version 1.0.",
+    *[text for n, texts in enumerate(ls.FOREIGN.values()) for text in texts if n % 2],  # held back from the training
+]
+
+
+def test_foreign_licenses_are_unknown(spark, model):
+    docs = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ls.scan(docs, model).collect()}
+    assert not {k: r.families for k, r in got.items() if r.families}
+    found = [k for k, r in got.items() if r.n_unknown + r.n_unconfirmed]
+    unknown = [k for k, r in got.items() if r.n_unknown]
+    assert len(found) >= 0.9 * len(STRANGE), sorted(set(got) - set(found))
+    assert len(unknown) >= 0.8 * len(STRANGE), sorted(set(got) - set(unknown))
+
+
+def test_versions_and_parts_of_notices(spark, model):
+    rows = [(1, "GNU General Public License version 2", "gpl"), (2, ls.TEMPLATES["mit"][-1], "mit"), (3, ls.TEMPLATES["bsd"][2], "bsd")]
+    got = {r.doc_id: r.families for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string, f string"), model).collect()}
+    assert got == {k: f for k, _, f in rows}
+    part = spark.createDataFrame([(1, "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED")], "doc_id long, text string")
+    row = ls.scan(part, model).first()
+    assert row.n_unconfirmed + row.n_unknown == 1 and row.families == "", row
+
+
+def test_scores_equal_those_of_the_printed_weights(spark, documents, model):
+    """Every line of the fixtures and of the strange notices, scored by plain Python."""
+    vocabulary = {g: k for k, g in enumerate(model.vectors.vocabulary)}
+    weights, intercepts = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(10_000 + k, t) for k, t in enumerate(STRANGE)]
+    expected = {}
+    for d, text in rows:
+        for block, paragraph in enumerate(re.split(r"\n(?:[^\w\n]*\n)+", text or "")):
+            lines = paragraph.split("\n")
+            for k, line in enumerate(lines):
+                words = re.findall(r"[^\W_]+", line.lower())
+                grams = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+                scores = intercepts.copy()
+                for g in grams:
+                    if g in vocabulary:
+                        scores += weights[:, vocabulary[g]]
+                best = int(scores.argmax())
+                if best:
+                    p = math.exp(scores[best]) / sum(map(math.exp, scores))
+                    name = model.names[best] if p >= model.least else ls.UNKNOWN
+                    pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+                    near = max((len(pairs & ls._pairs(t)) / len(ls._pairs(t)) for t in ls.TEMPLATES.get(model.names[best], [])), default=0)
+                    expected[d, block, k] = (name, round(p, 6), near >= ls.CONFIRM and name != ls.UNKNOWN, round(near, 6))
+    found = model.findings(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT window").collect()
+    got = {(r.doc_id, r.block, r.line_no): (r.family, round(r.score, 6), r.confirmed, round(r.overlap, 6)) for r in found}
+    assert got == expected and len(got) > 20
+
+
+def test_very_long_and_repeated_rows(spark, model):
+    long = "erst thnt " * 200_000
+    rows = [(1, f"{long}\n\n{LINES['mit']}\n\n{long}"), (1, "plain"), (1, "plain"), (2, "\n".join([LINES["apache"]] * 50))]
+    got = sorted((r.doc_id, r.families, r.n_confirmed) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert got == [(1, "", 0), (1, "", 0), (1, "mit", 1), (2, "apache", 50)]
