@@ -95,3 +95,39 @@ def normalise_rotation(degrees: Column) -> Column:
 def strictest(*limits: Column) -> Column:
     """The least of the limits that are known."""
     return reduce(lambda a, b: F.least(a, b), limits) if len(limits) > 1 else limits[0]
+
+
+def regions_match(left: tuple[Column, ...], right: tuple[Column, ...]) -> Column:
+    """Whether two regions (x, y, width, height, rotation) count as the same."""
+    near = [F.abs(a - b) < (0.01 if k == 4 else 1e-4) for k, (a, b) in enumerate(zip(left, right, strict=True))]
+    return reduce(lambda a, b: a & b, near)
+
+
+def drawn_region(x0: Column, y0: Column, x1: Column, y1: Column, least: float) -> Column:
+    """The region between two points, in shares of a picture: within it, and no side below ``least``."""
+    clamp = lambda v, low, high: F.least(F.greatest(v, F.lit(low)), high)
+    x, y = F.least(x0, x1), F.least(y0, y1)
+    return F.struct(
+        clamp(x, 0.0, F.lit(1 - least)).alias("x"),
+        clamp(y, 0.0, F.lit(1 - least)).alias("y"),
+        clamp(F.abs(x1 - x0), least, 1 - x).alias("width"),
+        clamp(F.abs(y1 - y0), least, 1 - y).alias("height"),
+    )
+
+
+def matches_whole(value: Column, pattern: str) -> Column:
+    return F.coalesce(value, F.lit("")).rlike(f"^(?:{pattern})$")
+
+
+# Forms of identifiers.
+IDENTIFIERS = {
+    "set_id": "[a-z0-9]+(?:-[a-z0-9]+)*",
+    "entity_type": "[a-z0-9]+(?:_[a-z0-9]+)*",
+    "occurrence_id": "pic_[0-9a-f]{64}",
+    "block_id": "b_[0-9a-f]{64}",
+}
+
+
+def display_name(given: Column, filename: Column) -> Column:
+    """A session's name: the one given, or if that is blank the title of its file."""
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), file_stem(filename))

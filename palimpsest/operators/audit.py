@@ -8,6 +8,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,37 +22,57 @@ def canonical_json(columns: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def _link(event: Column, previous: Column) -> Column:
-    """Hash of an event: its envelope as canonical JSON. The payload is JSON already and goes in as it is."""
+def _envelope(event: Column, previous: Column) -> Column:
+    """An event as canonical JSON. The payload is JSON already and goes in as it is."""
     text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
     parts = []
     for k in ENVELOPE:
         value = event["payload"] if k == "payload" else text(previous) if k == "previous_hash" else text(event[k])
         parts += [F.lit(("," if parts else "{") + f'"{k}":'), value]
-    return F.sha2(F.concat(*parts, F.lit("}")), 256)
+    return F.concat(*parts, F.lit("}"))
+
+
+def _link(event: Column, previous: Column) -> Column:
+    return F.sha2(_envelope(event, previous), 256)
+
+
+def _halves(event: Column) -> tuple[Column, Column]:
+    """An event's envelope before and after the previous hash."""
+    none = F.lit(None).cast("string")
+    whole = _envelope(event, none)
+    mark = '"previous_hash":null'
+    at = F.length(F.substring_index(whole, mark, -1))  # the session's id alone stands behind it
+    return F.left(whole, F.length(whole) - at - len("null")), F.right(whole, at)
 
 
 def build_chain(events: DataFrame, session: str = "session_id") -> DataFrame:
     """Add previous_hash and event_hash along seq within each session.
 
-    A hash needs the one before, so each session is one ordered fold; sessions are independent.
+    A hash needs the one before, so a session is read in order, in one stream that carries nothing but
+    the last hash; sessions are independent, and none has to fit in memory.
     """
     fields = [c for c in events.columns if c != session]
-    row = F.struct("seq", *[c for c in fields if c != "seq"], F.col(session).cast("string").alias("session_id"))
-    per = events.groupBy(session).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.array().cast("array<string>")
-
-    def step(done: Column, event: Column) -> Column:
-        return F.concat(done, F.array(_link(event, F.try_element_at(done, F.lit(-1)))))
-
-    per = per.withColumn("hashes", F.aggregate("rows", start, step))
-    each = per.select(session, "hashes", F.posexplode("rows").alias("pos", "e"))
-    return each.select(
-        session,
-        *[F.col(f"e.{c}").alias(c) for c in fields],
-        F.when(F.col("pos") > 0, F.get("hashes", F.col("pos") - 1)).alias("previous_hash"),
-        F.get("hashes", F.col("pos")).alias("event_hash"),
-    )
+    row = F.struct(*fields, F.col(session).cast("string").alias("session_id"))
+    before, after = _halves(row)
+    dealt = events.select(session, *fields, before.alias("_before"), after.alias("_after")).repartition(session).sortWithinPartitions(session, "seq")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = None, None
+        for batch in batches:
+            previous, hashes = [], []
+            sessions, first, second = (batch.column(c).to_pylist() for c in (session, "_before", "_after"))
+            for key, head, tail in zip(sessions, first, second, strict=True):
+                if own != (key,):
+                    own, last = (key,), None
+                previous.append(last)
+                last = hashlib.sha256((head + (f'"{last}"' if last else "null") + tail).encode()).hexdigest()
+                hashes.append(last)
+            kept = [batch.column(c) for c in (session, *fields)]
+            yield pa.record_batch([*kept, pa.array(previous, pa.string()), pa.array(hashes, pa.string())], [session, *fields, "previous_hash", "event_hash"])
+
+    types = [events.schema[c] for c in (session, *fields)]
+    schema = T.StructType([*types, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())])
+    return dealt.mapInArrow(chain, schema)
 
 
 def verify_chain(chain: DataFrame, session: str = "session_id") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,55 +15,73 @@ from palimpsest.schemas import POLICY_KEYS
 
 ITEM = (
     "entity_type string, data_subject_context string, label string, confidence string, line_id string, "
-    "exact_text string, description string, reason string"
+    "exact_text string, description string, reason string, target_region string, audio_range string"
 )
+REGION = "x string, y string, width string, height string"
 
 
-def _object_at(text: str, start: int) -> tuple[str | None, int]:
-    """The object that opens at ``start``, mended if need be, and where it ends.
-
-    Mending: one brace that is missing before a bracket closes, and the last one at the end.
-    """
-    stack, in_string, escaped, out, mended = [], False, False, [], False
-    for k in range(start, len(text)):
-        c = text[k]
-        if in_string:
-            in_string = escaped or c != '"'
-            escaped = not escaped and c == "\\"
-        elif c == '"':
-            in_string = True
-        elif c in "{[":
-            stack.append(c)
-        elif c in "}]":
-            if c == "]" and stack[-1:] == ["{"] and "[" in stack and not mended:
-                out.append("}")
-                stack.pop()
-                mended = True
-            if not stack or (stack[-1] == "{") != (c == "}"):
-                return None, k
-            stack.pop()
-        out.append(c)
-        if not stack:
-            return "".join(out), k + 1
-    if stack == ["{"] and not in_string:
-        return "".join(out) + "}", len(text)
-    return None, len(text)
+#: Strings and brackets of a JSON text; a string that never ends reaches to the end.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[][{}]', re.S)
+_DECODER = json.JSONDecoder()
 
 
-def first_object(text: str | None) -> str | None:
-    """The first JSON object that stands in a text, as canonical JSON; null if there is none."""
-    text = text or ""
+def _candidates(text: str) -> Iterator[int]:
+    """Where objects open that lie in no other one. A closing bracket of the wrong kind ends them all."""
     at = text.find("{")
     while at >= 0:
-        found, end = _object_at(text, at)
-        if found is not None:
-            try:
-                value = json.loads(found)
-            except ValueError:
-                value = None
-            if isinstance(value, dict):
-                return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        at = text.find("{", max(end, at + 1))  # braces within one that never closes are no start
+        yield at
+        due, end = "", len(text)
+        for token in _TOKEN.finditer(text, at):
+            mark = token[0]
+            if mark in "{[":
+                due += "}" if mark == "{" else "]"
+            elif mark in "}]":
+                due = due[:-1] if due[-1] == mark else ""
+                if not due:
+                    end = token.end()
+                    break
+        at = text.find("{", end)
+
+
+def _settled(text: str) -> bool:
+    """Whether strings and brackets close in the text, but for one brace at most that opens last."""
+    marks = "".join(t for t in _TOKEN.findall(text) if len(t) == 1 or not t.endswith('"'))
+    while (less := marks.replace("{}", "").replace("[]", "")) != marks:
+        marks = less
+    return marks in ("", "{")
+
+
+def _decoded(text: str):
+    """The value at the start of a text, or None. The decoder tells where it missed what: before a
+    closing bracket one brace may be added, and one at the end."""
+    mended = closed = False
+    while True:
+        try:
+            value, end = _DECODER.raw_decode(text)
+        except json.JSONDecodeError as error:
+            at = error.pos
+            if at >= len(text) and not closed:
+                text, closed = text + "}", True
+            elif text[at : at + 1] == "]" and not (mended or closed):
+                text, mended = f"{text[:at]}}}{text[at:]}", True
+            else:
+                return None
+        else:
+            return value if not mended or _settled(text[end:]) else None
+
+
+def first_object(text: str | None) -> str | None:
+    """The first JSON object that stands in a text, as canonical JSON; null if there is none.
+
+    Fences around the whole text go; an object within one that cannot be read is none of its own.
+    """
+    text = (text or "").strip()
+    if text.startswith("```"):
+        text = re.sub(r"\n[^\S\n]*```\s*\Z", "", text.partition("\n")[2])
+    for at in _candidates(text):
+        value = _decoded(text[at:])
+        if isinstance(value, dict):
+            return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     return None
 
 
@@ -70,9 +90,11 @@ def json_object(values: pd.Series) -> pd.Series:
     return values.map(first_object)
 
 
-def items(responses: DataFrame, key: str, raw: str) -> DataFrame:
+def items(responses: DataFrame, key: str, raw: str, kind: str = "text") -> DataFrame:
     """One row per item of ``findings``: key, pos, item fields, reject (a reason, or null).
 
+    ``kind``: text items name a line and its text, image items a region, audio items a range.
+
     A response without a list of findings, or with a policy-owned key in any item, fails whole: one
     row with pos -1.
     """
@@ -85,13 +107,26 @@ def items(responses: DataFrame, key: str, raw: str) -> DataFrame:
     parsed = each.withColumn("i", F.from_json("raw", ITEM))
     confidence = F.col("i.confidence").try_cast("double")
     is_object = F.json_object_keys("raw").isNotNull()
+    bounds = F.from_json("i.audio_range", "start_time double, end_time double")
+    region = F.from_json("i.target_region", REGION)
+    box = clamp_region(region["x"], region["y"], region["width"], region["height"])
+    is_region = F.json_object_keys("i.target_region").isNotNull()
+    start, end = bounds["start_time"], bounds["end_time"]
     reject = (
         F.when(F.col("failed").isNotNull(), F.col("failed"))
         .when(~F.coalesce(is_object, F.lit(False)), "not_an_object")
         .when(F.col("i.confidence").isNotNull() & (confidence.isNull() | ~confidence.between(0, 1)), "confidence")
-        .when(F.coalesce(F.col("i.line_id"), F.lit("")) == "", "line_id")
-        .when(F.coalesce(F.col("i.exact_text"), F.lit("")) == "", "exact_text")
     )
+    if kind == "image":
+        reject = reject.when(~is_region | box.isNull(), "target_region")
+        target = [F.when(is_region, box).alias("region")]
+    elif kind == "audio":
+        reject = reject.when(~F.coalesce((start >= 0) & (end > start), F.lit(False)), "audio_range")
+        target = [start.alias("start_time"), end.alias("end_time")]
+    else:
+        reject = reject.when(F.coalesce(F.col("i.line_id"), F.lit("")) == "", "line_id")
+        reject = reject.when(F.coalesce(F.col("i.exact_text"), F.lit("")) == "", "exact_text")
+        target = [F.col("i.line_id").alias("line_id"), F.col("i.exact_text").alias("exact_text")]
     # A missing type is unknown; one that is null stays null.
     has_type = F.array_contains(F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")), "entity_type")
     return parsed.select(
@@ -99,12 +134,24 @@ def items(responses: DataFrame, key: str, raw: str) -> DataFrame:
         F.when(F.col("failed").isNotNull(), -1).otherwise(F.col("pos")).alias("pos"),
         F.when(has_type, F.col("i.entity_type")).otherwise(F.when(F.col("failed").isNull(), "unknown")).alias("entity_type"),
         confidence.alias("confidence"),
-        F.col("i.line_id").alias("line_id"),
-        F.col("i.exact_text").alias("exact_text"),
+        *target,
         reject.alias("reject"),
     )
 
 
+def parse_outcomes(responses: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Per response: parse_status, and how many items were parsed and rejected (null if it failed)."""
+    per = found.groupBy(key).agg(
+        F.max(F.col("pos") < 0).alias("failed"), F.count_if(F.col("reject").isNull()).alias("parsed"), F.count_if(F.col("reject").isNotNull()).alias("rejected")
+    )
+    met = responses.select(key).join(per, key, "left")
+    ok = ~F.coalesce("failed", F.lit(False))
+    count = lambda c: F.when(ok, F.coalesce(c, F.lit(0)))
+    return met.select(
+        key, F.when(ok, "succeeded").otherwise("failed").alias("parse_status"), count("parsed").alias("parsed_findings"), count("rejected").alias("rejected_findings")
+    )
+
+
 def unit(value: Column, default: float) -> Column:
     return F.least(F.greatest(F.coalesce(value.try_cast("double"), F.lit(default)), F.lit(0.0)), F.lit(1.0))
 

@@ -39,40 +39,43 @@ def page_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select(F.col(id_col), nth.alias("line_no"), F.format_string("l%04d", nth).alias("line_id"), "text")
 
 
-def greedy_batches(costs: Column, limit: int) -> Column:
-    """For each cost the number of its batch (from 1): in order, a batch is closed when the next cost
-    would exceed the limit."""
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+def greedy_batches(lines: Column, limit: int) -> Column:
+    """Batches of lines (struct no, cost) in order: a batch is closed when the next cost would exceed
+    the limit. What the fold carries is the open batch; only closed ones are added to the result."""
+    kind = "struct<first_line: bigint, last_line: bigint, n_lines: bigint, cost: bigint>"
+    none = F.lit(None).cast(kind)
+    one = lambda first, line, n, cost: F.struct(
+        first.cast("long").alias("first_line"), line["no"].cast("long").alias("last_line"), n.cast("long").alias("n_lines"), cost.cast("long").alias("cost")
+    )
+    start = F.struct(none.alias("open"), F.array().cast(f"array<{kind}>").alias("closed"))
 
-    def step(a: Column, cost: Column) -> Column:
-        full = (a["used"] > 0) & (a["used"] + cost > limit)
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        used = F.when(full, cost).otherwise(a["used"] + cost)
-        return F.struct(batch.alias("batch"), used.cast("long").alias("used"), F.concat(a["out"], F.array(batch)).alias("out"))
+    def step(a: Column, line: Column) -> Column:
+        full = a["open"].isNotNull() & (a["open"]["cost"] > 0) & (a["open"]["cost"] + line["cost"] > limit)
+        fresh = full | a["open"].isNull()
+        begun = one(line["no"], line, F.lit(1), line["cost"])
+        grown = one(a["open"]["first_line"], line, a["open"]["n_lines"] + 1, a["open"]["cost"] + line["cost"])
+        closed = F.when(full, F.concat(a["closed"], F.array(a["open"]))).otherwise(a["closed"])
+        return F.struct(F.when(fresh, begun).otherwise(grown).alias("open"), closed.alias("closed"))
 
-    return F.aggregate(costs, start, step, lambda a: a["out"])
+    return F.aggregate(lines, start, step, lambda a: F.when(a["open"].isNull(), a["closed"]).otherwise(F.concat(a["closed"], F.array(a["open"]))))
 
 
 def batches(lines: DataFrame, limit: int, source: str = "doc_id") -> DataFrame:
     """source, batch, first_line, last_line, n_lines, cost over rows (source, line_no, cost).
 
     A line above the limit fails its whole source, which then has one row with batch 0. Only numbers
-    are shuffled; a source's costs are one array.
+    are shuffled, once; a source's costs are one array.
     """
     row = F.struct(F.col("line_no").alias("no"), F.col("cost").cast("long").alias("cost"))
-    per = lines.groupBy(source).agg(F.array_sort(F.collect_list(row)).alias("lines"), (F.max("cost") > limit).alias("failed"))
-    costs = F.transform("lines", lambda s: s["cost"])
-    numbers = F.when(F.col("failed"), F.transform("lines", lambda s: F.lit(0))).otherwise(greedy_batches(costs, limit))
-    each = per.select(source, "failed", F.explode(F.arrays_zip("lines", numbers.alias("batch"))).alias("z"))
-    out = each.groupBy(source, "failed", F.col("z.batch").alias("batch")).agg(
-        F.min("z.lines.no").cast("long").alias("first_line"),
-        F.max("z.lines.no").cast("long").alias("last_line"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum("z.lines.cost").alias("_sum"),
-        F.max("z.lines.cost").alias("_most"),
-    )
-    cost = F.when(F.col("failed"), F.col("_most")).otherwise(F.col("_sum")).alias("cost")
-    return out.select(source, "batch", "first_line", "last_line", "n_lines", cost)
+    per = lines.groupBy(source).agg(F.array_sort(F.collect_list(row)).alias("lines"), F.max("cost").cast("long").alias("most"))
+    whole = F.struct(
+        F.get("lines", F.lit(0))["no"].cast("long").alias("first_line"), F.element_at("lines", -1)["no"].cast("long").alias("last_line"),
+        F.size("lines").cast("long").alias("n_lines"), F.col("most").alias("cost"),
+    )
+    failed = F.col("most") > limit
+    found = F.when(failed, F.array(whole)).otherwise(greedy_batches(F.col("lines"), limit))
+    each = per.select(source, failed.alias("failed"), F.posexplode(found).alias("pos", "b"))
+    return each.select(source, F.when(F.col("failed"), 0).otherwise(F.col("pos") + 1).alias("batch"), "b.*")
 
 
 def text_batches(docs: DataFrame, limit: int) -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.session import stored
+
+# The characters that stand for a hyphen at a line's end, and the rules of matching.
+SOFT_HYPHENS = "­￾"
+CONTAINED, COVERAGE = 0.65, 0.35
+LEAST_SCORE, LEAST_MARGIN = 0.7, 0.05
+
 
 def signature_distance(a: Column, b: Column) -> Column:
     """Mean absolute difference; null if the signatures are empty or of different lengths."""
@@ -16,99 +24,205 @@ def signature_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), total / F.size(a))
 
 
-def similarity_ratio(a: str, b: str) -> float:
-    """0 if one is empty, 1 if equal; if one contains the other, 0.65 and 0.35 of the ratio of lengths;
-    else the ratio of matching blocks."""
-    if not a or not b:
+# --- texts for comparison --------------------------------------------------------------------
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _plain(character: str) -> str:
+    return unicodedata.normalize("NFKC", "-" if character in SOFT_HYPHENS else character).casefold()
+
+
+def projections(values: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+    """Texts for comparison, and where each of their characters begins and ends in the original.
+
+    Soft hyphens become hyphens, all else its compatibility form, case folded; a run of white space
+    becomes one space that reaches over the run, and goes at either end. The whole batch is one array
+    of characters: each different character is looked up once.
+    """
+    points = _points("".join(values))
+    length = np.array([len(v) for v in values], np.int64)
+    begin = np.cumsum(length) - length
+    alphabet, kind = np.unique(points, return_inverse=True)
+    images = [_plain(chr(p)) for p in alphabet]
+    letters, blanks = _points("".join(images)), np.array([c.isspace() for c in "".join(images)], bool)
+    size = np.array([len(x) for x in images], np.int64)
+    at = np.cumsum(size) - size
+    n = size[kind]
+    source = np.repeat(np.arange(len(points)), n)
+    image = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[kind], n)
+    owner = np.repeat(np.repeat(np.arange(len(values)), length), n)
+    blank, last = blanks[image], source.copy()
+    # Runs of white space: from one whose left neighbour is none, to one whose right neighbour is none.
+    first_of_text = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    last_of_text = np.append(owner[1:] != owner[:-1], True)[-len(owner) :] if len(owner) else first_of_text
+    opens = np.flatnonzero(blank & (first_of_text | ~np.append(False, blank[:-1])[: len(blank)]))
+    closes = np.flatnonzero(blank & (last_of_text | ~np.append(blank[1:], False)[: len(blank)]))
+    inner = ~first_of_text[opens] & ~last_of_text[closes]
+    keep = ~blank
+    keep[opens[inner]] = True
+    last[opens[inner]] = source[closes[inner]]
+    chosen = np.flatnonzero(keep)
+    out = np.where(blank, np.uint32(32), letters[image])[chosen] if len(image) else np.zeros(0, np.uint32)
+    starts, ends = source[chosen] - begin[owner[chosen]], last[chosen] + 1 - begin[owner[chosen]]
+    bounds = np.searchsorted(owner[chosen], np.arange(len(values) + 1))
+    text = out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    cut = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [text[c] for c in cut], [starts[c] for c in cut], [ends[c] for c in cut]
+
+
+_INTS = T.ArrayType(T.IntegerType())
+PROJECTION = T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", _INTS), T.StructField("ends", _INTS)])
+BOTH = T.StructType([T.StructField(f"{k}_{f.name}", f.dataType) for k in "pc" for f in PROJECTION.fields])
+
+
+def _column(values: pd.Series) -> list[str]:
+    return ["" if v is None else v for v in values]
+
+
+@F.pandas_udf(PROJECTION)
+def comparison_projection(values: pd.Series) -> pd.DataFrame:
+    """``projections`` of a column; a null is an empty text."""
+    texts, starts, ends = projections(_column(values))
+    return pd.DataFrame({"text": texts, "starts": [x.astype(np.int32) for x in starts], "ends": [x.astype(np.int32) for x in ends]})
+
+
+@F.pandas_udf(BOTH)
+def both_projections(values: pd.Series) -> pd.DataFrame:
+    """``projections`` of a column (p_), and the same without their spaces (c_)."""
+    whole = projections(_column(values))
+    letters = [_points(t) != 32 for t in whole[0]]
+    out: dict[str, list] = {"p_text": whole[0], "c_text": [t.replace(" ", "") for t in whole[0]]}
+    for name, side in (("starts", whole[1]), ("ends", whole[2])):
+        out[f"p_{name}"] = [x.astype(np.int32) for x in side]
+        out[f"c_{name}"] = [x[keep].astype(np.int32) for x, keep in zip(side, letters, strict=True)]
+    return pd.DataFrame(out, columns=[f.name for f in BOTH.fields])
+
+
+def only_at(text: Column, sought: Column) -> Column:
+    """Where a text that is not empty begins in another one (from 0), null unless it occurs once."""
+    first = F.call_function("locate", sought, text)
+    once = (F.length(sought) > 0) & (first > 0) & (F.call_function("locate", sought, text, first + 1) == 0)
+    return F.when(once, first - 1)
+
+
+def span_at(starts: Column, ends: Column, at: Column, length: Column) -> Column:
+    """Original range of so many projected characters from a place on."""
+    return F.struct(F.get(starts, at).alias("start"), F.get(ends, at + length - 1).alias("end"))
+
+
+def unique_span(haystack: Column, needle: Column) -> Column:
+    """Original range of a projected needle in a projected haystack, null unless it occurs once."""
+    at = only_at(haystack["text"], needle["text"])
+    return F.when(at.isNotNull(), span_at(haystack["starts"], haystack["ends"], at, F.length(needle["text"])))
+
+
+# --- similarity ------------------------------------------------------------------------------
+
+def _longest_block(rows: list[int]) -> tuple[int, int, int]:
+    """Length and last places of the longest diagonal of ones; of equal ones the first in rows, then in
+    bits. Bit j of row i: whether character j of one text is character i of the other.
+
+    Runs of twice the length come from runs that lie so far apart, so a few passes find the longest.
+    """
+    if not any(rows):
+        return 0, 0, 0
+    grown = lambda ends, runs, n: [0] * n + [(a << n) & b for a, b in zip(ends, runs[n:], strict=False)]
+    doubled = [rows]
+    while any(longer := grown(doubled[-1], doubled[-1], 1 << (len(doubled) - 1))):
+        doubled.append(longer)
+    best, length = doubled[-1], 1 << (len(doubled) - 1)
+    for k in reversed(range(len(doubled) - 1)):
+        if any(longer := grown(best, doubled[k], 1 << k)):
+            best, length = longer, length + (1 << k)
+    at = next(i for i, row in enumerate(best) if row)
+    return length, at, (best[at] & -best[at]).bit_length() - 1
+
+
+def matched_characters(a: str, b: str) -> int:
+    """Characters in the longest common block, and in those of what lies before and behind it, and so
+    on. Of blocks of the same length the first one in ``a`` counts, and there the first one in ``b``."""
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    rows = [places.get(c, 0) for c in a]
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        window = (1 << b1) - (1 << b0)
+        n, i, j = _longest_block([row & window for row in rows[a0:a1]])
+        if n:
+            total += n
+            last = a0 + i + 1
+            todo += [s for s in ((a0, last - n, b0, j + 1 - n), (last, a1, j + 1, b1)) if s[0] < s[1] and s[2] < s[3]]
+    return total
+
+
+def score(a: str, b: str) -> float:
+    """Of two projected texts: 0 if one is empty, 1 if they are equal; for one within the other a
+    fixed part and one by the share that it covers; else the share of matched characters."""
+    if not (a and b):
         return 0.0
     if a == b:
         return 1.0
     short, long = sorted((a, b), key=len)
     if short in long:
-        return 0.65 + 0.35 * len(short) / len(long)
-    return SequenceMatcher(None, a, b).ratio()
+        return CONTAINED + COVERAGE * len(short) / len(long)
+    return 2 * matched_characters(a, b) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def projected_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``score`` of columns of projected texts."""
+    return pd.Series([score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def unique_best(scored: DataFrame, key: str, candidate: str, least: float = 0.7, margin: float = 0.05) -> DataFrame:
-    """The best candidate of each key if it scores enough and leads the next one by the margin."""
-    by_score = Window.partitionBy(key).orderBy(F.col("score").desc(), candidate)
-    ranked = scored.withColumn("rank", F.row_number().over(by_score)).withColumn("next", F.lead("score").over(by_score))
-    return ranked.where((F.col("rank") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
-
-
-def greedy_assignment(candidates: DataFrame, group: str, limit: float) -> DataFrame:
-    """One-to-one pairs within each group: least distance first, each side used once.
-
-    ``candidates``: group, left_id, right_id, distance. Inherently sequential within a group; groups
-    are independent.
-    """
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``score`` of columns of any texts."""
+    left, right = (projections(_column(side))[0] for side in (a, b))
+    return pd.Series([score(x, y) for x, y in zip(left, right, strict=True)], dtype=float)
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, out = set(), set(), []
-        for r in rows.sort_values(["distance", "left_id", "right_id"]).itertuples(index=False):
-            if r.left_id not in used_left and r.right_id not in used_right:
-                used_left.add(r.left_id)
-                used_right.add(r.right_id)
-                out.append(r)
-        return pd.DataFrame(out, columns=rows.columns)
 
-    near = candidates.where(F.col("distance") <= limit).select(group, "left_id", "right_id", "distance")
-    return near.groupBy(group).applyInPandas(assign, near.schema)
+def may_matter(a: Column, b: Column) -> Column:
+    """False for projected texts that score less than a match's least score less its margin: such a
+    pair is no match and stands in no other one's way. Only lengths and containment are looked at."""
+    floor = LEAST_SCORE - LEAST_MARGIN
+    bound = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    return (F.length(a) > 0) & (F.length(b) > 0) & ((bound >= floor) | a.contains(b) | b.contains(a))
 
 
-PROJECTION = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("starts", T.ArrayType(T.IntegerType())),
-        T.StructField("ends", T.ArrayType(T.IntegerType())),
-    ]
-)
+def unique_best(scored: DataFrame, key: str | list[str], candidate: str, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN) -> DataFrame:
+    """The best candidate of each key if it scores enough and leads the next one by the margin."""
+    keys = [key] if isinstance(key, str) else key
+    by_score = Window.partitionBy(*keys).orderBy(F.col("score").desc(), candidate)
+    ranked = scored.withColumn("rank", F.row_number().over(by_score)).withColumn("next", F.lead("score").over(by_score))
+    return ranked.where((F.col("rank") == 1) & (F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin)))
 
 
-@F.pandas_udf(PROJECTION)
-def comparison_projection(values: pd.Series) -> pd.DataFrame:
-    """Text for comparison (soft hyphens as hyphens, NFKC, case folded, white space collapsed) and
-    where each of its characters begins and ends in the original."""
-    import unicodedata
-
-    out = []
-    for value in values:
-        chars: list[str] = []
-        starts: list[int] = []
-        ends: list[int] = []
-        for k, c in enumerate(value or ""):
-            c = "-" if c in "­￾" else c
-            for x in unicodedata.normalize("NFKC", c).casefold():
-                if x.isspace():
-                    if not chars:
-                        continue
-                    if chars[-1] == " ":
-                        ends[-1] = k + 1
-                        continue
-                    x = " "
-                chars.append(x)
-                starts.append(k)
-                ends.append(k + 1)
-        if chars and chars[-1] == " ":
-            del chars[-1], starts[-1], ends[-1]
-        out.append(("".join(chars), starts, ends))
-    return pd.DataFrame(out, columns=["text", "starts", "ends"])
+# --- assignment ------------------------------------------------------------------------------
 
+def greedy_assignment(candidates: DataFrame, group: str, limit: float, order: tuple[str, ...] = ("distance", "left_id", "right_id")) -> DataFrame:
+    """One-to-one pairs within each group: least in ``order`` first, each side used once.
 
-def unique_span(haystack: Column, needle: Column) -> Column:
-    """Original range of a projected needle in a projected haystack, null unless it occurs once."""
-    text, sought = haystack["text"], needle["text"]
-    first = F.call_function("locate", sought, text)
-    once = (F.length(sought) > 0) & (first > 0) & (F.call_function("locate", sought, text, first + 1) == 0)
-    return F.when(
-        once,
-        F.struct(
-            F.get(haystack["starts"], first - 1).alias("start"),
-            F.get(haystack["ends"], first + F.length(sought) - 2).alias("end"),
-        ),
-    )
+    ``candidates``: group, left_id, right_id, distance and the columns of ``order``, which tell any two
+    pairs apart. A pair that is the best one of both its sides would be taken before any other of
+    theirs, so all such pairs are taken at once, what they use goes, and the rest is looked at again,
+    until nothing is left: no group has to fit in a task.
+    """
+    names = list(dict.fromkeys([group, "left_id", "right_id", "distance", *order]))
+    left = candidates.where(F.col("distance") <= limit).select(*names)
+    left, chosen = stored(left, "assignment-pairs"), None
+    while True:
+        mark = F.struct(*order)
+        best = lambda side, left=left, mark=mark: left.groupBy(group, side).agg(F.min(mark).alias(f"best_{side}"))
+        met = left.join(best("left_id"), [group, "left_id"]).join(best("right_id"), [group, "right_id"])
+        seen = Observation()
+        now = met.where((mark == F.col("best_left_id")) & (mark == F.col("best_right_id"))).select(*names)
+        now = stored(now.observe(seen, F.count(F.lit(1)).alias("n")), "assignment-chosen")
+        chosen = now if chosen is None else chosen.unionByName(now)
+        if not seen.get.get("n"):
+            return chosen
+        rest = left.join(now.select(group, "left_id"), [group, "left_id"], "left_anti").join(now.select(group, "right_id"), [group, "right_id"], "left_anti")
+        left = stored(rest.select(*names), "assignment-pairs")

@@ -95,3 +95,32 @@ def reclassify(layers: DataFrame, action: Column, effect: Column) -> DataFrame:
     out = layers.withColumn("action", F.when(keep, F.col("action")).otherwise(action))
     out = out.withColumn("effect", F.when(keep, F.col("effect")).otherwise(effect))
     return out.withColumn("custom_text", F.when(F.col("effect") == "token_replace", F.col("custom_text")))
+
+
+def unknown_types(edits: DataFrame, entity: str, policy: str) -> DataFrame:
+    """Edits with a type that is neither unknown nor one of the policy's."""
+    known = rules(edits.sparkSession, policy).select(F.col("entity_type").alias(entity))
+    return edits.where(F.col(entity) != "unknown").join(F.broadcast(known), entity, "left_anti")  # a fixed table
+
+
+def documents(spark: SparkSession, policy: str) -> DataFrame:
+    """entity_type and the rule as JSON, without what it leaves to the defaults."""
+    own = rules(spark, policy)
+    pair = lambda k: F.when(F.col(k).isNotNull(), F.struct(F.substring_index(k, "/", 1).alias("action"), F.substring_index(k, "/", -1).alias("effect")))
+    some = F.coalesce("document", "image", "audio").isNotNull()
+    effects = F.when(some, F.struct(*[pair(k).alias(k) for k in ("document", "image", "audio")]))
+    fields = ("display_name", F.col("category").alias("privacy_category"), F.col("special").alias("special_category_type"), F.col("risk").alias("privacy_risk"), effects.alias("effects"))
+    return own.select("entity_type", F.to_json(F.struct(*fields)).alias("document"))
+
+
+def snapshot_reason(snapshot: Column, sha256: Column, identity: Column, schema: str) -> Column:
+    """Why a stored snapshot is not to be used: its digest, its form or its id; null if it is.
+
+    ``schema``: its fields, sorted; a snapshot is canonical if writing what was read gives it back.
+    """
+    read = F.from_json(snapshot, schema)
+    return (
+        F.when(F.sha2(snapshot, 256) != sha256, "hash")
+        .when(~F.coalesce(F.to_json(read, {"ignoreNullFields": "false"}) == snapshot, F.lit(False)), "not_canonical")
+        .when(read["id"] != identity, "identity")
+    )

@@ -38,13 +38,32 @@ def status_after(status: Column, outcome: Column) -> Column:
     return F.when(outcome == "completed", "review_ready").when(status == "review_ready", "review_ready").otherwise(failed)
 
 
-def target_reason(kind: Column, page: Column, pages: Column, start: Column, end: Column, duration: Column, held: Column) -> Column:
-    """Why a reviewer's target is not valid, the first reason that holds; null if it is."""
+def target_reason(t: dict[str, Column]) -> Column:
+    """Why a reviewer's target does not fit its source, the first reason that holds; null if it does.
+
+    ``t``: source_kind, layout, page_count, duration; target_kind, surface, page, locator, end_time;
+    and what look-ups say: occurrence_targetable, line_holds_text, locator_valid (null: not found).
+    """
+    yes = lambda c: F.coalesce(t[c], F.lit(False))
+    document, layout, surface = t["source_kind"] == "document", t["layout"], t["surface"]
+    on_page, on_picture = document & (layout == "fixed") & (surface == "page"), document & (layout == "word_processing") & (surface == "picture")
+    image = (
+        F.when((t["source_kind"] == "image") & (surface == "file"), F.lit(None).cast("string"))
+        .when(on_page, F.when(t["page"] > t["page_count"], "pdf_page_out_of_range"))
+        .when(on_picture, F.when(~yes("occurrence_targetable"), "docx_picture_target_invalid"))
+        .otherwise("image_surface_mismatch")
+    )
+    text = (
+        F.when(layout == "fixed", "pdf_requires_visual_target")
+        .when(t["locator"] != F.when(layout == "text", "text").otherwise("docx"), "source_format_mismatch")
+        .when((layout == "text") & ~yes("line_holds_text"), "exact_text_not_found")
+        .when((layout == "word_processing") & ~yes("locator_valid"), "invalid_docx_text_target")
+    )
     return (
-        F.when((kind == "image") & (page.isNull() | (page < 1) | (page > pages)), "page")
-        .when((kind == "audio") & (start.isNull() | (start < 0)), "start")
-        .when((kind == "audio") & ((end <= start) | (end > duration)), "range")
-        .when((kind == "document") & ~F.coalesce(held, F.lit(False)), "text")
+        F.when(t["target_kind"] == "image", image)
+        .when(t["target_kind"] != t["source_kind"], "kind_mismatch")
+        .when(t["target_kind"] == "document", text)
+        .when(t["end_time"] > t["duration"], "range_beyond_end")
     )
 
 
@@ -65,3 +84,41 @@ def duration_ms(began: Column, ended: Column) -> Column:
 
 def progress(done: Column, total: Column, share: float = 0.45) -> Column:
     return 0.15 + share * done / F.greatest(total, F.lit(1))
+
+
+def without_debug(logs: DataFrame, debug: list[str]) -> DataFrame:
+    """Logs without their debug columns, and whether there was anything in them."""
+    some = F.coalesce(*[F.col(c) for c in debug]).isNotNull()
+    kept = [c for c in logs.columns if c not in debug]
+    return logs.select(*kept, some.alias("scrubbed"), *[F.lit(None).cast("string").alias(c) for c in debug])
+
+
+def attachment_log(kind: Column, size: Column, sha256: Column) -> Column:
+    """An attachment as a log shows it: JSON with sorted keys, without contents; null for none."""
+    omitted = [size.alias("byte_length"), F.lit(True).alias("omitted_from_log"), sha256.alias("sha256")]
+    picture = F.struct(*omitted, F.lit("data:image/jpeg;base64,<omitted>").alias("url"))
+    sound = F.struct(omitted[0], F.lit("<omitted>").alias("data"), F.lit("wav").alias("format"), *omitted[1:])
+    return F.when(kind == "image", F.to_json(F.struct(picture.alias("image_url"), F.lit("image_url").alias("type")))).when(
+        kind == "audio", F.to_json(F.struct(sound.alias("input_audio"), F.lit("input_audio").alias("type")))
+    )
+
+
+def picture_rejects(groups: DataFrame, session: str) -> DataFrame:
+    """Accepted and rejected findings over groups of equal pictures (n, findings, rejects, placed)."""
+    taken = F.col("findings") * F.col("placed")
+    return groups.groupBy(session).agg(
+        F.sum(taken).alias("accepted"), F.sum(F.col("rejects") + F.col("findings") * F.col("n") - taken).alias("rejected"), F.count(F.lit(1)).alias("n_calls")
+    )
+
+
+def aspect_distance(width: Column, height: Column, other_width: Column, other_height: Column) -> Column:
+    """How far another picture's aspect ratio is from the expected one, as a share of that."""
+    expected = width / height
+    return F.abs(expected - other_width / other_height) / expected
+
+
+def read_target(raw: Column, stored_kind: Column, schema: str) -> Column:
+    """A stored target; null if it cannot be read or is of another kind than is stored beside it."""
+    whole = F.json_object_keys(raw).isNotNull()
+    target = F.from_json(raw, schema, {"mode": "PERMISSIVE"})
+    return F.when(whole & (target["kind"] == stored_kind), target)

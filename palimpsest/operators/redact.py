@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import partial_mask
+from palimpsest.functions.text import LINE_END, is_blank, line_number, partial_mask
 
 BOX = "[REDACTED]"
 
@@ -34,13 +34,27 @@ def with_replacement(layers: DataFrame, text: str) -> DataFrame:
     )
 
 
-def render_lines(lines: DataFrame, layers: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Apply each line's replacements one after another, every occurrence each time; later ones see
-    what earlier ones wrote."""
-    edit = F.struct(F.col(order).alias("at"), F.col("exact_text").alias("old"), F.col("replacement").alias("new"))
-    per = layers.groupBy(*key).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
-    met = lines.join(per, key, "left")
-    out = F.aggregate("_edits", F.col("text"), lambda a, e: F.replace(a, e["old"], e["new"]))
-    return met.select(
-        *lines.columns, F.coalesce(out, F.col("text")).alias("redacted"), F.coalesce(F.size("_edits"), F.lit(0)).alias("n_layers")
+def render_lines(docs: DataFrame, layers: DataFrame, order: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, line_no, line_id, text, redacted, n_layers of all lines that are not blank.
+
+    Layers (id, line_id, exact_text, replacement) are applied one after another, every occurrence each
+    time; later ones see what earlier ones wrote. One whose line the document does not have is applied
+    to every line. Layers, which are few, go to the documents, and lines are rendered where they lie:
+    no line is shuffled on its own.
+    """
+    edit = F.struct(F.col(order).alias("at"), line_number(F.col("line_id")).alias("no"), F.col("exact_text").alias("old"), F.col("replacement").alias("new"))
+    per = layers.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    pieces = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_END, -1).alias("lines"))
+    met = pieces.join(per, F.col(id_col) == F.col("_id"), "left")
+    # An empty piece behind the last line end is no line.
+    n = F.size("lines") - (F.element_at("lines", -1) == "").cast("int")
+    everywhere = lambda e: e["no"].isNull() | (e["no"] < 1) | (e["no"] > n)
+    own = lambda k: F.filter("edits", lambda e: (e["no"] == k + 1) | everywhere(e))
+    put = lambda text, edits: F.aggregate(edits, text, lambda a, e: F.replace(a, e["old"], e["new"]))
+    done = F.transform("lines", lambda text, k: F.struct(text.alias("text"), F.coalesce(put(text, own(k)), text).alias("redacted"), F.coalesce(F.size(own(k)), F.lit(0)).alias("n_layers")))
+    plain = F.transform("lines", lambda text: F.struct(text.alias("text"), text.alias("redacted"), F.lit(0).alias("n_layers")))
+    each = met.select(id_col, F.posexplode(F.when(F.col("edits").isNull(), plain).otherwise(done)).alias("pos", "l"))
+    number = F.col("pos") + 1
+    return each.where(~is_blank(F.col("l.text"))).select(
+        id_col, number.alias("line_no"), F.concat(F.lit("t"), number).alias("line_id"), "l.text", "l.redacted", "l.n_layers"
     )

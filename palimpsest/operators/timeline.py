@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 300, 2
 # A stronger effect hides a weaker one.
 PRIORITY = {"mute": 2, "bleep": 1}
+# Sample rate, pitch, loudness and fade of the tones.
+RATE, TONE, GAIN, FADE = 48000, 1000, 0.35, 0.008
 
 
 def chunk_plan(sources: DataFrame, duration: str) -> DataFrame:
@@ -59,16 +61,30 @@ def effect_sweep(spans: DataFrame, session: str, duration: Column) -> DataFrame:
 
 
 def filter_graph(sweep: DataFrame, session: str) -> DataFrame:
-    """Volume expression of each session: where its intervals are silenced, and where they get a tone."""
-    part = F.format_string("between(t,%.3f,%.3f)", "start_time", "end_time")
-    row = F.struct("start_time", "effect", part.alias("part"))
+    """What a renderer is told of each session: ``graph``, which silences the intervals and lays tones
+    with short fades over those with a bleep, and ``inputs``, where the tones come from."""
+    row = F.struct("start_time", "end_time", "effect")
     per = sweep.groupBy(session).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    joined = lambda rows: F.array_join(F.transform(rows, lambda r: r["part"]), "+")
-    tones = F.filter("rows", lambda r: r["effect"] == "bleep")
+    per = per.withColumn("tones", F.filter("rows", lambda r: r["effect"] == "bleep"))
+    silent = F.transform("rows", lambda r: F.format_string("volume=volume=0:enable='between(t,%.6f,%.6f)'", r["start_time"], r["end_time"]))
+    base = F.concat(F.lit(f"[0:a:0]aformat=sample_fmts=fltp:sample_rates={RATE}:channel_layouts=stereo,"), F.array_join(silent, ","), F.lit("[base]"))
+
+    def tone(r: Column, k: Column) -> Column:
+        length = r["end_time"] - r["start_time"]
+        fade = F.least(F.lit(FADE), length / 2)
+        return F.format_string(
+            f"[%d:a]aformat=sample_fmts=fltp:channel_layouts=stereo,afade=t=in:st=0:d=%.6f,afade=t=out:st=%.6f:d=%.6f,volume={GAIN},adelay=%d:all=1[bleep%d]",
+            k + 1, fade, length - fade, fade, F.bround(r["start_time"] * 1000, 0).cast("long"), k,
+        )
+
+    names = F.array_join(F.transform("tones", lambda _, k: F.format_string("[bleep%d]", k)), "")
+    mixed = F.format_string("[base]%samix=inputs=%d:duration=first:dropout_transition=0:normalize=0[aout]", names, F.size("tones") + 1)
+    last = F.when(F.size("tones") > 0, mixed).otherwise("[base]anull[aout]")
+    source = lambda r: F.format_string(f"-f lavfi -i sine=frequency={TONE}:sample_rate={RATE}:duration=%.6f", r["end_time"] - r["start_time"])
     return per.select(
         session,
-        F.concat(F.lit("volume=0:enable='"), joined(F.col("rows")), F.lit("'")).alias("silence"),
-        F.when(F.size(tones) > 0, F.concat(F.lit("volume=1:enable='"), joined(tones), F.lit("'"))).alias("tone"),
+        F.concat_ws(";", F.concat(F.array(base), F.transform("tones", tone), F.array(last))).alias("graph"),
+        F.array_join(F.transform("tones", source), " ").alias("inputs"),
     )
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import blocks as K
 from palimpsest.operators import lines as L
-from palimpsest.operators import match as M
 from palimpsest.operators import projection as J
 from palimpsest.plans.base import FOUND, LAYERS, LINES, found, layers, query, rules_sql
 from palimpsest.plans.base import source_lines as _source_lines
@@ -61,8 +60,8 @@ def docx_inspection(spark, d):
 _RANGES = f"""{_BLOCKS}, {FOUND.removeprefix(LINES + ', ')}, r AS (
   SELECT b.block_id, instr(b.text, f.exact_text) - 1 AS s, f.exact_text, '<' || f.entity_type || '>' AS replacement
   FROM found f JOIN blocks b ON b.doc_id = f.doc_id AND b.line_no = f.line_no
-  WHERE instr(substr(b.text, instr(b.text, f.exact_text) + 1), f.exact_text) = 0 AND f.entity_type IN ('email', 'financial')),
-ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC) AS k FROM r)"""
+  WHERE instr(substr(b.text, instr(b.text, f.exact_text) + 1), f.exact_text) = 0),
+ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC, length(exact_text) DESC, exact_text DESC, replacement DESC) AS k FROM r)"""
 
 
 @query(
@@ -74,7 +73,7 @@ ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC) A
 )
 def docx_render(spark, d):
     blocks = _blocks(spark, d)
-    hits = found(spark, d).where("entity_type IN ('email', 'financial')").join(blocks.select("doc_id", "line_no", "block_id", F.col("text").alias("_t")), ["doc_id", "line_no"])
+    hits = found(spark, d).join(blocks.select("doc_id", "line_no", "block_id", F.col("text").alias("_t")), ["doc_id", "line_no"])
     start = X.unique_offset(F.col("_t"), F.col("exact_text"))
     ranges = hits.select(
         "block_id", start.alias("start"), (start + F.length("exact_text")).alias("end"), "exact_text",
@@ -83,19 +82,30 @@ def docx_render(spark, d):
     return K.replace_ranges(blocks, ranges, "block_id").select("block_id", "rendered", "n_stale")
 
 
+_MEDIA = ["image/png", "IMAGE/JPEG", "image/tiff", "image/x-emf", ""]
+
+
 @query(
-    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 = 0 AS linked, ['image/png', 'image/jpeg', 'image/tiff'][1 + l_suppkey % 3] AS media,
-        (l_quantity * 200)::BIGINT - 600 AS width, (l_partkey % 50) * 100 AS height FROM lineitem),
-      r AS (SELECT *, CASE WHEN linked THEN 'external_link' WHEN media = 'image/tiff' THEN 'media_type' WHEN width <= 0 OR height <= 0 THEN 'empty'
-                           WHEN width * height > 40000000 THEN 'too_large' END AS reason FROM p)
+    f"""WITH p AS (SELECT l_orderkey, CASE WHEN l_partkey % 19 = 0 THEN l_linenumber % 2 * 2 ELSE 1 END AS pictures, CASE WHEN l_suppkey % 23 = 0 THEN 2 ELSE 1 END AS fills,
+        CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE 1 END AS shapes, CASE WHEN l_partkey % 31 = 0 THEN 2 ELSE 1 END AS properties,
+        CASE WHEN l_partkey % 7 = 0 THEN 'http://x' END AS link, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE 'rId1' END AS embed,
+        CASE WHEN l_partkey % 13 > 0 THEN {_MEDIA!r}[1 + l_suppkey % 5] END AS media FROM lineitem),
+      r AS (SELECT *, CASE WHEN pictures = 0 THEN 'unsupported_drawing_type' WHEN pictures > 1 OR shapes <> 1 THEN 'unsupported_picture_container' WHEN fills <> 1 THEN 'unsupported_drawing_type'
+          WHEN link <> '' THEN 'external_image' WHEN trim(embed) = '' THEN 'missing_image_relationship' WHEN properties <> 1 THEN 'unsupported_picture_container'
+          WHEN media IS NULL THEN 'missing_image_relationship' WHEN media = '' THEN 'relationship_is_not_an_image'
+          WHEN lower(media) NOT IN ('image/png', 'image/jpeg', 'image/gif', 'image/bmp', 'image/tiff') THEN 'unsupported_image_format' END AS reason FROM p)
       SELECT l_orderkey, count(*) FILTER (reason IS NULL) AS n_targetable, count(*) FILTER (reason IS NOT NULL) AS n_unsupported,
              string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY 1"""
 )
 def picture_targets(spark, d):
-    rows = table(spark, d, "lineitem")
-    media = F.get(F.array(F.lit("image/png"), F.lit("image/jpeg"), F.lit("image/tiff")), (F.col("l_suppkey") % 3).cast("int"))
-    reason = K.unsupported_reason(F.col("l_partkey") % 7 == 0, media, (F.col("l_quantity") * 200).cast("long") - 600, (F.col("l_partkey") % 50) * 100)
-    per = rows.withColumn("reason", reason).groupBy("l_orderkey").agg(
+    part, one = F.col("l_partkey"), F.lit(1)
+    media = F.when(part % 13 > 0, F.get(F.array(*[F.lit(m) for m in _MEDIA]), (F.col("l_suppkey") % 5).cast("int")))
+    reason = K.unsupported_reason(
+        F.when(part % 19 == 0, F.col("l_linenumber") % 2 * 2).otherwise(1), F.when(F.col("l_suppkey") % 23 == 0, 2).otherwise(1), one,
+        F.when(part % 29 == 0, 0).otherwise(1), one, F.when(part % 31 == 0, 2).otherwise(1), F.when(part % 7 == 0, "http://x"),
+        F.when(part % 11 == 0, " ").otherwise("rId1"), media,
+    )
+    per = table(spark, d, "lineitem").withColumn("reason", reason).groupBy("l_orderkey").agg(
         F.count_if(F.col("reason").isNull()).alias("n_targetable"),
         F.count_if(F.col("reason").isNotNull()).alias("n_unsupported"),
         F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"),
@@ -104,28 +114,33 @@ def picture_targets(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, 50 + l_partkey % 900 AS side, (l_suppkey * 997) % 60000 AS b, (l_partkey * 131) % 50000 AS a FROM lineitem),
-      e AS (SELECT *, round_even(side * b / 100000, 0)::BIGINT AS crop_start, side - round_even(side * a / 100000, 0)::BIGINT AS crop_end FROM c)
-      SELECT l_orderkey, l_linenumber, crop_start, crop_end FROM e WHERE crop_end > crop_start"""
+    """WITH c AS (SELECT l_orderkey, l_linenumber, 50 + l_partkey % 900 AS w, 40 + l_suppkey % 70 AS h, (l_suppkey * 997) % 60000 AS l, (l_partkey * 131) % 50000 AS r, (l_partkey * 17) % 100001 AS t, l_suppkey % 3 * 2500 AS b FROM lineitem),
+      e AS (SELECT *, round_even(w * l / 100000, 0)::BIGINT AS x0, round_even(h * t / 100000, 0)::BIGINT AS y0, w - round_even(w * r / 100000, 0)::BIGINT AS x1, h - round_even(h * b / 100000, 0)::BIGINT AS y1 FROM c)
+      SELECT l_orderkey, l_linenumber, x0 AS crop_left, y0 AS crop_top, x1 AS crop_right, y1 AS crop_bottom FROM e WHERE l + r < 100000 AND t + b < 100000 AND x1 > x0 AND y1 > y0"""
 )
 def picture_crops(spark, d):
-    rows = table(spark, d, "lineitem")
-    crop = K.crop_bounds(50 + F.col("l_partkey") % 900, (F.col("l_suppkey") * 997) % 60000, (F.col("l_partkey") * 131) % 50000)
-    rows = rows.select("l_orderkey", "l_linenumber", crop.alias("c")).where("c IS NOT NULL")
-    return rows.select("l_orderkey", "l_linenumber", F.col("c.start").alias("crop_start"), F.col("c.end").alias("crop_end"))
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    box = K.crop_box(50 + part % 900, 40 + supp % 70, (supp * 997) % 60000, (part * 17) % 100_001, (part * 131) % 50000, supp % 3 * 2500)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("c")).where("c IS NOT NULL")
+    return rows.select("l_orderkey", "l_linenumber", *[F.col(f"c.{side}").alias(f"crop_{side}") for side in ("left", "top", "right", "bottom")])
 
 
 @query(
-    """WITH q AS (SELECT l_orderkey, l_linenumber, l_discount AS x0, l_tax AS y0, l_discount + l_quantity / 100 AS x1, l_tax + l_suppkey / 1000 AS y1,
-        l_discount - l_partkey / 9000 AS x3, l_tax + 0.3 AS y3 FROM lineitem)
-      SELECT l_orderkey, l_linenumber, round((x1 + x3) / 2, 6) AS x, round((y1 + y3) / 2, 6) AS y, round(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) AS width,
-        round(sqrt((x3 - x0) ** 2 + (y3 - y0) ** 2), 6) AS height, round(degrees(atan2(y1 - y0, x1 - x0)), 6) AS rotation FROM q"""
+    """WITH q AS (SELECT l_orderkey, l_linenumber, 100 + l_partkey % 400 AS xa, 100 + l_suppkey % 500 AS ya, 100 + l_partkey % 400 + l_quantity * 4 AS xb, 100 + l_suppkey % 500 + l_discount * 90 AS yb,
+        100 + l_partkey % 400 + l_quantity * 4 - l_tax * 80 AS xc, 150 + l_suppkey % 500 + l_discount * 90 + l_quantity AS yc, 100 + l_partkey % 400 - l_tax * 80 AS xd, 150 + l_suppkey % 500 + l_quantity AS yd FROM lineitem),
+      s AS (SELECT *, sqrt((xc - xd) ** 2 + (yc - yd) ** 2) / 612 AS w, sqrt((xa - xd) ** 2 + (ya - yd) ** 2) / 792 AS h, (xa + xb + xc + xd) / 4 / 612 AS cx, (792 - (ya + yb + yc + yd) / 4) / 792 AS cy,
+        -degrees(atan2(yc - yd, xc - xd)) AS turn FROM q)
+      SELECT l_orderkey, l_linenumber, round(greatest(0, least(cx - w / 2, 1 - w)), 6) AS x, round(greatest(0, least(cy - h / 2, 1 - h)), 6) AS y, round(least(w, 1), 6) AS width, round(least(h, 1), 6) AS height,
+        round((turn + 180) - 360 * floor((turn + 180) / 360) - 180, 6) AS rotation FROM s WHERE w > 0 AND h > 0"""
 )
 def picture_placements(spark, d):
-    x0, y0 = F.col("l_discount"), F.col("l_tax")
-    quad = K.quad_placement(x0, y0, x0 + F.col("l_quantity") / 100, y0 + F.col("l_suppkey") / 1000, x0 - F.col("l_partkey") / 9000, y0 + 0.3)
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quad.alias("q"))
-    return rows.select("l_orderkey", "l_linenumber", *[F.round(f"q.{c}", 6).alias(c) for c in ("x", "y", "width", "height", "rotation")])
+    """Pictures on a page of 612 by 792 points."""
+    xa, ya = 100 + F.col("l_partkey") % 400, 100 + F.col("l_suppkey") % 500
+    across, rise, lean, up = F.col("l_quantity") * 4, F.col("l_discount") * 90, F.col("l_tax") * 80, 50 + F.col("l_quantity")
+    corners = [(xa, ya), (xa + across, ya + rise), (xa + across - lean, ya + rise + up), (xa - lean, ya + up)]
+    placed = K.quad_placement(corners, F.lit(612.0), F.lit(792.0))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.inline(F.array(placed))).where("x IS NOT NULL")
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height", "rotation")])
 
 
 @query(
@@ -163,18 +178,37 @@ def session_decisions(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT l_orderkey, l_linenumber, ['document', 'image', 'audio'][1 + l_linenumber % 3] AS kind, CASE WHEN l_partkey % 5 > 0 THEN l_partkey % 12 END AS page, l_suppkey % 9 AS pages,
-        l_quantity - 2 AS s, l_quantity + l_tax * 50 - 3 AS e, 49.0::DOUBLE AS duration, contains(l_partkey::VARCHAR, (l_suppkey % 10)::VARCHAR) AS held FROM lineitem)
-      SELECT l_orderkey, l_linenumber, CASE WHEN kind = 'image' AND (page IS NULL OR page < 1 OR page > pages) THEN 'page' WHEN kind = 'audio' AND s < 0 THEN 'start'
-        WHEN kind = 'audio' AND (e <= s OR e > duration) THEN 'range' WHEN kind = 'document' AND NOT held THEN 'text' END AS reason FROM t"""
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['document', 'image', 'audio', 'document'][1 + l_suppkey % 4] AS source_kind, ['text', 'fixed', 'word_processing'][1 + l_partkey % 3] AS layout,
+        ['document', 'image', 'audio', 'document', 'image'][1 + l_linenumber % 5] AS target_kind, ['file', 'page', 'picture'][1 + (l_partkey + l_suppkey) % 3] AS surface, l_partkey % 12 AS page, l_suppkey % 9 AS pages,
+        CASE WHEN l_partkey % 4 = 0 THEN 'docx' ELSE 'text' END AS locator, l_quantity AS e, 40.0::DOUBLE AS duration, (l_suppkey % 10)::VARCHAR AS exact FROM lineitem),
+      j AS (SELECT t.*, p_size % 4 > 0 AS targetable, contains(s_name, exact) AS held, contains(p_name, exact) AS located FROM t LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey)
+      SELECT l_orderkey, l_linenumber, CASE
+        WHEN target_kind = 'image' THEN CASE WHEN source_kind = 'image' AND surface = 'file' THEN NULL
+          WHEN source_kind = 'document' AND layout = 'fixed' AND surface = 'page' THEN CASE WHEN page > pages THEN 'pdf_page_out_of_range' END
+          WHEN source_kind = 'document' AND layout = 'word_processing' AND surface = 'picture' THEN CASE WHEN NOT coalesce(targetable, false) THEN 'docx_picture_target_invalid' END
+          ELSE 'image_surface_mismatch' END
+        WHEN target_kind <> source_kind THEN 'kind_mismatch'
+        WHEN target_kind = 'document' THEN CASE WHEN layout = 'fixed' THEN 'pdf_requires_visual_target' WHEN locator <> CASE WHEN layout = 'text' THEN 'text' ELSE 'docx' END THEN 'source_format_mismatch'
+          WHEN layout = 'text' AND NOT coalesce(held, false) THEN 'exact_text_not_found' WHEN layout = 'word_processing' AND NOT coalesce(located, false) THEN 'invalid_docx_text_target' END
+        WHEN e > duration THEN 'range_beyond_end' END AS reason FROM j"""
 )
 def target_validity(spark, d):
-    pick = F.get(F.array(F.lit("document"), F.lit("image"), F.lit("audio")), (F.col("l_linenumber") % 3).cast("int"))
-    q = F.col("l_quantity")
-    held = F.col("l_partkey").cast("string").contains((F.col("l_suppkey") % 10).cast("string"))
-    page = F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 12)
-    reason = J.target_reason(pick, page, F.col("l_suppkey") % 9, q - 2, q + F.col("l_tax") * 50 - 3, F.lit(49.0), held)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
+    """Targets against their sources; parts stand in for pictures, and names for the texts of lines."""
+    pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names.split()]), n.cast("int"))
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (supp % 10).cast("string").alias("exact"))
+    pictures = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 4 > 0).alias("targetable"), "p_name")
+    lines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    met = rows.join(pictures, "l_partkey", "left").join(lines, "l_suppkey", "left")
+    reason = J.target_reason(
+        {
+            "source_kind": pick("document image audio document", supp % 4), "layout": pick("text fixed word_processing", part % 3), "page_count": supp % 9, "duration": F.lit(40.0),
+            "target_kind": pick("document image audio document image", F.col("l_linenumber") % 5), "surface": pick("file page picture", (part + supp) % 3), "page": part % 12,
+            "locator": F.when(part % 4 == 0, "docx").otherwise("text"), "end_time": F.col("l_quantity"), "occurrence_targetable": F.col("targetable"),
+            "line_holds_text": F.col("s_name").contains(F.col("exact")), "locator_valid": F.col("p_name").contains(F.col("exact")),
+        }
+    )
+    return met.select("l_orderkey", "l_linenumber", reason.alias("reason"))
 
 
 @query(
@@ -259,12 +293,3 @@ def page_projection(spark, d):
     before = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     return rows.select("page_id", "line_no", start.alias("starts_at"), (start + F.col("n")).alias("ends_at"))
-
-
-@query()
-def preview_matches(spark, d):
-    """Each block's best preview line among its own and its neighbours, if it leads clearly."""
-    rows = _blocks(spark, d).select("doc_id", "ordinal", "block_id", "text")
-    near = rows.select("doc_id", F.col("text").alias("preview"), F.col("ordinal").alias("line"), F.explode(F.sequence(F.col("ordinal") - 1, F.col("ordinal") + 1)).alias("ordinal"))
-    scored = rows.join(near, ["doc_id", "ordinal"]).withColumn("score", M.similarity(F.lower("text"), F.lower("preview")))
-    return M.unique_best(scored, "block_id", "line").select("block_id", "line", F.round("score", 9).alias("score"))

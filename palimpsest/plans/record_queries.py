@@ -67,28 +67,29 @@ def reclassified_layers(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "action", "effect", "custom_text")
 
 
-@query(
-    """SELECT o_orderkey, o_custkey, o_orderstatus, l_partkey, l_quantity FROM orders
-       LEFT JOIN (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_linenumber = 3) l ON l_orderkey = o_orderkey"""
-)
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, l_partkey, l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
 def hydrated_left_join(spark, d):
-    right = table(spark, d, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity")
+    right = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity")
     return V.hydrate(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), right, "o_orderkey")
 
 
 @query(
-    """WITH f AS (SELECT o_orderkey AS k, o_orderkey % 50 AS s FROM orders WHERE o_orderkey % 13 <> 0),
-    p AS (SELECT l_orderkey AS k, count(*) AS n, min(CASE WHEN l_partkey % 9 = 0 THEN -1 ELSE l_orderkey % 50 END) AS lo,
-                 max(CASE WHEN l_partkey % 9 = 0 THEN -1 ELSE l_orderkey % 50 END) AS hi FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey % 3 > 0 GROUP BY 1),
-    v AS (SELECT coalesce(f.k, p.k) AS o_orderkey, CASE WHEN f.k IS NULL THEN 'orphan_layer' WHEN n IS NULL THEN 'missing_layer'
+    """WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 13 > 0 THEN o_orderkey % 50 END AS s FROM orders),
+    p AS (SELECT k, count(*) AS n, min(s) AS lo, max(s) AS hi FROM (
+      SELECT o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN -1 ELSE o_orderkey % 50 END AS s,
+             unnest(range(CASE WHEN o_custkey % 7 = 0 THEN 0 WHEN o_custkey % 11 = 0 THEN 2 ELSE 1 END)) FROM orders) GROUP BY 1),
+    v AS (SELECT coalesce(f.k, p.k) AS o_orderkey, CASE WHEN s IS NULL THEN 'orphan_layer' WHEN n IS NULL THEN 'missing_layer'
       WHEN n > 1 THEN 'several_layers' WHEN s <> lo OR s <> hi THEN 'cross_session' END AS reason FROM f FULL JOIN p ON f.k = p.k)
     SELECT * FROM v WHERE reason IS NOT NULL"""
 )
 def integrity_violations(spark, d):
-    findings = table(spark, d, "orders").where("o_orderkey % 13 <> 0").select("o_orderkey", (F.col("o_orderkey") % 50).alias("session"))
-    rows = table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_suppkey % 3 > 0")
-    session = F.when(F.col("l_partkey") % 9 == 0, F.lit(-1)).otherwise(F.col("l_orderkey") % 50)
-    return V.integrity_violations(findings, rows.select(F.col("l_orderkey").alias("o_orderkey"), session.alias("session")), "o_orderkey", "session")
+    """One layer an order, but for some that have none, two, or one of another session."""
+    orders, customer = table(spark, d, "orders"), F.col("o_custkey")
+    findings = orders.select("o_orderkey", F.when(customer % 13 > 0, F.col("o_orderkey") % 50).alias("session"))
+    session = F.when(customer % 9 == 0, F.lit(-1)).otherwise(F.col("o_orderkey") % 50)
+    copies = F.when(customer % 7 == 0, F.lit(0)).when(customer % 11 == 0, F.lit(2)).otherwise(1)
+    layers = orders.select("o_orderkey", session.alias("session"), F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+    return V.integrity_violations(findings, layers, "o_orderkey", "session")
 
 
 @query(
@@ -324,10 +325,14 @@ def response_items(spark, d):
         F.lit(',"exact_text":'), q(F.col("exact_text")),
         F.when(F.col("doc_id") % 10 == 7, ',"action":"redact"').otherwise(""), F.lit("}"),
     )
+    return E.items(_responses(spark, d, item), "doc_id", "raw")
+
+
+def _responses(spark, d, item):
+    """doc_id, raw: a response a document, with an item (made of doc_id and pos) for each detection."""
     rows = found(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("finding_id")) - 1)
     per = rows.select("doc_id", F.struct("pos", item.alias("item")).alias("i")).groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    raw = F.concat(F.lit('{"findings":['), F.array_join(F.transform("i", lambda x: x["item"]), ","), F.lit("]}"))
-    return E.items(per.select("doc_id", raw.alias("raw")), "doc_id", "raw")
+    return per.select("doc_id", F.concat(F.lit('{"findings":['), F.array_join(F.transform("i", lambda x: x["item"]), ","), F.lit("]}")).alias("raw"))
 
 
 @query(
@@ -411,7 +416,8 @@ def chunk_plan(spark, d):
 
 
 @query(
-    f"""WITH {_PLAN}, f AS (SELECT event_id, event_id % 1000 AS doc_id, user_id % 4 AS chunk, (event_id * 7 % 3200) / 10.0::DOUBLE AS s,
+    f"""WITH {_PLAN}, f AS (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id,
+        CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id * 31 % 400 END AS chunk, (event_id * 7 % 3200) / 10.0::DOUBLE AS s,
         (event_id * 7 % 3200) / 10.0::DOUBLE + round(value) AS e FROM events),
       t AS (SELECT event_id, doc_id, chunk, chunk_start + greatest(s, 0.0) AS start_time, chunk_start + least(e, chunk_duration) AS end_time FROM f JOIN chunks USING (doc_id, chunk))
       SELECT event_id, doc_id, round(start_time, 3) AS start_time, round(end_time, 3) AS end_time FROM t WHERE end_time > start_time"""
@@ -421,8 +427,10 @@ def chunk_to_timeline(spark, d):
 
     plan = T.chunk_plan(table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), "n_chars"), "n_chars")
     start = (F.col("event_id") * 7 % 3200) / F.lit(10.0)
+    ids = table(spark, d, "documents").agg(F.max("doc_id") + 1).first()[0]
+    chunk = F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("event_id") * 31 % 400)
     claims = table(spark, d, "events").select(
-        "event_id", (F.col("event_id") % 1000).alias("session_id"), (F.col("user_id") % 4).cast("int").alias("chunk"),
+        "event_id", (F.col("event_id") % ids).alias("session_id"), chunk.cast("int").alias("chunk"),
         start.alias("start"), (start + F.round("value")).alias("end"),
     )
     rows = anchor_audio(claims, plan)
@@ -446,20 +454,24 @@ def _spans(spark, d):
 
 
 @query(
-    f"""WITH {_SPANS}, m AS (SELECT *, max(end_time) OVER w AS reach, row_number() OVER (PARTITION BY user_id, event_type ORDER BY start_time, event_id) AS nth FROM s
-        WINDOW w AS (PARTITION BY user_id, event_type ORDER BY start_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      i AS (SELECT *, sum(CASE WHEN start_time <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY start_time, event_id) AS island FROM m),
-      b AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, island ORDER BY coalesce(confidence, -1) DESC, nth) AS best FROM i)
-      SELECT user_id, event_type, min(start_time) AS start_time, max(end_time) AS end_time, count(*) AS n_merged,
+    f"""WITH {_SPANS}, l AS (SELECT *, lower(CASE WHEN event_id % 2 = 0 THEN 'Voice ' ELSE 'VOICE ' END || event_id % 3) AS label_key FROM s),
+      m AS (SELECT *, max(end_time) OVER w AS reach, row_number() OVER (PARTITION BY user_id, event_type, label_key ORDER BY start_time, event_id) AS nth FROM l
+        WINDOW w AS (PARTITION BY user_id, event_type, label_key ORDER BY start_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      i AS (SELECT *, sum(CASE WHEN start_time <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type, label_key ORDER BY start_time, event_id) AS island FROM m),
+      b AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, label_key, island ORDER BY coalesce(confidence, -1) DESC, nth) AS best FROM i)
+      SELECT user_id, event_type, label_key, min(start_time) AS start_time, max(end_time) AS end_time, count(*) AS n_merged,
              max(CASE WHEN best = 1 THEN event_id END) AS kept, max(CASE WHEN best = 1 THEN confidence END) AS confidence
-      FROM b GROUP BY user_id, event_type, island"""
+      FROM b GROUP BY user_id, event_type, label_key, island"""
 )
 def interval_dedup(spark, d):
-    return T.merge_overlaps(_spans(spark, d), ["user_id", "event_type"], ["event_id"]).drop("island")
+    """Spans merge within a type and a label, whatever the label's case."""
+    label = F.concat(F.when(F.col("event_id") % 2 == 0, "Voice ").otherwise("VOICE "), F.col("event_id") % 3)
+    spans = _spans(spark, d).withColumn("label_key", F.lower(label))
+    return T.merge_overlaps(spans, ["user_id", "event_type", "label_key"], ["event_id"]).drop("island")
 
 
 _SWEEP = f"""{_SPANS}, z AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'mute' ELSE 'bleep' END AS effect,
-     greatest(start_time, 0) AS s, least(end_time, 480) AS e FROM s WHERE event_type IN ('click', 'error')),
+     greatest(start_time, 0) AS s, least(end_time, 480) AS e FROM s),
   c AS (SELECT * FROM z WHERE e > s),
   p AS (SELECT DISTINCT user_id, t0 FROM (SELECT user_id, s AS t0 FROM c UNION ALL SELECT user_id, e FROM c)),
   q AS (SELECT user_id, t0, lead(t0) OVER (PARTITION BY user_id ORDER BY t0) AS until FROM p),
@@ -472,8 +484,7 @@ _SWEEP = f"""{_SPANS}, z AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'mu
 
 def _sweep(spark, d):
     effect = F.when(F.col("event_id") % 3 == 0, "mute").otherwise("bleep")
-    spans = _spans(spark, d).where("event_type IN ('click', 'error')").withColumn("effect", effect)
-    return T.effect_sweep(spans, "user_id", F.lit(480.0))
+    return T.effect_sweep(_spans(spark, d).withColumn("effect", effect), "user_id", F.lit(480.0))
 
 
 @query(f"WITH {_SWEEP} SELECT user_id, effect, start_time, end_time FROM sweep")
@@ -482,9 +493,16 @@ def effect_sweep(spark, d):
 
 
 @query(
-    f"""WITH {_SWEEP}, t AS (SELECT *, printf('between(t,%.3f,%.3f)', start_time, end_time) AS part FROM sweep)
-      SELECT user_id, 'volume=0:enable=''' || string_agg(part, '+' ORDER BY start_time) || '''' AS silence,
-             'volume=1:enable=''' || string_agg(part, '+' ORDER BY start_time) FILTER (effect = 'bleep') || '''' AS tone FROM t GROUP BY 1"""
+    f"""WITH {_SWEEP}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id, effect ORDER BY start_time) - 1 AS k, end_time - start_time AS d FROM sweep),
+      u AS (SELECT *, least(0.008, d / 2) AS fade FROM t)
+      SELECT user_id, '[0:a:0]aformat=sample_fmts=fltp:sample_rates=48000:channel_layouts=stereo,'
+          || string_agg(printf('volume=volume=0:enable=''between(t,%.6f,%.6f)''', start_time, end_time), ',' ORDER BY start_time) || '[base];'
+          || coalesce(string_agg(printf('[%d:a]aformat=sample_fmts=fltp:channel_layouts=stereo,afade=t=in:st=0:d=%.6f,afade=t=out:st=%.6f:d=%.6f,volume=0.35,adelay=%d:all=1[bleep%d]',
+               k + 1, fade, d - fade, fade, round_even(start_time * 1000, 0)::BIGINT, k), ';' ORDER BY start_time) FILTER (effect = 'bleep') || ';', '')
+          || CASE WHEN count(*) FILTER (effect = 'bleep') = 0 THEN '[base]anull[aout]' ELSE '[base]' || string_agg(printf('[bleep%d]', k), '' ORDER BY start_time) FILTER (effect = 'bleep')
+               || printf('amix=inputs=%d:duration=first:dropout_transition=0:normalize=0[aout]', count(*) FILTER (effect = 'bleep') + 1) END AS graph,
+        coalesce(string_agg(printf('-f lavfi -i sine=frequency=1000:sample_rate=48000:duration=%.6f', d), ' ' ORDER BY start_time) FILTER (effect = 'bleep'), '') AS inputs
+      FROM u GROUP BY 1"""
 )
 def filter_graph(spark, d):
     return T.filter_graph(_sweep(spark, d), "user_id")
@@ -501,39 +519,46 @@ def timecode_format(spark, d):
 
 # --- matching --------------------------------------------------------------------------------
 
-_PAIRS = """o AS (SELECT unnest(range(1, 10)) AS off),
-  pairs AS (SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id,
+_PAIRS = """pairs AS (SELECT a.vec_id // 16 AS session, a.vec_id AS left_id, b.vec_id AS right_id,
     round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) / len(a.embedding), 9) AS distance
-    FROM embeddings a JOIN o ON true JOIN embeddings b ON b.vec_id = a.vec_id + o.off WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"""
+    FROM embeddings a JOIN embeddings b ON b.vec_id // 16 = a.vec_id // 16 WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"""
 
 
 def _pairs(spark, d):
-    """Even vectors against the odd ones among their next nine: candidates by key, never all pairs."""
-    rows = table(spark, d, "embeddings")
-    left = rows.where("vec_id % 2 = 0").select("label", F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(9), F.lit(2))).alias("off"))
-    right = rows.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
-    met = left.join(right, F.col("right_id") == F.col("left_id") + F.col("off"))
-    return met.select("label", "left_id", "right_id", F.round(M.signature_distance(F.col("a"), F.col("b")), 9).alias("distance"))
+    """Sessions of sixteen vectors: the even ones are the pictures that are expected, the odd ones those
+    that are found; all pairs of a session are candidates."""
+    rows = table(spark, d, "embeddings").withColumn("session", F.floor(F.col("vec_id") / 16))
+    left = rows.where("vec_id % 2 = 0").select("session", F.col("vec_id").alias("left_id"), F.col("embedding").alias("a"))
+    right = rows.where("vec_id % 2 = 1").select("session", F.col("vec_id").alias("right_id"), F.col("embedding").alias("b"))
+    met = left.join(right, "session")
+    return met.select("session", "left_id", "right_id", F.round(M.signature_distance(F.col("a"), F.col("b")), 9).alias("distance"))
 
 
-@query(f"WITH {_PAIRS} SELECT label, left_id, right_id, distance FROM pairs")
+@query(f"WITH {_PAIRS} SELECT session, left_id, right_id, distance FROM pairs")
 def signature_distance(spark, d):
     return _pairs(spark, d)
 
 
 @query()
 def greedy_assignment(spark, d):
-    return M.greedy_assignment(_pairs(spark, d), "label", 0.15)
+    """Pictures with the objects that show them, and whether all of their session were found."""
+    aspect = F.abs(F.col("left_id") % 7 - F.col("right_id") % 5) / 10
+    pairs = _pairs(spark, d).withColumns({"aspect": aspect, "page": F.col("right_id") % 3})
+    found = M.greedy_assignment(pairs, "session", 0.15, ("distance", "aspect", "left_id", "page", "right_id"))
+    expected = pairs.select("session", "left_id").distinct().groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    given = found.groupBy("session").agg(F.count(F.lit(1)).alias("n_found"))
+    whole = given.join(expected, "session").select("session", (F.col("n") == F.col("n_found")).alias("complete"))
+    return found.join(whole, "session").select("session", "left_id", "right_id", "complete")
 
 
 @query(
-    f"""WITH {_PAIRS}, r AS (SELECT left_id, right_id, round(1 - distance, 9) AS score, row_number() OVER (PARTITION BY left_id ORDER BY round(1 - distance, 9) DESC, right_id) AS rank,
-        lead(round(1 - distance, 9)) OVER (PARTITION BY left_id ORDER BY round(1 - distance, 9) DESC, right_id) AS next FROM pairs)
-      SELECT left_id, right_id, score FROM r WHERE rank = 1 AND score >= 0.7 AND (next IS NULL OR score - next >= 0.005)"""
+    f"""WITH {_PAIRS}, r AS (SELECT left_id, right_id, round(1.6 - 6 * distance, 9) AS score, row_number() OVER (PARTITION BY left_id ORDER BY round(1.6 - 6 * distance, 9) DESC, right_id) AS rank,
+        lead(round(1.6 - 6 * distance, 9)) OVER (PARTITION BY left_id ORDER BY round(1.6 - 6 * distance, 9) DESC, right_id) AS next FROM pairs)
+      SELECT left_id, right_id, score FROM r WHERE rank = 1 AND score >= 0.7 AND (next IS NULL OR score - next >= 0.05)"""
 )
 def unique_best_margin(spark, d):
-    scored = _pairs(spark, d).withColumn("score", F.round(1 - F.col("distance"), 9))
-    return M.unique_best(scored, "left_id", "right_id", 0.7, 0.005).select("left_id", "right_id", "score")
+    scored = _pairs(spark, d).withColumn("score", F.round(1.6 - 6 * F.col("distance"), 9))
+    return M.unique_best(scored, "left_id", "right_id").select("left_id", "right_id", "score")
 
 
 @query()
@@ -566,6 +591,52 @@ def format_resolution(spark, d):
     return S.resolve_format(files, "name", "mime")
 
 
+@query(
+    f"""WITH {FOUND}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY finding_id) - 1 AS pos FROM found),
+    x AS (SELECT doc_id, pos, pos % 4 = 1 AS missing, least((pos * 37 + doc_id) % 100 / 80.0::DOUBLE, 1.0) AS x, CASE WHEN pos % 5 = 3 THEN 0.1 ELSE (pos + doc_id) % 9 / 10.0::DOUBLE END AS w FROM c),
+    i AS (SELECT doc_id, pos, x, least(w, 1 - x) AS w, missing OR least(w, 1 - x) <= 0 AS bad FROM x)
+    SELECT doc_id, pos, CASE WHEN NOT bad THEN round(x, 6) END AS x, CASE WHEN NOT bad THEN round(w, 6) END AS width, CASE WHEN bad THEN 'target_region' END AS reject FROM i"""
+)
+def image_response_items(spark, d):
+    """Items of image responses: each needs a region of which something is left."""
+    pos, doc = F.col("pos"), F.col("doc_id")
+    x, w = (pos * 37 + doc) % 100 / F.lit(80.0), F.when(pos % 5 == 3, "null").otherwise(((pos + doc) % 9 / F.lit(10.0)).cast("string"))
+    region = F.concat(F.lit('{"x":'), x.cast("string"), F.lit(',"y":0.2,"width":'), w, F.lit(',"height":"?"}'))
+    item = F.concat(F.lit('{"entity_type":"face","target_region":'), F.when(pos % 4 == 1, '"none"').otherwise(region), F.lit("}"))
+    got = E.items(_responses(spark, d, item), "doc_id", "raw", "image")
+    return got.select("doc_id", "pos", F.round("region.x", 6).alias("x"), F.round("region.width", 6).alias("width"), "reject")
+
+
+@query(
+    f"""WITH {FOUND}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY finding_id) - 1 AS pos FROM found),
+    i AS (SELECT doc_id, pos, CASE WHEN pos % 4 <> 1 THEN (pos % 7 - 1) / 2.0::DOUBLE END AS s, CASE WHEN pos % 4 <> 1 THEN doc_id % 5 / 2.0::DOUBLE END AS e FROM c)
+    SELECT doc_id, pos, s AS start_time, e AS end_time, CASE WHEN s IS NULL OR s < 0 OR e <= s THEN 'audio_range' END AS reject FROM i"""
+)
+def audio_response_items(spark, d):
+    """Items of audio responses: each needs a range that ends after it begins."""
+    pos, doc = F.col("pos"), F.col("doc_id")
+    bounds = F.concat(F.lit('{"start_time":'), ((pos % 7 - 1) / F.lit(2.0)).cast("string"), F.lit(',"end_time":'), (doc % 5 / F.lit(2.0)).cast("string"), F.lit("}"))
+    item = F.concat(F.lit('{"entity_type":"voice","audio_range":'), F.when(pos % 4 == 1, "null").otherwise(bounds), F.lit("}"))
+    return E.items(_responses(spark, d, item), "doc_id", "raw", "audio").select("doc_id", "pos", "start_time", "end_time", "reject")
+
+
+@query(
+    f"""WITH {FOUND}, c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY finding_id) - 1 AS pos FROM found),
+    p AS (SELECT doc_id, count(*) FILTER (pos % 4 <> 1) AS good, count(*) FILTER (pos % 4 = 1) AS bad, doc_id % 6 = 5 AS failed FROM c GROUP BY 1)
+    SELECT doc_id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS parse_status, CASE WHEN NOT failed THEN good END AS parsed_findings, CASE WHEN NOT failed THEN bad END AS rejected_findings,
+      '{{"finish_reason":"stop","parse_status":"' || CASE WHEN failed THEN 'failed","parsed_finding_count":null,"rejected_finding_count":null'
+        ELSE 'succeeded","parsed_finding_count":' || good || ',"rejected_finding_count":' || bad END || '}}' AS summary FROM p"""
+)
+def parse_results(spark, d):
+    """What became of each response, and its stored summary with that written into it."""
+    item = F.concat(F.lit('{"line_id":"'), F.when(F.col("pos") % 4 == 1, "").otherwise("t1"), F.lit('","exact_text":"x"'), F.when(F.col("doc_id") % 6 == 5, ',"action":"redact"').otherwise(""), F.lit("}"))
+    responses = _responses(spark, d, item)
+    per = E.parse_outcomes(responses, E.items(responses, "doc_id", "raw"), "doc_id")
+    old = F.from_json(F.lit('{"finish_reason":"stop","parse_status":null}'), "finish_reason string, parse_status string, parsed_finding_count bigint, rejected_finding_count bigint")
+    new = old.withField("parse_status", F.col("parse_status")).withField("parsed_finding_count", F.col("parsed_findings")).withField("rejected_finding_count", F.col("rejected_findings"))
+    return per.withColumn("summary", F.to_json(new, {"ignoreNullFields": "false"}))
+
+
 @query(
     """WITH e AS (SELECT l_orderkey, CASE WHEN l_partkey % 50 = 0 THEN '../' ELSE 'word/' END || (l_partkey % 40) AS name,
         (l_extendedprice * 900)::BIGINT AS size, (l_extendedprice * 900 / (1 + l_suppkey * 4))::BIGINT AS packed FROM lineitem),

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators import audit as A
+from palimpsest.operators import errors as C
 from palimpsest.operators import lines as L
+from palimpsest.operators import review as V
 from palimpsest.operators import timeline as T
 from palimpsest.plans.base import FOUND, found, query
 from palimpsest.plans.base import source_lines as _source_lines
-from palimpsest.session import stored, table
+from palimpsest.session import table
 
 
 @query(
@@ -81,13 +83,13 @@ def display_occurrences(spark, d):
 
 
 @query(
-    f"""WITH {FOUND}, o AS (SELECT finding_id, unnest(range(0, length(line) - 2)) AS at_, line, left(exact_text, 3) AS part FROM found)
-      SELECT finding_id, count(*) AS n_starts, min(at_) AS first_start, max(at_) AS last_start FROM o WHERE substr(line, at_ + 1, 3) = part GROUP BY 1"""
+    f"""WITH {FOUND}, o AS (SELECT finding_id, unnest(range(0, length(line) - length(exact_text) + 1)) AS at_, line, exact_text AS part FROM found)
+      SELECT finding_id, count(*) AS n_starts, min(at_) AS first_start, max(at_) AS last_start FROM o WHERE substr(line, at_ + 1, length(part)) = part GROUP BY 1"""
 )
 def fragment_occurrences(spark, d):
-    """Every place, overlapping ones too, where the first three characters of a finding occur in its line."""
+    """Every place, overlapping ones too, where the text of a finding occurs in its line."""
     lines = _source_lines(spark, d).select("doc_id", "line_no", "text")
-    rows = found(spark, d).join(lines, ["doc_id", "line_no"]).withColumn("starts", X.all_starts(F.col("text"), F.left("exact_text", F.lit(3))))
+    rows = found(spark, d).join(lines, ["doc_id", "line_no"]).withColumn("starts", X.all_starts(F.col("text"), F.col("exact_text")))
     return rows.select(
         "finding_id", F.size("starts").cast("long").alias("n_starts"), F.array_min("starts").alias("first_start"), F.array_max("starts").alias("last_start")
     )
@@ -98,42 +100,68 @@ def fragment_occurrences(spark, d):
       SELECT user_id, created, updated, row_number() OVER (ORDER BY updated DESC, created DESC) AS position FROM s"""
 )
 def session_listing(spark, d):
-    """Sessions as a list shows them: the latest first. They are numbered within ranges, whose numbers
-    begin after those of the ranges before them."""
+    """Sessions as a list shows them: the latest first."""
     per = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("created"), F.max("event_id").alias("updated"))
-    order = (F.desc("updated"), F.desc("created"))
-    per = stored(per.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "session-ranges")
-    sizes = sorted((r["range"], r["n"]) for r in per.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
-    before = [(k, sum(n for _, n in sizes[:nth])) for nth, (k, _) in enumerate(sizes)]
-    offsets = F.broadcast(spark.createDataFrame(before, "range int, before long"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return per.withColumn("nth", within).join(offsets, "range").select("user_id", "created", "updated", (F.col("before") + F.col("nth")).alias("position"))
+    return V.numbered(per, [F.desc("updated"), F.desc("created")])
 
 
 @query(
     """WITH a AS (SELECT l_orderkey, l_linenumber, l_discount AS x, l_tax AS y, l_discount + (l_partkey % 3) / 20000 AS x2, l_tax + (l_suppkey % 2) / 5000 AS y2,
+        0.2 + (l_partkey % 4) / 30000 AS w2, 0.3 - (l_suppkey % 5) / 40000 AS h2,
         l_quantity AS r, l_quantity + 360 * (l_partkey % 2) + (l_suppkey % 3) / 250 AS r2 FROM lineitem)
-      SELECT l_orderkey, l_linenumber, abs(x - x2) < 1e-4 AND abs(y - y2) < 1e-4
-        AND abs((r - r2 + 180) - 360 * floor((r - r2 + 180) / 360) - 180) < 0.01 AS same_region FROM a"""
+      SELECT l_orderkey, l_linenumber, abs(x - x2) < 1e-4 AND abs(y - y2) < 1e-4 AND abs(0.2 - w2) < 1e-4 AND abs(0.3 - h2) < 1e-4 AND abs(r - r2) < 0.01 AS same_region FROM a"""
 )
 def region_matches(spark, d):
-    """Regions that count as equal: within 1e-4 of a side and a hundredth of a degree."""
+    """Regions that count as equal: within 1e-4 in their corner and sides, and a hundredth of a degree."""
     x2, y2 = F.col("l_discount") + (F.col("l_partkey") % 3) / 20000, F.col("l_tax") + (F.col("l_suppkey") % 2) / 5000
-    turn = F.col("l_quantity") - (F.col("l_quantity") + 360 * (F.col("l_partkey") % 2) + (F.col("l_suppkey") % 3) / 250)
-    same = (F.abs(F.col("l_discount") - x2) < 1e-4) & (F.abs(F.col("l_tax") - y2) < 1e-4) & (F.abs(X.normalise_rotation(turn)) < 0.01)
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", same.alias("same_region"))
+    turn = F.col("l_quantity") + 360 * (F.col("l_partkey") % 2) + (F.col("l_suppkey") % 3) / 250
+    left = (F.col("l_discount"), F.col("l_tax"), F.lit(0.2), F.lit(0.3), F.col("l_quantity"))
+    right = (x2, y2, 0.2 + (F.col("l_partkey") % 4) / 30000, 0.3 - (F.col("l_suppkey") % 5) / 40000, turn)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.regions_match(left, right).alias("same_region"))
 
 
 @query(
-    """SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'processing' WHEN 'O' THEN 'transport' ELSE 'internal' END AS category,
-      o_orderstatus = 'O' AS retryable, CASE o_orderstatus WHEN 'F' THEN 422 WHEN 'O' THEN 503 ELSE 500 END AS http_status FROM orders WHERE o_orderkey % 3 = 0"""
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS x0, l_tax * 12 AS y0, l_discount * 10 - l_quantity / 60 AS x1, l_tax * 12 + l_suppkey % 7 / 5000 AS y1 FROM lineitem)
+      SELECT l_orderkey, l_linenumber, round(least(greatest(least(x0, x1), 0), 0.99), 6) AS x, round(least(greatest(least(y0, y1), 0), 0.99), 6) AS y,
+        round(least(greatest(abs(x1 - x0), 0.01), 1 - least(x0, x1)), 6) AS width, round(least(greatest(abs(y1 - y0), 0.01), 1 - least(y0, y1)), 6) AS height FROM p"""
+)
+def bounded_regions(spark, d):
+    """Regions drawn from one point to another: within the picture, and of a least size."""
+    x0, y0 = F.col("l_discount") * 10, F.col("l_tax") * 12
+    region = X.drawn_region(x0, y0, x0 - F.col("l_quantity") / 60, y0 + F.col("l_suppkey") % 7 / 5000, 0.01)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", region.alias("g"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(f"g.{c}", 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+_CODES = [c for c, *_ in C.CATALOG]
+
+
+@query(
+    "WITH c(code, category, retryable, http_status) AS (VALUES "
+    + ", ".join(f"('{c}', '{k}', {str(c in C.RETRYABLE).lower()}, {h})" for c, k, h in C.CATALOG)
+    + f"""), o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 63 = 62 THEN 'no_such_code' ELSE {_CODES!r}[1 + o_orderkey % 63 % {len(_CODES)}] END AS code,
+        CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS stored FROM orders)
+      SELECT o_orderkey, o.code, coalesce(category, 'internal') AS category, coalesce(retryable, false) AS retryable, coalesce(http_status, 500) AS http_status,
+        CASE WHEN stored IS NOT NULL THEN '{C.PUBLIC_MESSAGE}' END AS message FROM o LEFT JOIN c ON c.code = o.code"""
 )
 def public_errors(spark, d):
-    """Codes looked up in a small table of categories; what it does not hold is an internal error."""
-    catalog = spark.createDataFrame([("F", "processing", False, 422), ("O", "transport", True, 503)], "o_orderstatus string, category string, retryable boolean, http_status int")
-    rows = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
-    met = rows.join(F.broadcast(catalog), "o_orderstatus", "left")  # a fixed table
-    return met.select(
-        "o_orderkey", "o_orderstatus", F.coalesce("category", F.lit("internal")).alias("category"),
-        F.coalesce("retryable", F.lit(False)).alias("retryable"), F.coalesce("http_status", F.lit(500)).alias("http_status"),
-    )
+    """Codes looked up in the catalogue, where an unknown one is an internal error, and masked messages."""
+    k = F.col("o_orderkey") % 63
+    code = F.when(k == 62, "no_such_code").otherwise(F.get(F.array(*[F.lit(c) for c in _CODES]), (k % len(_CODES)).cast("int")))
+    message = C.public_message(F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")))
+    rows = table(spark, d, "orders").select("o_orderkey", code.alias("code"), message.alias("message"))
+    return C.described(rows, "code").select("o_orderkey", "code", "category", "retryable", "http_status", "message")
+
+
+_FAILURES = [*C.PROVIDER_CODES, "none"]
+
+
+@query(
+    f"""WITH c(failure, code) AS (VALUES {', '.join(map(str, C.PROVIDER_CODES.items()))}), e AS (SELECT event_id, {_FAILURES!r}[1 + event_id % {len(_FAILURES)}] AS failure FROM events)
+      SELECT event_id, e.failure, code FROM e LEFT JOIN c ON c.failure = e.failure"""
+)
+def provider_errors(spark, d):
+    """Failures of a provider under the codes that the catalogue has for them."""
+    failure = F.get(F.array(*[F.lit(x) for x in _FAILURES]), (F.col("event_id") % len(_FAILURES)).cast("int"))
+    rows = table(spark, d, "events").select("event_id", failure.alias("failure"))
+    return rows.withColumn("code", C.provider_code(F.col("failure")))

@@ -195,7 +195,7 @@ def pseudonym_tokens(spark, d):
 
 
 _REPLACED = f"""edits AS (
-  SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY finding_id) AS k, exact_text,
+  SELECT doc_id, finding_id, CASE WHEN doc_id % 13 = 0 THEN line_no + 1000000 ELSE line_no END AS named, exact_text,
          CASE WHEN effect = 'partial_mask' THEN {MASK.format(x='exact_text')}
               WHEN effect = 'token_replace' AND NOT plain THEN custom_text
               WHEN effect = 'token_replace' THEN token ELSE '{R.BOX}' END AS replacement
@@ -204,18 +204,23 @@ _REPLACED = f"""edits AS (
 
 @query(
     f"""WITH RECURSIVE {LAYERS}, {_TOKENS}, {_REPLACED},
-  n AS (SELECT doc_id, line_no, count(*) AS n_layers FROM edits GROUP BY ALL),
+  sized AS (SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END AS n_lines FROM documents),
+  own AS (SELECT l.doc_id, l.line_no, e.exact_text, e.replacement, row_number() OVER (PARTITION BY l.doc_id, l.line_no ORDER BY e.finding_id) AS k
+    FROM lines l JOIN sized USING (doc_id) JOIN edits e ON e.doc_id = l.doc_id AND (e.named = l.line_no OR e.named > n_lines)),
+  n AS (SELECT doc_id, line_no, count(*) AS n_layers FROM own GROUP BY ALL),
   r AS (
     SELECT doc_id, line_no, 0 AS k, text AS redacted FROM lines
     UNION ALL
     SELECT r.doc_id, r.line_no, e.k, replace(r.redacted, e.exact_text, e.replacement)
-    FROM r JOIN edits e ON e.doc_id = r.doc_id AND e.line_no = r.line_no AND e.k = r.k + 1)
+    FROM r JOIN own e ON e.doc_id = r.doc_id AND e.line_no = r.line_no AND e.k = r.k + 1)
   SELECT l.doc_id, l.line_no, l.line_id, l.text, r.redacted, coalesce(n_layers, 0) AS n_layers
   FROM lines l LEFT JOIN n USING (doc_id, line_no) JOIN r ON r.doc_id = l.doc_id AND r.line_no = l.line_no AND r.k = coalesce(n_layers, 0)"""
 )
 def redacted_lines(spark, d):
+    """Lines after their layers; those of some documents name a line that there is not."""
     edits = R.with_replacement(_tokens(spark, d), "exact_text")
-    return R.render_lines(_source_lines(spark, d), edits, ["doc_id", "line_no"], "finding_id")
+    named = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("t"), F.col("line_no") + 1_000_000)).otherwise(F.col("line_id"))
+    return R.render_lines(table(spark, d, "documents"), edits.withColumn("line_id", named), "finding_id")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values: (format, suffixes, accepted types, kind, layout).
@@ -75,3 +75,49 @@ def archive_admission(entries: DataFrame, package: str) -> DataFrame:
         .when(F.col("expanded") > ratio * F.col("packed"), "ratio")
     )
     return per.withColumn("reason", reason)
+
+
+# Parts of a package that could run or carry something else, and containers of sound that can be written.
+ACTIVE_PARTS = (
+    "ActiveXPart AlternativeFormatImportPart EmbeddedControlPersistenceBinaryDataPart EmbeddedControlPersistencePart "
+    "EmbeddedObjectPart EmbeddedPackagePart VbaDataPart VbaProjectPart"
+).split()
+SOUND_SUFFIXES = "aac flac m4a mp3 mp4 ogg opus wav".split()
+
+
+def kind_of(file_format: Column) -> Column:
+    """The kind that a format is of, null if there is no such format."""
+    return F.coalesce(*[F.when(file_format == f, k) for f, _, _, k, _ in FORMATS])
+
+
+def kind_violations(files: DataFrame, file_format: str, kind: str) -> DataFrame:
+    """Files whose format is unknown, or of another kind than is stored, with the kind that is expected."""
+    expected = kind_of(F.col(file_format))
+    return files.withColumn("expected_kind", expected).where(F.col("expected_kind").isNull() | (F.col("expected_kind") != F.col(kind)))
+
+
+def package_contents(parts: DataFrame, package: str) -> DataFrame:
+    """Per package, over its parts (part, external, bytes): why it is refused, and the active part."""
+    active = F.col("part").isin(ACTIVE_PARTS)
+    per = parts.groupBy(package).agg(
+        (F.sum("bytes") > MAX_UPLOAD_BYTES).alias("large"), F.bool_or("external").alias("external"), F.min(F.when(active, F.col("part"))).alias("active")
+    )
+    reason = F.when(F.col("large"), "package_limit").when(F.col("external"), "external_relationship").when(F.col("active").isNotNull(), "active_content")
+    return per.select(package, reason.alias("reason"), "active")
+
+
+def upload_reason(size: Column, limit: int = MAX_UPLOAD_BYTES) -> Column:
+    return F.when(size > limit, "file_too_large").when(size == 0, "empty")
+
+
+def output_format(kind: Column, suffix: Column) -> Column:
+    """Format of a rendered file: pictures become PNG, sound keeps a container that can be written."""
+    sound = F.when(F.lower(suffix).isin(SOUND_SUFFIXES), F.lower(suffix)).otherwise("wav")
+    return F.when(kind == "image", "png").when(kind == "audio", sound).otherwise(suffix)
+
+
+def finalised(outputs: DataFrame, key: str) -> DataFrame:
+    """Outputs (sha256, output) under the name that their contents give them; all but the first with the
+    same contents find it there already."""
+    first = F.min(key).over(Window.partitionBy("sha256", "output"))
+    return outputs.withColumn("stored_as", F.concat_ws(".", "sha256", "output")).withColumn("reused", F.col(key) != first)

@@ -1,8 +1,11 @@
 """Worked examples and properties of the review operators."""
 
 import hashlib
+import itertools
 import json
 import random
+import unicodedata
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -67,8 +70,12 @@ def greedy(costs, limit):
 def test_batches(spark):
     rng = random.Random(1)
     cases = [(k, [rng.randrange(1, 60) for _ in range(rng.randrange(1, 20))]) for k in range(60)] + [(99, [40, 40, 40])]
-    rows = spark.createDataFrame(cases, "k long, c array<long>").select("k", lines.greedy_batches(F.col("c"), 100).alias("b"))
-    assert {r.k: r.b for r in rows.collect()} == {k: greedy(c, 100) for k, c in cases}
+    costs = F.transform("c", lambda c, k: F.struct((k + 1).alias("no"), c.alias("cost")))
+    rows = spark.createDataFrame(cases, "k long, c array<long>").select("k", lines.greedy_batches(costs, 100).alias("b"))
+    for r in rows.collect():
+        costs = dict(cases)[r.k]
+        assert [k for k, b in enumerate(r.b, 1) for _ in range(b.n_lines)] == greedy(costs, 100)
+        assert [b.cost for b in r.b] == [sum(costs[b.first_line - 1 : b.last_line]) for b in r.b]
     docs = spark.createDataFrame([(1, "x" * 39 + "\n" + "x" * 39 + "\n" + "x" * 39), (2, "y\n" + "x" * 100)], "doc_id long, text string")
     got = sorted((r.doc_id, r.batch, r.n_lines) for r in lines.text_batches(docs, 100).collect())
     assert got == [(1, 1, 2), (1, 2, 1), (2, 0, 2)]
@@ -188,12 +195,55 @@ def test_chain_detects_tampering(spark):
     assert [(r.seq, r.linked, r.intact) for r in bad] == [(7, True, False), (16, False, True)]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="ab c", max_size=12), st.text(alphabet="ab c", max_size=12))
-def test_similarity_is_bounded(a, b):
-    ratio = match.similarity_ratio(a, b)
-    assert 0 <= ratio <= 1
-    assert ratio == 1 if a == b and a else True
+def plain_projection(text):
+    """Text for comparison and its ranges, by the rule: character by character, then runs of white space."""
+    flat = [(c, k) for k, source in enumerate(text or "") for c in unicodedata.normalize("NFKC", "-" if source in "\xad\ufffe" else source).casefold()]
+    runs = [(blank, list(run)) for blank, run in itertools.groupby(flat, key=lambda x: x[0].isspace())]
+    runs = runs[1:] if runs and runs[0][0] else runs
+    runs = runs[:-1] if runs and runs[-1][0] else runs
+    out = [x for blank, run in runs for x in ([(" ", run[0][1], run[-1][1] + 1)] if blank else [(c, k, k + 1) for c, k in run])]
+    return "".join(x[0] for x in out), [x[1] for x in out], [x[2] for x in out]
+
+
+def plain_score(a, b):
+    a, b = plain_projection(a)[0], plain_projection(b)[0]
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return 0.65 + 0.35 * min(len(a), len(b)) / max(len(a), len(b))
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+TEXTS = st.text(alphabet="aAbßﬁ \t\xad\u3000é\ufffe½", max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS, max_size=5))
+def test_projections_of_a_batch(texts):
+    got = match.projections(texts)
+    for k, text in enumerate(texts):
+        assert (got[0][k], got[1][k].tolist(), got[2][k].tolist()) == plain_projection(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc ", max_size=40), st.text(alphabet="abc ", max_size=40))
+def test_matched_characters(a, b):
+    assert match.matched_characters(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_similarity(spark):
+    rng = random.Random(4)
+    words = ["Straße", "haus", "STRASSE", "of  the", "ﬁn", "inon", "erst"]
+    pairs = [(" ".join(rng.choice(words) for _ in range(rng.randrange(60))), " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for _ in range(60)]
+    pairs += [("", "a"), (None, None), ("A b", "a  B "), ("x" * 3000, "x" * 2999 + "y"), ("ab" * 700, "ba" * 900)]
+    frame = spark.createDataFrame(pairs, "a string, b string").withColumn("s", match.similarity("a", "b"))
+    forms = frame.withColumns({"x": match.comparison_projection("a")["text"], "y": match.comparison_projection("b")["text"]})
+    for r in forms.withColumn("near", match.may_matter(F.col("x"), F.col("y"))).collect():
+        expected = plain_score(r.a, r.b)
+        assert abs(r.s - expected) < 1e-12
+        assert r.near or expected < 0.65
 
 
 def test_fuzzy_ratio_compares_all_lines(spark, tmp_path):
@@ -226,11 +276,59 @@ def test_projection_offsets(spark):
     assert got[1].text == "" and got[2].text == ""
 
 
-def test_greedy_assignment_uses_each_side_once(spark):
-    rows = [(1, 1, 1, 0.2), (1, 1, 2, 0.1), (1, 2, 2, 0.15), (1, 2, 1, 0.3), (1, 3, 1, 9.0)]
-    frame = spark.createDataFrame(rows, "g long, left_id long, right_id long, distance double")
-    got = sorted((r.left_id, r.right_id) for r in match.greedy_assignment(frame, "g", 1.0).collect())
-    assert got == [(1, 2), (2, 1)]
+def test_greedy_assignment_equals_one_by_one(spark):
+    rng = random.Random(5)
+    rows = [(g, i, j, rng.choice([0.1, 0.2, 0.3, 0.5]), rng.choice([0.0, 1.0])) for g in range(4) for i in range(9) for j in range(rng.randrange(8, 12)) if rng.random() < 0.8]
+    frame = spark.createDataFrame(rows, "g long, left_id long, right_id long, distance double, aspect double")
+    order = ("distance", "aspect", "left_id", "right_id")
+    expected, used = set(), set()
+    for g, i, j, d, _ in sorted(rows, key=lambda r: (r[3], r[4], r[1], r[2])):
+        if d <= 0.3 and (g, "l", i) not in used and (g, "r", j) not in used:
+            used |= {(g, "l", i), (g, "r", j)}
+            expected.add((g, i, j))
+    got = match.greedy_assignment(frame.repartition(3), "g", 0.3, order).collect()
+    assert {(r.g, r.left_id, r.right_id) for r in got} == expected and len(got) == len(expected)
+    assert match.greedy_assignment(frame.limit(0), "g", 1.0).count() == 0
+
+
+def test_lines_without_a_place_are_looked_for_everywhere(spark):
+    docs = spark.createDataFrame([(1, "Ann met Bob\n\nBob left Ann\n"), (2, "Ann"), (3, None)], "doc_id long, text string")
+    layers = [(1, "t1", "Bob", "[B]", 1), (1, "t99", "Ann", "Bob", 2), (1, "x", "left", "l", 3), (1, "t3", "Bob", "[3]", 4), (2, "t1", "Ann", "A", 5)]
+    frame = spark.createDataFrame(layers, "doc_id long, line_id string, exact_text string, replacement string, at long")
+    got = sorted((r.doc_id, r.line_id, r.redacted, r.n_layers) for r in redact.render_lines(docs, frame, "at").collect())
+    assert got == [(1, "t1", "Bob met [B]", 3), (1, "t3", "[3] l [3]", 3), (2, "t1", "A", 1)]
+
+
+def test_long_sessions_are_chained_over_batches(spark):
+    rows = spark.range(5000).selectExpr("id % 2 AS session_id", "id AS seq", "concat('e', id) AS event_id", "'a' AS actor_id", "'u' AS actor_type", "'t' AS event_type", "'{}' AS payload", "'now' AS created_at")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        chain = audit.build_chain(rows)
+        assert audit.verify_chain(chain).where("linked AND intact").count() == 5000
+        assert {r.event_count for r in audit.last_hash(chain).collect()} == {2500}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+@pytest.mark.parametrize(
+    ("raw", "found"),
+    [
+        ('```json\n{"a": [{"b": 1]\n```', {"a": [{"b": 1}]}),
+        ('{"a": 1\n```', None),
+        ('{"findings":[{"a":1]} and {more', {"findings": [{"a": 1}]}),
+        ('{"findings":[{"a":1]} and }', None),
+        ('{"findings":[{"a":1],"b":[{"c":2]}', None),
+        ('{"a": {"b": 1}', {"a": {"b": 1}}),
+        ('{"a": "}', None),
+        ('{"x": nope {"a": 1}} {"b": 2}', {"b": 2}),
+        ('{"x": ] {"a": 1}', {"a": 1}),
+        ('see "{" then {"a": "\\"}"}', None),
+        ('say {"a": "\\"}"} now', {"a": '"}'}),
+    ],
+)
+def test_objects_in_odd_texts(raw, found):
+    got = extract.first_object(raw)
+    assert (json.loads(got) if got else None) == found
 
 
 def test_archives_and_binary_files(spark, tmp_path):

@@ -9,8 +9,8 @@ from palimpsest.plans import catalog
 SF = "/root/testdata/sf0.001"
 #: Queries that need Python on the executors.
 PYTHON = {
-    "comparison_texts", "content_bearing_keys", "docx_locators", "fuzzy_ratio", "greedy_assignment", "preview_matches",
-    "response_repair", "signed_manifests",
+    "audit_chain", "audit_chain_verify", "audit_prefix", "block_locators", "comparison_texts", "content_bearing_keys", "docx_locators", "fuzzy_ratio",
+    "last_hash", "locator_checks", "page_characters", "pdf_selections", "preview_matches", "response_repair", "signed_manifests",
 }
 STREAMS = {"streaming_conflation", "streaming_daily_counts"}
 
@@ -28,8 +28,9 @@ def test_no_cross_joins_and_python_only_where_needed(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(spark, "hydrated_left_join")
-    assert "EqualTo(l_linenumber,3)" in text
     assert "l_extendedprice" not in text and "o_totalprice" not in text
+    assert "EqualTo(l_returnflag,R)" in plan(spark, "finding_lookup")
+    assert "snapshot" not in plan(spark, "instruction_references")
     text = plan(spark, "token_totals")
     assert re.search(r"ReadSchema: struct<conv_id:bigint,role:string,text:string>", text)
     assert "EqualTo(o_orderstatus,F)" in plan(spark, "replaced_sessions")

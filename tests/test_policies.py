@@ -47,5 +47,18 @@ def test_ranges_are_replaced_from_the_end(spark):
     ranges = spark.createDataFrame(ranges, 'block_id string, start long, end long, exact_text string, replacement string')
     got = {r.block_id: (r.rendered, r.n_stale) for r in blocks.replace_ranges(frame, ranges, "block_id").collect()}
     assert got == {"b1": ("a[1] [22] c", 1), "b2": ("x", 0), "b3": (None, 0)}
-    reason = frame.select(blocks.unsupported_reason(F.lit(False), F.lit("image/png"), F.lit(0), F.lit(5)).alias("r")).first().r
-    assert reason == "empty"
+    good = [F.lit(x) for x in (1, 1, 1, 1, 1, 1, None, "rId1", "image/PNG")]
+    told = lambda **changed: [changed.get(f"a{k}", c) for k, c in enumerate(good)]
+    cases = {
+        "unsupported_drawing_type": told(a0=F.lit(0)), "unsupported_picture_container": told(a5=F.lit(2)), "external_image": told(a6=F.lit("x"), a7=F.lit("")),
+        "missing_image_relationship": told(a8=F.lit(None).cast("string")), "relationship_is_not_an_image": told(a8=F.lit("")), "unsupported_image_format": told(a8=F.lit("image/x-emf")),
+    }
+    row = frame.select(*[blocks.unsupported_reason(*c).alias(k) for k, c in cases.items()], blocks.unsupported_reason(*good).alias("none")).first()
+    assert row.asDict() == {k: k for k in cases} | {"none": None}
+
+
+def test_a_range_goes_from_all_its_leaves(spark):
+    leaves = spark.createDataFrame([("b", 0, "Hé"), ("b", 1, "llo "), ("b", 2, "wor"), ("b", 3, "ld"), ("c", 0, "x")], "key string, nth int, text string")
+    ranges = spark.createDataFrame([("b", 1, 8, "[X]")], "key string, start long, end long, replacement string")
+    got = {(r.key, r.nth): r.rendered for r in blocks.replace_in_leaves(leaves, ranges, "key").collect()}
+    assert got == {("b", 0): "H[X]", ("b", 1): "", ("b", 2): "r", ("b", 3): "ld", ("c", 0): "x"}
