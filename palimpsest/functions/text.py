@@ -52,10 +52,15 @@ def unique_offset(line: Column, text: Column) -> Column:
 
 
 def all_starts(line: Column, text: Column) -> Column:
-    """Starts (from 0) of all occurrences, overlapping ones too."""
-    n = F.length(line) - F.length(text)
-    places = F.when((F.length(text) > 0) & (n >= 0), F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda k: F.substring(line, k + 1, F.length(text)) == text)
+    """Starts (from 0) of all occurrences, overlapping ones too: the line is cut before each of them, and
+    the pieces' lengths add up."""
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.split(line, quoted, -1)
+    before = lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
+    none = F.array().cast("array<int>")
+    later = F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), before)).otherwise(none)
+    first = F.when(line.startswith(text), F.array(F.lit(0))).otherwise(none)  # there nothing is cut
+    return F.when(F.length(text) > 0, F.concat(first, later)).otherwise(none)
 
 
 def file_stem(name: Column) -> Column:

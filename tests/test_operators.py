@@ -362,3 +362,12 @@ def test_hydration_violations(spark):
     w = spark.createDataFrame([("f1", 1), ("f2", 2), ("f3", 1), ("f3", 1), ("f9", 1)], "finding_id string, s long")
     got = {r.finding_id: r.reason for r in review.integrity_violations(f, w, "finding_id", "s").collect()}
     assert got == {"f2": "cross_session", "f3": "several_layers", "f4": "missing_layer", "f9": "orphan_layer"}
+
+
+def test_all_starts(spark):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("ab\\E.é😀") for _ in range(rng.randrange(30))), "".join(rng.choice("ab\\E.é😀") for _ in range(rng.randrange(4)))) for _ in range(200)]
+    rows += [("aaa", "aa"), ("", "a"), ("x\\Ey", "\\E"), (None, "a")]
+    for r in spark.createDataFrame(rows, "a string, b string").withColumn("s", X.all_starts(F.col("a"), F.col("b"))).collect():
+        expected = [k for k in range(len(r.a or "")) if r.b and r.a.startswith(r.b, k)]
+        assert r.s == expected, (r.a, r.b)
