@@ -12,6 +12,20 @@ def block_id(sha256: Column, part: Column, story: Column, path: Column) -> Colum
     return F.concat(F.lit("b_"), F.sha2(F.concat_ws("\0", sha256, part, story, path), 256))
 
 
+# Stories in the order in which they are read.
+STORIES = "body header footer footnotes endnotes".split()
+
+
+def story_blocks(paragraphs: DataFrame, source: str) -> DataFrame:
+    """Add ordinal and block_id to paragraphs (source, sha, story, part, path, nth, text): the body comes
+    first, then headers and footers by their parts, then notes; within a part, paragraphs keep their
+    order. Paragraphs of unknown stories are none."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in STORIES]), F.col("story"))
+    along = Window.partitionBy(source).orderBy(rank, "part", "nth")
+    known = paragraphs.where(F.col("story").isin(STORIES))
+    return known.select("*", (F.row_number().over(along) - 1).alias("ordinal"), block_id(F.col("sha"), F.col("part"), F.col("story"), F.col("path")).alias("block_id"))
+
+
 def inspection(blocks: DataFrame, source: str, told_characters: Column) -> DataFrame:
     """Per source: are ordinals 0..n-1, ids unique, and code points as many as told."""
     n = F.count(F.lit(1))

@@ -27,6 +27,18 @@ def audit_projection(layers: DataFrame) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+def audit_target(kind: Column, fields: dict[str, Column]) -> Column:
+    """A target as an audit may show it, whatever its kind: where it is, and nothing of what it says."""
+    own = {
+        "document": ("kind", "line_id", "start", "end"),
+        "image": ("kind", "page", "x", "y", "width", "height", "rotation_degrees"),
+        "audio": ("kind", "start_time", "end_time"),
+    }
+    given = fields | {"kind": kind}
+    told = [F.when(kind == k, F.to_json(F.struct(*[given[c].alias(c) for c in names]), {"ignoreNullFields": "false"})) for k, names in own.items()]
+    return F.coalesce(*told)
+
+
 def prompt_route(kind: Column, layout: Column) -> Column:
     """Which prompt a source gets: text for text and word-processing documents, image for fixed ones."""
     return F.when(kind == "audio", "audio").when((kind == "image") | (layout == "fixed"), "image").otherwise("text")

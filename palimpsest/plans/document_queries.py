@@ -293,3 +293,39 @@ def page_projection(spark, d):
     before = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     return rows.select("page_id", "line_no", start.alias("starts_at"), (start + F.col("n")).alias("ends_at"))
+
+
+_STORIES = ["header", "body", "endnotes", "body", "footer", "comments", "footnotes"]
+
+
+@query(
+    f"""WITH {LINES}, p AS (SELECT l.doc_id, sha256(d.text) AS sha, l.line_no, l.text, {_STORIES!r}[1 + l.line_no % 7] AS story, l.line_no % 3 AS k FROM lines l JOIN documents d USING (doc_id)),
+      q AS (SELECT *, CASE WHEN story IN ('header', 'footer') THEN '/word/' || story || k || '.xml' ELSE '/word/' || story || '.xml' END AS part, 'p[' || (line_no - 1) || ']' AS path,
+        list_position(['body', 'header', 'footer', 'footnotes', 'endnotes'], story) AS rank FROM p WHERE story <> 'comments')
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank, part, line_no) - 1 AS ordinal, story, part, 'b_' || sha256(concat_ws(chr(0), sha, part, story, path)) AS block_id FROM q"""
+)
+def docx_stories(spark, d):
+    """Lines as paragraphs of several stories, in the order in which these are read."""
+    story = F.get(F.array(*[F.lit(x) for x in _STORIES]), (F.col("line_no") % 7).cast("int"))
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    rows = _source_lines(spark, d).join(docs, "doc_id").withColumn("story", story)
+    several = F.when(F.col("story").isin("header", "footer"), (F.col("line_no") % 3).cast("string")).otherwise("")
+    part = F.concat(F.lit("/word/"), "story", several, F.lit(".xml"))
+    rows = rows.select("doc_id", "sha", "story", part.alias("part"), F.concat(F.lit("p["), F.col("line_no") - 1, F.lit("]")).alias("path"), F.col("line_no").alias("nth"))
+    return K.story_blocks(rows, "doc_id").select("doc_id", "ordinal", "story", "part", "block_id")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_linenumber, ['document', 'image', 'audio'][1 + l_partkey % 3] AS kind, l_suppkey AS n, l_partkey AS m FROM lineitem)
+      SELECT l_orderkey, l_linenumber, CASE kind WHEN 'document' THEN '{"kind":"document","line_id":"t' || n || '","start":' || CASE WHEN m % 2 = 0 THEN m::VARCHAR ELSE 'null' END || ',"end":' || CASE WHEN m % 2 = 0 THEN (m + 4)::VARCHAR ELSE 'null' END || '}'
+        WHEN 'image' THEN '{"kind":"image","page":' || n || ',"x":' || m || ',"y":' || n || ',"width":7,"height":9,"rotation_degrees":' || (m % 180) || '}' ELSE '{"kind":"audio","start_time":' || n || ',"end_time":' || (n + m) || '}' END AS target FROM t"""
+)
+def audit_targets(spark, d):
+    """Targets of all kinds without their contents."""
+    n, m = F.col("l_suppkey"), F.col("l_partkey")
+    kind = F.get(F.array(F.lit("document"), F.lit("image"), F.lit("audio")), (m % 3).cast("int"))
+    unique = lambda c: F.when(m % 2 == 0, c)
+    fields = {
+        "line_id": F.concat(F.lit("t"), n), "start": unique(m), "end": unique(m + 4), "page": n, "x": m, "y": n, "width": F.lit(7), "height": F.lit(9), "rotation_degrees": m % 180, "start_time": n, "end_time": n + m,
+    }
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", J.audit_target(kind, fields).alias("target"))

@@ -689,3 +689,19 @@ def streaming_daily_counts(spark, d):
     counts = C.windowed_counts(events, "ts", "1 day", "1 hour", "event_type")
     day = F.date_format("window.start", "yyyy-MM-dd").alias("day")
     return C.run_once(counts.select(day, "event_type", "n_events"), "complete")
+
+
+@query(
+    """SELECT 'sessions' AS subscriber, user_id AS key, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 2
+       UNION ALL SELECT 'progress', event_id, 1 FROM events WHERE event_type NOT IN ('error', 'purchase')"""
+)
+def streaming_fan_out(spark, d):
+    """One stream for two readers: one counts the terminal events of each session, one keeps the rest."""
+    terminal = F.col("event_type").isin("error", "purchase")
+    readers = {
+        "sessions": lambda batch: batch.where(terminal).groupBy(F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("n")),
+        "progress": lambda batch: batch.where(~terminal).select(F.col("event_id").alias("key"), F.lit(1).cast("long").alias("n")),
+    }
+    got = C.fan_out_once(_stream(spark, d), readers)
+    named = [frame.select(F.lit(name).alias("subscriber"), "key", "n") for name, frame in got.items()]
+    return named[0].groupBy("subscriber", "key").agg(F.sum("n").alias("n")).unionByName(named[1])

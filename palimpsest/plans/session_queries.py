@@ -74,12 +74,14 @@ def audit_payloads(spark, d):
 
 
 @query(
-    f"""WITH {FOUND} SELECT finding_id, doc_id, exact_text, row_number() OVER (PARTITION BY doc_id, exact_text ORDER BY line_no, nth, finding_id) - 1 AS occurrence FROM found"""
+    f"""WITH {FOUND}, p AS (SELECT *, (line_no - 1) // 40 + 1 AS page FROM found)
+      SELECT finding_id, doc_id, page, exact_text, count(*) OVER (PARTITION BY doc_id, page, exact_text ORDER BY line_no RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS occurrence FROM p"""
 )
 def display_occurrences(spark, d):
-    """How many findings with the same text lie before each one in its document."""
-    same = Window.partitionBy("doc_id", "exact_text").orderBy("line_no", "nth", "finding_id")
-    return found(spark, d).select("finding_id", "doc_id", "exact_text", (F.row_number().over(same) - 1).alias("occurrence"))
+    """How many findings with the same text lie on earlier lines of a finding's page; forty lines are one."""
+    page = F.floor((F.col("line_no") - 1) / 40) + 1
+    before = Window.partitionBy("doc_id", "page", "exact_text").orderBy("line_no").rangeBetween(Window.unboundedPreceding, -1)
+    return found(spark, d).withColumn("page", page).select("finding_id", "doc_id", "page", "exact_text", F.count(F.lit(1)).over(before).alias("occurrence"))
 
 
 @query(

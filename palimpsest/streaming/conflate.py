@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +45,18 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def fan_out_once(stream: DataFrame, subscribers: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
+    """Hand every micro-batch of a stream to all subscribers, each of which keeps what it makes of it in
+    a table of its own. A batch that is run again after a failure replaces what it had written."""
+    spark = stream.sparkSession
+    base = f"{scratch_dir(spark)}/fan-out-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        for name, own in subscribers.items():
+            own(kept).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+        kept.unpersist()
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {name: spark.read.parquet(f"{base}/{name}").drop("batch") for name in subscribers}
