@@ -4,9 +4,11 @@ Characters are lower-cased code points, digits one symbol and other ASCII signs
 one to three characters are hashed to a fixed table. Term frequencies are shares of a document's
 n-grams; inverse document frequencies come from all training documents. The model is trained by
 FTRL-proximal with an elastic net on a bounded sample of the training documents, then calibrated by
-one temperature on another bounded sample of them. Prediction reads the whole of every text.
+one temperature on another bounded sample of them; rare languages have a least number of rows in
+both. Prediction reads the whole of every text.
 
-Defined cases: a null text or one without a letter gets ``und`` with score 0; rows that repeat an id
+Defined cases: a null text or one without a letter gets ``und`` with score 0; of equally probable
+languages the first by name counts; rows that repeat an id
 are predicted each; an empty table gives an empty result; if no document has a language to learn,
 every prediction is ``und``; other columns are not read.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import sketch, words
 from palimpsest.llm.linear import Example, Ftrl, train
-from palimpsest.llm.sampling import hashed_sample
+from palimpsest.llm.sampling import hashed_sample_by_class
 from palimpsest.session import ship, stored
 
 ORDERS = 3
@@ -30,6 +32,8 @@ BITS = 16
 #: Bounds on the labelled rows that the fit and the calibration see.
 SAMPLE_ROWS = 12_000
 CALIBRATION_ROWS = 4_000
+#: Of every language the sample holds so many rows at least, if there are so many.
+LEAST_ROWS = 400
 UNKNOWN = "und"
 SCALE = 30.0  # shares of n-grams are small numbers
 
@@ -147,14 +151,15 @@ class LanguageModel:
         known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
             F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
         )
-        names = sorted(r.lang for r in known.select("lang").distinct().toLocalIterator())
+        sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+        names = sorted(sizes)
         if not names:
             return cls([], np.zeros((1 << BITS, 0), np.float32), 1.0)
         counts = sketch.hash_counts(known.select("text"), _grouped, BITS)
-        total = known.count()
+        total = sum(sizes.values())
         idf = np.log((1 + total) / (1 + counts.astype(float))) + 0.1
         label = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1
-        rows = hashed_sample(known.withColumn("label", label.cast("int")), SAMPLE_ROWS + CALIBRATION_ROWS, "doc_id")
+        rows = hashed_sample_by_class(known.withColumn("label", label.cast("int")), SAMPLE_ROWS + CALIBRATION_ROWS, LEAST_ROWS, "lang", sizes, "doc_id")
         rows = rows.drop("doc_id", "lang")
         share = CALIBRATION_ROWS / (SAMPLE_ROWS + CALIBRATION_ROWS)
         rows = stored(rows.withColumn("_fold", F.pmod(F.xxhash64("ord"), F.lit(1000)) < int(1000 * share)), "language-sample")

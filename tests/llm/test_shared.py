@@ -130,3 +130,12 @@ def test_names_never_clash(spark):
     docs = spark.createDataFrame([(1, 2, 3)], "a int, Removed int, _removed int")
     assert columns.unused(docs, "removed") == "__removed" and columns.unused(docs, "b") == "b"
     assert columns.numbered(docs).columns == ["c0", "c1", "c2"]
+
+
+def test_samples_hold_rare_classes(spark):
+    rows = spark.range(6000).withColumn("c", F.when(F.col("id") < 30, "rare").when(F.col("id") < 200, "few").otherwise("many"))
+    counts = {"rare": 30, "few": 170, "many": 5800}
+    got = {r.c: r["count"] for r in sampling.hashed_sample_by_class(rows, 600, 60, "c", counts, "id").groupBy("c").count().collect()}
+    assert got["rare"] == 30 and 40 < got["few"] < 85 and 480 < got["many"] < 680
+    assert sampling.hashed_sample_by_class(rows, 9000, 60, "c", counts, "id").count() == 6000
+    assert sampling.hashed_sample_by_class(rows, 600, 60, "c", {"rare": 30}, "id").count() == 30
