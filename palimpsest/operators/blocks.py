@@ -38,16 +38,23 @@ def inspection(blocks: DataFrame, source: str, told_characters: Column) -> DataF
     )
 
 
-def replace_ranges(blocks: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+def replace_ranges(blocks: DataFrame, ranges: DataFrame, key: str, same: tuple[str, ...] = ()) -> DataFrame:
     """Put replacements in place, the last range first, so that earlier offsets stay valid.
 
-    ``ranges``: key, start, end, exact_text, replacement. A range whose text is not what the block
-    holds there is left out and counted in ``n_stale``; ranges must not overlap.
+    ``ranges``: key, start, end, exact_text, replacement and the columns ``same``. A range whose text is
+    not what the block holds there, or which differs from the block in one of those columns, is left
+    out and counted in ``n_stale``; ranges must not overlap.
     """
-    one = F.struct("start", "end", "exact_text", "replacement")
+    one = F.struct("start", "end", "exact_text", "replacement", *same)
     per = ranges.groupBy(key).agg(F.sort_array(F.collect_list(one), asc=False).alias("_r"))
     met = blocks.join(per, key, "left")
-    held = lambda r: F.substring("text", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")) == r["exact_text"]
+
+    def held(r: Column) -> Column:
+        good = F.substring("text", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")) == r["exact_text"]
+        for c in same:
+            good = good & (r[c] == F.col(c))
+        return good
+
     good = F.filter("_r", held)
     put = lambda a, r: F.concat(
         F.substring(a, 1, r["start"].cast("int")), r["replacement"], F.substring(a, (r["end"] + 1).cast("int"), F.length(a))

@@ -58,10 +58,11 @@ def docx_inspection(spark, d):
 
 
 _RANGES = f"""{_BLOCKS}, {FOUND.removeprefix(LINES + ', ')}, r AS (
-  SELECT b.block_id, instr(b.text, f.exact_text) - 1 AS s, f.exact_text, '<' || f.entity_type || '>' AS replacement
+  SELECT b.block_id, instr(b.text, f.exact_text) - 1 AS s, f.exact_text, '<' || f.entity_type || '>' AS replacement, f.doc_id % 17 > 0 AS ok
   FROM found f JOIN blocks b ON b.doc_id = f.doc_id AND b.line_no = f.line_no
   WHERE instr(substr(b.text, instr(b.text, f.exact_text) + 1), f.exact_text) = 0),
-ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC, length(exact_text) DESC, exact_text DESC, replacement DESC) AS k FROM r)"""
+ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC, length(exact_text) DESC, exact_text DESC, replacement DESC) AS k FROM r WHERE ok),
+stale AS (SELECT block_id, count(*) AS n_stale FROM r WHERE NOT ok GROUP BY 1)"""
 
 
 @query(
@@ -69,17 +70,18 @@ ranges AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY s DESC, l
   f AS (SELECT block_id, text AS rendered, 0 AS k FROM blocks
     UNION ALL SELECT f.block_id, substr(f.rendered, 1, r.s) || r.replacement || substr(f.rendered, r.s + length(r.exact_text) + 1), r.k
     FROM f JOIN ranges r ON r.block_id = f.block_id AND r.k = f.k + 1)
-  SELECT f.block_id, f.rendered, 0 AS n_stale FROM f LEFT JOIN n USING (block_id) WHERE f.k = coalesce(n.n, 0)"""
+  SELECT f.block_id, f.rendered, coalesce(n_stale, 0) AS n_stale FROM f LEFT JOIN n USING (block_id) LEFT JOIN stale USING (block_id) WHERE f.k = coalesce(n.n, 0)"""
 )
 def docx_render(spark, d):
-    blocks = _blocks(spark, d)
+    """Blocks with their ranges replaced; ranges of some documents name another story and are left out."""
+    blocks = _blocks(spark, d).withColumn("story", F.lit(STORY))
     hits = found(spark, d).join(blocks.select("doc_id", "line_no", "block_id", F.col("text").alias("_t")), ["doc_id", "line_no"])
     start = X.unique_offset(F.col("_t"), F.col("exact_text"))
     ranges = hits.select(
         "block_id", start.alias("start"), (start + F.length("exact_text")).alias("end"), "exact_text",
-        F.concat(F.lit("<"), "entity_type", F.lit(">")).alias("replacement"),
+        F.concat(F.lit("<"), "entity_type", F.lit(">")).alias("replacement"), F.when(F.col("doc_id") % 17 > 0, STORY).otherwise("header").alias("story"),
     ).where("start IS NOT NULL")
-    return K.replace_ranges(blocks, ranges, "block_id").select("block_id", "rendered", "n_stale")
+    return K.replace_ranges(blocks, ranges, "block_id", ("story",)).select("block_id", "rendered", "n_stale")
 
 
 _MEDIA = ["image/png", "IMAGE/JPEG", "image/tiff", "image/x-emf", ""]

@@ -12,6 +12,7 @@ from palimpsest.operators import policy as P
 from palimpsest.operators import review as V
 from palimpsest.plans.base import FOUND, LINES, found, query, rules_sql
 from palimpsest.plans.base import source_lines as _source_lines
+from palimpsest.schemas import FINDINGS
 from palimpsest.session import table
 from palimpsest.sources import formats as S
 
@@ -347,3 +348,18 @@ def render_violations(spark, d):
         F.struct("l_linenumber", F.concat(F.lit("x"), "l_partkey"), "l_orderkey").alias("layer_id"),
     )
     return K.render_violations(ranges, "block", "expected").select("l_orderkey", "l_linenumber", F.col("exact_text").alias("exact"), "reason")
+
+
+@query(
+    f"""WITH {FOUND} SELECT finding_id, 's' || doc_id AS session_id, 'document' AS kind, entity_type AS detected_entity_type, NULL::VARCHAR AS reviewed_entity_type, confidence AS detection_confidence, line_id, exact_text,
+      line_no % 2 = 0 AS edited FROM found"""
+)
+def finding_rows(spark, d):
+    """Findings as rows of the store's types, written as JSON and read back."""
+    target = F.struct("line_id", "exact_text")
+    row = F.struct(
+        "finding_id", F.concat(F.lit("s"), "doc_id").alias("session_id"), F.lit("document").alias("kind"), F.col("entity_type").alias("detected_entity_type"),
+        F.col("confidence").alias("detection_confidence"), target.alias("target"), (F.col("line_no") % 2 == 0).alias("edited"),
+    )
+    read = found(spark, d).select(F.from_json(F.to_json(row), FINDINGS).alias("f"))
+    return read.select("f.finding_id", "f.session_id", "f.kind", "f.detected_entity_type", "f.reviewed_entity_type", "f.detection_confidence", "f.target.line_id", "f.target.exact_text", "f.edited")
