@@ -44,8 +44,8 @@ def render_lines(docs: DataFrame, layers: DataFrame, order: str, id_col: str = "
     """
     edit = F.struct(F.col(order).alias("at"), line_number(F.col("line_id")).alias("no"), F.col("exact_text").alias("old"), F.col("replacement").alias("new"))
     per = layers.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(edit)).alias("edits"))
-    pieces = docs.select(F.col(id_col), F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_END, -1).alias("lines"))
-    met = pieces.join(per, F.col(id_col) == F.col("_id"), "left")
+    met = docs.select(id_col, F.col(text_col).alias("_text")).join(per, F.col(id_col) == F.col("_id"), "left")
+    met = met.withColumn("lines", F.split(F.coalesce("_text", F.lit("")), LINE_END, -1))
     # An empty piece behind the last line end is no line.
     n = F.size("lines") - (F.element_at("lines", -1) == "").cast("int")
     everywhere = lambda e: e["no"].isNull() | (e["no"] < 1) | (e["no"] > n)
