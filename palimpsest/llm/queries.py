@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontam, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, pii, token_counts, toxicity
+from palimpsest.llm import (
+    decontam,
+    embedding_dedup,
+    exact_dedup,
+    importance,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    pii,
+    token_align,
+    token_counts,
+    toxicity,
+)
 from palimpsest.session import table
 
 
@@ -63,6 +77,18 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_license_scan": op2_license_scan,
@@ -74,6 +100,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +111,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontam.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
+    "op13_embedding_dedup": embedding_dedup.ORACLE,
 }
