@@ -49,9 +49,9 @@ from palimpsest.session import ship, stored
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a chunk: what a task holds at a time, as lists of numbers.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
 #: Different units that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
+REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 64
 #: Units that are aligned at a time.
 BATCH = 20_000
 #: From one character that is not white space and a space behind it to the next such place.
