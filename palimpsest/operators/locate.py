@@ -37,11 +37,82 @@ def page_characters(shown: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", F.array_join(F.transform("rows", lambda r: r["c_text"]), "").alias("page_text"), F.flatten(own).alias("line_ids"))
 
 
+#: From this score on, the parts into which a text is cut are long enough to be looked up.
+_PARTS_FROM, _PART = 0.9, 5
+#: Texts whose lengths differ by this factor are one class of lengths apart.
+_CLASS = 1.25
+
+
 def _scored(pairs: DataFrame, exact: str, block: str, line: str) -> DataFrame:
     """The higher of how similar a line is to the text sought and to its block."""
-    score = F.greatest(M.projected_similarity(exact, line), M.projected_similarity(block, line))
+    floor = F.lit(M.LEAST_SCORE - M.LEAST_MARGIN)
     near = M.may_matter(F.col(exact), F.col(line)) | M.may_matter(F.col(block), F.col(line))
-    return pairs.where(near).withColumn("score", score)
+    score = F.greatest(M.similarity_from(F.col(exact), F.col(line), floor), M.similarity_from(F.col(block), F.col(line), floor))
+    return pairs.where(near).withColumn("score", score).where("score IS NOT NULL")
+
+
+def _parts(text: Column, least: Column) -> Column:
+    """A text in so many parts that one of them stands unbroken in any text with that score.
+
+    Of the characters of both texts, 1 - score are unmatched. Each one that is unmatched breaks one part
+    at most, be it within the part or between two of its characters in the other text.
+    """
+    n = F.length(text)
+    unmatched = F.floor((1 - least) * 2 * n / least + 1e-9)
+    size = F.floor(n / (unmatched + 1)).cast("int")
+    return F.when(size >= _PART, F.transform(F.sequence(F.lit(0), unmatched.cast("int")), lambda k: F.substring(text, (k * size + 1).cast("int"), size)))
+
+
+def similar_lines(sought: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, x, page, line_id, score of the pairs of a text x and a line of its document, neither
+    within the other, that score ``least`` or more.
+
+    ``sought``: doc_id, x, least; ``lines``: doc_id, page, line_id, l_text. A text with a high ``least``
+    is looked up by its parts, any other one among the lines of a length that can score so.
+    """
+    keys = ["page", "line_id"]
+    asked = sought.where("least < 1 AND length(x) > 0").withColumn("parts", F.when(F.col("least") >= _PARTS_FROM, _parts(F.col("x"), F.col("least"))))
+    by_part = asked.where("parts IS NOT NULL").select("doc_id", "x", "least", F.explode("parts").alias("part"))
+    by_part = M.containing(by_part, lines, "part", "l_text", ["doc_id"], keys).drop("part").distinct()
+    ratio = (2 - F.col("least")) / F.col("least")
+    cls = lambda n: F.floor(F.log(n) / F.log(F.lit(_CLASS))).cast("int")
+    n = F.length("x")
+    classes = F.sequence(cls(F.greatest(n / ratio, F.lit(1.0)) * 0.999), cls(n * ratio * 1.001))
+    by_length = asked.where("parts IS NULL").withColumn("cls", F.explode(classes))
+    by_length = by_length.join(lines.where("l_text <> ''").withColumn("cls", cls(F.length("l_text"))), ["doc_id", "cls"])
+    columns = ["doc_id", "x", "least", *keys, "l_text"]
+    met = by_part.select(*columns).unionByName(by_length.select(*columns))
+    met = met.where(M.lengths_allow(F.col("x"), F.col("l_text"), F.col("least")) & ~F.contains("x", "l_text") & ~F.contains("l_text", "x"))
+    return met.withColumn("score", M.similarity_from(F.col("x"), F.col("l_text"), F.col("least"))).where("score IS NOT NULL").select("doc_id", "x", *keys, "score")
+
+
+def best_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, id, page, line_id: the line of its document that fits each of ``wanted`` (doc_id, id,
+    e_text, b_text) best, by either text, if it scores enough and leads clearly.
+
+    Lines that hold a text, or that it holds, are looked up first. They tell from which score on another
+    line could matter, which is all that the rest are searched for.
+    """
+    keys = ["page", "line_id"]
+    order = lines.select("doc_id", *keys, "line_no")
+    lines = lines.select("doc_id", *keys, F.col("p_text").alias("l_text"))
+    each = wanted.select("doc_id", "id", F.explode(F.array_distinct(F.array("e_text", "b_text"))).alias("x")).where("x <> ''")
+    texts = stored(each.select("doc_id", "x").distinct(), "texts-sought")
+    within = M.containing(texts, lines, "x", "l_text", ["doc_id"], keys)
+    around = M.containing(lines, texts.select("doc_id", "x"), "l_text", "x", ["doc_id"], ["x"])
+    columns = ["doc_id", "x", *keys]
+    held = within.unionByName(around.select(*within.columns)).distinct().withColumn("score", M.containment_score(F.col("x"), F.col("l_text")))
+    held = stored(held.select(*columns, "score"), "contained-lines")
+    of_key = lambda pairs: each.join(pairs, ["doc_id", "x"]).groupBy(*BEST, *keys).agg(F.max("score").alias("score"))
+    top = of_key(held).groupBy(*BEST).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
+    first, second = F.coalesce(F.get("top", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
+    # A line matters that comes near a clear leader, or that leads one of several equal ones.
+    least = F.greatest(F.when(first - second >= M.LEAST_MARGIN, first - M.LEAST_MARGIN).otherwise(first) - 1e-9, F.lit(M.LEAST_SCORE - M.LEAST_MARGIN))
+    least = F.when((first - second < M.LEAST_MARGIN) & (first + M.LEAST_MARGIN > 1 + 1e-9), 1.0).otherwise(least)
+    asked = each.join(top, BEST, "left").groupBy("doc_id", "x").agg(F.min(least).alias("least"))
+    found = held.unionByName(similar_lines(asked, lines).select(*columns, "score"))
+    scored = of_key(found).join(order, ["doc_id", *keys])
+    return M.unique_best(scored, BEST, "line_no").select(*BEST, *keys)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -60,9 +131,9 @@ def block_locators(findings: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     at = M.only_at(F.col("p_text"), F.col("e_text"))
     met = met.where(at.isNotNull()).withColumn("span", M.span_at(F.col("p_starts"), F.col("p_ends"), at, F.length("e_text")))
     met = _cut(met.select("doc_id", "id", "block_id", "span.start", "span.end", "text", "e_text", F.col("p_text").alias("b_text"))).drop("text")
-    lines = shown.select("doc_id", "page", "line_id", "line_no", F.col("p_text").alias("l_text"))
-    best = M.unique_best(_scored(met.join(lines, "doc_id"), "e_text", "b_text", "l_text"), BEST, "line_no")
-    return best.select("id", "doc_id", "block_id", "start", "end", "exact_text", "page", "line_id")
+    met = stored(met, "findings-in-blocks")
+    best = best_lines(met.select(*BEST, "e_text", "b_text"), shown)
+    return met.join(best, BEST).select("id", "doc_id", "block_id", "start", "end", "exact_text", "page", "line_id")
 
 
 def _selected(selections: DataFrame, pages: DataFrame) -> DataFrame:
@@ -84,8 +155,7 @@ def _goes_on() -> Column:
 def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) -> DataFrame:
     """doc_id, id, block_id, start, end: the ranges of blocks that stand whole on the page, around the
     selection."""
-    held = own.where("c_text <> ''").select("doc_id", "block_id", "c_text").join(pages.select("doc_id", "page", "page_text"), "doc_id")
-    held = held.where(F.col("page_text").contains(F.col("c_text")))
+    held = M.containing(own.select("doc_id", "block_id", "c_text"), pages.select("doc_id", "page", "page_text"), "c_text", "page_text", ["doc_id"], ["page"])
     held = held.select("doc_id", "page", "block_id", F.length("c_text").alias("n"), F.explode(all_starts(F.col("page_text"), F.col("c_text"))).alias("block_from"))
     some = selected.where(F.col("from").isNotNull()).select("doc_id", "page", "id", "from", (F.col("from") + F.length("fragment")).alias("to"))
     met = some.join(held, ["doc_id", "page"]).where((F.col("block_from") <= F.col("from")) & (F.col("to") <= F.col("block_from") + F.col("n")))
@@ -105,10 +175,12 @@ def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame)
     # Without context the text is looked for in all blocks, without spaces if it was wrapped.
     rest = selected.join(context.select(*BEST).distinct(), BEST, "left_anti")
     rest = rest.withColumn("loose", M.only_at(F.col("l_text"), F.col("e_text")).isNull()).where("NOT loose OR goes_on")
-    met = rest.select(*BEST, "loose", "e_text", "fragment").join(own.select("doc_id", "block_id", "p_text", "c_text"), "doc_id")
-    sought = F.when(F.col("loose"), F.col("fragment")).otherwise(F.col("e_text"))
-    at = M.only_at(F.when(F.col("loose"), F.col("c_text")).otherwise(F.col("p_text")), sought)
-    met = met.select(*BEST, "block_id", "loose", at.alias("at"), F.length(sought).alias("n")).where("at IS NOT NULL")
+    rest = rest.select(*BEST, "loose", F.when(F.col("loose"), F.col("fragment")).otherwise(F.col("e_text")).alias("sought"))
+    texts = F.explode(F.array(F.struct(F.lit(False).alias("loose"), F.col("p_text").alias("text")), F.struct(F.lit(True).alias("loose"), F.col("c_text").alias("text"))))
+    held = own.select("doc_id", "block_id", texts.alias("t")).select("doc_id", "block_id", "t.loose", "t.text")
+    met = M.containing(rest, held, "sought", "text", ["doc_id", "loose"], ["block_id"])
+    at = M.only_at(F.col("text"), F.col("sought"))
+    met = met.select(*BEST, "block_id", "loose", at.alias("at"), F.length("sought").alias("n")).where("at IS NOT NULL")
     met = met.join(own.select("doc_id", "block_id", "p_starts", "p_ends", "c_starts", "c_ends"), ["doc_id", "block_id"])
     side = lambda name: F.when(F.col("loose"), F.col(f"c_{name}")).otherwise(F.col(f"p_{name}"))
     anywhere = met.withColumn("span", M.span_at(side("starts"), side("ends"), F.col("at"), F.col("n"))).select(*BEST, "block_id", "span.start", "span.end")

@@ -118,6 +118,64 @@ def unique_span(haystack: Column, needle: Column) -> Column:
     return F.when(at.isNotNull(), span_at(haystack["starts"], haystack["ends"], at, F.length(needle["text"])))
 
 
+# --- texts within texts ----------------------------------------------------------------------
+
+#: Texts from WINDOW + SPAN - 1 characters on are found by windows of WINDOW characters, the least by hash
+#: of each SPAN in a row; shorter ones by windows of their own length.
+WINDOW, SPAN = 6, 6
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _window_hashes(text: str, n: int) -> np.ndarray:
+    """Hashes of all runs of n characters."""
+    points = _points(text).astype(np.uint64)
+    if not 0 < n <= len(points):
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(points) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            total = (total ^ (total >> np.uint64(29))) * np.uint64(_FACTOR) + points[k : len(points) - n + 1 + k]
+        total = (total ^ (total >> np.uint64(32))) * np.uint64(_FACTOR)
+    return total ^ (total >> np.uint64(29))
+
+
+def chosen_windows(text: str) -> np.ndarray:
+    """The least of each SPAN windows in a row: a text holds all that are chosen of a part of it."""
+    hashes = _window_hashes(text, WINDOW)
+    if len(hashes) < SPAN:
+        return np.unique(hashes)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, SPAN).min(axis=1))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def windows_of(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """Different windows of so many characters of each text; of size 0, the chosen ones."""
+    found = [chosen_windows(t) if n == 0 else np.unique(_window_hashes(t, n)) for t, n in zip(texts, sizes, strict=True)]
+    return pd.Series([x.view(np.int64) for x in found], dtype=object)
+
+
+@F.pandas_udf(T.LongType())
+def one_window(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    """A window of each text by which to look for it: the text itself, or the least of the chosen ones."""
+    return pd.Series([int((chosen_windows(t) if n == 0 else _window_hashes(t, n)).view(np.int64)[0]) for t, n in zip(texts, sizes, strict=True)], dtype="int64")
+
+
+def containing(short: DataFrame, long: DataFrame, sought: str, text: str, on: list[str], keys: list[str]) -> DataFrame:
+    """Rows of ``short`` with those of ``long`` that are equal in ``on`` and whose ``text`` holds ``sought``.
+
+    ``keys`` tell the rows of ``long`` apart within ``on``; else the two have no name in common. Long
+    texts are looked up by their windows, never pair by pair: one window of what is sought against all
+    windows of that length, or, from some length on, against the chosen ones.
+    """
+    size = F.when(F.length(sought) < WINDOW + SPAN - 1, F.length(sought)).otherwise(F.lit(0))
+    asked = short.where(F.length(sought) > 0).withColumn("_size", size)
+    asked = asked.withColumn("_window", one_window(F.col(sought), F.col("_size")))
+    sizes = asked.select(*on, "_size").distinct()
+    shown = long.join(sizes, on).select(*on, *keys, "_size", F.explode(windows_of(F.col(text), F.col("_size"))).alias("_window"))
+    met = asked.join(shown, [*on, "_size", "_window"]).drop("_size", "_window")
+    return met.join(long, [*on, *keys]).where(F.col(text).contains(F.col(sought)))
+
+
 # --- similarity ------------------------------------------------------------------------------
 
 def _longest_block(rows: list[int]) -> tuple[int, int, int]:
@@ -185,12 +243,87 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(left, right, strict=True)], dtype=float)
 
 
+def _common_subsequences(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of texts, the shorter one of each of 64
+    characters at most: one bit a character of it, all pairs at once."""
+    if not a:
+        return np.zeros(0, np.int64)
+    short, long = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True)
+    n_short, n_long = (np.array([len(x) for x in side]) for side in (short, long))
+    order = np.argsort(-n_long, kind="stable")  # pairs drop out from the end as their texts end
+    letters = np.zeros((len(a), 64), np.uint32)
+    letters[np.arange(64) < n_short[:, None]] = _points("".join(short))
+    letters, points = letters[order], _points("".join(long))
+    begin, n_long = (np.cumsum(n_long) - n_long)[order], n_long[order]
+    inside = np.where(n_short == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n_short, 63).astype(np.uint64)) - np.uint64(1))[order]
+    free = np.full(len(a), ~np.uint64(0))
+    active = np.searchsorted(-n_long, -np.arange(n_long[0]), "left") if len(n_long) else []
+    for k, rows in enumerate(active):
+        same = letters[:rows] == points[begin[:rows] + k, None]
+        here = np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0] & inside[:rows]
+        own = free[:rows]
+        with np.errstate(over="ignore"):
+            free[:rows] = (own + (own & here)) | (own & ~here)
+    out = np.empty(len(a), np.int64)
+    out[order] = np.bitwise_count(~free & inside)
+    return out
+
+
+def _common_subsequence(a: str, b: str) -> int:
+    """The same for one pair of texts of any length."""
+    places: dict[str, int] = {}
+    for j, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    free = whole
+    for c in a:
+        here = free & places.get(c, 0)
+        free = ((free + here) | (free & ~here)) & whole
+    return (free ^ whole).bit_count()
+
+
+#: Pairs that are bounded at a time.
+_PAIRS = 1 << 13
+
+
+def scores_from(a: list[str], b: list[str], least: list[float]) -> list[float | None]:
+    """``score`` of pairs of texts that are not empty, None where it is below what is asked for.
+
+    Matched characters are a common subsequence, so the longest one bounds the score; only pairs that
+    it lets through are scored.
+    """
+    out: list[float | None] = []
+    for first in range(0, len(a), _PAIRS):
+        rows = range(first, min(first + _PAIRS, len(a)))
+        brief = [k for k in rows if min(len(a[k]), len(b[k])) <= 64]
+        bound = dict(zip(brief, _common_subsequences([a[k] for k in brief], [b[k] for k in brief]).tolist(), strict=True))
+        for k in rows:
+            common = bound[k] if k in bound else _common_subsequence(a[k], b[k])
+            value = score(a[k], b[k]) if 2 * common >= least[k] * (len(a[k]) + len(b[k])) or a[k] in b[k] or b[k] in a[k] else 0.0
+            out.append(value if value >= least[k] else None)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """``score`` of columns of projected texts, null where it is below ``least``."""
+    return pd.Series(scores_from(a.tolist(), b.tolist(), least.tolist()), dtype=float)
+
+
 def may_matter(a: Column, b: Column) -> Column:
     """False for projected texts that score less than a match's least score less its margin: such a
     pair is no match and stands in no other one's way. Only lengths and containment are looked at."""
-    floor = LEAST_SCORE - LEAST_MARGIN
-    bound = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    return (F.length(a) > 0) & (F.length(b) > 0) & ((bound >= floor) | a.contains(b) | b.contains(a))
+    return (F.length(a) > 0) & (F.length(b) > 0) & (lengths_allow(a, b, F.lit(LEAST_SCORE - LEAST_MARGIN)) | a.contains(b) | b.contains(a))
+
+
+def lengths_allow(a: Column, b: Column, least: Column) -> Column:
+    """Whether texts of these lengths can share enough characters for a score."""
+    return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) >= least
+
+
+def containment_score(a: Column, b: Column) -> Column:
+    """``score`` of projected texts of which one holds the other."""
+    return F.when(a == b, 1.0).otherwise(CONTAINED + COVERAGE * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)))
 
 
 def unique_best(scored: DataFrame, key: str | list[str], candidate: str, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN) -> DataFrame:

@@ -85,5 +85,5 @@ def preview_matches(spark, d):
     page = lines.groupBy("doc_id", "ordinal").agg(F.min("page").alias("page"))
     blocks = O.projected(_blocks(spark, d).select("doc_id", "ordinal", "block_id", "text")).select("doc_id", "ordinal", "block_id", F.col("p_text").alias("b_text"))
     near = blocks.join(page, ["doc_id", "ordinal"]).join(lines.drop("ordinal"), ["doc_id", "page"]).where(M.may_matter(F.col("b_text"), F.col("l_text")))
-    scored = near.withColumn("score", M.projected_similarity("b_text", "l_text"))
+    scored = near.withColumn("score", M.similarity_from("b_text", "l_text", F.lit(M.LEAST_SCORE - M.LEAST_MARGIN))).where("score IS NOT NULL")
     return M.unique_best(scored, "block_id", "line_no").select("block_id", "line_no", F.round("score", 9).alias("score"))

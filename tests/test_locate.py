@@ -6,6 +6,7 @@ import pytest
 from test_operators import plain_projection, plain_score
 
 from palimpsest.operators import locate as O
+from palimpsest.operators import match as M
 
 WORDS = ["Straße", "haus", "inon", "erst", "of", "the", "Anna", "ﬁn", "tion", "heor"]
 
@@ -145,3 +146,70 @@ def test_selections(spark, corpus, frames):
     assert got == expected and 40 < len(expected) < len(rows)
     pages = {(r.doc_id, r.page): (r.page_text, r.line_ids) for r in O.page_characters(frames[1]).collect()}
     assert pages == {(d, n): page(lines, n) for d, (_, lines) in corpus.items() for n in {x["page"] for x in lines}}
+
+
+def made_rows(df):
+    """The most rows that any join of the plan that has run put out."""
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, most = [plan], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_lines_are_looked_up_not_paired(spark):
+    """A document of twice the lines makes about twice the candidates, by windows and by parts, a few
+    for each of its parts."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    made = {}
+    for n in (300, 600):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(8, 12))) for _ in range(n)]
+        lines = spark.createDataFrame([(1, 1, str(k), t) for k, t in enumerate(texts)], "doc_id long, page long, line_id string, l_text string")
+        inner = spark.createDataFrame([(1, f"f{k}", t[7:25]) for k, t in enumerate(texts)], "doc_id long, id string, x string")
+        found = M.containing(inner, lines, "x", "l_text", ["doc_id"], ["page", "line_id"])
+        assert len([r for r in found.collect() if r.id == f"f{r.line_id}"]) == n
+        changed = [(1, t[:20] + "?" + t[21:], 0.95) for t in texts]
+        near = O.similar_lines(spark.createDataFrame(changed, "doc_id long, x string, least double"), lines)
+        assert near.count() == n
+        near.collect()
+        made[n] = made_rows(found), made_rows(near)
+    for few, many in zip(made[300], made[600], strict=True):
+        assert 300 <= few and many <= 3 * few and many < 600 * 600 / 50
+
+
+@pytest.mark.parametrize("least", [0.65, 0.8, 0.9, 0.93, 0.97])
+def test_similar_lines_are_all_that_score_enough(spark, least):
+    rng = random.Random(10)
+    alphabet = "abcdefgh "
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n)).strip() or "a"
+    lines = [text(rng.choice([3, 10, 40, 60, 64, 90])) for _ in range(60)]
+    sought = set()
+    for t in lines * 2:
+        edited = list(t)
+        for _ in range(rng.randrange(1, 1 + max(1, len(t) // 8))):
+            edited[rng.randrange(len(edited))] = rng.choice(["", "z", "ab"])
+        sought.add("".join(edited) or "b")
+    frame = spark.createDataFrame([(1, 1, str(k), t) for k, t in enumerate(lines)], "doc_id long, page long, line_id string, l_text string")
+    got = O.similar_lines(spark.createDataFrame([(1, x, least) for x in sorted(sought)], "doc_id long, x string, least double"), frame)
+    got = {(r.x, r.line_id): r.score for r in got.collect()}
+    want = {(x, str(k)): M.score(x, t) for x in sought for k, t in enumerate(lines) if x not in t and t not in x and M.score(x, t) >= least}
+    assert got == want and want
+
+
+def test_texts_within_texts_of_any_length(spark):
+    rng = random.Random(11)
+    long = ["".join(rng.choice("ab é漢") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    short = sorted({t[k : k + n] for t in long for k in (0, 3, 9) for n in (1, 2, 5, 6, 10, 11, 12, 30)} | {""})
+    left = spark.createDataFrame([(1, t) for t in short], "doc_id long, s string")
+    right = spark.createDataFrame([(1, k, t) for k, t in enumerate(long)], "doc_id long, k long, t string")
+    got = sorted((r.s, r.k) for r in M.containing(left, right, "s", "t", ["doc_id"], ["k"]).collect())
+    assert got == sorted((s, k) for s in short for k, t in enumerate(long) if s and s in t)
