@@ -371,3 +371,21 @@ def test_all_starts(spark):
     for r in spark.createDataFrame(rows, "a string, b string").withColumn("s", X.all_starts(F.col("a"), F.col("b"))).collect():
         expected = [k for k in range(len(r.a or "")) if r.b and r.a.startswith(r.b, k)]
         assert r.s == expected, (r.a, r.b)
+
+
+def test_edits_meet_their_lines_whatever_the_block(spark):
+    rng = random.Random(12)
+    docs, layers, expected = [], [], {}
+    for d, n in enumerate([1, 63, 64, 65, 128, 200, 0]):
+        lines = [f"a{rng.randrange(3)} b c{k}" for k in range(n)]
+        docs.append((d, "\n".join(lines) + "\n" * (d % 2)))
+        edits = [(rng.choice(["a0", "b", "c1", "X"]), rng.choice(["X", "b", ""]), rng.choice([rng.randrange(1, n + 3), rng.randrange(1, 1000), None])) for _ in range(40)]
+        layers += [(d, f"t{no}" if no else "p1", old, new, f"{at:03d}") for at, (old, new, no) in enumerate(edits)]
+        for k, text in enumerate(lines, 1):
+            own = [(old, new) for old, new, no in edits if no == k or not no or no > n]
+            for old, new in own:
+                text = text.replace(old, new)
+            expected[d, k] = (text, len(own))
+    frame = spark.createDataFrame(layers, "doc_id long, line_id string, exact_text string, replacement string, at string").repartition(3)
+    got = redact.render_lines(spark.createDataFrame(docs, "doc_id long, text string"), frame, "at").collect()
+    assert {(r.doc_id, r.line_no): (r.redacted, r.n_layers) for r in got} == expected
