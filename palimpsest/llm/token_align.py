@@ -34,8 +34,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
-from typing import NamedTuple
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,31 +49,16 @@ BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a chunk: what a task holds at a time, as lists of numbers.
 CHUNK_CHARS = 4_000_000
-#: Different units that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 17, 64
+#: Different units that a worker remembers from chunk to chunk.
+REMEMBERED = 1 << 18
 #: Units that are aligned at a time.
 BATCH = 20_000
 #: From one character that is not white space and a space behind it to the next such place.
-_BLANKS = re.compile(r"(?:\s|\A) | \Z")
 _UNIT = re.compile(r"\s*\S*(?:[^\S ]\s*\S*)*(?: \Z)?")
 _COMMON = "\u0530"
 _LOW = (1 << 32) - 1
 
 
-class Unit(NamedTuple):
-    """The alignment of one piece of text; ``groups`` is None if a side does not give its bytes back.
-    ``links`` are 64-bit numbers, with an id of A in the high half and one of B in the low half."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str | None
-    links: bytes
-
-
-NOT_WHOLE = Unit(0, 0, 0, None, b"")
-
-
 def slices(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ends that both sides have, in order, and how many tokens of either side lie before each."""
     at_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1), strict=True))
@@ -99,6 +83,14 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Places(dict):
+    """Numbers new keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = place = len(self)
+        return place
+
+
 class Pair:
     """Two tokenizers, given as the bytes of their files."""
 
@@ -121,37 +113,49 @@ class Pair:
         self.fast_a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         levels = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
         self.cuts = levels and all("▁" not in p.lstrip("▁") for p in pieces)
-        self.sizes_a, self.sizes_b = ([len(own.get(k, b"")) for k in range(max(own) + 1)] for own in (self.bytes_a, self.bytes_b))
-        self.length_a, self.length_b = np.array(self.sizes_a), np.array(self.sizes_b)
+        self.length_a, self.length_b = (np.array([len(own.get(k, b"")) for k in range(max(own) + 1)]) for own in (self.bytes_a, self.bytes_b))
         digits_a, digits_b = ([str(k) for k in range(len(n))] for n in (self.length_a, self.length_b))
         #: An id of A before one of its group and before one of B; an id of B before one of its group, another group and another unit.
         self.shown = [d + mark for digits, marks in ((digits_a, ",|"), (digits_b, ",;\n")) for mark in marks for d in digits]
-        self.known: dict[str, Unit] = {}
+        #: Units by number; of each whether both sides give its bytes back, tokens of A, tokens of B and groups.
+        self.places, self.counts = _Places(), np.zeros((0, 4), np.int64)
+        #: Groups as they are shown; links as 64-bit numbers, with an id of A in the high half and one of B in the low half.
+        self.groups: list[str] = []
+        self.links: list[bytes] = []
+        self.seen = np.zeros(0, np.int64)
+
+    def note(self, times: np.ndarray) -> None:
+        """Add up how often each unit occurs. If there are many, the frequent half of them stays."""
+        self.seen = times + np.pad(self.seen, (0, len(times) - len(self.seen)))
+        if len(times) <= REMEMBERED and sum(map(len, self.groups)) <= 8 * CHUNK_CHARS:
+            return
+        kept = np.argsort(-self.seen, kind="stable")[: REMEMBERED // 2]
+        kept = np.sort(kept[(self.seen[kept] > 1) & (self.counts[kept, 1] <= 64)])
+        names = list(self.places)
+        self.places = _Places((names[k], n) for n, k in enumerate(kept.tolist()))
+        self.groups, self.links = ([x[k] for k in kept.tolist()] for x in (self.groups, self.links))
+        self.counts, self.seen = self.counts[kept], self.seen[kept]
 
     def cut(self, text: str) -> list[str]:
         """A text in units that both tokenizers encode each on its own, with the space before it that is
         left out here: where a space follows a character that is not white space."""
         if not self.cuts:
             return [text]
-        if not _BLANKS.search(text):
-            return text.split(" ")
+        plain = text.split(" ")
+        if "" not in plain and not any(map(str.isspace, [u[-1] for u in plain])):
+            return plain
         return [u[1:] for u in _UNIT.findall(f" {text}") if u]
 
-    def units(self, texts: list[str], times: np.ndarray) -> list[Unit]:
-        """The alignments of different units, of those that are not known many at a time; those that occur
-        more than once are remembered."""
-        known = self.known
-        out = [known.get(t) for t in texts]
-        new = [k for k, u in enumerate(out) if u is None]
+    def settle(self) -> None:
+        """Align the units that are new since the last time, many at a time."""
+        new = [*islice(reversed(self.places), len(self.places) - len(self.groups))][::-1]
+        parts = [self.counts]
         for few in range(0, len(new), BATCH):
-            at = new[few : few + BATCH]
-            for k, unit in zip(at, self.align([texts[k] for k in at]), strict=True):
-                out[k] = unit
-                if times[k] > 1 and len(texts[k]) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[texts[k]] = unit
-        return out
+            counts, groups, links = self.align(new[few : few + BATCH])
+            parts.append(counts)
+            self.groups += groups
+            self.links += links
+        self.counts = np.concatenate(parts)
 
     def ids_a(self, text: str) -> list[int]:
         """A's ids. Letters below _COMMON are classed alike by all versions of Unicode in use, so that the
@@ -160,29 +164,39 @@ class Pair:
             return self.fast_a.encode_ordinary(text)
         return self.a.encode(text, add_special_tokens=False).ids
 
-    def align(self, texts: list[str]) -> list[Unit]:
-        """The alignments of texts, with a space before each."""
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[bytes]]:
+        """Counts, groups and links of texts, with a space before each."""
         spaced = [f" {t}" for t in texts]
         all_a, all_b = list(map(self.ids_a, spaced)), self.b.encode(texts, num_threads=1)
         data = [t.encode() for t in spaced]
-        size = lambda ids, lengths: [sum(map(lengths.__getitem__, x)) for x in ids]
-        joined = lambda ids, own: b"".join(map(own.__getitem__, chain.from_iterable(ids)))
-        given = list(map(len, data))
-        if size(all_a, self.sizes_a) == size(all_b, self.sizes_b) == given and joined(all_a, self.bytes_a) == joined(all_b, self.bytes_b) == b"".join(data):
-            return self._aligned(all_a, all_b)
-        whole = [joined([a], self.bytes_a) == joined([b], self.bytes_b) == t for t, a, b in zip(data, all_a, all_b, strict=True)]
-        aligned = iter(self._aligned([a for a, good in zip(all_a, whole, strict=True) if good], [b for b, good in zip(all_b, whole, strict=True) if good]))
-        return [next(aligned) if good else NOT_WHOLE for good in whole]
-
-    def _aligned(self, all_a: list[list[int]], all_b: list[list[int]]) -> list[Unit]:
-        """Alignments of the texts as if they were one; a text's end is an end of both sides."""
-        if not all_a:
-            return []
-        size_a, size_b = np.array([len(a) for a in all_a]), np.array([len(b) for b in all_b])
+        found = self._aligned(all_a, all_b, data)
+        if found is None:  # some text is not given back
+            joined = lambda ids, own: b"".join(map(own.__getitem__, ids))
+            whole = [joined(a, self.bytes_a) == joined(b, self.bytes_b) == t for t, a, b in zip(data, all_a, all_b, strict=True)]
+            counts, groups, links = self._aligned(*([x for x, good in zip(side, whole, strict=True) if good] for side in (all_a, all_b, data)))
+            at = np.cumsum(whole)
+            counts = np.where(np.array(whole)[:, None], np.concatenate([np.zeros((1, 4), np.int64), counts])[at], 0)
+            groups = [groups[k - 1] if good else "" for k, good in zip(at.tolist(), whole, strict=True)]
+            links = [links[k - 1] if good else b"" for k, good in zip(at.tolist(), whole, strict=True)]
+            found = counts, groups, links
+        return found
+
+    def _aligned(self, all_a: list[list[int]], all_b: list[list[int]], data: list[bytes]) -> tuple[np.ndarray, list[str], list[bytes]] | None:
+        """The alignments of texts as if they were one, as a text's end is an end of both sides; None unless
+        both sides give each text's bytes."""
+        if not data:
+            return np.zeros((0, 4), np.int64), [], []
+        size_a, size_b, size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (all_a, all_b, data))
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((all_a, size_a), (all_b, size_b)))
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends_a, ends_b, ends_of = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]), np.cumsum(size)
+        last_a, last_b = np.cumsum(size_a) - 1, np.cumsum(size_b) - 1
+        joined = lambda ids, own: b"".join(map(own.__getitem__, ids.tolist()))
+        if not (size_a.all() and size_b.all() and (ends_a[last_a] == ends_of).all() and (ends_b[last_b] == ends_of).all()):
+            return None
+        if not joined(a, self.bytes_a) == joined(b, self.bytes_b) == b"".join(data):
+            return None
         ends, until_a, until_b = slices(ends_a, ends_b)
-        last = np.searchsorted(ends, ends_a[np.cumsum(size_a) - 1])  # the last group of each text
+        last = np.searchsorted(ends, ends_of)  # the last group of each text
         from_a, from_b = np.append(0, until_a[:-1]), np.append(0, until_b[:-1])
         # Ids as they are shown, A's of a group before B's of it.
         mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -190,12 +204,12 @@ class Pair:
         codes = np.empty(len(a) + len(b), np.int64)
         codes[np.arange(len(a)) + np.repeat(from_b, until_a - from_a)] = mark_a * len(self.length_a) + a
         codes[np.arange(len(b)) + np.repeat(until_a, until_b - from_b)] = (2 * len(self.length_a)) + mark_b * len(self.length_b) + b
-        groups = "".join(map(self.shown.__getitem__, codes.tolist())).split("\n")
+        groups = "".join(map(self.shown.__getitem__, codes.tolist())).split("\n")[:-1]
         n_groups = np.diff(last, prepend=-1)
         i, j = slice_links(ends_a, ends_b)
         links, at = (a[i] << 32 | b[j]).tobytes(), (8 * np.cumsum(size_a + size_b - n_groups)).tolist()
         cut = [links[x:y] for x, y in zip([0, *at[:-1]], at, strict=True)]
-        return list(map(Unit, size_a.tolist(), size_b.tolist(), n_groups.tolist(), groups[:-1], cut))
+        return np.stack([np.ones(len(data), np.int64), size_a, size_b, n_groups], axis=1), groups, cut
 
 
 @cache
@@ -203,14 +217,6 @@ def tokenizer_pair(files: tuple[bytes, bytes]) -> Pair:
     return Pair(*files)
 
 
-class _Places(dict):
-    """Numbers new keys in the order in which they are asked for."""
-
-    def __missing__(self, key):
-        self[key] = place = len(self)
-        return place
-
-
 CHUNK = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
     "pair array<long>, times array<long>, unit_at array<int>, unit_pair array<int>, doc_at array<int>, doc_unit array<int>, doc_times array<int>"
@@ -221,36 +227,38 @@ class _Chunk:
     """Documents of one chunk; a unit is a list of pairs, and a document one of units."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.places, self.chars = pair, _Places(), 0
+        self.pair, self.chars = pair, 0
         self.ids: list[int | None] = []
         self.docs: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, text: str) -> None:
         self.chars += len(text)
         self.ids.append(doc_id)
-        self.docs.append(np.array(list(map(self.places.__getitem__, self.pair.cut(text))) if text else [], np.int32))
+        self.docs.append(np.array(list(map(self.pair.places.__getitem__, self.pair.cut(text))) if text else [], np.int32))
 
     def batch(self, number: int) -> pa.RecordBatch:
-        used = np.bincount(np.concatenate(self.docs), minlength=len(self.places))
-        units = self.pair.units(list(self.places), used)
-        groups = [u.groups for u in units]
-        broken = np.array([g is None for g in groups], bool)
+        pair = self.pair
+        pair.settle()
+        broken, groups = pair.counts[:, 0] == 0, pair.groups
         docs = [d if not broken[d].any() else d[:0] for d in self.docs]
         digests = [hashlib.sha256(";".join(map(groups.__getitem__, d.tolist())).encode()).hexdigest() if len(d) else "" for d in docs]
         bounds = lambda lengths: np.append(0, np.cumsum(lengths))
         flat, at = np.concatenate(docs), bounds([len(d) for d in docs])
-        totals = [np.diff(bounds(np.array([u[k] for u in units], np.int64)[flat])[at]) for k in range(3)]
+        totals = [np.diff(bounds(pair.counts[flat, k])[at]) for k in (1, 2, 3)]
         listed = [np.unique(d, return_counts=True) for d in docs]
         doc_unit, doc_times = (np.concatenate([x[k] for x in listed]) for k in range(2))
-        pair, unit_pair = np.unique(np.frombuffer(b"".join([u.links for u in units]), np.int64), return_inverse=True)
-        sizes = np.array([len(u.links) // 8 for u in units], np.int64)
-        each = np.repeat(np.bincount(flat, minlength=len(units)), sizes)
-        times = np.bincount(unit_pair, each, len(pair)).astype(np.int64)
+        times_of = np.bincount(flat, minlength=len(groups))
+        used = np.flatnonzero(times_of)
+        links = [pair.links[k] for k in used.tolist()]
+        ids, unit_pair = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+        sizes = np.fromiter(map(len, links), np.int64, len(links)) // 8
+        times = np.bincount(unit_pair, np.repeat(times_of[used], sizes), len(ids)).astype(np.int64)
         columns = [
-            (self.ids, pa.int64()), *((t, pa.int64()) for t in totals), (digests, pa.string()), (pair, pa.int64()), (times, pa.int64()),
-            (bounds(sizes), pa.int32()), (unit_pair, pa.int32()), (bounds([len(x[0]) for x in listed]), pa.int32()), (doc_unit, pa.int32()), (doc_times, pa.int32()),
+            (self.ids, pa.int64()), *((t, pa.int64()) for t in totals), (digests, pa.string()), (ids, pa.int64()), (times, pa.int64()),
+            (bounds(sizes), pa.int32()), (unit_pair, pa.int32()), (bounds([len(x[0]) for x in listed]), pa.int32()), (np.searchsorted(used, doc_unit), pa.int32()), (doc_times, pa.int32()),
         ]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind)) for v, kind in columns]
+        pair.note(times_of)
         return pa.record_batch([pa.array([number], pa.int64()), *lists], [c.split()[0] for c in CHUNK.split(", ")])
 
 
