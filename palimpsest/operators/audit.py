@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import variant
+
 ENVELOPE = ("actor_id", "actor_type", "created_at", "event_id", "event_type", "payload", "previous_hash", "session_id")
 
 
@@ -101,37 +100,19 @@ def last_hash(chain: DataFrame, session: str = "session_id") -> DataFrame:
 
 def forbidden_keys(payloads: DataFrame, payload: str, forbidden: list[str]) -> DataFrame:
     """Add ``forbidden_key``: the first of the keys found at any depth of the JSON, null if none."""
+    found = F.array_intersect(variant.keys(F.col(payload)), F.array(*[F.lit(k) for k in forbidden]))
+    return payloads.withColumn("forbidden_key", F.array_min(found))
 
-    @F.pandas_udf(T.StringType())
-    def first_key(values: pd.Series) -> pd.Series:
-        def keys(node) -> Iterator[str]:
-            if isinstance(node, dict):
-                for k, v in node.items():
-                    yield k
-                    yield from keys(v)
-            elif isinstance(node, list):
-                for v in node:
-                    yield from keys(v)
-
-        def check(raw: str | None) -> str | None:
-            try:
-                found = set(keys(json.loads(raw))) if raw else set()
-            except (ValueError, RecursionError):
-                return None
-            return min(found & set(forbidden), default=None)
-
-        return values.map(check)
 
-    return payloads.withColumn("forbidden_key", first_key(F.col(payload)))
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 of a text in UTF-8, in lowercase hex: two digests, each over the padded key first."""
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in padded)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
 def signed(manifests: DataFrame, manifest: str, key: bytes) -> DataFrame:
     """Add manifest_sha256 and signature: HMAC-SHA256 over the manifest, which holds its own digest."""
-
-    @F.pandas_udf(T.StringType())
-    def sign(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: hmac.new(key, v.encode(), hashlib.sha256).hexdigest() if v is not None else None)
-
     out = manifests.withColumn("manifest_sha256", F.sha2(manifest, 256))
     with_digest = F.concat(F.regexp_replace(manifest, r"\}$", ""), F.lit(',"sha256":"'), F.col("manifest_sha256"), F.lit('"}'))
-    return out.withColumn("signature", sign(with_digest))
+    return out.withColumn("signature", hmac_sha256(key, with_digest))

@@ -5,20 +5,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.schemas import POLICY_KEYS
-
-ITEM = (
-    "entity_type string, data_subject_context string, label string, confidence string, line_id string, "
-    "exact_text string, description string, reason string, target_region string, audio_range string"
-)
-REGION = "x string, y string, width string, height string"
-
+from palimpsest.functions import variant as V
+from palimpsest.schemas import DATA_SUBJECT_CONTEXTS, POLICY_KEYS
 
 #: Strings and brackets of a JSON text; a string that never ends reaches to the end.
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[][{}]', re.S)
@@ -96,47 +91,59 @@ def items(responses: DataFrame, key: str, raw: str, kind: str = "text") -> DataF
     ``kind``: text items name a line and its text, image items a region, audio items a range.
 
     A response without a list of findings, or with a policy-owned key in any item, fails whole: one
-    row with pos -1.
+    row with pos -1. Fields are checked by their JSON types: labels are strings; types, descriptions and
+    reasons strings or null; contexts of the known ones; a confidence and the ends of a range numbers, or
+    what spells them; a line and its text any value that is not empty, as text.
     """
-    lists = responses.select(key, F.from_json(raw, "findings array<string>")["findings"].alias("f"))
-    owned = F.exists("f", lambda x: F.size(F.array_intersect(F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in POLICY_KEYS]))) > 0)
+    lists = responses.select(key, F.try_variant_get(V.parsed(F.col(raw)), "$.findings", "array<variant>").alias("f"))
+    owned = F.exists("f", lambda x: reduce(lambda a, b: a | b, [V.member(x, k).isNotNull() for k in POLICY_KEYS]))
     lists = lists.withColumn("failed", F.when(F.col("f").isNull(), "no_findings").when(owned, "policy_key"))
-    one = F.array(F.lit(None).cast("string"))
-    each = lists.select(key, "failed", F.posexplode_outer(F.when(F.col("failed").isNotNull(), one).otherwise(F.col("f"))).alias("pos", "raw"))
+    one = F.array(F.lit(None).cast("variant"))
+    each = lists.select(key, "failed", F.posexplode_outer(F.when(F.col("failed").isNotNull(), one).otherwise(F.col("f"))).alias("pos", "i"))
     each = each.where("pos IS NOT NULL")
-    parsed = each.withColumn("i", F.from_json("raw", ITEM))
-    confidence = F.col("i.confidence").try_cast("double")
-    is_object = F.json_object_keys("raw").isNotNull()
-    bounds = F.from_json("i.audio_range", "start_time double, end_time double")
-    region = F.from_json("i.target_region", REGION)
-    box = clamp_region(region["x"], region["y"], region["width"], region["height"])
-    is_region = F.json_object_keys("i.target_region").isNotNull()
-    start, end = bounds["start_time"], bounds["end_time"]
-    reject = (
-        F.when(F.col("failed").isNotNull(), F.col("failed"))
-        .when(~F.coalesce(is_object, F.lit(False)), "not_an_object")
-        .when(F.col("i.confidence").isNotNull() & (confidence.isNull() | ~confidence.between(0, 1)), "confidence")
-    )
+    of_kind = {"image": ["target_region"], "audio": ["audio_range"], "text": ["line_id", "exact_text"]}[kind]
+    each = V.with_members(each, "i", ["entity_type", "data_subject_context", "label", "confidence", "description", "reason", *of_kind])
+    own = lambda name: (F.col(f"v_{name}"), F.col(f"k_{name}"))
+    # A missing type is unknown; one that is null stays null.
+    default = lambda name, value: F.when((F.col(f"k_{name}") == "missing") & F.col("failed").isNull(), value).otherwise(V.text(*own(name)))
+    values = {"entity_type": default("entity_type", "unknown"), "data_subject_context": default("data_subject_context", "unknown"), "label": default("label", "")}
+    values |= {name: V.text(*own(name)) for name in ("description", "reason")} | {"confidence": V.as_number(*own("confidence"))}
     if kind == "image":
-        reject = reject.when(~is_region | box.isNull(), "target_region")
-        target = [F.when(is_region, box).alias("region")]
+        each = V.with_members(each, "v_target_region", ["x", "y", "width", "height"])
+        values["region"] = F.when(F.col("k_target_region") == "object", clamp_region(*[V.as_number(*own(n)) for n in ("x", "y", "width", "height")]))
     elif kind == "audio":
-        reject = reject.when(~F.coalesce((start >= 0) & (end > start), F.lit(False)), "audio_range")
-        target = [start.alias("start_time"), end.alias("end_time")]
+        each = V.with_members(each, "v_audio_range", ["start_time", "end_time"])
+        values |= {n: F.when(F.col("k_audio_range") == "object", V.as_number(*own(n))) for n in ("start_time", "end_time")}
     else:
-        reject = reject.when(F.coalesce(F.col("i.line_id"), F.lit("")) == "", "line_id")
-        reject = reject.when(F.coalesce(F.col("i.exact_text"), F.lit("")) == "", "exact_text")
-        target = [F.col("i.line_id").alias("line_id"), F.col("i.exact_text").alias("exact_text")]
-    # A missing type is unknown; one that is null stays null.
-    has_type = F.array_contains(F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")), "entity_type")
-    return parsed.select(
+        values |= {n: F.when(F.col("failed").isNull(), V.shown(*own(n))) for n in ("line_id", "exact_text")}
+    each = each.withColumn("k_i", V.kind(F.col("i"))).withColumns(values)
+    optional = lambda name: F.col(f"k_{name}").isin("missing", "null", "string")
+    bad = {
+        "not_an_object": F.col("k_i") != "object",
+        "confidence": ~F.col("k_confidence").isin("missing", "null") & ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)),
+        "entity_type": ~optional("entity_type"),
+        "data_subject_context": ~F.coalesce(F.col("data_subject_context").isin(*DATA_SUBJECT_CONTEXTS), F.lit(False)),
+        "label": F.col("label").isNull(),
+        "description": ~optional("description"),
+        "reason": ~optional("reason"),
+    }
+    if kind == "image":
+        bad["target_region"], target = F.col("region").isNull(), ["region"]
+    elif kind == "audio":
+        good = (F.col("start_time") >= 0) & (F.col("end_time") > F.col("start_time")) & ~F.isnan("end_time")
+        bad["audio_range"], target = ~F.coalesce(good, F.lit(False)), ["start_time", "end_time"]
+    else:
+        bad, target = bad | {n: F.col(n) == "" for n in ("line_id", "exact_text")}, ["line_id", "exact_text"]
+    reject = reduce(lambda c, b: c.when(b[1], b[0]), bad.items(), F.when(F.col("failed").isNotNull(), F.col("failed")))
+    return each.select(
         key,
         F.when(F.col("failed").isNotNull(), -1).otherwise(F.col("pos")).alias("pos"),
-        F.when(has_type, F.col("i.entity_type")).otherwise(F.when(F.col("failed").isNull(), "unknown")).alias("entity_type"),
-        confidence.alias("confidence"),
+        "entity_type",
+        F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence"),
         *target,
         reject.alias("reject"),
-    )
+        "label", "data_subject_context", "description", "reason",
+    )
 
 
 def parse_outcomes(responses: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -258,7 +258,17 @@ def content_bearing_keys(spark, d):
     return A.forbidden_keys(rows, "payload", CONTENT_KEYS).select("event_id", "forbidden_key")
 
 
-@query()
+def _pad(with_byte):
+    """The key of the query, as it is hashed before a message, in hex."""
+    return bytes(b ^ with_byte for b in b"palimpsest".ljust(64, b"\0")).hex()
+
+
+@query(
+    rf"""WITH m AS (SELECT user_id, '{{"last_event":' || max(event_id) || ',"n_events":' || count(*) || ',"session_id":"' || user_id || '"}}' AS manifest FROM events GROUP BY 1),
+      h AS (SELECT *, sha256(manifest) AS manifest_sha256 FROM m),
+      i AS (SELECT *, sha256(unhex('{_pad(0x36)}') || encode(manifest[:-2] || ',"sha256":"' || manifest_sha256 || '"}}')) AS inside FROM h)
+      SELECT user_id, manifest, manifest_sha256, sha256(unhex('{_pad(0x5C)}') || unhex(inside)) AS signature FROM i"""
+)
 def signed_manifests(spark, d):
     per = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("event_id").alias("last_event"))
     manifest = A.canonical_json({"last_event": F.col("last_event"), "n_events": F.col("n_events"), "session_id": F.col("user_id").cast("string")})
@@ -325,7 +335,64 @@ def response_items(spark, d):
         F.lit(',"exact_text":'), q(F.col("exact_text")),
         F.when(F.col("doc_id") % 10 == 7, ',"action":"redact"').otherwise(""), F.lit("}"),
     )
-    return E.items(_responses(spark, d, item), "doc_id", "raw")
+    return E.items(_responses(spark, d, item), "doc_id", "raw").select("doc_id", "pos", "entity_type", "confidence", "line_id", "exact_text", "reject")
+
+
+# Members of an item in place of valid ones, and what must come of it: the column that differs
+# and its value, or the reason why the item is rejected.
+_TYPED = (
+    ('"label":null', "reject", "label"),
+    ('"label":7', "reject", "label"),
+    ('"label":"x"', "label", "x"),
+    ('"entity_type":7', "reject", "entity_type"),
+    ('"entity_type":true', "reject", "entity_type"),
+    ('"entity_type":null', "entity_type", None),
+    ('"data_subject_context":"nonsense"', "reject", "data_subject_context"),
+    ('"data_subject_context":null', "reject", "data_subject_context"),
+    ('"data_subject_context":"minor"', "data_subject_context", "minor"),
+    ('"confidence":true', "confidence", "1.0"),
+    ('"confidence":" 5e-1 "', "confidence", "0.5"),
+    ('"confidence":"nan"', "reject", "confidence"),
+    ('"confidence":[]', "reject", "confidence"),
+    ('"confidence":-0.1', "reject", "confidence"),
+    ('"description":5', "reject", "description"),
+    ('"reason":{}', "reject", "reason"),
+    ('"reason":null', "reject", None),
+    ('"line_id":7', "line_id", "7"),
+    ('"line_id":true', "line_id", "True"),
+    ('"line_id":0', "reject", "line_id"),
+    ('"exact_text":false', "reject", "exact_text"),
+    ('"exact_text":1.5', "exact_text", "1.5"),
+)
+
+
+@query(
+    "WITH cases(k, field, due) AS (VALUES "
+    + ", ".join(f"({k}, '{field}', {repr(value) if value is not None else 'NULL'})" for k, (_, field, value) in enumerate(_TYPED))
+    + f"""), c AS (SELECT event_id, field, due, event_type FROM events JOIN cases ON k = event_id % {len(_TYPED)})
+      SELECT event_id, CASE WHEN field = 'entity_type' THEN due WHEN field = 'reject' AND due = 'entity_type' THEN NULL ELSE event_type END AS entity_type,
+        CASE WHEN field = 'confidence' THEN due::DOUBLE WHEN field = 'reject' AND due = 'confidence' THEN CASE WHEN event_id % {len(_TYPED)} = 13 THEN -0.1 END ELSE 0.25 END AS confidence,
+        CASE WHEN field = 'line_id' THEN due WHEN field = 'reject' AND due = 'line_id' THEN '' ELSE 't1' END AS line_id,
+        CASE WHEN field = 'exact_text' THEN due WHEN field = 'reject' AND due = 'exact_text' THEN '' ELSE 'a' END AS exact_text,
+        CASE WHEN field = 'label' THEN due WHEN field = 'reject' AND due = 'label' THEN NULL ELSE '' END AS label,
+        CASE WHEN field = 'data_subject_context' THEN due ELSE 'unknown' END AS data_subject_context,
+        CASE WHEN field = 'reject' THEN due END AS reject
+      FROM c WHERE NOT (field = 'reject' AND coalesce(due, '') = 'data_subject_context')
+      UNION ALL SELECT event_id, event_type, 0.25, 't1', 'a', '', CASE WHEN event_id % {len(_TYPED)} = 6 THEN 'nonsense' END, 'data_subject_context' FROM c
+      WHERE field = 'reject' AND due = 'data_subject_context'"""
+)
+def typed_items(spark, d):
+    """Items with a member of another type or value than is due, one a response."""
+    name = lambda m: m.partition(":")[0]
+    valid = {'"entity_type"': F.to_json(F.array("event_type")), '"confidence"': F.lit("[0.25]"), '"line_id"': F.lit('["t1"]'), '"exact_text"': F.lit('["a"]')}
+    k = F.col("event_id") % len(_TYPED)
+    item = F.lit(None).cast("string")
+    for n, (given, _, _) in enumerate(_TYPED):
+        rest = [F.concat(F.lit(f"{m}:"), F.regexp_extract(v, r"^\[(.*)\]$", 1)) for m, v in valid.items() if m != name(given)]
+        item = F.when(k == n, F.concat_ws(",", F.lit(given), *rest)).otherwise(item)
+    rows = table(spark, d, "events").select("event_id", F.concat(F.lit('{"findings":[{'), item, F.lit("}]}")).alias("raw"))
+    got = E.items(rows, "event_id", "raw")
+    return got.select("event_id", "entity_type", "confidence", "line_id", "exact_text", "label", "data_subject_context", "reject")
 
 
 def _responses(spark, d, item):

@@ -389,3 +389,41 @@ def test_edits_meet_their_lines_whatever_the_block(spark):
     frame = spark.createDataFrame(layers, "doc_id long, line_id string, exact_text string, replacement string, at string").repartition(3)
     got = redact.render_lines(spark.createDataFrame(docs, "doc_id long, text string"), frame, "at").collect()
     assert {(r.doc_id, r.line_no): (r.redacted, r.n_layers) for r in got} == expected
+
+
+def test_items_are_checked_by_their_json_types(spark):
+    base = {"entity_type": "email", "line_id": "t1", "exact_text": "x"}
+    cases = [
+        ({"label": None}, "label"), ({"entity_type": 7}, "entity_type"), ({"data_subject_context": "nonsense"}, "data_subject_context"),
+        ({"confidence": True}, None), ({"confidence": "0_1.5e-1"}, None), ({"confidence": "1d"}, "confidence"), ({"confidence": "inf"}, "confidence"), ({"confidence": None}, None),
+        ({"description": ["a"]}, "description"), ({"reason": False}, "reason"), ({"line_id": {}}, "line_id"), ({"line_id": {"a": 1}}, None), ({"exact_text": 0.0}, "exact_text"),
+    ]
+    rows = [(k, json.dumps({"findings": [base | change]})) for k, (change, _) in enumerate(cases)]
+    got = {r.k: r for r in extract.items(spark.createDataFrame(rows, "k long, raw string"), "k", "raw").collect()}
+    assert [got[k].reject for k in range(len(cases))] == [want for _, want in cases]
+    assert (got[3].confidence, got[4].confidence, got[7].confidence) == (1.0, 0.15, None)
+    audio = [({"start_time": "1.0", "end_time": "2.5"}, None), ({"start_time": 0, "end_time": True}, None), ({"start_time": 1}, "audio_range"), ([1, 2], "audio_range"),
+             ({"start_time": -1, "end_time": 1}, "audio_range"), ({"start_time": "nan", "end_time": 1}, "audio_range"), ({"start_time": 2, "end_time": 2}, "audio_range"), ({"start_time": "x", "end_time": 2}, "audio_range")]
+    rows = [(k, json.dumps({"findings": [{"audio_range": r}]})) for k, (r, _) in enumerate(audio)]
+    found = extract.items(spark.createDataFrame(rows, "k long, raw string"), "k", "raw", "audio").orderBy("k").collect()
+    assert [r.reject for r in found] == [want for _, want in audio]
+    assert (found[0].start_time, found[0].end_time, found[1].end_time) == (1.0, 2.5, 1.0)
+    region = [({"x": "0.5", "width": True}, None, 0.5), ({"x": 1}, "target_region", None), ("none", "target_region", None), ({"x": "?", "y": None}, None, 0.0)]
+    rows = [(k, json.dumps({"findings": [{"target_region": r}]})) for k, (r, _, _) in enumerate(region)]
+    found = extract.items(spark.createDataFrame(rows, "k long, raw string"), "k", "raw", "image").orderBy("k").collect()
+    assert [(r.reject, r.region and r.region.x) for r in found] == [(want, x) for _, want, x in region]
+
+
+def test_keys_are_found_at_any_depth(spark):
+    deep = '{"a":' * 200 + '{"te\\u0078t":1}' + "}" * 200
+    rows = [(1, '{"x":[{"y":{"text":"a"}}]}'), (2, '{"x":"\\"text\\":1"}'), (3, deep), (4, '{"filename":1,"reason":2}'), (5, "{text"), (6, None), (7, '["text"]'), (8, json.dumps({"a": '\\"' * 20_000, "text": 1}))]
+    got = {r.k: r.forbidden_key for r in audit.forbidden_keys(spark.createDataFrame(rows, "k long, p string"), "p", ["text", "reason", "filename"]).collect()}
+    assert got == {1: "text", 2: None, 3: "text", 4: "filename", 5: None, 6: None, 7: None, 8: "text"}
+
+
+def test_signatures_are_hmacs(spark):
+    import hmac
+
+    for key in (b"k", b"x" * 64, b"y" * 100):
+        for message in ("", "a", "é漢" * 100):
+            assert one(spark, audit.hmac_sha256(key, F.lit(message))) == hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
