@@ -50,7 +50,7 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text in a chunk: what a task holds at a time, as lists of numbers.
 CHUNK_CHARS = 4_000_000
 #: Different units that a worker remembers from chunk to chunk.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Units that are aligned at a time.
 BATCH = 20_000
 #: From one character that is not white space and a space behind it to the next such place.
@@ -217,10 +217,24 @@ def tokenizer_pair(files: tuple[bytes, bytes]) -> Pair:
     return Pair(*files)
 
 
-CHUNK = (
-    "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, groups_sha256 array<string>, "
-    "pair array<long>, times array<long>, unit_at array<int>, unit_pair array<int>, doc_at array<int>, doc_unit array<int>, doc_times array<int>"
-)
+#: Documents and units of a chunk are one compressed Arrow batch, which Spark does not look into.
+CHUNK = "chunk long, pair array<long>, times array<long>, docs binary"
+_COMPRESSED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    """Arrays of any lengths, each as the one row of a column."""
+    rows = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()]
+    batch, sink = pa.record_batch(rows, list(columns)), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=_COMPRESSED) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.Buffer) -> dict[str, pa.Array]:
+    with pa.ipc.open_stream(data) as stream:
+        batch = stream.read_next_batch()
+    return {name: batch.column(k)[0].values for k, name in enumerate(batch.schema.names)}
 
 
 class _Chunk:
@@ -244,7 +258,6 @@ class _Chunk:
         digests = [hashlib.sha256(";".join(map(groups.__getitem__, d.tolist())).encode()).hexdigest() if len(d) else "" for d in docs]
         bounds = lambda lengths: np.append(0, np.cumsum(lengths))
         flat, at = np.concatenate(docs), bounds([len(d) for d in docs])
-        totals = [np.diff(bounds(pair.counts[flat, k])[at]) for k in (1, 2, 3)]
         listed = [np.unique(d, return_counts=True) for d in docs]
         doc_unit, doc_times = (np.concatenate([x[k] for x in listed]) for k in range(2))
         times_of = np.bincount(flat, minlength=len(groups))
@@ -253,13 +266,18 @@ class _Chunk:
         ids, unit_pair = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
         sizes = np.fromiter(map(len, links), np.int64, len(links)) // 8
         times = np.bincount(unit_pair, np.repeat(times_of[used], sizes), len(ids)).astype(np.int64)
-        columns = [
-            (self.ids, pa.int64()), *((t, pa.int64()) for t in totals), (digests, pa.string()), (ids, pa.int64()), (times, pa.int64()),
-            (bounds(sizes), pa.int32()), (unit_pair, pa.int32()), (bounds([len(x[0]) for x in listed]), pa.int32()), (np.searchsorted(used, doc_unit), pa.int32()), (doc_times, pa.int32()),
-        ]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind)) for v, kind in columns]
+        n_a, n_b, n_groups = (pa.array(np.diff(bounds(pair.counts[flat, k])[at])) for k in (1, 2, 3))
+        small = lambda values: pa.array(np.asarray(values, np.int32))
+        docs = _packed(
+            {
+                "doc_id": pa.array(self.ids, pa.int64()), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "groups_sha256": pa.array(digests, pa.string()),
+                "unit_size": small(sizes), "unit_pair": small(unit_pair), "doc_size": small([len(x[0]) for x in listed]),
+                "doc_step": small(np.diff(np.searchsorted(used, doc_unit), prepend=0)), "doc_times": small(doc_times),
+            }
+        )
         pair.note(times_of)
-        return pa.record_batch([pa.array([number], pa.int64()), *lists], [c.split()[0] for c in CHUNK.split(", ")])
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (ids, times)]
+        return pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([docs], pa.binary())], ["chunk", "pair", "times", "docs"])
 
 
 def _chunks(files: Broadcast, chars: int):
@@ -279,25 +297,26 @@ def _chunks(files: Broadcast, chars: int):
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of the chunks, with their pairs' counts (``found``) summed."""
+    """Documents of the chunks (n_pairs, docs, found) with their pairs' counts summed."""
+    before = lambda values: np.append(0, np.cumsum(values))
     for batch in batches:
-        for row in range(len(batch)):
-            of = lambda name, batch=batch, row=row: batch.column(batch.schema.get_field_index(name))[row].values
-            number = lambda name, of=of: of(name).to_numpy(zero_copy_only=False)
-            count = np.zeros((2, len(of("pair"))), np.int64)
-            if batch.column(batch.schema.get_field_index("found"))[row].is_valid:
-                found = of("found")
-                count[:, found.field("pos").to_numpy()] = found.field("count").to_numpy(), found.field("best").to_numpy()
+        for n_pairs, docs, found in zip(*batch.columns, strict=True):
+            own = _unpacked(docs.as_buffer())
+            number = {k: v.to_numpy() for k, v in own.items() if k not in ("doc_id", "groups_sha256")}
+            count = np.zeros((2, n_pairs.as_py()), np.int64)
+            if found.is_valid:
+                pos, *values = (found.values.field(k).to_numpy() for k in range(3))
+                count[:, pos] = values
             sums = []
             for values in count:
-                unit = np.diff(np.concatenate([[0], np.cumsum(values[number("unit_pair")])])[number("unit_at")])
-                doc = np.concatenate([[0], np.cumsum(unit[number("doc_unit")] * number("doc_times"))])
-                sums.append(np.diff(doc[number("doc_at")]))
-            n_a, n_b, n_groups = number("n_a"), number("n_b"), number("n_groups")
+                unit = np.diff(before(values[number["unit_pair"]])[before(number["unit_size"])])
+                doc = before(unit[np.cumsum(number["doc_step"])] * number["doc_times"])
+                sums.append(np.diff(doc[before(number["doc_size"])]))
+            n_a, n_b, n_groups = (number[k] for k in ("n_a", "n_b", "n_groups"))
             yield pa.record_batch(
                 {
-                    "doc_id": of("doc_id"), "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups),
-                    "n_links": pa.array(n_a + n_b - n_groups), "n_best": pa.array(sums[1]), "count_sum": pa.array(sums[0]), "groups_sha256": of("groups_sha256"),
+                    "doc_id": own["doc_id"], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups,
+                    "n_best": sums[1], "count_sum": sums[0], "groups_sha256": own["groups_sha256"],
                 }
             )
 
@@ -335,6 +354,6 @@ def align_tokenizers(
     found = asked.join(counts, "pair").join(most, "b")
     answer = F.struct("pos", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
     answers = found.groupBy("chunk").agg(F.collect_list(answer).alias("found"))
-    return chunks.join(answers, "chunk", "left").mapInArrow(
+    return chunks.select("chunk", F.size("pair").alias("n_pairs"), "docs").join(answers, "chunk", "left").select("n_pairs", "docs", "found").mapInArrow(
         _scores, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     )

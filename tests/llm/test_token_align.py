@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -109,4 +110,4 @@ def test_a_pair_occurs_once_in_a_chunk(spark):
     chunks = docs.mapInArrow(ta._chunks(files, 1000), ta.CHUNK).collect()
     assert len(chunks) == 3
     for c in chunks:
-        assert len(c.pair) == len(set(c.pair)) == 2 and sum(c.times) == 4 * len(c.doc_id)
+        assert len(c.pair) == len(set(c.pair)) == 2 and sum(c.times) == 4 * len(ta._unpacked(pa.py_buffer(c.docs))["doc_id"])
