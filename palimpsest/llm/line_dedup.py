@@ -14,13 +14,13 @@
    the later one and each passage's owner, and what the owner lacks of it has an owner of its own. To
    pair it with further holders would find nothing more, since a passage goes once, whoever holds it.
 3. Each (document, owner) pair is aligned by patience diff: passages that are unique in both anchor
-   the alignment, and the longest increasing run of them is kept. Where a pair has no passage unique
-   in both, the first occurrences stand in. What the run leaves out, passages in another order or
-   repeated in the document, is aligned with the owner's first occurrences, one by one, until no
-   passage that the owner holds is left.
+   the alignment, the longest increasing run of them is kept, and it grows to neighbours at the same
+   distance. (Where a pair has no passage unique in both, all occurrences stand in, a document's nth
+   one with the owner's nth.) What moved is aligned next, in blocks, the longest first. Each line is
+   aligned once: a passage that would align some line a second time, elsewhere in the owner, is left.
 4. The lines of aligned passages go from the later document, that with the greater id. So a document
-   loses just those runs of whole lines of ``least_block_words`` words that an earlier one holds,
-   whichever it is; a test holds this against a patience diff of all pairs.
+   loses just those runs of whole lines of ``least_block_words`` words that its alignment with an
+   earlier one keeps; tests hold this against a patience diff of all pairs.
 
 Texts are shuffled once, by document. Defined cases: a null or empty text stays as it is; of rows
 that repeat an id, equal texts are one document and different ones are ordered by their hash; a null
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,50 +120,61 @@ _SHARED = "kind int, h long, id long, row long, pos int, o_id long, o_row long,
 
 def _owners() -> object:
     """mapInArrow function over passages sorted by (h, id, row, pos): every one but its owner's own,
-    with the owner (kind 1).
+    with the owner (kind 1). A document's nth occurrence of a passage meets the owner's nth one, or its
+    last.
 
     The first list of a task may have begun before it: its passages are returned without an owner
-    (kind 2), and the first of the first and of the last list as a possible owner (kind 0).
+    (kind 2), and what the first of that and of the last list holds of it as a possible owner (kind 0).
     """
 
-    def rows(kind, k, h, i, r, p, o) -> pa.RecordBatch:
-        columns = [np.full(len(k), kind, np.int32), h[k], i[k], r[k], p[k], *(x[k] for x in o)]
+    def rows(kind, h, i, r, p, o=None) -> pa.RecordBatch:
+        n = len(p)
+        o = o or (np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, bool))
+        columns = [np.full(n, kind, np.int32), *(np.broadcast_to(x, n) for x in (h, i, r)), p, *o]
         return pa.record_batch([pa.array(c) for c in columns], [c.split()[0] for c in _SHARED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at_first, last_head = None, True, None  # the current list's hash and owner; still in the first list
+        # Of the list at hand: hash, owner, the owner's positions; the last document, and its occurrences so far.
+        h0, owner, places, last, seen, in_first = None, (0, 0), np.zeros(0, np.int32), None, 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, i, r, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            new = np.concatenate([[held is None or held[0] != h[0]], h[1:] != h[:-1]])
+            n = len(h)
+            new = np.concatenate([[h0 is None or h0 != h[0]], h[1:] != h[:-1]])
+            begins = new | np.concatenate([[last != (i[0], r[0])], (i[1:] != i[:-1]) | (r[1:] != r[:-1])])
             heads = np.flatnonzero(new)
-            again = np.concatenate([(h[1:] == h[:-1]) & (i[1:] == i[:-1]) & (r[1:] == r[:-1]), [False]])
-            owner = []
-            for k, (column, kind) in enumerate(((i, np.int64), (r, np.int64), (p, np.int32), (~again, bool))):
-                own = np.zeros(len(h), kind)
-                if not new[0]:
-                    own[: heads[0] if len(heads) else len(h)] = held[1][k]
-                if len(heads):
-                    own[heads[0] :] = np.repeat(column[heads], np.diff([*heads, len(h)]))
-                owner.append(own)
-            unsure = np.zeros(len(h), bool)
-            if at_first:
-                start = held is None
-                stop = heads[1 if start else 0] if len(heads) > (1 if start else 0) else len(h)
-                unsure[:stop] = True
-                yield rows(2, np.arange(stop), h, i, r, p, owner)
-                if start:
-                    yield rows(0, np.array([0]), h, i, r, p, owner)
-                at_first = stop == len(h)
-            later = ~unsure & ((i != owner[0]) | (r != owner[1]))
+            goes_on = not new[0]  # list 0 is the one at hand, whose owner's positions precede this batch's
+            held = places if goes_on else places[:0]
+            nth = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+            if not begins[0]:
+                nth[: np.flatnonzero(begins)[0] if begins.any() else n] += seen
+            of = np.cumsum(new) - (not goes_on)
+            o_id, o_row = (np.concatenate([np.array([one] if goes_on else [], np.int64), x[heads]])[of] for one, x in zip(owner, (i, r), strict=True))
+            own = (i == o_id) & (r == o_row)
+            size = np.bincount(of, own, of[-1] + 1).astype(np.int64)
+            start = heads + len(held)
+            if goes_on:
+                size[0] += len(held)
+                start = np.concatenate([[0], start])
+            all_places = np.concatenate([held, p])
+            o_pos = all_places[start[of] + np.minimum(nth, size[of] - 1)]
+            if in_first and h0 is not None and not goes_on:  # the first list ended with the last batch
+                yield rows(0, h0, *owner, places)
+                in_first = False
+            unsure = (of == 0) & in_first
+            if in_first:
+                yield rows(2, h[unsure], i[unsure], r[unsure], p[unsure])
+                if of[-1]:
+                    yield rows(0, h[0], o_id[0], o_row[0], all_places[: size[0]])
+                    in_first = False
+            later = ~unsure & ~own
             if later.any():
-                yield rows(1, np.flatnonzero(later), h, i, r, p, owner)
-            if not at_first and len(heads):
-                last_head = rows(0, heads[-1:], h, i, r, p, owner)
-            held = (h[-1], [x[-1] for x in owner])
-        if last_head is not None:
-            yield last_head
+                yield rows(1, h[later], i[later], r[later], p[later], (o_id[later], o_row[later], o_pos[later], size[of[later]] == 1))
+            h0, owner, last, seen = h[-1], (o_id[-1], o_row[-1]), (i[-1], r[-1]), int(nth[-1]) + 1
+            places = all_places[start[-1] : start[-1] + size[-1]]
+        if h0 is not None:
+            yield rows(0, h0, *owner, places)
 
     return run
 
@@ -188,20 +199,47 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(once: dict[int, bool], entries: list[tuple[int, int, bool]]) -> list[int]:
-    """Positions of a document's passages that are aligned with one owner: a longest increasing run,
-    and then those left over, each on its own.
+def aligned(once: dict[int, bool], ends: dict[int, int], entries: list[tuple[int, int, bool]]) -> list[int]:
+    """Positions of the passages of a document that its alignment with one owner keeps.
 
-    ``once``: which passages are unique in the document; ``entries``: (pos, owner's pos, unique in the
-    owner), by pos.
+    ``once``: which passages are unique in the document; ``ends``: the lines after them; ``entries``: (pos,
+    owner's pos, unique in the owner). Passages that are unique in both, and in the same order, anchor
+    the alignment, from which it grows to their neighbours at the same distance. What moved is aligned
+    next, by blocks of neighbours at the same distance, the longest first. A line is aligned once: a
+    passage some of whose lines are aligned with other lines of the owner is not.
     """
-    anchors = [e for e in entries if e[2] and once[e[0]]]
-    if not anchors:
-        seen: set[int] = set()
-        anchors = [e for e in entries if not (e[1] in seen or seen.add(e[1]))]
-    run = [anchors[k][0] for k in increasing([e[1] for e in anchors])]
-    kept = set(run)
-    return run + [e[0] for e in entries if e[0] not in kept]
+    found = {pos: o_pos for pos, o_pos, _ in entries}
+    lines: dict[int, int] = {}  # to the distance between a line and the owner's line that it is aligned with
+    kept: set[int] = set()
+
+    def take(pos: int) -> bool:
+        own = range(pos, ends[pos])
+        if pos in kept or any(lines.get(k, found[pos] - pos) != found[pos] - pos for k in own):
+            return False
+        lines.update(dict.fromkeys(own, found[pos] - pos))
+        kept.add(pos)
+        return True
+
+    order = sorted(entries)
+    anchors = [e for e in order if e[2] and once[e[0]]] or order
+    for k in increasing([e[1] for e in anchors]):
+        pos = anchors[k][0]
+        if take(pos):
+            for step in (1, -1):
+                near = pos + step
+                while found.get(near) == found[pos] + near - pos and take(near):
+                    near += step
+    blocks: list[list[int]] = []
+    for pos, o_pos, _ in order:
+        if pos not in kept:
+            if blocks and blocks[-1][-1] == pos - 1 and found[pos - 1] == o_pos - 1:
+                blocks[-1].append(pos)
+            else:
+                blocks.append([pos])
+    for block in sorted(blocks, key=lambda b: (-len(b), b[0])):
+        for pos in block:
+            take(pos)
+    return sorted(kept)
 
 
 def _cut(text: bytes, entries: list, least_line_words: int, least_block_words: int) -> tuple[bytes, int]:
@@ -215,7 +253,7 @@ def _cut(text: bytes, entries: list, least_line_words: int, least_block_words: i
         by_owner.setdefault((e["o_id"], e["o_row"]), {})[e["pos"]] = (e["pos"], e["o_pos"], e["o_once"])
     gone = np.zeros(len(u.hashes), bool)
     for owner in sorted(by_owner):
-        for pos in aligned(once, [e for _, e in sorted(by_owner[owner].items())]):
+        for pos in aligned(once, ends, list(by_owner[owner].values())):
             gone[pos : ends[pos]] = True
     if not gone.any():
         return text, 0
@@ -273,11 +311,14 @@ def line_dedup(
     order = ("h", "id", "row", "pos")
     shared = stored(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_owners(), _SHARED), "shared-passages")
     # At most two possible owners and one list a task; how they meet is left to the optimizer.
-    border = shared.where("kind = 0").groupBy("h").agg(F.min(F.struct("id", "row", "pos", "o_once")).alias("o"))
-    unsure = shared.where("kind = 2").select("h", "id", "row", "pos").join(border, "h")
+    border = shared.where("kind = 0").groupBy("h", "id", "row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    border = border.groupBy("h").agg(F.min(F.struct("id", "row", "places")).alias("o"))
+    nth = F.row_number().over(Window.partitionBy("h", "id", "row").orderBy("pos"))
+    unsure = shared.where("kind = 2").select("h", "id", "row", "pos").withColumn("nth", nth).join(border, "h")
     unsure = unsure.where("struct(id, row) <> struct(o.id, o.row)").select(
-        "id", "row", "pos", F.col("o.id").alias("o_id"), F.col("o.row").alias("o_row"), F.col("o.pos").alias("o_pos"), F.col("o.o_once").alias("o_once")
-    )
+        "id", "row", "pos", F.col("o.id").alias("o_id"), F.col("o.row").alias("o_row"),
+        F.element_at("o.places", F.least("nth", F.size("o.places"))).alias("o_pos"), (F.size("o.places") == 1).alias("o_once"),
+    )
     sure = shared.where("kind = 1").select("id", "row", "pos", "o_id", "o_row", "o_pos", "o_once")
     entry = F.struct("pos", "o_id", "o_row", "o_pos", "o_once")
     entries = sure.unionByName(unsure).groupBy("id", "row").agg(F.collect_list(entry).alias("entries"))
