@@ -427,3 +427,30 @@ def test_signatures_are_hmacs(spark):
     for key in (b"k", b"x" * 64, b"y" * 100):
         for message in ("", "a", "é漢" * 100):
             assert one(spark, audit.hmac_sha256(key, F.lit(message))) == hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
+
+
+def test_batches_of_long_sources_are_cut_in_blocks(spark):
+    rng = random.Random(13)
+    rows, expected = [], []
+    for d in range(60):
+        no, cost = 0, []
+        for _ in range(rng.choice([1, 5, 40, 200])):
+            no += rng.choice([1, 1, 2, 30])
+            cost.append((no, rng.choice([0, 1, 3, 10, 50, 100] + [101] * (d % 20 == 0))))
+        rows += [(d, n, c) for n, c in cost]
+        if max(c for _, c in cost) > 100:
+            expected.append((d, 0, cost[0][0], cost[-1][0], len(cost), max(c for _, c in cost)))
+            continue
+        batch = []
+        found = [batch]
+        for n, c in cost:
+            if sum(x for _, x in batch) + c > 100:
+                batch = []
+                found.append(batch)
+            batch.append((n, c))
+        expected += [(d, k, b[0][0], b[-1][0], len(b), sum(c for _, c in b)) for k, b in enumerate(found, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, line_no long, cost long").repartition(5)
+    for block in (1, 7, 64, 1024):
+        got = lines.batches(frame, 100, block_lines=block).select("doc_id", "batch", "first_line", "last_line", "n_lines", "cost").collect()
+        assert sorted(map(tuple, got)) == sorted(expected), block
+    assert lines.batches(frame.limit(0), 100).count() == 0
