@@ -35,7 +35,7 @@ def _link(event: Column, previous: Column) -> Column:
     return F.sha2(_envelope(event, previous), 256)
 
 
-def _halves(event: Column) -> tuple[Column, Column]:
+def halves(event: Column) -> tuple[Column, Column]:
     """An event's envelope before and after the previous hash."""
     none = F.lit(None).cast("string")
     whole = _envelope(event, none)
@@ -52,7 +52,7 @@ def build_chain(events: DataFrame, session: str = "session_id") -> DataFrame:
     """
     fields = [c for c in events.columns if c != session]
     row = F.struct(*fields, F.col(session).cast("string").alias("session_id"))
-    before, after = _halves(row)
+    before, after = halves(row)
     dealt = events.select(session, *fields, before.alias("_before"), after.alias("_after")).repartition(session).sortWithinPartitions(session, "seq")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from palimpsest.plans.base import FOUND, found, query
 from palimpsest.session import table
 from palimpsest.sources import formats as S
 from palimpsest.streaming import conflate as C
+from palimpsest.streaming import stateful as Y
 
 
 # --- review rows -----------------------------------------------------------------------------
@@ -204,8 +205,8 @@ chain AS (
   FROM chain c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)"""
 
 
-def _chain(spark, d):
-    events = table(spark, d, "events").select(
+def _audit_events(spark, d):
+    return table(spark, d, "events").select(
         "user_id",
         F.col("event_id").alias("seq"),
         F.concat(F.lit("e"), "event_id").alias("event_id"),
@@ -215,7 +216,10 @@ def _chain(spark, d):
         F.replace("props", F.lit(" "), F.lit("")).alias("payload"),
         F.concat(F.lit("t"), "event_id").alias("created_at"),
     )
-    return A.build_chain(events, "user_id")
+
+
+def _chain(spark, d):
+    return A.build_chain(_audit_events(spark, d), "user_id")
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, seq, previous_hash, event_hash FROM chain")
@@ -745,6 +749,48 @@ def event_conflation(spark, d):
     return _conflated(table(spark, d, "events"))
 
 
+def _thirds(rows, order, last):
+    """The rows in three parts, one after another."""
+    third = F.floor(F.col(order) * 3 / (last + 1))
+    return [rows.where(third == k) for k in range(3)]
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, seq, previous_hash, event_hash FROM chain")
+def streaming_chain(spark, d):
+    """The chain of a stream that gets its events in three parts and is started anew for each."""
+    events = _audit_events(spark, d)
+    last = events.agg(F.max("seq")).head()[0] or 1
+    got = Y.run_in_parts(_thirds(events, "seq", last), lambda stream: Y.chained(stream, "user_id"))
+    return got.select("user_id", "seq", "previous_hash", "event_hash")
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 61 = 0 THEN 'close' WHEN event_type = 'view' THEN 'drain' ELSE 'publish' END AS op,
+        event_type || event_id AS item, event_type IN ('error', 'purchase') AS terminal, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      s AS (
+        SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS seq, NULL::VARCHAR AS held, false AS firm, false AS closed, false AS waiting, NULL::VARCHAR AS told, NULL::VARCHAR AS item FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL
+        SELECT o.user_id, o.k, o.seq,
+          CASE WHEN s.closed OR o.op = 'close' OR o.op = 'drain' THEN NULL WHEN s.waiting THEN s.held WHEN s.held IS NULL OR o.terminal OR NOT s.firm THEN o.item ELSE s.held END,
+          CASE WHEN s.closed OR o.op = 'close' OR o.op = 'drain' THEN false WHEN s.waiting THEN s.firm WHEN s.held IS NULL OR o.terminal OR NOT s.firm THEN o.terminal ELSE s.firm END,
+          s.closed OR o.op = 'close',
+          CASE WHEN s.closed OR o.op IN ('close', 'publish') THEN false ELSE s.held IS NULL END,
+          CASE WHEN s.closed THEN CASE WHEN o.op = 'drain' THEN 'closed' END WHEN o.op = 'close' THEN CASE WHEN s.waiting THEN 'closed' END
+               WHEN o.op = 'publish' THEN CASE WHEN s.waiting THEN 'item' END WHEN s.held IS NOT NULL THEN 'item' END,
+          CASE WHEN s.closed OR o.op = 'close' THEN NULL WHEN o.op = 'publish' THEN CASE WHEN s.waiting THEN o.item END ELSE s.held END
+        FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
+      SELECT user_id, seq, told, item FROM s WHERE told IS NOT NULL"""
+)
+def subscriber_queues(spark, d):
+    """Queues of one place over a stream in three parts: every event is published, asked for, or closes."""
+    op = F.when(F.col("event_id") % 61 == 0, "close").when(F.col("event_type") == "view", "drain").otherwise("publish")
+    rows = table(spark, d, "events").select(
+        "user_id", "ts", F.col("event_id").alias("seq"), op.alias("op"), F.concat("event_type", "event_id").alias("item"), F.col("event_type").isin("error", "purchase").alias("terminal")
+    )
+    last = rows.agg(F.max("seq")).head()[0] or 1
+    return Y.run_in_parts(_thirds(rows, "seq", last), lambda stream: Y.queues(stream, "user_id", "3650 days", 10**12))
+
+
 @query(_CONFLATED)
 def streaming_conflation(spark, d):
     return C.run_once(_conflated(_stream(spark, d)), "complete")

@@ -12,7 +12,7 @@ PYTHON = {
     "audit_chain", "audit_chain_verify", "audit_prefix", "block_locators", "comparison_texts", "docx_locators", "fuzzy_ratio",
     "last_hash", "locator_checks", "page_characters", "pdf_selections", "preview_matches", "response_repair",
 }
-STREAMS = {"streaming_conflation", "streaming_daily_counts", "streaming_fan_out"}
+STREAMS = {"streaming_chain", "subscriber_queues", "streaming_conflation", "streaming_daily_counts", "streaming_fan_out"}
 
 
 def plan(spark, name):
