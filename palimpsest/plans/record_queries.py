@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,12 @@ from palimpsest.operators import policy as P
 from palimpsest.operators import review as V
 from palimpsest.operators import timeline as T
 from palimpsest.plans.base import FOUND, found, query
-from palimpsest.session import table
+from palimpsest.session import scratch_dir, table
+from palimpsest.sources import bundles as U
 from palimpsest.sources import formats as S
 from palimpsest.streaming import conflate as C
 from palimpsest.streaming import stateful as Y
 
-
 # --- review rows -----------------------------------------------------------------------------
 
 _LAYER_ROWS = """l AS (
@@ -279,6 +281,25 @@ def signed_manifests(spark, d):
     return A.signed(per.withColumn("manifest", manifest), "manifest", b"palimpsest").select("user_id", "manifest", "manifest_sha256", "signature")
 
 
+@query(
+    f"""WITH RECURSIVE {_CHAIN}, b AS (SELECT user_id, count(*) AS n_events, arg_max(event_hash, seq) AS last_hash FROM chain GROUP BY 1)
+      SELECT 'bundle-' || user_id || '.zip' AS name, 4::BIGINT AS n_files, true AS verified, n_events, last_hash, sha256(text) AS rendered_sha256 FROM b JOIN documents ON doc_id = user_id"""
+)
+def export_bundles(spark, d):
+    """Bundles of all sessions with a text, written as ZIPs and read back."""
+    chain = _chain(spark, d)
+    snapshots = chain.select("user_id").distinct().withColumn("snapshot", F.lit('{"id":"gdpr"}'))
+    texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("user_id"), F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("filename"), F.col("text").alias("content"))
+    path = f"{scratch_dir(spark)}/bundles-{uuid.uuid4().hex}"
+    U.write_bundles(U.bundles(chain, snapshots, texts, "user_id", b"palimpsest"), path)
+    content = lambda name: F.get(F.filter("files", lambda f: f["name"].rlike(name)), F.lit(0))["content"]
+    events = F.json_array_length(content("^audit[.]json$").cast("string")).cast("long")
+    return U.read_bundles(spark, path, b"palimpsest").select(
+        "name", F.size("files").cast("long").alias("n_files"), "verified", events.alias("n_events"),
+        F.get_json_object("manifest", "$.audit_boundary.last_event_hash").alias("last_hash"), F.sha2(content("^doc-"), 256).alias("rendered_sha256"),
+    )
+
+
 # --- tokens ----------------------------------------------------------------------------------
 
 @query(

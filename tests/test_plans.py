@@ -9,7 +9,7 @@ from palimpsest.plans import catalog
 SF = "/root/testdata/sf0.001"
 #: Queries that need Python on the executors.
 PYTHON = {
-    "audit_chain", "audit_chain_verify", "audit_prefix", "block_locators", "comparison_texts", "docx_locators", "fuzzy_ratio",
+    "audit_chain", "audit_chain_verify", "audit_prefix", "block_locators", "comparison_texts", "docx_locators", "export_bundles", "fuzzy_ratio",
     "last_hash", "locator_checks", "page_characters", "pdf_selections", "preview_matches", "response_repair",
 }
 STREAMS = {"streaming_chain", "subscriber_queues", "streaming_conflation", "streaming_daily_counts", "streaming_fan_out"}
