@@ -43,6 +43,8 @@ TEMPLATES = {
     "apache": [
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Apache License, Version 2.0",
+        "Apache License, Version 1.1",
         "SPDX-License-Identifier: Apache-2.0",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
@@ -68,6 +70,9 @@ TEMPLATES = {
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License",
+        "Licensed under the LGPL v2.1",
+        "LGPL v2.1",
+        "LGPL v3",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
@@ -80,6 +85,9 @@ TEMPLATES = {
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
+        "Released under the BSD 2-Clause License.",
+        "BSD 3-Clause",
+        "BSD 2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -105,6 +113,18 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "cc-by-nc-sa": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "cc-by-nc-nd": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
     "public-domain": [
         "This work is dedicated to the public domain under CC0 1.0.",
         "This is free and unencumbered software released into the public domain.",
@@ -166,14 +186,29 @@ FOREIGN = {
         "Licensed under the Microsoft Public License.",
     ],
 }
+# Words that make another licence of a notice that does not have them in its templates.
+CHANGING = "nc noncommercial nd noderivatives noderivs sa sharealike".split()
+# Prose with the words of licences that is none.
+PROSE = [
+    "The shop must redistribute the leaflets among the villages, with or without a modification of the covers.",
+    "She lost her driving licence and the permission to use the road.",
+    "The public library is free for any person who lives in the county.",
+    "Copying the poem by hand, he used no software and no other source.",
+    "A warranty of two years comes with the kettle, in black or white form.",
+    "The general asked the public for its contributions to the foundation.",
+    "All conditions of the race were met, and the following day it rained.",
+    "He wrote to the authors and holders of the prize without any claim to it.",
+    "The commons were open to sheep and to whoever came to share them alike.",
+    "The version of the story that they published was subject to some doubt.",
+]
 PLAIN, UNKNOWN = "none", "unknown"
 #: Bounds: documents sampled for plain paragraphs, and variants of each template.
 SAMPLE_DOCUMENTS = 600
 VARIANTS = 60
 #: Words of the parts of long templates that are trained on.
 PART = 9
-#: A template is confirmed with so large a share of its word pairs.
-CONFIRM = 0.75
+#: A template is confirmed with so large a share of its word pairs; one of fewer than SHORT pairs with all of them.
+CONFIRM, SHORT = 0.75, 6
 #: Share of the families' own paragraphs that the threshold may cost at least and at most, and of
 #: foreign ones that it has to leave to the unknown class where the latter allows it.
 DOUBT, MOST_DOUBT, FOREIGN_SHARE = 0.02, 0.1, 0.95
@@ -240,13 +275,15 @@ class LicenseModel:
         some = hashed_sample(some, SAMPLE_DOCUMENTS, "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
         # Words that tell of a licence in any family keep a sampled paragraph out of the plain ones.
         telling = F.lit("licen[cs]e|copyright|warrant|redistribut|public domain|all rights|creative commons|spdx")
-        plain = some.where(~F.regexp_like(F.lower("line"), telling)).select(_words(F.col("line")).alias("words"), F.xxhash64("line").alias("h"))
+        prose = spark.createDataFrame([(t,) for t in PROSE], "line string")
+        plain = some.where(~F.regexp_like(F.lower("line"), telling)).select("line").unionByName(prose)
+        plain = plain.select(_words(F.col("line")).alias("words"), F.xxhash64("line").alias("h"), F.col("line").isin(PROSE).alias("prose"))
         plain = stored(plain.where("size(words) > 0").dropDuplicates(["h"]), "plain-paragraphs")
         n_plain = plain.count()
         order = F.expr("row_number() OVER (ORDER BY h) - 1")  # over the bounded sample
         plain = stored(plain.withColumn("at", order.cast("long")), "plain-numbered")
         # Plain words tell nothing; nor do those of one or two letters.
-        common = {r.w for r in plain.select(F.explode("words").alias("w")).where(F.col("w").isin(single)).distinct().collect()}
+        common = {r.w for r in plain.where("NOT prose").select(F.explode("words").alias("w")).where(F.col("w").isin(single)).distinct().collect()}
         cues = [w for w in single if w not in common and len(w) > 1]
         vocabulary = [g for g in grams if not set(cues).isdisjoint(g.split(" "))]
         names = [PLAIN, *TEMPLATES, UNKNOWN]
@@ -256,7 +293,7 @@ class LicenseModel:
         )
         vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
         learner = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60)
-        train = vectors.transform(stored(rows(known, 1), "license-training")).select("label", "features").cache()
+        train = vectors.transform(stored(rows(known, 1), "license-training")).select("label", "features").coalesce(1).cache()  # bounded rows: one task an iteration
         classifier = learner.fit(train)
         train.unpersist()
         intercepts = classifier.interceptVector.toArray()
@@ -293,11 +330,13 @@ class LicenseModel:
         pairs = F.array_distinct(_runs(F.col("words"), 2))
         # The templates are a fixed, small table and go along as literals.
         overlaps = [
-            F.when(best == family, F.size(F.array_intersect(pairs, F.split(F.lit("|".join(sorted(own))), r"\|"))) / len(own))
+            F.when(best == family, _share(F.size(F.array_intersect(pairs, F.split(F.lit("|".join(sorted(own))), r"\|"))), len(own)))
             for family, texts in TEMPLATES.items()
             for own in (_pairs(t) for t in texts)
         ]
         overlap = F.coalesce(F.greatest(*overlaps), F.lit(0.0))
+        changed = {family: sorted(set(CHANGING) - {w for t in texts for w in _word_list(t)}) for family, texts in TEMPLATES.items() if family.startswith("cc-")}
+        other = F.coalesce(*[F.when(best == family, F.arrays_overlap("words", F.array(*[F.lit(w) for w in own]))) for family, own in changed.items() if own], F.lit(False))
         return scored.select(
             "doc_id",
             "key",
@@ -306,11 +345,16 @@ class LicenseModel:
             "line_no",
             F.when(score >= self.least, best).otherwise(UNKNOWN).alias("family"),
             score.alias("score"),
-            ((overlap >= CONFIRM) & (score >= self.least)).alias("confirmed"),
+            ((overlap >= CONFIRM) & (score >= self.least) & ~other).alias("confirmed"),
             overlap.alias("overlap"),
         )
 
 
+def _share(common: Column, pairs: int) -> Column:
+    """Share of a template's pairs; of a short template, all or nothing."""
+    return common / pairs if pairs >= SHORT else (common == pairs).cast("double")
+
+
 def _parts(lines: Column, joined: Column) -> Column:
     """window, line_no, words of each line, and of the windows over the words of several lines."""
     step = max(len(_word_list(t)) for texts in TEMPLATES.values() for t in texts)

@@ -82,6 +82,38 @@ STRANGE = [
 ]
 
 
+NEAR = {
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa",
+    "Licensed under CC BY-NC-ND 4.0.": "cc-by-nc-nd",
+    "Licensed under CC BY-ND 4.0.": "cc-by-nd",
+    "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+    "Licensed under CC BY 4.0.": "cc-by",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 International License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+    "Apache License, Version 1.1": "apache",
+    "LGPL v2.1": "lgpl",
+    "BSD 2-Clause": "bsd",
+    "This library is licensed under the GNU Lesser General Public License": "lgpl",
+    "This work is licensed under the GNU Affero General Public License": "agpl",
+}
+
+
+def test_near_licenses_are_told_apart(spark, model):
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame(list(enumerate(NEAR)), "doc_id long, text string"), model).collect()}
+    wrong = {t: got[k].families for k, (t, f) in enumerate(NEAR.items()) if got[k].families != f}
+    assert not wrong
+    # Conditions that no family's templates have are never confirmed as a freer licence.
+    odd = ["Licensed under CC BY-SA-NC 4.0 NoDerivs.", "Licensed under CC BY 4.0 NonCommercial."]
+    got = ls.scan(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert not {"cc-by", "cc-by-sa"} & {f for r in got for f in r.families.split(",")}
+
+
+def test_prose_is_no_licence(spark, model):
+    prose = ["You may not use the lift in case of fire, except with permission of the porter.", "The leaflets are free, and you can redistribute them with or without modification of the text."]
+    got = ls.scan(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string"), model).collect()
+    assert [(r.families, r.n_confirmed) for r in got] == [("", 0)] * 2
+
+
 def test_foreign_licenses_are_unknown(spark, model):
     docs = spark.createDataFrame(list(enumerate(STRANGE)), "doc_id long, text string")
     got = {r.doc_id: r for r in ls.scan(docs, model).collect()}
@@ -122,8 +154,12 @@ def test_scores_equal_those_of_the_printed_weights(spark, documents, model):
                     p = math.exp(scores[best]) / sum(map(math.exp, scores))
                     name = model.names[best] if p >= model.least else ls.UNKNOWN
                     pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-                    near = max((len(pairs & ls._pairs(t)) / len(ls._pairs(t)) for t in ls.TEMPLATES.get(model.names[best], [])), default=0)
-                    expected[d, block, k] = (name, round(p, 6), near >= ls.CONFIRM and name != ls.UNKNOWN, round(near, 6))
+                    shares = [(len(pairs & own) / len(own), len(own)) for own in map(ls._pairs, ls.TEMPLATES.get(model.names[best], []))]
+                    near = max((s if n >= ls.SHORT else float(s == 1) for s, n in shares), default=0)
+                    family = model.names[best]
+                    own = {w for t in ls.TEMPLATES.get(family, []) for w in ls._word_list(t)}
+                    changed = family.startswith("cc-") and bool(set(words) & (set(ls.CHANGING) - own))
+                    expected[d, block, k] = (name, round(p, 6), near >= ls.CONFIRM and name != ls.UNKNOWN and not changed, round(near, 6))
     found = model.findings(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT window").collect()
     got = {(r.doc_id, r.block, r.line_no): (r.family, round(r.score, 6), r.confirmed, round(r.overlap, 6)) for r in found}
     assert got == expected and len(got) > 20
