@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,6 +63,22 @@ def all_starts(line: Column, text: Column) -> Column:
     return F.when(F.length(text) > 0, F.coalesce(found, none)).otherwise(none)
 
 
+@cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that folding changes further: to one character, and to several."""
+    folded = {c: c.casefold() for c in map(chr, range(0x20000)) if not "\ud800" <= c <= "\udfff" and c.lower() == c != c.casefold()}
+    return {c: f for c, f in folded.items() if len(f) == 1}, {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: lower case, and what that leaves apart, such as final sigmas, long s, and the
+    sharp s and ligatures, which become several letters."""
+    one, several = _foldings()
+    folded = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    spelt = reduce(lambda c, f: F.replace(c, F.lit(f[0]), F.lit(f[1])), several.items(), folded)
+    return F.when(folded.rlike(f"[{''.join(several)}]"), spelt).otherwise(folded)
+
+
 def file_stem(name: Column) -> Column:
     """Title of a file: its name without folder and suffix, else its name, else a stand-in."""
     base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/\\]*)$", 1)

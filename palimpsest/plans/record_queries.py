@@ -558,7 +558,7 @@ def _spans(spark, d):
 def interval_dedup(spark, d):
     """Spans merge within a type and a label, whatever the label's case."""
     label = F.concat(F.when(F.col("event_id") % 2 == 0, "Voice ").otherwise("VOICE "), F.col("event_id") % 3)
-    spans = _spans(spark, d).withColumn("label_key", F.lower(label))
+    spans = _spans(spark, d).withColumn("label_key", X.casefold(label))
     return T.merge_overlaps(spans, ["user_id", "event_type", "label_key"], ["event_id"]).drop("island")
 
 

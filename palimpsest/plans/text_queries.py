@@ -269,7 +269,7 @@ def classification_options(spark, d):
         F.coalesce("display_name", "_e").alias("display_name"),
         F.coalesce("n", F.lit(0)).alias("n_findings"),
     )  # a few rows a type
-    return options.withColumn("position", F.row_number().over(Window.orderBy(F.lower("display_name"), "entity_type")))
+    return options.withColumn("position", F.row_number().over(Window.orderBy(X.casefold(F.col("display_name")), "entity_type")))
 
 
 @query(

@@ -454,3 +454,13 @@ def test_batches_of_long_sources_are_cut_in_blocks(spark):
         got = lines.batches(frame, 100, block_lines=block).select("doc_id", "batch", "first_line", "last_line", "n_lines", "cost").collect()
         assert sorted(map(tuple, got)) == sorted(expected), block
     assert lines.batches(frame.limit(0), 100).count() == 0
+
+
+def test_case_folding_is_full(spark):
+    """Every character by itself, and words; the dotless i keeps apart from i."""
+    characters = [chr(c) for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000]
+    words = ["Straße", "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "ﬁn ﬃ", "ıI İ", "ſpeak", "ŉ", "ΐ", "", "Ꭰꭰ"]
+    rows = spark.createDataFrame([(x,) for x in characters + words], "x string").withColumn("y", X.casefold(F.col("x"))).collect()
+    known = lambda x: all(unicodedata.category(c) != "Cn" for c in x)
+    assert [r.y for r in rows if known(r.x)] == [r.x.casefold() for r in rows if known(r.x)]
+    assert one(spark, X.casefold(F.lit("ı"))) == "ı" != one(spark, X.casefold(F.lit("I")))
