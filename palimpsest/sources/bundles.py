@@ -83,6 +83,8 @@ class BundleWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path
         self.staging = posixpath.join(path, f"_staging-{uuid.uuid4().hex}")
+        files, place = self._open(self.staging)
+        files.create_dir(place)
 
     def _open(self, path: str) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -90,7 +92,7 @@ class BundleWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Staged:
         folder, names = posixpath.join(self.staging, uuid.uuid4().hex), []
         files, place = self._open(folder)
-        files.create_dir(place)
+        files.create_dir(place, recursive=False)  # fails where the write was aborted meanwhile
         for row in iterator:
             with files.open_output_stream(posixpath.join(place, row["name"])) as out:
                 out.write(zipped([(f["name"], bytes(f["content"])) for f in row["files"]]))
