@@ -52,15 +52,17 @@ def unique_offset(line: Column, text: Column) -> Column:
 
 
 def all_starts(line: Column, text: Column) -> Column:
-    """Starts (from 0) of all occurrences, overlapping ones too: the line is cut before each of them, and
-    one fold over the pieces adds up their lengths."""
+    """Starts (from 0) of all occurrences, overlapping ones too. If there are several, the line is cut before
+    each of them, and one fold over the pieces adds up their lengths."""
     quoted = F.concat(F.lit(r"(?=\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     pieces = F.split(line, quoted, -1)
     none = F.array().cast("array<int>")
     begun = F.struct(F.lit(0).alias("at"), F.when(line.startswith(text), F.array(F.lit(0))).otherwise(none).alias("starts"))  # there nothing is cut
     step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(x)).alias("starts"))
     found = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), begun, step, lambda acc: acc["starts"])
-    return F.when(F.length(text) > 0, F.coalesce(found, none)).otherwise(none)
+    first = F.call_function("locate", text, line)
+    several = F.call_function("locate", text, line, first + 1) > 0
+    return F.when((F.length(text) > 0) & (first > 0), F.when(several, found).otherwise(F.array(first - 1))).otherwise(none)
 
 
 @cache

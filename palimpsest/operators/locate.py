@@ -15,37 +15,54 @@ from palimpsest.operators import match as M
 from palimpsest.session import stored
 
 BEST = ["doc_id", "id"]
-FORMS = ["p_text", "p_starts", "p_ends", "c_text", "c_starts", "c_ends"]
-
 
 def projected(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Add a text's comparison form (p_) and that without spaces (c_), each with where its characters
-    come from."""
-    kept = [c for c in rows.columns if c not in FORMS]
-    return rows.withColumn("_both", M.both_projections(F.col(column))).select(*kept, "_both.*")
+    """Add a text's comparison form (p_text) and that without spaces (c_text). Where their characters come
+    from is only told of what is found (``match.original_span``)."""
+    kept = [c for c in rows.columns if c not in ("p_text", "c_text")]
+    return _tight(rows.select(*kept, M.comparison_text(F.col(column)).alias("p_text")))
+
+
+def _tight(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("c_text", F.replace("p_text", F.lit(" "), F.lit("")))
 
 
 def prepared(blocks: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks and lines with their forms, written, as several steps read them."""
-    return stored(projected(blocks), "block-forms"), stored(projected(lines), "line-forms")
+    """Blocks and lines with their forms, written, as several steps read them. Of the lines only the form
+    is kept."""
+    own, shown = projected(blocks).drop("c_text"), projected(lines).select("doc_id", "page", "line_id", "line_no", "p_text")
+    return _tight(stored(own, "block-forms")), _tight(stored(shown, "line-forms"))
+
+
+def page_lines(shown: DataFrame) -> DataFrame:
+    """doc_id, page, page_text (all lines without spaces) and lines, the range (line_id, from, to) of each
+    line in it that is not empty."""
+    rows = shown.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "c_text"))).alias("rows"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_id:string,from:int,to:int>>").alias("lines"))
+    rows = rows.select("doc_id", "page", F.array_join(F.transform("rows", lambda r: r["c_text"]), "").alias("page_text"), F.expr("filter(rows, r -> length(r.c_text) > 0)").alias("rows"))
+    to = lambda acc, r: acc["at"] + F.length(r["c_text"])
+    own = lambda acc, r: F.struct(r["line_id"].alias("line_id"), acc["at"].alias("from"), to(acc, r).alias("to"))
+    step = lambda acc, r: F.struct(to(acc, r).alias("at"), F.array_append(acc["lines"], own(acc, r)).alias("lines"))
+    return rows.select("doc_id", "page", "page_text", F.aggregate("rows", none, step, lambda acc: acc["lines"]).alias("lines"))
 
 
 def page_characters(shown: DataFrame) -> DataFrame:
     """doc_id, page, page_text (all lines without spaces) and line_ids, the line of each character."""
-    rows = shown.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line_id", "c_text"))).alias("rows"))
-    own = F.transform("rows", lambda r: F.array_repeat(r["line_id"], F.length(r["c_text"])))
-    return rows.select("doc_id", "page", F.array_join(F.transform("rows", lambda r: r["c_text"]), "").alias("page_text"), F.flatten(own).alias("line_ids"))
+    own = F.transform("lines", lambda r: F.array_repeat(r["line_id"], r["to"] - r["from"]))
+    return page_lines(shown).select("doc_id", "page", "page_text", F.flatten(own).alias("line_ids"))
 
 
 #: From this score on, the parts into which a text is cut are long enough to be looked up.
 _PARTS_FROM, _PART = 0.9, 5
+#: A candidate that scores less is no match and stands in no other one's way.
+LEAST = M.LEAST_SCORE - M.LEAST_MARGIN
 #: Texts whose lengths differ by this factor are one class of lengths apart.
 _CLASS = 1.25
 
 
 def _scored(pairs: DataFrame, exact: str, block: str, line: str) -> DataFrame:
     """The higher of how similar a line is to the text sought and to its block."""
-    floor = F.lit(M.LEAST_SCORE - M.LEAST_MARGIN)
+    floor = F.lit(LEAST)
     near = M.may_matter(F.col(exact), F.col(line)) | M.may_matter(F.col(block), F.col(line))
     score = F.greatest(M.similarity_from(F.col(exact), F.col(line), floor), M.similarity_from(F.col(block), F.col(line), floor))
     return pairs.where(near).withColumn("score", score).where("score IS NOT NULL")
@@ -86,6 +103,35 @@ def similar_lines(sought: DataFrame, lines: DataFrame) -> DataFrame:
     return met.withColumn("score", M.similarity_from(F.col("x"), F.col("l_text"), F.col("least"))).where("score IS NOT NULL").select("doc_id", "x", *keys, "score")
 
 
+def least_of_others(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key of some scored candidates, the least score from which on another one could matter."""
+    top = scored.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
+    first, second = F.get("top", F.lit(0)), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
+    # One matters that comes near a clear leader, or that leads one of several equal ones.
+    least = F.greatest(F.when(first - second >= M.LEAST_MARGIN, first - M.LEAST_MARGIN).otherwise(first) - 1e-9, F.lit(LEAST))
+    least = F.when((first - second < M.LEAST_MARGIN) & (first + M.LEAST_MARGIN > 1 + 1e-9), 1.0).otherwise(least)
+    return top.select(*keys, least.alias("least"))
+
+
+def best_by_text(blocks: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """The line (line_no, l_text) that fits each block (``key``, b_text) best of those that are equal in
+    doc_id and page, with its score, if it scores enough and leads clearly.
+
+    Lines that hold a block or that it holds are scored first, by lengths alone; of the others only those
+    are scored that could matter beside them.
+    """
+    on, some = ["doc_id", "page"], lambda c: c.where(F.length(c.columns[-1]) > 0)
+    blocks, lines = some(blocks.select(*on, key, "b_text")), some(lines.select(*on, "line_no", "l_text"))
+    b, n = F.col("b_text"), F.col("l_text")
+    within = b.contains(n) | n.contains(b)
+    held = blocks.join(lines, on).where(within).select(key, "line_no", M.containment_score(b, n).alias("score"))
+    held = stored(held, "contained-lines")
+    asked = blocks.join(least_of_others(held, [key]), key, "left").withColumn("least", F.coalesce("least", F.lit(LEAST))).where("least < 1")
+    near = asked.join(lines, on).where(M.lengths_allow(b, n, F.col("least")) & ~within)
+    near = near.withColumn("score", M.similarity_from(b, n, F.col("least"))).where("score IS NOT NULL")
+    return M.unique_best(held.unionByName(near.select(*held.columns)), key, "line_no")
+
+
 def best_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, id, page, line_id: the line of its document that fits each of ``wanted`` (doc_id, id,
     e_text, b_text) best, by either text, if it scores enough and leads clearly.
@@ -104,12 +150,8 @@ def best_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     held = within.unionByName(around.select(*within.columns)).distinct().withColumn("score", M.containment_score(F.col("x"), F.col("l_text")))
     held = stored(held.select(*columns, "score"), "contained-lines")
     of_key = lambda pairs: each.join(pairs, ["doc_id", "x"]).groupBy(*BEST, *keys).agg(F.max("score").alias("score"))
-    top = of_key(held).groupBy(*BEST).agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("top"))
-    first, second = F.coalesce(F.get("top", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("top", F.lit(1)), F.lit(0.0))
-    # A line matters that comes near a clear leader, or that leads one of several equal ones.
-    least = F.greatest(F.when(first - second >= M.LEAST_MARGIN, first - M.LEAST_MARGIN).otherwise(first) - 1e-9, F.lit(M.LEAST_SCORE - M.LEAST_MARGIN))
-    least = F.when((first - second < M.LEAST_MARGIN) & (first + M.LEAST_MARGIN > 1 + 1e-9), 1.0).otherwise(least)
-    asked = each.join(top, BEST, "left").groupBy("doc_id", "x").agg(F.min(least).alias("least"))
+    top = least_of_others(of_key(held), BEST)
+    asked = each.join(top, BEST, "left").groupBy("doc_id", "x").agg(F.min(F.coalesce("least", F.lit(LEAST))).alias("least"))
     found = held.unionByName(similar_lines(asked, lines).select(*columns, "score"))
     scored = of_key(found).join(order, ["doc_id", *keys])
     return M.unique_best(scored, BEST, "line_no").select(*BEST, *keys)
@@ -127,9 +169,9 @@ def block_locators(findings: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     ``own`` and ``shown`` are ``prepared``.
     """
     sought = projected(findings, "exact_text").select("doc_id", "id", "block_id", F.col("p_text").alias("e_text"))
-    met = sought.join(own.select("doc_id", "block_id", "text", "p_text", "p_starts", "p_ends"), ["doc_id", "block_id"])
-    at = M.only_at(F.col("p_text"), F.col("e_text"))
-    met = met.where(at.isNotNull()).withColumn("span", M.span_at(F.col("p_starts"), F.col("p_ends"), at, F.length("e_text")))
+    met = sought.join(own.select("doc_id", "block_id", "text", "p_text"), ["doc_id", "block_id"])
+    met = met.withColumn("at", M.only_at(F.col("p_text"), F.col("e_text"))).where("at IS NOT NULL")
+    met = met.withColumn("span", M.original_span("text", "at", F.length("e_text"), F.lit(False)))
     met = _cut(met.select("doc_id", "id", "block_id", "span.start", "span.end", "text", "e_text", F.col("p_text").alias("b_text"))).drop("text")
     met = stored(met, "findings-in-blocks")
     best = best_lines(met.select(*BEST, "e_text", "b_text"), shown)
@@ -138,18 +180,34 @@ def block_locators(findings: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
 
 def _selected(selections: DataFrame, pages: DataFrame) -> DataFrame:
     """Selections with their forms, and where they lie in the page's characters: null unless just one
-    of the occurrences begins on the line that was selected."""
-    sought = projected(selections, "exact_text").drop("p_starts", "p_ends", "c_starts", "c_ends")
+    of the occurrences begins on the line that was selected. ``pages``: ``page_lines``."""
+    sought = projected(selections, "exact_text")
     met = sought.withColumnsRenamed({"p_text": "e_text", "c_text": "fragment"}).join(pages, ["doc_id", "page"], "left")
-    starts = F.filter(all_starts(F.col("page_text"), F.col("fragment")), lambda s: F.get("line_ids", s) == F.col("line_id"))
-    return met.withColumn("from", F.when(F.size(starts) == 1, F.get(starts, F.lit(0)))).withColumn("goes_on", _goes_on()).drop("page_text", "line_ids")
+    met = met.withColumn("own", F.filter("lines", lambda x: x["line_id"] == F.col("line_id")))
+    met = met.withColumn("starts", F.flatten(F.transform("own", _begin_within)))
+    met = met.withColumn("from", F.when(F.size("starts") == 1, F.get("starts", F.lit(0))))
+    # Places are columns of their own, lest they be looked for again at each line.
+    met = met.withColumn("at", M.only_at(F.col("page_text"), F.col("fragment"))).withColumn("goes_on", _goes_on())
+    return met.drop("page_text", "lines", "own", "starts", "at")
+
+
+def _begin_within(line: Column) -> Column:
+    """Where the fragment begins within a line of the page, be it that it goes on into others; of several
+    places the first two."""
+    n = line["to"] - line["from"] + F.length("fragment") - 1
+    part = F.substring("page_text", line["from"] + 1, n)
+    first = F.call_function("locate", F.col("fragment"), part)
+    second = F.call_function("locate", F.col("fragment"), part, first + 1)
+    places = F.filter(F.array(first, F.when(first > 0, second).otherwise(F.lit(0))), lambda k: (k > 0) & (F.length("fragment") > 0))
+    return F.transform(places, lambda k: line["from"] + k - 1)
 
 
 def _goes_on() -> Column:
-    """Whether a selection occurs once on its page, from its line on into another one."""
-    at = M.only_at(F.col("page_text"), F.col("fragment"))
-    own = F.slice("line_ids", at + 1, F.length("fragment"))
-    return F.coalesce((F.get("line_ids", at) == F.col("line_id")) & (F.size(F.array_distinct(own)) > 1), F.lit(False))
+    """Whether a selection occurs once (``at``) on its page, from its line on into another one."""
+    at = F.col("at")
+    begins = F.exists("own", lambda x: (x["from"] <= at) & (at < x["to"]))
+    over = F.filter("lines", lambda x: (x["from"] < at + F.length("fragment")) & (at < x["to"]))
+    return F.coalesce(begins & (F.size(F.array_distinct(F.transform(over, lambda x: x["line_id"]))) > 1), F.lit(False))
 
 
 def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) -> DataFrame:
@@ -160,15 +218,14 @@ def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) ->
     some = selected.where(F.col("from").isNotNull()).select("doc_id", "page", "id", "from", (F.col("from") + F.length("fragment")).alias("to"))
     met = some.join(held, ["doc_id", "page"]).where((F.col("block_from") <= F.col("from")) & (F.col("to") <= F.col("block_from") + F.col("n")))
     met = met.select("doc_id", "id", "block_id", (F.col("from") - F.col("block_from")).alias("at"), (F.col("to") - F.col("from")).alias("n")).distinct()
-    whole = met.join(own.select("doc_id", "block_id", "c_starts", "c_ends"), ["doc_id", "block_id"])
-    span = M.span_at(F.col("c_starts"), F.col("c_ends"), F.col("at"), F.col("n"))
-    return whole.withColumn("span", span).select("doc_id", "id", "block_id", "span.start", "span.end").distinct()
+    whole = met.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"])
+    return whole.withColumn("span", M.original_span("text", "at", "n", F.lit(True))).select("doc_id", "id", "block_id", "span.start", "span.end").distinct()
 
 
 def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
     """id, doc_id, block_id, start, end, exact_text of the selections (doc_id, id, page, line_id,
     exact_text) that come from just one place of the source. ``own`` and ``shown`` are ``prepared``."""
-    pages = stored(page_characters(shown), "page-characters")
+    pages = stored(page_lines(shown), "page-lines")
     lines = shown.select("doc_id", "page", "line_id", F.col("p_text").alias("l_text"))
     selected = stored(_selected(selections.join(lines, ["doc_id", "page", "line_id"]), pages), "selections")
     context = context_candidates(selected, pages, own)
@@ -176,14 +233,14 @@ def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame)
     rest = selected.join(context.select(*BEST).distinct(), BEST, "left_anti")
     rest = rest.withColumn("loose", M.only_at(F.col("l_text"), F.col("e_text")).isNull()).where("NOT loose OR goes_on")
     rest = rest.select(*BEST, "loose", F.when(F.col("loose"), F.col("fragment")).otherwise(F.col("e_text")).alias("sought"))
+    rest = stored(rest, "selections-without-context")
     texts = F.explode(F.array(F.struct(F.lit(False).alias("loose"), F.col("p_text").alias("text")), F.struct(F.lit(True).alias("loose"), F.col("c_text").alias("text"))))
     held = own.select("doc_id", "block_id", texts.alias("t")).select("doc_id", "block_id", "t.loose", "t.text")
     met = M.containing(rest, held, "sought", "text", ["doc_id", "loose"], ["block_id"])
     at = M.only_at(F.col("text"), F.col("sought"))
     met = met.select(*BEST, "block_id", "loose", at.alias("at"), F.length("sought").alias("n")).where("at IS NOT NULL")
-    met = met.join(own.select("doc_id", "block_id", "p_starts", "p_ends", "c_starts", "c_ends"), ["doc_id", "block_id"])
-    side = lambda name: F.when(F.col("loose"), F.col(f"c_{name}")).otherwise(F.col(f"p_{name}"))
-    anywhere = met.withColumn("span", M.span_at(side("starts"), side("ends"), F.col("at"), F.col("n"))).select(*BEST, "block_id", "span.start", "span.end")
+    met = met.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"])
+    anywhere = met.withColumn("span", M.original_span("text", "at", "n", "loose")).select(*BEST, "block_id", "span.start", "span.end")
     candidates = stored(context.unionByName(anywhere), "selection-candidates")
     candidates = candidates.join(candidates.groupBy(*BEST).agg(F.count(F.lit(1)).alias("n")), BEST)
     several = candidates.where("n > 1").join(selected.select(*BEST, "e_text", "l_text"), BEST)
@@ -201,7 +258,7 @@ def valid_locators(locators: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     met = locators.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"], "left")
     here = (F.col("end") <= F.length("text")) & (F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("exact_text"))
     met = met.select("doc_id", "id", F.coalesce(here, F.lit(False)).alias("here"))
-    pages = stored(page_characters(shown), "page-characters")
+    pages = stored(page_lines(shown), "page-lines")
     selected = _selected(locators.select("doc_id", "id", "page", "line_id", "exact_text"), pages)
     place = ["doc_id", "id", "block_id", "start", "end"]
     around = context_candidates(selected, pages, own).join(locators.select(*place), place, "left_semi").select(*BEST)

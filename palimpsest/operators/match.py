@@ -74,7 +74,6 @@ def projections(values: list[str]) -> tuple[list[str], list[np.ndarray], list[np
 
 _INTS = T.ArrayType(T.IntegerType())
 PROJECTION = T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", _INTS), T.StructField("ends", _INTS)])
-BOTH = T.StructType([T.StructField(f"{k}_{f.name}", f.dataType) for k in "pc" for f in PROJECTION.fields])
 
 
 def _column(values: pd.Series) -> list[str]:
@@ -88,16 +87,90 @@ def comparison_projection(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "starts": [x.astype(np.int32) for x in starts], "ends": [x.astype(np.int32) for x in ends]})
 
 
-@F.pandas_udf(BOTH)
-def both_projections(values: pd.Series) -> pd.DataFrame:
-    """``projections`` of a column (p_), and the same without their spaces (c_)."""
-    whole = projections(_column(values))
-    letters = [_points(t) != 32 for t in whole[0]]
-    out: dict[str, list] = {"p_text": whole[0], "c_text": [t.replace(" ", "") for t in whole[0]]}
-    for name, side in (("starts", whole[1]), ("ends", whole[2])):
-        out[f"p_{name}"] = [x.astype(np.int32) for x in side]
-        out[f"c_{name}"] = [x[keep].astype(np.int32) for x, keep in zip(side, letters, strict=True)]
-    return pd.DataFrame(out, columns=[f.name for f in BOTH.fields])
+class _Plain(dict):
+    """What each character becomes, by code point, found when it is first asked for."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = image = _plain(chr(point))
+        return image
+
+
+_PLAIN = _Plain()
+
+
+def _plainly(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_PLAIN)
+
+
+def comparison_form(text: str) -> str:
+    """The text of ``projections``, without where its characters come from."""
+    return " ".join(_plainly(text).split())
+
+
+@F.pandas_udf(T.StringType())
+def comparison_text(values: pd.Series) -> pd.Series:
+    """``comparison_form`` of a column; a null is an empty text."""
+    return pd.Series([comparison_form(v) for v in _column(values)], dtype=object)
+
+
+def original_ranges(texts: list[str], at: list[int], size: list[int], tight: list[bool]) -> list[tuple[int, int]]:
+    """Where so many characters of the comparison form from a place on (``tight``: of the form without
+    spaces) lie in the original. No character becomes none, so a form that is as long as its text and
+    has lost no white space has each character in its own place."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(texts)
+    moved = []
+    for k, text in enumerate(texts):
+        plain = _plainly(text)
+        if not tight[k] and len(text) == len(plain) == len(" ".join(plain.split())):
+            out[k] = (at[k], at[k] + size[k])
+        else:
+            moved.append(k)
+    forms, starts, ends = projections([texts[k] for k in moved])
+    for k, form, start, end in zip(moved, forms, starts, ends, strict=True):
+        if tight[k]:
+            letters = _points(form) != 32
+            start, end = start[letters], end[letters]
+        out[k] = (int(start[at[k]]), int(end[at[k] + size[k] - 1]))
+    return out
+
+
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+
+@F.pandas_udf(_SPAN)
+def original_span(texts: pd.Series, at: pd.Series, size: pd.Series, tight: pd.Series) -> pd.DataFrame:
+    """``original_ranges`` of columns without nulls."""
+    spans = original_ranges(texts.tolist(), at.tolist(), size.tolist(), tight.tolist())
+    return pd.DataFrame(spans, columns=["start", "end"], dtype="int32")
+
+
+@F.pandas_udf(_SPAN)
+def unique_span(texts: pd.Series, sought: pd.Series) -> pd.DataFrame:
+    """Original range of a text within another one by their comparison forms, null unless it occurs once."""
+    rows, whole, at, size = [], [], [], []
+    for k, (text, part) in enumerate(zip(_column(texts), _column(sought), strict=True)):
+        form, needle = comparison_form(text), comparison_form(part)
+        first = form.find(needle) if needle else -1
+        if first >= 0 and form.find(needle, first + 1) < 0:
+            rows.append(k), whole.append(text), at.append(first), size.append(len(needle))
+    out = pd.DataFrame({c: pd.array([None] * len(texts), dtype="Int32") for c in ("start", "end")})
+    spans = original_ranges(whole, at, size, [False] * len(rows))
+    for c, values in zip(out.columns, zip(*spans, strict=True), strict=False):
+        out.loc[rows, c] = values
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("first_at", T.IntegerType()), T.StructField("end_at", T.IntegerType())]))
+def comparison_ends(values: pd.Series) -> pd.DataFrame:
+    """``comparison_form`` of a column, where its first character begins and its last one ends."""
+    texts = _column(values)
+    forms = [comparison_form(t) for t in texts]
+    some = [k for k, f in enumerate(forms) if f]
+    spans = original_ranges([texts[k] for k in some], [0] * len(some), [len(forms[k]) for k in some], [False] * len(some))
+    out = pd.DataFrame({"text": forms, **{c: pd.array([None] * len(texts), dtype="Int32") for c in ("first_at", "end_at")}})
+    for c, values in zip(out.columns[1:], zip(*spans, strict=True), strict=False):
+        out.loc[some, c] = values
+    return out
 
 
 def only_at(text: Column, sought: Column) -> Column:
@@ -107,17 +180,6 @@ def only_at(text: Column, sought: Column) -> Column:
     return F.when(once, first - 1)
 
 
-def span_at(starts: Column, ends: Column, at: Column, length: Column) -> Column:
-    """Original range of so many projected characters from a place on."""
-    return F.struct(F.get(starts, at).alias("start"), F.get(ends, at + length - 1).alias("end"))
-
-
-def unique_span(haystack: Column, needle: Column) -> Column:
-    """Original range of a projected needle in a projected haystack, null unless it occurs once."""
-    at = only_at(haystack["text"], needle["text"])
-    return F.when(at.isNotNull(), span_at(haystack["starts"], haystack["ends"], at, F.length(needle["text"])))
-
-
 # --- texts within texts ----------------------------------------------------------------------
 
 #: Texts from WINDOW + SPAN - 1 characters on are found by windows of WINDOW characters, the least by hash
@@ -160,20 +222,33 @@ def one_window(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([int((chosen_windows(t) if n == 0 else _window_hashes(t, n)).view(np.int64)[0]) for t, n in zip(texts, sizes, strict=True)], dtype="int64")
 
 
-def containing(short: DataFrame, long: DataFrame, sought: str, text: str, on: list[str], keys: list[str]) -> DataFrame:
+#: Groups in which so many characters at most are to be looked through, once for each text sought, are met
+#: row by row.
+_DIRECT = 1 << 28
+
+
+def containing(short: DataFrame, long: DataFrame, sought: str, text: str, on: list[str], keys: list[str], direct: int = _DIRECT) -> DataFrame:
     """Rows of ``short`` with those of ``long`` that are equal in ``on`` and whose ``text`` holds ``sought``.
 
-    ``keys`` tell the rows of ``long`` apart within ``on``; else the two have no name in common. Long
-    texts are looked up by their windows, never pair by pair: one window of what is sought against all
-    windows of that length, or, from some length on, against the chosen ones.
+    ``keys`` tell the rows of ``long`` apart within ``on``; else the two have no name in common. In small
+    groups texts are looked through, which sends each of them once and nothing else. In groups that
+    are more than ``direct`` to look through they are looked up by their windows, never pair by pair: one
+    window of what is sought against all windows of that length, or, from some length on, against
+    the chosen ones.
     """
-    size = F.when(F.length(sought) < WINDOW + SPAN - 1, F.length(sought)).otherwise(F.lit(0))
-    asked = short.where(F.length(sought) > 0).withColumn("_size", size)
+    asked = short.where(F.length(sought) > 0)
+    n = asked.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    work = long.groupBy(*on).agg(F.sum(F.length(text)).cast("double").alias("_m")).join(n, on)
+    large = stored(work.where(F.col("_n") * F.col("_m") > direct).select(*on), "large-groups")
+    holds = F.col(text).contains(F.col(sought))
+    met = asked.join(large, on, "left_anti").join(long, on).where(holds)
+    asked, long = asked.join(large, on, "left_semi"), long.join(large, on, "left_semi")
+    asked = asked.withColumn("_size", F.when(F.length(sought) < WINDOW + SPAN - 1, F.length(sought)).otherwise(F.lit(0)))
     asked = asked.withColumn("_window", one_window(F.col(sought), F.col("_size")))
     sizes = asked.select(*on, "_size").distinct()
     shown = long.join(sizes, on).select(*on, *keys, "_size", F.explode(windows_of(F.col(text), F.col("_size"))).alias("_window"))
-    met = asked.join(shown, [*on, "_size", "_window"]).drop("_size", "_window")
-    return met.join(long, [*on, *keys]).where(F.col(text).contains(F.col(sought)))
+    looked_up = asked.join(shown, [*on, "_size", "_window"]).drop("_size", "_window").join(long, [*on, *keys]).where(holds)
+    return met.unionByName(looked_up)
 
 
 # --- similarity ------------------------------------------------------------------------------

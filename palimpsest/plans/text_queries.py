@@ -305,8 +305,8 @@ def file_names(spark, d):
 def comparison_texts(spark, d):
     """Projected texts of page lines, with where their first and last characters came from."""
     rows = L.page_lines(table(spark, d, "pages"), "page_id", "html")
-    rows = rows.withColumn("p", M.comparison_projection(F.col("text")))
-    return rows.select("page_id", "line_no", F.col("p.text").alias("projected"), F.element_at("p.starts", 1).alias("first_at"), F.element_at("p.ends", -1).alias("end_at"))
+    rows = rows.withColumn("p", M.comparison_ends("text"))
+    return rows.select("page_id", "line_no", F.col("p.text").alias("projected"), "p.first_at", "p.end_at")
 
 
 @query()
@@ -314,6 +314,5 @@ def docx_locators(spark, d):
     """The middle of each line located in its projected line: null unless it occurs once."""
     rows = _source_lines(spark, d)
     part = F.substring("text", (F.length("text") / 3).cast("int") + 1, (F.length("text") / 3).cast("int"))
-    rows = rows.withColumn("block", M.comparison_projection(F.col("text"))).withColumn("sought", M.comparison_projection(F.upper(part)))
-    span = M.unique_span(F.col("block"), F.col("sought"))
-    return rows.select("doc_id", "line_no", span["start"].alias("start_at"), span["end"].alias("end_at"))
+    rows = rows.withColumn("span", M.unique_span("text", F.upper(part)))
+    return rows.select("doc_id", "line_no", F.col("span.start").alias("start_at"), F.col("span.end").alias("end_at"))
