@@ -7,18 +7,21 @@
    code and the other's four bits by the factor estimates their cosine without bias, and the spread of
    the error is known; a pair whose estimate lies more than ``SPREADS`` spreads below the threshold is
    out. All other pairs are computed again from the vectors, in double precision.
-3. Who meets whom: a label of up to some ten thousand classes is one block. In a larger one, classes
-   meet if their codes agree in all of ``bits`` places of one of ``bands`` choices of places, which
-   are as many as the recall needs; a pair that meets more than once counts at its first band, as the
-   codes themselves tell. A block above ``PART`` classes is cut in parts, and each pair of parts is a
-   task of its own, whatever the size of the block.
+3. Who meets whom: all classes of a label and of equal length are one block, however many there are, so
+   what is found does not depend on the size of the input. A block above ``PART`` classes is cut in
+   parts, and each pair of parts is a task of its own, whatever the size of the block: the work of a
+   label is the square of its classes, spread over as many tasks.
+   A caller who would rather lose some pairs than search large labels in full says what it costs to
+   send a class to a block (``sent``, in comparisons). Then classes meet if their codes agree in all of
+   ``bits`` places of one of ``bands`` choices of places, which are as many as ``recall`` needs; a pair
+   that meets more than once counts at its first band, as the codes themselves tell.
 4. A block's task reads codes only and names the classes with a pair to compute again; these alone
    bring their vectors to a second task a block, which returns links per class and a spanning forest of
    its links, never pairs. The forests are closed to components.
 
-Sizes of labels are counted in 2**16 slots, which is what is broadcast; labels that share a slot get
-the bands of their sum. Small labels are searched in full, where only the bound on the error can miss a
-pair, with a chance of about one in a million.
+Only the bound on the error can miss a pair, with a chance of about one in a million. For bands, sizes of
+labels are counted in 2**16 slots, which is what is broadcast; labels that share a slot get the bands of
+their sum.
 
 Defined cases: a vector that is null, empty or zero, or holds a null or a number that is not finite,
 links with nothing, nor does one without a label or id; vectors of different lengths have no cosine;
@@ -41,7 +44,7 @@ from palimpsest.llm.graph import components
 from palimpsest.session import ship, stored
 
 THRESHOLD = 0.93
-#: Share of the pairs just at the threshold that meet in some band.
+#: Share of the pairs just at the threshold that meet in some band, where bands are asked for.
 RECALL = 0.98
 #: Spreads of the estimate's error that a pair may lie below the threshold and still be computed again.
 SPREADS = 5.0
@@ -83,6 +86,11 @@ def bands(n: int, size: int, threshold: float, recall: float, sent: int = SENT)
     return best[1], best[2]
 
 
+def choice_of(n: int, size: int, threshold: float, recall: float, sent: int | None) -> tuple[int, int]:
+    """The places and bands of a label: one band that all classes share, unless bands are asked for."""
+    return (0, 1) if sent is None else bands(n, size, threshold, recall, sent)
+
+
 @cache
 def places(size: int, bits: int, n_bands: int) -> np.ndarray:
     """The places of the code that each band compares."""
@@ -161,7 +169,7 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _codes(threshold: float, recall: float, sent: int):
+def _codes(threshold: float, recall: float, sent: int | None):
     """mapInArrow function over (cls, label, dim, slot_size, vector): a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +180,7 @@ def _codes(threshold: float, recall: float, sent: int):
             for d, n in {*zip(dim.tolist(), slot_size.tolist(), strict=True)}:
                 rows = np.flatnonzero((dim == d) & (slot_size == n))
                 codes = Codes.of(unit_vectors(flat[starts[rows][:, None] + np.arange(d)]))
-                bits, n_bands = bands(n, code_size(d), threshold, recall, sent)
+                bits, n_bands = choice_of(n, code_size(d), threshold, recall, sent)
                 packed = pa.array(codes.packed(), pa.binary())
                 for k, band in enumerate(places(code_size(d), bits, n_bands)):
                     yield pa.record_batch(
@@ -185,7 +193,7 @@ def _codes(threshold: float, recall: float, sent: int):
     return run
 
 
-#: What tells blocks apart (n is the label's size in its slot, which the bands depend on), and tasks.
+#: What tells blocks apart (n is the label's size in its slot, if the bands depend on it), and tasks.
 BLOCK = ["label", "dim", "n", "band", "bits"]
 TASK = [*BLOCK, "i", "j"]
 
@@ -216,11 +224,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.
         yield key, whole()
 
 
-def _pairs(codes: Codes, side: np.ndarray, key: tuple, threshold: float, recall: float, sent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(codes: Codes, side: np.ndarray, key: tuple, threshold: float, recall: float, sent: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of a task that may reach the threshold and meet here first, some rows at a
     time. ``side``: the part of each class; between two parts only pairs across count."""
     _, dim, n, band, _, i, j = key
-    choice = places(code_size(dim), *bands(n, code_size(dim), threshold, recall, sent))
+    choice = places(code_size(dim), *choice_of(n, code_size(dim), threshold, recall, sent))
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     other = codes[right]
     for first in range(0, len(left), ROWS):
@@ -235,7 +243,7 @@ def _pairs(codes: Codes, side: np.ndarray, key: tuple, threshold: float, recall:
             yield a[new], b[new]
 
 
-def _named(threshold: float, recall: float, sent: int):
+def _named(threshold: float, recall: float, sent: int | None):
     """mapInArrow function over a block's codes: the classes that have a pair to compute again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +261,7 @@ def _named(threshold: float, recall: float, sent: int):
     return run
 
 
-def _linked(threshold: float, recall: float, sent: int):
+def _linked(threshold: float, recall: float, sent: int | None):
     """mapInArrow function over a block's named classes (side, cls, rep, copies, vector): rows (cls, a, b,
     links) with a class's links, or with a link a, b of the spanning forest and no class."""
 
@@ -298,7 +306,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     part: int = PART,
-    sent: int = SENT,
+    sent: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -317,8 +325,11 @@ def near_duplicates(
     )
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("dim", F.size("vector").cast("long")), "vector-classes")
     slot = F.pmod(F.xxhash64("label", "dim"), F.lit(SLOTS))
-    sizes = classes.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    sized = classes.withColumn("slot", slot).join(F.broadcast(sizes), "slot").select("cls", "label", "dim", "n", "vector")
+    sized = classes.withColumn("n", F.lit(0).cast("long"))
+    if sent is not None:
+        sizes = classes.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        sized = classes.withColumn("slot", slot).join(F.broadcast(sizes), "slot")
+    sized = sized.select("cls", "label", "dim", "n", "vector")
     coded = sized.mapInArrow(_codes(threshold, recall, sent), "label long, dim long, n long, band long, bits long, cls long, packed binary, factor float, low float, step float")
     coded = stored(coded, "vector-codes")
     large = coded.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > part)

@@ -1,6 +1,8 @@
+import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,14 @@ def test_a_large_block_is_dealt_to_pairs_of_parts(spark):
     rows = [(k, [1.0 + rng.random() / 100, 1.0, rng.random() / 100], 1) for k in range(300)]  # all are near
     got = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), part=40).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(299, 0)}
+
+
+def test_who_meets_whom_does_not_depend_on_the_size_of_a_label():
+    """However large its label is said to be, a class goes to one block, which all others of the label share."""
+    units = ed.unit_vectors(np.random.default_rng(5).standard_normal((40, 64)))
+    defaults = inspect.signature(ed.near_duplicates).parameters
+    for n in (40, 10**5, 10**9):
+        columns = [pa.array(np.arange(40)), pa.array(np.ones(40, np.int64)), pa.array(np.full(40, 64)), pa.array(np.full(40, n)), pa.array(units.tolist())]
+        batch = pa.record_batch(columns, ["cls", "label", "dim", "n", "vector"])
+        out = list(ed._codes(0.93, defaults["recall"].default, defaults["sent"].default)(iter([batch])))
+        assert sum(len(b) for b in out) == 40 and {x for b in out for x in b.column("bits").to_pylist()} == {0}
