@@ -20,18 +20,19 @@ def projected(rows: DataFrame, column: str = "text") -> DataFrame:
     """Add a text's comparison form (p_text) and that without spaces (c_text). Where their characters come
     from is only told of what is found (``match.original_span``)."""
     kept = [c for c in rows.columns if c not in ("p_text", "c_text")]
-    return _tight(rows.select(*kept, M.comparison_text(F.col(column)).alias("p_text")))
+    form = rows.select(*kept, M.comparison_text(F.col(column)).alias("p_text"))
+    return form.withColumn("c_text", F.replace("p_text", F.lit(" "), F.lit("")))
 
 
-def _tight(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("c_text", F.replace("p_text", F.lit(" "), F.lit("")))
+#: Whole texts are written with this codec, which halves them once more.
+_CODEC = "zstd"
 
 
 def prepared(blocks: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks and lines with their forms, written, as several steps read them. Of the lines only the form
-    is kept."""
-    own, shown = projected(blocks).drop("c_text"), projected(lines).select("doc_id", "page", "line_id", "line_no", "p_text")
-    return _tight(stored(own, "block-forms")), _tight(stored(shown, "line-forms"))
+    """Blocks and lines, written, as several steps read them, with their forms, which are made again by each
+    step, as they would take as much room as the texts."""
+    lines = lines.select("doc_id", "page", "line_id", "line_no", "text")
+    return projected(stored(blocks, "block-texts", _CODEC)), projected(stored(lines, "line-texts", _CODEC))
 
 
 def page_lines(shown: DataFrame) -> DataFrame:
@@ -215,9 +216,11 @@ def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) ->
     selection."""
     held = M.containing(own.select("doc_id", "block_id", "c_text"), pages.select("doc_id", "page", "page_text"), "c_text", "page_text", ["doc_id"], ["page"])
     held = held.select("doc_id", "page", "block_id", F.length("c_text").alias("n"), F.explode(all_starts(F.col("page_text"), F.col("c_text"))).alias("block_from"))
+    held = stored(held, "blocks-on-pages")
     some = selected.where(F.col("from").isNotNull()).select("doc_id", "page", "id", "from", (F.col("from") + F.length("fragment")).alias("to"))
     met = some.join(held, ["doc_id", "page"]).where((F.col("block_from") <= F.col("from")) & (F.col("to") <= F.col("block_from") + F.col("n")))
     met = met.select("doc_id", "id", "block_id", (F.col("from") - F.col("block_from")).alias("at"), (F.col("to") - F.col("from")).alias("n")).distinct()
+    met = stored(met, "selections-in-context")
     whole = met.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"])
     return whole.withColumn("span", M.original_span("text", "at", "n", F.lit(True))).select("doc_id", "id", "block_id", "span.start", "span.end").distinct()
 
@@ -225,9 +228,11 @@ def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) ->
 def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
     """id, doc_id, block_id, start, end, exact_text of the selections (doc_id, id, page, line_id,
     exact_text) that come from just one place of the source. ``own`` and ``shown`` are ``prepared``."""
-    pages = stored(page_lines(shown), "page-lines")
+    # Each step that sends whole texts is written before the next one, so that one such shuffle lies on disk at a time.
+    pages = stored(page_lines(shown), "page-lines", _CODEC)
     lines = shown.select("doc_id", "page", "line_id", F.col("p_text").alias("l_text"))
-    selected = stored(_selected(selections.join(lines, ["doc_id", "page", "line_id"]), pages), "selections")
+    asked = stored(stored(selections, "selections").join(lines, ["doc_id", "page", "line_id"]), "selections-with-lines", _CODEC)
+    selected = stored(_selected(asked, pages), "selections-on-pages", _CODEC)
     context = context_candidates(selected, pages, own)
     # Without context the text is looked for in all blocks, without spaces if it was wrapped.
     rest = selected.join(context.select(*BEST).distinct(), BEST, "left_anti")
@@ -239,6 +244,7 @@ def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame)
     met = M.containing(rest, held, "sought", "text", ["doc_id", "loose"], ["block_id"])
     at = M.only_at(F.col("text"), F.col("sought"))
     met = met.select(*BEST, "block_id", "loose", at.alias("at"), F.length("sought").alias("n")).where("at IS NOT NULL")
+    met = stored(met, "selections-in-blocks")
     met = met.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"])
     anywhere = met.withColumn("span", M.original_span("text", "at", "n", "loose")).select(*BEST, "block_id", "span.start", "span.end")
     candidates = stored(context.unionByName(anywhere), "selection-candidates")
@@ -258,7 +264,7 @@ def valid_locators(locators: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     met = locators.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"], "left")
     here = (F.col("end") <= F.length("text")) & (F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("exact_text"))
     met = met.select("doc_id", "id", F.coalesce(here, F.lit(False)).alias("here"))
-    pages = stored(page_lines(shown), "page-lines")
+    pages = stored(page_lines(shown), "page-lines", _CODEC)
     selected = _selected(locators.select("doc_id", "id", "page", "line_id", "exact_text"), pages)
     place = ["doc_id", "id", "block_id", "start", "end"]
     around = context_candidates(selected, pages, own).join(locators.select(*place), place, "left_semi").select(*BEST)

@@ -78,14 +78,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back.
+def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder, by the session's codec or another one, and read it back.
 
     This cuts the lineage: a lost executor costs one task's input, not the whole chain before it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     schema = df.schema
     del df
     release(spark)

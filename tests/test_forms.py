@@ -11,6 +11,7 @@ from test_operators import TEXTS, plain_projection, plain_score
 from palimpsest.operators import locate as O
 from palimpsest.operators import match as M
 from palimpsest.plans import catalog
+from palimpsest.session import stored
 
 ODD = ["a ½  b", " ﬁ", "½ ", "İß\xad", "\x1c\x1d", "a　　ﬁ", "ＡＢ  Ｃ", "", "ab c"]
 
@@ -95,3 +96,12 @@ def test_best_lines_of_a_page(spark):
     n = spark.createDataFrame(lines, "doc_id long, page long, line_no long, l_text string")
     got = {r.block_id: (r.line_no, r.score) for r in O.best_by_text(b, n, "block_id").collect()}
     assert got == {k: (x[0], pytest.approx(x[1])) for k, x in want.items()} and 40 < len(want) < 180
+
+
+def test_steps_of_selections_are_written_one_by_one(spark, corpus, frames, monkeypatch):  # noqa: F811
+    """No step sends the pages to two others at once: their shuffles would lie on disk together."""
+    written = []
+    monkeypatch.setattr(O, "stored", lambda df, label, codec=None: written.append(label) or stored(df, label, codec))
+    rows = [(d, f"{d}", x["page"], x["line_id"], x["text"]) for d, (_, lines) in corpus.items() for x in lines[:1]]
+    O.resolve_selections(spark.createDataFrame(rows, "doc_id long, id string, page long, line_id string, exact_text string"), *frames)
+    assert written.index("page-lines") < written.index("selections-with-lines") < written.index("selections-on-pages") < written.index("blocks-on-pages")
