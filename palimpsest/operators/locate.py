@@ -7,11 +7,14 @@ than one possibility, the most similar line or block counts, if it is similar en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import all_starts
 from palimpsest.operators import match as M
+from palimpsest.operators import whole as W
 from palimpsest.session import stored
 
 BEST = ["doc_id", "id"]
@@ -29,10 +32,33 @@ _CODEC = "zstd"
 
 
 def prepared(blocks: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks and lines, written, as several steps read them, with their forms, which are made again by each
-    step, as they would take as much room as the texts."""
-    lines = lines.select("doc_id", "page", "line_id", "line_no", "text")
-    return projected(stored(blocks, "block-texts", _CODEC)), projected(stored(lines, "line-texts", _CODEC))
+    """Blocks and lines with their forms. Nothing is written: most documents are read once, by whoever takes
+    them whole."""
+    return projected(blocks), projected(lines.select("doc_id", "page", "line_id", "line_no", "text"))
+
+
+#: Documents whose blocks have more characters are not taken whole: their texts are sent from step to step.
+_WHOLE = 1 << 19
+
+
+def _sizes(own: DataFrame) -> DataFrame:
+    return own.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+
+
+def _apart(sizes: DataFrame, most: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """What keeps of a frame the documents that are taken whole, and what keeps those that are too large."""
+    large = stored(sizes.where(F.col("n") > most).select("doc_id"), "large-documents")
+    if large.isEmpty():
+        return lambda rows: rows, lambda rows: rows.where(F.lit(False))
+    return lambda rows: rows.join(large, "doc_id", "left_anti"), lambda rows: rows.join(large, "doc_id", "left_semi")
+
+
+def _written(own: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``prepared`` frames, written, as several steps read them; their forms are made again by each step, as
+    they would take as much room as the texts."""
+    lines = shown.select("doc_id", "page", "line_id", "line_no", "text")
+    own = stored(own.select("doc_id", "block_id", "text"), "block-texts", _CODEC)
+    return projected(own), projected(stored(lines, "line-texts", _CODEC))
 
 
 def page_lines(shown: DataFrame) -> DataFrame:
@@ -225,9 +251,26 @@ def context_candidates(selected: DataFrame, pages: DataFrame, own: DataFrame) ->
     return whole.withColumn("span", M.original_span("text", "at", "n", F.lit(True))).select("doc_id", "id", "block_id", "span.start", "span.end").distinct()
 
 
-def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
+def resolve_selections(selections: DataFrame, own: DataFrame, shown: DataFrame, sizes: DataFrame | None = None, whole: int = _WHOLE) -> DataFrame:
     """id, doc_id, block_id, start, end, exact_text of the selections (doc_id, id, page, line_id,
-    exact_text) that come from just one place of the source. ``own`` and ``shown`` are ``prepared``."""
+    exact_text) that come from just one place of the source. ``own`` and ``shown`` are ``prepared``.
+
+    Documents of up to so many characters are taken whole; ``sizes`` (doc_id, n) tells what they have, if
+    that is known, else blocks are counted.
+    """
+    small, large = _apart(_sizes(own) if sizes is None else sizes, whole)
+    by_steps = _selections_by_steps(large(selections), *_written(large(own), large(shown)))
+    parts = {
+        "blocks": (small(own), ["block_id", "text"]),
+        "lines": (small(shown), ["page", "line_id", "line_no", "text"]),
+        "asked": (small(selections), ["id", "page", "line_id", "exact_text"]),
+    }
+    kinds = dict(by_steps.dtypes)
+    return W.by_document(parts, W.resolve, ", ".join(f"{c} {kinds[c]}" for c in by_steps.columns)).unionByName(by_steps)
+
+
+def _selections_by_steps(selections: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
+    """``resolve_selections`` of documents that no task takes whole."""
     # Each step that sends whole texts is written before the next one, so that one such shuffle lies on disk at a time.
     pages = stored(page_lines(shown), "page-lines", _CODEC)
     lines = shown.select("doc_id", "page", "line_id", F.col("p_text").alias("l_text"))

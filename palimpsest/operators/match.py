@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -98,13 +100,30 @@ class _Plain(dict):
 _PLAIN = _Plain()
 
 
+@cache
+def _unlike_lower() -> re.Pattern[str]:
+    """Characters that may become anything but their lower case, among them all above the first planes' letters."""
+    unlike = [c for c in map(chr, range(0x80, 0x3000)) if _plain(c) != c.lower() or len(c.lower()) > 1 or c == "Σ"]
+    return re.compile(f"[{''.join(unlike)}\u3000-\U0010ffff]")
+
+
 def _plainly(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_PLAIN)
+    if text.isascii():
+        return text.lower()
+    unlike = set(_unlike_lower().findall(text))
+    if unlike <= {"ß"}:
+        return text.lower().replace("ß", "ss")
+    return text.translate(_PLAIN)
 
 
 def comparison_form(text: str) -> str:
     """The text of ``projections``, without where its characters come from."""
-    return " ".join(_plainly(text).split())
+    return spaced(_plainly(text))
+
+
+def spaced(plain: str) -> str:
+    """A run of white space becomes one space, and goes at either end."""
+    return " ".join(plain.split())
 
 
 @F.pandas_udf(T.StringType())
