@@ -189,12 +189,23 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.withColumn("exact_text", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
 
 
+def _of_documents(asked: DataFrame, own: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``own`` and ``shown`` of the documents of which something is asked, written: most have no findings."""
+    docs = stored(asked.select("doc_id").distinct(), "documents-asked")
+    return _written(*(rows.join(docs, "doc_id", "left_semi") for rows in (own, shown)))
+
+
 def block_locators(findings: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
     """id, doc_id, block_id, start, end, exact_text, page, line_id of the findings (doc_id, id, block_id,
     exact_text) whose text occurs once in their block and that one line of the preview fits best.
 
     ``own`` and ``shown`` are ``prepared``.
     """
+    return _locators(findings, *_of_documents(findings, own, shown))
+
+
+def _locators(findings: DataFrame, own: DataFrame, shown: DataFrame) -> DataFrame:
+    """``block_locators`` of ``_written`` frames."""
     sought = projected(findings, "exact_text").select("doc_id", "id", "block_id", F.col("p_text").alias("e_text"))
     met = sought.join(own.select("doc_id", "block_id", "text", "p_text"), ["doc_id", "block_id"])
     met = met.withColumn("at", M.only_at(F.col("p_text"), F.col("e_text"))).where("at IS NOT NULL")
@@ -304,6 +315,7 @@ def valid_locators(locators: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     """id and whether each locator (doc_id, id, block_id, start, end, exact_text, page, line_id) still
     holds: its block has that text there, and either the page around its line leads to the same range,
     or it is what a new locator would be."""
+    own, shown = _of_documents(locators, own, shown)
     met = locators.join(own.select("doc_id", "block_id", "text"), ["doc_id", "block_id"], "left")
     here = (F.col("end") <= F.length("text")) & (F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("exact_text"))
     met = met.select("doc_id", "id", F.coalesce(here, F.lit(False)).alias("here"))
@@ -311,7 +323,7 @@ def valid_locators(locators: DataFrame, own: DataFrame, shown: DataFrame) -> Dat
     selected = _selected(locators.select("doc_id", "id", "page", "line_id", "exact_text"), pages)
     place = ["doc_id", "id", "block_id", "start", "end"]
     around = context_candidates(selected, pages, own).join(locators.select(*place), place, "left_semi").select(*BEST)
-    anew = block_locators(locators.select("doc_id", "id", "block_id", "exact_text"), own, shown)
+    anew = _locators(locators.select("doc_id", "id", "block_id", "exact_text"), own, shown)
     again = anew.join(locators.select(*place, "page", "line_id"), [*place, "page", "line_id"], "left_semi").select(*BEST)
     found = around.unionByName(again).distinct().withColumn("found", F.lit(True))
     return met.join(found, BEST, "left").select("id", "doc_id", (F.col("here") & F.coalesce("found", F.lit(False))).alias("valid"))

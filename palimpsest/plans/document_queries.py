@@ -25,9 +25,10 @@ _BLOCKS = (
 )
 
 
-def _blocks(spark, d, whole=False):
-    """Blocks of all documents; ``whole``: dealt by doc_id as whole texts, before they are cut."""
-    docs = table(spark, d, "documents")
+def _blocks(spark, d, whole=False, of=None):
+    """Blocks of all documents, or of those of ``of`` (doc_id, text); ``whole``: dealt by doc_id as whole texts,
+    before they are cut."""
+    docs = table(spark, d, "documents") if of is None else of
     docs = (docs.select("doc_id", "text").repartition("doc_id") if whole else docs).withColumn("sha", F.sha2("text", 256))
     each = docs.select("doc_id", "sha", F.posexplode(F.split("text", X.LINE_END, -1)).alias("pos", "text")).where(~X.is_blank(F.col("text")))
     path = F.concat(F.lit("document[0]/body[0]/p["), F.col("pos"), F.lit("]"))
