@@ -140,23 +140,16 @@ def least_of_others(scored: DataFrame, keys: list[str]) -> DataFrame:
     return top.select(*keys, least.alias("least"))
 
 
-def best_by_text(blocks: DataFrame, lines: DataFrame, key: str) -> DataFrame:
-    """The line (line_no, l_text) that fits each block (``key``, b_text) best of those that are equal in
-    doc_id and page, with its score, if it scores enough and leads clearly.
+def best_by_text(blocks: DataFrame, lines: DataFrame, key: str, forms: bool = True) -> DataFrame:
+    """``key``, line_no and score of the line (line_no, l_text) that fits each block (``key``, b_text) best of those
+    that are equal in doc_id and page, if it scores enough and leads clearly. Texts are forms already or made such.
 
-    Lines that hold a block or that it holds are scored first, by lengths alone; of the others only those
-    are scored that could matter beside them.
+    Documents are taken whole, and a key counts within its own. Lines that hold a block or that it holds are scored
+    first, by lengths alone; of the others only those are scored that could matter beside them.
     """
-    on, some = ["doc_id", "page"], lambda c: c.where(F.length(c.columns[-1]) > 0)
-    blocks, lines = some(blocks.select(*on, key, "b_text")), some(lines.select(*on, "line_no", "l_text"))
-    b, n = F.col("b_text"), F.col("l_text")
-    within = b.contains(n) | n.contains(b)
-    held = blocks.join(lines, on).where(within).select(key, "line_no", M.containment_score(b, n).alias("score"))
-    held = stored(held, "contained-lines")
-    asked = blocks.join(least_of_others(held, [key]), key, "left").withColumn("least", F.coalesce("least", F.lit(LEAST))).where("least < 1")
-    near = asked.join(lines, on).where(M.lengths_allow(b, n, F.col("least")) & ~within)
-    near = near.withColumn("score", M.similarity_from(b, n, F.col("least"))).where("score IS NOT NULL")
-    return M.unique_best(held.unionByName(near.select(*held.columns)), key, "line_no")
+    kinds = dict(blocks.dtypes) | dict(lines.dtypes)
+    parts = {"blocks": (blocks, ["page", key, "b_text"]), "lines": (lines, ["page", "line_no", "l_text"])}
+    return W.by_document(parts, W.matches_of_forms if forms else W.matches, f"{key} {kinds[key]}, line_no {kinds['line_no']}, score double")
 
 
 def best_lines(wanted: DataFrame, lines: DataFrame) -> DataFrame:

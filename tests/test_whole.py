@@ -82,3 +82,18 @@ def test_locators_write_what_is_asked_of_alone(spark, corpus, frames, monkeypatc
     O.valid_locators(got, *frames)
     held = {label: {r.doc_id for r in x.select("doc_id").distinct().collect()} for label, x in written if label in ("block-texts", "line-texts", "page-lines")}
     assert len(held) == 3 and set.union(*held.values()) <= {0, 1, 2}
+
+
+@pytest.mark.parametrize("forms", [True, False])
+def test_blocks_of_equal_documents_do_not_compete(spark, monkeypatch, forms):
+    """Blocks of documents with equal texts have equal ids: each has its line, none stands in another one's way.
+    Nothing is written, which all texts were before."""
+    monkeypatch.setattr(O, "stored", None)
+    text, lines = "erst das haus", ["erst das", "erst das haus und", "tion"]
+    made = (lambda t: t) if forms else (lambda t: f" {t.upper()}\n")
+    blocks = [(d, 1, "b", made(text)) for d in (1, 2)] + [(1, 2, "c", made(text)), (3, 1, "b", made("inon")), (4, 1, "b", None), (1, None, "e", made(text))]
+    shown = [(d, 1, k, made(t)) for d in (1, 2) for k, t in enumerate(lines)] + [(3, 1, 0, made("inon")), (3, 1, 1, None), (4, 1, 0, made(text)), (1, None, 9, made(text))]
+    b = spark.createDataFrame(blocks, "doc_id long, page long, block_id string, b_text string")
+    n = spark.createDataFrame(shown, "doc_id long, page long, line_no int, l_text string")
+    got = sorted((r.block_id, r.line_no, r.score) for r in O.best_by_text(b, n, "block_id", forms).collect())
+    assert got == [("b", 0, 1.0)] + [("b", 1, pytest.approx(M.score(text, lines[1])))] * 2
